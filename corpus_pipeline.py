@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, quality, near duplicates, mixing, encoding. Counts as part of plumbline.llm."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import jaccard, langid, mixing, quality, tokens
+from plumbline.llm.common import written
+from plumbline.llm.queries import BPE_RANKS
+
+#: A text is in no known language if it is und or its profile is this far from all.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, since doc_id may be null or repeat."""
+    return docs.withColumn("__row", F.monotonically_increasing_id())
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages that the documents themselves name."""
+    known = langid.profiles(docs.where(~langid.held_out("doc_id")))
+    told = langid.identify(docs, known, docs.columns, names=("__lang", "__score"))
+    return told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.score(docs, quality.learn(docs), docs.columns, names=("__posterior", "__score", "__good")).where("__good").select(docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest doc_id."""
+    numbered = rows_of(docs)
+    groups = written(jaccard.similar_groups(numbered, "__row", "text").select("__row", "component_id"), "groups")
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    stay = numbered.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first.alias("__row"))
+    return numbered.join(stay.select("__row"), "__row", "left_semi").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of sources takes them."""
+    numbered = rows_of(docs)
+    copies = mixing.mix(numbered, carry=["__row"]).where("copies > 0").select("__row", "copies")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return numbered.join(copies, "__row").withColumn("__copy", again).select(docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with their hashes."""
+    return tokens.encode_texts(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+
+
+STAGES = [("language_id", language), ("quality_classifier", good), ("ngram_jaccard_join", distinct), ("mix_sources", mixed), ("byte_bpe", encoded)]
+
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plumbline.llm.common import slices, use_workers
 
@@ -82,7 +84,6 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
                 codes, counts = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
-        totals: dict[str, dict[int, int]] = {}
         for whole in batches:
             for b in slices(whole, "text"):
                 for name, value in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
@@ -92,7 +93,6 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
                 if n >= FLUSH:
                     yield from out(held)
                     held, n = {}, 0
-        del totals
         yield from out(held)
 
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
@@ -106,37 +106,35 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
     return {k: [g for _, g in sorted(v)] for k, v in sorted(found.items())}
 
 
-def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """The columns in keep with lang_pred and score of every row.
+def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text: str = "text", size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep with lang_pred and score (or as names says) of every row.
 
     lang_pred is the language whose profile is nearest, ties to the smaller name; und with score 0 if the text is null or
     has no letter, or if no language is known. score is 1 less the share of the largest possible distance. Repeated rows
-    and repeated texts get equal answers. A kept column named lang_pred or score would clash and is refused.
+    and repeated texts get equal answers. Columns not in keep are dropped, so only a kept column of
+    such a name could clash; that is refused, and names is the way round it.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     spark = docs.sparkSession
     use_workers(spark)
-    if {"lang_pred", "score"} & set(keep):
-        raise ValueError("lang_pred and score are reserved")
-    names = sorted(known)
-    union = np.unique(np.concatenate([np.array(known[n], np.uint32) for n in names])) if names else np.zeros(0, np.uint32)
-    rank = np.full((len(union) + 1, len(names)), -1, np.int32)
-    for i, n in enumerate(names):
+    if set(names) & set(keep):
+        raise ValueError(f"names of kept columns: {names}")
+    languages = sorted(known)
+    union = np.unique(np.concatenate([np.array(known[n], np.uint32) for n in languages])) if languages else np.zeros(0, np.uint32)
+    rank = np.full((len(union) + 1, len(languages)), -1, np.int32)
+    for i, n in enumerate(languages):
         rank[np.searchsorted(union, np.array(known[n], np.uint32)), i] = np.arange(len(known[n]))
-    shared = spark.sparkContext.broadcast((names, union, rank))
+    shared = spark.sparkContext.broadcast((languages, union, rank))
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     base = docs.select(*columns, F.col(text).cast("string").alias("text"))
     out = StructType([*base.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     arrow = to_arrow_schema(out)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, union, rank = shared.value
+        languages, union, rank = shared.value
         for b in batches:
             lang, score = [], []
             for value in b.column("text").to_pylist():
-                own = ranked(value, size) if value and len(names) else ()
+                own = ranked(value, size) if value and len(languages) else ()
                 if not len(own):
                     lang.append(UNKNOWN), score.append(0.0)
                     continue
@@ -146,11 +144,11 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
                 r = rank[at]
                 apart = np.where(r >= 0, np.abs(r - np.arange(len(own))[:, None]), size).sum(axis=0)
                 best = int(np.argmin(apart))
-                lang.append(names[best]), score.append(1 - float(apart[best]) / (len(own) * size))
+                lang.append(languages[best]), score.append(1 - float(apart[best]) / (len(own) * size))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=arrow)
 
     done = base.mapInArrow(predict, out)
-    return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def held_out(key: str):

@@ -8,8 +8,6 @@ Which documents of a length are taken follows from a seeded hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,8 +97,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     Sizes count runs of characters other than space and \\t to \\r; a null text has size 0. A row without words is taken
     as often as its source's whole copies say, which adds nothing. Null sources form one source. Rows of equal keys
     and lengths are told apart by nothing, so any of them may be taken; the number taken is the same in each run. An
-    empty table gives none. carry names further columns to keep; they must not be called size, source_size, target,
-    taken or copies. Sources are few enough that a list of their sizes fits the driver (MOST_SOURCES).
+    empty table gives none. carry names further columns to keep, short ones, as they are shuffled; they must not be called
+    size, source_size, target, taken or copies. Sources are few enough that a list of their sizes fits the driver (MOST_SOURCES).
     """
     use_workers(docs.sparkSession)
     carry = list(carry or [])
@@ -108,9 +106,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         raise ValueError("size, source_size, target, taken and copies are reserved")
     named = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)))
     part = F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(PARTS)).cast("int")
-    rows = written(named.withColumn("part", part), "sizes") if not carry else named.withColumn("part", part)
-    lean = rows.select("key", "source", "size", "part") if not carry else written(rows.select("key", "source", "size", "part"), "sizes")
-    counts = written(lean.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "lengths")
+    rows = written(named.withColumn("part", part), "sizes")
+    counts = written(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "lengths")
     per_source = [(r["source"], r["total"]) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MOST_SOURCES + 1).collect()]
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")

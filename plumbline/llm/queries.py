@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import flac, jaccard, langid, mixing, tokens, topk, urls
+from plumbline.llm import edits, flac, html, jaccard, langid, mixing, quality, tokens, topk, urls
 from plumbline.llm.common import use_workers
 
 #: Rules of the URL filter: (verdict, host, path).
@@ -38,10 +38,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs), ["doc_id"])
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", k=4, percent=85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document at places that its doc_id implies: an insertion, a deletion and a replacement."""
+    import public_tokenizers
+
+    n = F.length(F.coalesce("text", F.lit("")))
+    at = [F.pmod(F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(i)))), n + 1).cast("long") for i in range(3)]
+    todo = F.array(*(F.struct(a.alias("at"), (a + cut).alias("upto"), F.lit(new).alias("new")) for a, cut, new in zip(at, (0, 12, 8), (" (revised)", "", "\n\nUpdate: it's 2024."))))
+    return edits.count_under_edits(table(spark, sf_dir, "documents"), todo, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, keep=["doc_id"])
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
@@ -102,5 +121,5 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_classifier": op4_quality_classifier, "op6_html_extraction": op6_html_extraction, "op7_edit_aware_counts": op7_edit_aware_counts, "op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id}
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op9_exact_top_k": OP9_SQL}
