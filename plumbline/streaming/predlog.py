@@ -11,7 +11,7 @@ from plumbline.operators.predlog import retained
 
 def windowed_summary(events: DataFrame, ts: str = "ts", label: str = "event_type", value: str = "value", every: str = "1 day", late: str = "1 day") -> DataFrame:
     """(window_start, label, n, mean_value) per window; rows later than the watermark are dropped by the stream."""
-    w = events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), F.col(label).alias("label"))
+    w = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), F.col(label).alias("label"))
     return w.agg(F.count("*").alias("n"), F.avg(value).alias("mean_value")).select(F.col("w.start").alias("window_start"), "label", "n", "mean_value")
 
 

@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+import struct
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import SparkSession
+
+ROOT = Path(__file__).resolve().parents[1]
+if str(ROOT) not in sys.path:
+    sys.path.insert(0, str(ROOT))
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    s = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
+        .config("spark.executorEnv.PYTHONPATH", str(ROOT))
+        .getOrCreate()
+    )
+    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.environment["PYTHONPATH"] = str(ROOT)
+    yield s
+    s.stop()
+
+
+def png(pixels: np.ndarray) -> bytes:
+    """A PNG of gray or RGB 8-bit pixels."""
+    h, w = pixels.shape[:2]
+    kind = 0 if pixels.ndim == 2 else 2
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
+    part = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+@pytest.fixture(scope="session")
+def image_folder(tmp_path_factory):
+    """Two classes of six sources with two variants each, 48 x 48, plus masks of one image and one that is broken."""
+    root = tmp_path_factory.mktemp("images")
+    draw = np.random.default_rng(7)
+    for label, name in enumerate(("benign", "malignant")):
+        (root / name).mkdir()
+        for source in range(6):
+            base = np.clip(draw.normal(70 + 40 * label, 25, (48, 48)), 0, 255)
+            for variant in range(2):
+                (root / name / f"{name}{source}_{variant}.png").write_bytes(png(np.clip(base + draw.normal(0, 1, base.shape), 0, 255)))
+    blank = png(np.zeros((48, 48)))
+    (root / "benign" / "benign0_0_mask.png").write_bytes(blank)
+    (root / "benign" / "benign0_0_mask_1.png").write_bytes(blank)
+    (root / "benign" / "notes.txt").write_text("no image")
+    (root / "malignant" / "broken.png").write_bytes(b"\x89PNG\r\n\x1a\nrubbish")
+    return str(root)
