@@ -424,3 +424,78 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_ci_exact(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.exact_intervals(orders(spark, d), iterations=50)
+
+
+@query(f"""{MODELS_SQL}, l AS (SELECT model_name, 'sensitivity' AS metric, sensitivity AS value, lower, upper FROM m UNION ALL SELECT model_name, 'upper', upper, NULL, NULL FROM m)
+SELECT model_name, metric, round(value, 6) AS value, round(lower, 6) AS lower, round(upper, 6) AS upper, round(coalesce(greatest(0, value - lower), 0), 6) AS bar_low, round(coalesce(greatest(0, upper - value), 0), 6) AS bar_high FROM l""")
+def comparison_table(spark: SparkSession, d: str) -> DataFrame:
+    m = _models(spark, d)
+    ci = m.select("model_name", F.lit("sensitivity").alias("metric"), "lower", "upper")
+    return rounded(compare.comparison_table(m.select("model_name", "sensitivity", "upper"), ci, ["sensitivity", "upper"]))
+
+
+@query("SELECT n_name AS name, n_regionkey AS region, coalesce(n_regionkey = 0, false) AS legacy FROM nation UNION ALL SELECT 'LEGACY', NULL, true")
+def model_catalog(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources.artifacts import model_catalog as catalog
+
+    n = load(spark, d, "nation")
+    meta = n.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), (F.col("n_regionkey") == 0).alias("legacy"))
+    return catalog(n.select(F.col("n_name").alias("name")), meta, "LEGACY")
+
+
+@query("SELECT n_name AS name, r_regionkey IS NOT NULL AS available, r_name AS document, CASE WHEN r_regionkey IS NULL THEN 'not available; run the evaluation' END AS message FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
+def results_index(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources.artifacts import availability
+
+    n = load(spark, d, "nation")
+    made = n.join(load(spark, d, "region"), F.col("r_regionkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("document"))
+    return availability(n.select(F.col("n_name").alias("name")), made, "run the evaluation")
+
+
+@query("WITH u AS (SELECT n_name AS model_name FROM nation WHERE n_nationkey < 15 UNION SELECT n_name FROM nation WHERE n_nationkey > 9) SELECT model_name, CAST(row_number() OVER (ORDER BY model_name) AS INTEGER) AS place FROM u")
+def merged_index(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources.artifacts import merged_index as merged
+
+    n = load(spark, d, "nation").withColumn("model_name", F.col("n_name"))
+    return merged(n.where("n_nationkey < 15"), n.where("n_nationkey > 9"))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey < 5 THEN r_name ELSE 'none' END AS test_metrics, CASE WHEN n_nationkey IN (0, 2, 4) THEN n_nationkey / 10e0 ELSE 0.5e0 END AS operating_threshold FROM nation LEFT JOIN region ON r_regionkey = n_nationkey")
+def metadata_write_back(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources.artifacts import write_back
+
+    n = load(spark, d, "nation")
+    results = n.join(load(spark, d, "region"), F.col("r_regionkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("test_metrics"), (F.col("n_nationkey") % 2 == 0).alias("target_met"), (F.col("n_nationkey") / 10).alias("threshold"))
+    return write_back(n.select(F.col("n_name").alias("name"), F.lit("none").alias("test_metrics"), F.lit(0.5).alias("operating_threshold")), results)
+
+
+@query(f"{ONE_SQL} SELECT case_id, CASE WHEN y_prob >= 0.4e0 THEN 'malignant' ELSE 'benign' END AS label, CASE WHEN y_prob >= 0.4e0 THEN y_prob ELSE 1 - y_prob END AS shown FROM scored")
+def label_choice(spark: SparkSession, d: str) -> DataFrame:
+    o = orders(spark, d)
+    label = scalar.chosen_label(F.array(1 - F.col("y_prob"), F.col("y_prob")), ["benign", "malignant"], "malignant", 0.4)
+    return o.select("case_id", label.alias("label"), scalar.shown_probability(F.col("y_prob"), label == "malignant").alias("shown"))
+
+
+@query("SELECT md5(text) AS digest, doc_id AS key FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1")
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.duplicate_members(load(spark, d, "documents"), "text", "doc_id")
+
+
+@query(f"WITH {PROPERTIES_SQL} SELECT property, round(d, 6) AS cohens_d FROM d ORDER BY abs(d) DESC, property LIMIT 1")
+def top_property(spark: SparkSession, d: str) -> DataFrame:
+    parts = load(spark, d, "part").select(F.lit("parts").alias("model_name"), F.col("p_type").startswith("STANDARD").alias("correct"), F.struct(F.col("p_size").cast("double").alias("p_size"), F.col("p_retailprice").alias("p_retailprice")).alias("properties"))
+    return rounded(errors.top_properties(errors.property_comparison(parts, ["p_size", "p_retailprice"]), 1).select("property", "cohens_d"))
+
+
+@query(f"{FILES_SQL}, w AS (SELECT class_name, least(5, count(*)) AS n FROM s GROUP BY class_name) SELECT class_name, n FROM w")
+def sample_per_class(spark: SparkSession, d: str) -> DataFrame:
+    return profile.sample_per_class(files(spark, d), 5, "idx").groupBy("class_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS id, 'benign' AS label FROM events WHERE event_id < 100")
+def prediction_reports(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.plans.bundles import prediction_reports as reports
+
+    e = load(spark, d, "events").where("event_id < 100")
+    log = e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_utc"), F.lit("m").alias("model_name"), F.lit(False).alias("model_legacy"), F.lit("benign").alias("predicted_label"), F.lit(0.2).alias("probability_positive"))
+    return reports(log).select("id", F.get_json_object("report", "$.prediction.label").alias("label"))
