@@ -35,10 +35,15 @@ NO_TEXT = frozenset(
     "script style nav footer aside form button select input textarea noscript iframe svg math canvas template object embed audio video dialog menu head title search label fieldset map noframes noembed xmp".split()
 )
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip".split())
-NO_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banner|nav|navbar|navigation|menu|topbar|masthead|header|footer|sidebar|side-?bar|widgets?|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|comments?|respond|replies|disqus|related|recommended|popup|modal|overlay|pagination|pager|toolbar|skip-?link|hidden|visually-hidden|sr-only)(?:$|[\s_-])",
+#: What a class or id says by a part of its name; parts are what stands between - and _.
+NO_PARTS = re.compile(
+    r"(?:ads?|ad(?:box|slot|unit|block|wrap|wrapper|container|banner|space)|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banners?|nav|navbar|navigation|subnav|sidenav|menus?|topbar|masthead|header|footer|sidebars?|widgets?|breadcrumbs?|cookie[a-z]*|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|sharebar|social|comment[a-z]*|respond|replies|disqus|related|recommended|popup|modal|overlay|pagination|pager|toolbar|skiplink|hidden)",
     re.I,
 )
+NO_WHOLE = frozenset("side-bar skip-link sr-only visually-hidden screen-reader-text top-bar".split())
+#: Names that tell of a neighbour (with-sidebar) or of an article's own heading (post-header).
+NEIGHBOUR = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]", re.I)
+OWN_HEADER = re.compile(r"^(?:article|post|entry|story|content|headline|h)[-_]+header$", re.I)
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -116,6 +121,16 @@ def parse(html: str) -> Node:
     return root
 
 
+def named_outside(names: str) -> bool:
+    """Whether a class or id attribute names something that is no part of an article."""
+    for token in names.split():
+        if token.lower() in NO_WHOLE:
+            return True
+        if not NEIGHBOUR.search(token) and not OWN_HEADER.match(token) and any(NO_PARTS.fullmatch(p) for p in re.split(r"[-_]+", token)):
+            return True
+    return False
+
+
 def is_outside(node: Node, in_article: bool) -> bool:
     """Whether tag, role, name or visibility say that this element is no part of the article."""
     if node.tag in NO_TEXT:
@@ -131,7 +146,7 @@ def is_outside(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("article", "main"):
         return bool(re.search(r"(?:^|[\s_-])(?:comments?|related|recommended|sponsor[a-z]*|promo[a-z]*|ads?)(?:$|[\s_-])", f"{a.get('class', '')} {a.get('id', '')}", re.I))
-    return any(NO_NAMES.search(a[k]) for k in ("class", "id") if k in a)
+    return named_outside(a.get("class", "")) or named_outside(a.get("id", ""))
 
 
 def main_roots(root: Node) -> tuple[list[Node], bool]:
