@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 #: Luminance weights of blue, green and red; preprocessing profiles as (side, normalisation).
@@ -124,3 +126,70 @@ def mask_agreement(heatmap: np.ndarray, mask: np.ndarray, percentile: float = 80
     hot = (h >= np.percentile(h, percentile)) & (h > 0)
     union, inside = int((hot | m).sum()), int((hot & m).sum())
     return {"pointing_hit": bool(m.flat[int(h.argmax())]), "iou": inside / union if union else 0.0, "coverage": inside / int(m.sum()) if m.any() else 0.0, "degenerate": not hot.any() or not m.any()}
+
+
+def decoded(payload: bytes | None) -> np.ndarray | None:
+    """Pixels [h, w, channels], blue first, of a PNG (8 bits, not interlaced) or an uncompressed 24-bit BMP; else None."""
+    try:
+        if payload and payload[:8] == b"\x89PNG\r\n\x1a\n":
+            return _png(payload)
+        if payload and payload[:2] == b"BM":
+            return _bmp(payload)
+    except (ValueError, IndexError, KeyError, zlib.error):
+        pass
+    return None
+
+
+def _png(b: bytes) -> np.ndarray:
+    at, data, palette, head = 8, b"", None, None
+    while at + 8 <= len(b):
+        n, kind, body = int.from_bytes(b[at : at + 4], "big"), b[at + 4 : at + 8], b[at + 8 : at + 8 + int.from_bytes(b[at : at + 4], "big")]
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data += body
+        elif kind == b"IEND":
+            break
+        at += 12 + n
+    if head is None or head[8] != 8 or head[12]:
+        raise ValueError("not an 8-bit PNG without interlacing")
+    w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[9]]
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * c)
+    out = np.zeros((h + 1, (w + 1) * c), np.uint8)  # one row above and one pixel to the left are zero
+    for y in range(h):
+        way, line, above = raw[y, 0], raw[y, 1:], out[y]
+        row = out[y + 1]
+        if way == 0:
+            row[c:] = line
+        elif way == 1:
+            row[c:] = np.cumsum(line.reshape(w, c), axis=0, dtype=np.uint8).ravel()
+        elif way == 2:
+            row[c:] = line + above[c:]
+        elif way in (3, 4):
+            for x in range(w * c):
+                left, up, corner = int(row[x]), int(above[x + c]), int(above[x])
+                if way == 3:
+                    guess = (left + up) // 2
+                else:
+                    p = left + up - corner
+                    guess = min((left, up, corner), key=lambda v: abs(p - v))
+                row[x + c] = (int(line[x]) + guess) & 255
+        else:
+            raise ValueError("unknown row filter")
+    p = out[1:, c:].reshape(h, w, c)
+    if head[9] == 3:
+        return palette[p[:, :, 0]][:, :, ::-1]
+    return p[:, :, :1] if c < 3 else p[:, :, 2::-1] if c == 3 else p[:, :, [2, 1, 0, 3]]
+
+
+def _bmp(b: bytes) -> np.ndarray:
+    word = lambda i, n=4: int.from_bytes(b[i : i + n], "little", signed=n == 4)
+    start, w, h = word(10), word(18), word(22)
+    if word(28, 2) != 24 or word(30):
+        raise ValueError("not a plain 24-bit BMP")
+    stride = (3 * w + 3) // 4 * 4
+    rows = np.frombuffer(b, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : 3 * w].reshape(abs(h), w, 3)
+    return rows[::-1] if h > 0 else rows

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.images import area_resize, gray, properties, thumbnail
-from plumbline.functions.scalar import IMAGE_EXTENSIONS, extension, is_mask, stem
+from plumbline.functions.images import decoded as image_pixels
+from plumbline.functions.images import gray, properties, thumbnail
+from plumbline.functions.scalar import IMAGE_EXTENSIONS, MOST_BYTES, extension, is_mask, side_error, sniffed_format, stem, validation_error
 from plumbline.operators.profile import labelled
 
+PROPERTIES = "struct<width: double, height: double, mean_intensity: double, std_intensity: double, rms_contrast: double, laplacian_variance: double, dark_fraction: double, edge_density: double>"
 MASK_SUFFIX = r"(?i)_mask(_\d+)?$"
 
 
@@ -87,8 +89,39 @@ def features(decoded: DataFrame, size: int = 32) -> DataFrame:
                 rows.append((r.path, int(r.width), int(r.height), thumbnail(g, size).tolist(), properties(g)))
             yield pd.DataFrame(rows, columns=["path", "width", "height", "thumbnail", "properties"])
 
-    names = "width double, height double, mean_intensity double, std_intensity double, rms_contrast double, laplacian_variance double, dark_fraction double, edge_density double"
-    return decoded.mapInPandas(run, f"path string, width int, height int, thumbnail array<double>, properties struct<{names.replace(' double', ': double')}>")
+    return decoded.mapInPandas(run, f"path string, width int, height int, thumbnail array<double>, properties {PROPERTIES}")
 
 
-__all__ = ["area_resize", "class_folders", "discover", "features", "images", "listing", "manifest", "missing_classes"]
+def payload_features(uploads: DataFrame, key: str, payload: str, size: int = 32) -> DataFrame:
+    """(key, width, height, thumbnail, properties) of PNG and BMP images that lie in rows as bytes; nulls if undecodable."""
+    kind = dict(uploads.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                p = image_pixels(r.payload)
+                g = None if p is None else gray(p.tobytes(), *p.shape)
+                rows.append((r.key, None, None, None, None) if g is None else (r.key, p.shape[1], p.shape[0], thumbnail(g, size).tolist(), properties(g)))
+            yield pd.DataFrame(rows, columns=["key", "width", "height", "thumbnail", "properties"])
+
+    return uploads.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInPandas(run, f"key {kind}, width int, height int, thumbnail array<double>, properties {PROPERTIES}").withColumnRenamed("key", key)
+
+
+def validated(uploads: DataFrame, key: str = "filename", payload: str = "payload", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """uploads with error: the first rule broken of name, bytes, decoding and sides; null for a sound image.
+
+    JPEG cannot be decoded here and is judged by name and bytes alone.
+    """
+    quick = uploads.withColumn("quick", validation_error(F.col(payload), F.col(key), most_bytes))
+
+    def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shapes = [None if q is not None else image_pixels(b) for q, b in zip(pdf["quick"], pdf[payload])]
+            yield pdf.assign(width=[None if p is None else p.shape[1] for p in shapes], height=[None if p is None else p.shape[0] for p in shapes]).astype({"width": "Int32", "height": "Int32"})
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in quick.dtypes) + ", width int, height int"
+    seen = quick.mapInPandas(sides, schema)
+    jpeg = sniffed_format(F.col(payload)) == "JPEG"
+    return seen.withColumn("error", F.coalesce("quick", F.when(~jpeg, side_error(F.col("width"), F.col("height"))))).select(*uploads.columns, "width", "height", "error")
+

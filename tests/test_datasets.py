@@ -192,6 +192,42 @@ def test_kernels():
     assert not kernels.mask_agreement(heat, mask)["pointing_hit"] and kernels.mask_agreement(np.zeros((4, 4)), mask)["degenerate"]
 
 
+def test_images_in_rows(spark):
+    from tests.conftest import png
+
+    draw = np.random.default_rng(8)
+    rgb = draw.integers(0, 256, (20, 24, 3)).astype(np.uint8)
+    assert (kernels.decoded(png(rgb)) == rgb[:, :, ::-1]).all() and (kernels.decoded(png(rgb[:, :, 0]))[:, :, 0] == rgb[:, :, 0]).all()
+    w = np.pad(rgb[::-1].reshape(20, 72), ((0, 0), (0, 0)))
+    bmp = b"BM" + (54 + 72 * 20).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (24).to_bytes(4, "little") + (20).to_bytes(4, "little") + b"\x01\0\x18\0" + bytes(24) + w.tobytes()
+    assert (kernels.decoded(bmp) == rgb).all() and kernels.decoded(b"\x89PNG\r\n\x1a\nxx") is None and kernels.decoded(None) is None
+    rows = [("a.png", png(rgb)), ("b.png", png(rgb[:10])), ("c.png", b"\x89PNG\r\n\x1a\nrubbish"), ("d.jpg", b"\xff\xd8\xffxx"), ("e.txt", b"x"), ("f.bmp", bmp)]
+    df = spark.createDataFrame(rows, "filename string, payload binary")
+    assert [r["error"] for r in images.validated(df).orderBy("filename").collect()] == [None, "image too small", "cannot be decoded", None, "extension not allowed", None]
+    f = {r["filename"]: r for r in images.payload_features(df, "filename", "payload").collect()}
+    assert f["a.png"]["width"] == 24 and f["c.png"]["thumbnail"] is None and f["a.png"]["properties"]["mean_intensity"] > 0
+
+
+def test_scoring(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from plumbline.operators import evaluation, scoring
+
+    draw = np.random.default_rng(9)
+    y = draw.integers(0, 2, 200)
+    df = spark.createDataFrame([(i, (draw.normal(size=3) + 2 * int(t)).tolist(), int(t)) for i, t in enumerate(y)], "idx long, features array<double>, label int")
+    model, losses = scoring.train(df)
+    assert losses[-1] < losses[0]
+    s = scoring.scored(model, df, "logistic")
+    assert evaluation.areas(s).first()["roc_auc"] > 0.95
+    model.write().overwrite().save(str(tmp_path / "model"))
+    assert scoring.scored(PipelineModel.load(str(tmp_path / "model")), df, "logistic").exceptAll(s).count() == 0
+    other = scoring.scored_by(lambda: lambda x: 1 / (1 + np.exp(3 - x.sum(axis=1))), df, "sum")
+    assert evaluation.areas(other).first()["roc_auc"] > 0.95
+    p = scoring.predictions(s, ["benign", "malignant"])
+    assert p.where("predicted_label = 'malignant' and probability_positive < 0.5").count() == 0 and p.count() == 200
+
+
 def test_stream(spark, tmp_path):
     from plumbline.streaming import predlog as stream
     from tests.conftest import SMALL
