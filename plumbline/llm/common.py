@@ -10,12 +10,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows that go to a Python worker at once: whole texts are long.
+ROWS = 1000
+
+
 def use_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but lies at the same path."""
+    """Let Python workers import this package where it is not installed but lies at the same path, and keep batches short.
+
+    The number of rows in a batch is a setting of the session; only its default is lowered.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -54,7 +64,15 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def laid_out(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """df with the columns in keep as k0, k1, ... and the text as a string, once if keep has it; and the text's place."""
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    if text in keep and dict(df.dtypes)[text] == "string":
+        return df.select(*columns), keep.index(text)
+    return df.select(*columns, F.col(text).cast("string").alias("text")), len(keep)
+
+
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose column holds at most so many bytes, or one row."""
     size = np.diff(offsets(batch.column(column)))
     start = total = 0

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from plumbline.llm.common import slices, use_workers
+from plumbline.llm.common import laid_out, slices, use_workers
 
 #: Ranks in a profile; languages that may be told apart; grams that a task holds before it counts them.
 PROFILE, MOST_LANGUAGES, FLUSH = 400, 4096, 1 << 21
@@ -124,16 +124,15 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
     for i, n in enumerate(languages):
         rank[np.searchsorted(union, np.array(known[n], np.uint32)), i] = np.arange(len(known[n]))
     shared = spark.sparkContext.broadcast((languages, union, rank))
-    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    base = docs.select(*columns, F.col(text).cast("string").alias("text"))
-    out = StructType([*base.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    base, place = laid_out(docs, keep, text)
+    out = StructType([*base.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     arrow = to_arrow_schema(out)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, union, rank = shared.value
         for b in batches:
             lang, score = [], []
-            for value in b.column("text").to_pylist():
+            for value in b.column(place).to_pylist():
                 own = ranked(value, size) if value and len(languages) else ()
                 if not len(own):
                     lang.append(UNKNOWN), score.append(0.0)
@@ -145,7 +144,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
                 apart = np.where(r >= 0, np.abs(r - np.arange(len(own))[:, None]), size).sum(axis=0)
                 best = int(np.argmin(apart))
                 lang.append(languages[best]), score.append(1 - float(apart[best]) / (len(own) * size))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=arrow)
 
     done = base.mapInArrow(predict, out)
     return done.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from plumbline.llm.common import slices, use_workers
+from plumbline.llm.common import laid_out, slices, use_workers
 from plumbline.llm.words import FOLDED, SPACE, mix, places, stream, word_spans
 
 #: Documents that the scorer is trained on at most, its weights, and passes over the sample.
@@ -218,18 +218,18 @@ def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text", lea
     if set(names) & set(keep):
         raise ValueError(f"names of kept columns: {names}")
     shared = spark.sparkContext.broadcast((model["weights"], model["bias"], model["posterior"]))
-    base = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).cast("string").alias("text"))
-    out = StructType([*base.schema.fields[:-1], StructField("posterior", DoubleType()), StructField("score", DoubleType()), StructField("is_good", BooleanType())])
+    base, place = laid_out(docs, keep, text)
+    out = StructType([*base.schema.fields[: len(keep)], StructField("posterior", DoubleType()), StructField("score", DoubleType()), StructField("is_good", BooleanType())])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, posterior = shared.value
         for whole in batches:
-            for b in slices(whole, "text"):
-                s, word, shape, per_row = described(b.column("text"))
+            for b in slices(whole, place):
+                s, word, shape, per_row = described(b.column(place))
                 some = per_row > 0
                 p = np.array([posterior.get(int(x), 0.5) for x in pattern_of(votes(s))]) * some
                 z = 1 / (1 + np.exp(-np.clip(margins(s, word, shape, per_row, weights, bias), -30, 30))) * some
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64()), pa.array(z, pa.float64()), pa.array(some & (z >= least))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p, pa.float64()), pa.array(z, pa.float64()), pa.array(some & (z >= least))], schema=arrow)
 
     return base.mapInArrow(run, out).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(c).alias(n) for c, n in zip(("posterior", "score", "is_good"), names)))

@@ -25,7 +25,7 @@ from plumbline.llm.common import slices, use_workers
 #: Characters that a match of the pre-token pattern may look at beyond its end.
 LOOK = 4
 #: Pre-tokens whose ids a worker remembers; it starts afresh beyond that.
-MOST_PIECES = 400_000
+MOST_PIECES = 200_000
 
 _coders: dict[tuple[str, str], "Coder"] = {}
 
