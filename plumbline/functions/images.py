@@ -9,7 +9,7 @@ import numpy as np
 #: Luminance weights of blue, green and red; preprocessing profiles as (side, normalisation).
 LUMINANCE = (0.114, 0.587, 0.299)
 CHANNEL_MEANS = (103.939, 116.779, 123.68)
-PROFILES = {"legacy64": (64, "rows_l2"), "unit224": (224, "unit"), "resnet224": (224, "centred"), "raw224": (224, "none")}
+PROFILES = {"legacy_64": (64, "rows_l2"), "standard_224": (224, "unit"), "resnet50_224": (224, "centred"), "efficientnet_224": (224, "none")}
 
 
 def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:

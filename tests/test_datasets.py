@@ -174,12 +174,12 @@ def test_kernels():
     assert kernels.edges(step).any() and not kernels.edges(np.full((20, 20), 7)).any()
     assert kernels.laplacian(np.full((5, 5), 3)).any() == False  # noqa: E712
     bgr = draw.integers(0, 256, (40, 30, 3)).astype(np.uint8)
-    x = kernels.preprocess(bgr, "unit224")
+    x = kernels.preprocess(bgr, "standard_224")
     assert x.shape == (1, 224, 224, 3) and x.min() >= 0 and x.max() <= 1 and x.dtype == np.float32
     red = np.zeros((8, 8, 3), np.uint8)
     red[..., 2] = 255
-    assert kernels.preprocess(red, "raw224")[0, 0, 0].tolist() == [255, 0, 0]
-    assert (kernels.preprocess(bgr[..., :1], "raw224")[..., 0] == kernels.preprocess(bgr[..., :1], "raw224")[..., 2]).all()
+    assert kernels.preprocess(red, "efficientnet_224")[0, 0, 0].tolist() == [255, 0, 0]
+    assert (kernels.preprocess(bgr[..., :1], "efficientnet_224")[..., 0] == kernels.preprocess(bgr[..., :1], "efficientnet_224")[..., 2]).all()
     with pytest.raises(KeyError):
         kernels.preprocess(bgr, "nothing")
     assert (kernels.augmented(bgr, 3) == kernels.augmented(bgr, 3)).all() and kernels.augmented(bgr, 3).shape == bgr.shape
