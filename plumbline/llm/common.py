@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.tables import written
+
+__all__ = ["as_bytes", "data", "laid_out", "offsets", "slices", "use_workers", "written"]
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,38 +34,6 @@ def use_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return shared_folder(spark)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a short lineage, computed once, and still there if executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/plumbline/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def laid_out(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
     """df with the columns in keep as k0, k1, ... and the text as a string, once if keep has it; and the text's place."""
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]

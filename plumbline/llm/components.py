@@ -1,4 +1,4 @@
-"""Connected components of an edge table by repeated label lowering, without gathering links on the driver."""
+"""Connected components of many links: forests within tasks, then label lowering over the whole table."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.operators.graph import components
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +49,9 @@ def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterat
         yield out()
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the links (u, v: long) with the smallest node that it reaches.
 
-    Each round, every node takes the smallest root among its neighbours' roots, roots pass that on to the nodes they
-    stand for, and roots are replaced by their own roots, so long chains halve. Rounds end when nothing changes.
+    Tasks first replace their links by forests of the same components; rounds over what is left do the rest.
     """
-    links = written(edges.mapInArrow(contracted, "u long, v long").where("u <> v").distinct(), "links")
-    links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root"))
-    labels = written(labels, "labels")
-    for _ in range(most_rounds):
-        roots = labels.select(F.col("node").alias("v"), F.col("root").alias("near"))
-        near = links.join(roots, "v").groupBy("u").agg(F.min("near").alias("near"))
-        seen = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "near").alias("low"))
-        told = seen.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
-        low = seen.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("told", "low")).alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        fresh = written(low.join(jump, "low", "left").select("node", F.coalesce("lower", "low").alias("root"), (F.coalesce("lower", "low") != F.col("root")).alias("moved")), "labels")
-        labels = fresh.select("node", "root")
-        if not fresh.where("moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return components(edges.mapInArrow(contracted, "u long, v long"))

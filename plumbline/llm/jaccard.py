@@ -26,6 +26,8 @@ from plumbline.llm.words import shingle_sets
 COMMON, MOST_COMMON = 16, 1 << 21
 #: Shingles that one task holds before it passes their counts on; documents in a block of the product.
 FLUSH, BLOCK = 1 << 22, 1024
+#: Bytes of input for each range of shingles.
+RANGE_BYTES = 4 << 20
 #: Bits of the largest filter of documents that have a candidate.
 MOST_FILTER_BITS = 1 << 27
 
@@ -46,6 +48,13 @@ def by_range(sorted_tokens: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(sorted_tokens, edges), [len(sorted_tokens)]))
 
 
+def range_count(docs: DataFrame) -> int:
+    """Ranges to deal shingles into: as the input's size asks for, so that none outgrows a task as tables grow."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # tables without files tell no size
+    return min(1 << 16, max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES))
+
+
 def set_key(own: np.ndarray) -> int:
     """An even 64-bit name of a set; odd numbers name shingles."""
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) & ~1
@@ -327,13 +336,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Words are runs of characters other than space and \\t to \\r, with A-Z in lower case. A text with fewer than k words
     is one shingle; a null text or one without words has the empty set and links with nothing. Two rows link when
     100 * overlap >= percent * union, so rows of equal sets link. Repeated rows each give a row. Where keys repeat, the
-    smallest key of the component counts; null keys are never the smallest unless all are null. The key must be an
-    integer column; other columns are ignored. An empty table gives none.
+    smallest key of the component counts; null keys are never the smallest unless all are null. The key may be of
+    any type that has an order; other columns are ignored. An empty table gives none.
     """
     spark = docs.sparkSession
     use_workers(spark)
-    ranges = min(1 << 16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    ranges = range_count(base)
     common = spark.sparkContext.broadcast(common_shingles(base, "text", k, ranges))
     rows = written(described(base, "key", "text", k, percent, common), "sets")
     smallest = rows.where("sk is not null").groupBy("sk").agg(F.min("key").alias("low"))
@@ -362,5 +371,6 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     lows = smallest.join(groups.withColumnRenamed("node", "sk"), "sk")
     lowest = lows.groupBy("root").agg(F.min("low").alias("lowest"))
     answer = lows.join(lowest, "root").select("sk", "lowest")
-    answer = smallest.join(answer, "sk", "left").select("sk", F.coalesce("lowest", "low").alias("lowest"))
+    # written, so that the last join reads plain rows on both sides and adaptive execution may split a set with many copies
+    answer = written(smallest.join(answer, "sk", "left").select("sk", F.coalesce("lowest", "low").alias("lowest")), "answer")
     return rows.select("key", "n", "sk").join(answer, "sk", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("lowest", "key").alias("component_id"))
