@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,16 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """The documents with a number for each row, since doc_id may be null or repeat."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    """The documents with a name for each row, since doc_id may be null or repeat.
+
+    It is the row's place in its file, which stays the same however often and on however many executors a plan runs. Rows
+    that come from no file are numbered and written down first.
+    """
+    try:
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        return docs.withColumn("__row", place)
+    except AnalysisException:
+        return written(docs.withColumn("__row", F.monotonically_increasing_id().cast("string")), "numbered")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     Sizes count runs of characters other than space and \\t to \\r; a null text has size 0. A row without words is taken
     as often as its source's whole copies say, which adds nothing. Null sources form one source. Rows of equal keys
-    and lengths are told apart by nothing, so any of them may be taken; the number taken is the same in each run. An
+    and lengths are told apart by the columns in carry, or by nothing: then any of them may be taken, always as many. An
     empty table gives none. carry names further columns to keep, short ones, as they are shuffled; they must not be called
     size, source_size, target, taken or copies. Sources are few enough that a list of their sizes fits the driver (MOST_SOURCES).
     """
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     on = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.part") == F.col(f"{b}.part"))
     joined = rows.alias("r").join(quota.alias("q"), on("r", "q"), "left")
     picked = joined.select("r.*", F.coalesce("q.quota", F.lit(0)).alias("quota"), F.coalesce("q.n", F.lit(0)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", *(f"c{i}" for i in range(len(carry)))))
     full = picked.where("quota = 0 or quota = n").withColumn("more", (F.col("quota") > 0).cast("int"))
     split = picked.where("quota > 0 and quota < n").withColumn("place", place).withColumn("more", (F.col("place") <= F.col("quota")).cast("int")).drop("place")
     done = full.unionByName(split).alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
