@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,7 +48,10 @@ OWN_HEADER = re.compile(r"^(?:article|post|entry|story|content|headline|h)[-_]+h
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*>", re.S)
+#: Open elements that a tree may have one in another.
+DEEPEST = 300
+
+TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -64,8 +68,12 @@ class Node:
 
 
 def parse(html: str) -> Node:
-    """The tree of any text taken as HTML; missing and stray end tags are repaired as browsers do in the common cases."""
+    """The tree of any text taken as HTML; missing and stray end tags are repaired as browsers do in the common cases.
+
+    Elements below DEEPEST open ones stand beside their contents, as browsers have it, so no tree outgrows the stack.
+    """
     root = Node("html", "")
+    flat: Counter[str] = Counter()
     stack = [root]
     at, n = 0, len(html)
     scan = TAG.search
@@ -84,6 +92,9 @@ def parse(html: str) -> Node:
         if m[1]:
             if tag == "p" and all(x.tag != "p" for x in stack):
                 continue
+            if flat[tag]:
+                flat[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -117,7 +128,10 @@ def parse(html: str) -> Node:
                 node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not (node.attrs.endswith("/") and tag not in BLOCK):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                flat[tag] += 1
     return root
 
 
@@ -168,7 +182,7 @@ def main_roots(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def signature(node: Node, out: list[tuple[Node, int]] | None, depth: int = 0) -> bytes:
+def signature(node: Node, out: list[tuple[Node, int]] | None) -> bytes:
     """The subtree's hash; every element with text is put in out with its hash."""
     h = hashlib.blake2b(node.tag.encode("utf-8", "surrogatepass"), digest_size=8)
     some = False
@@ -178,8 +192,8 @@ def signature(node: Node, out: list[tuple[Node, int]] | None, depth: int = 0) ->
             if words:
                 h.update(b"\x01" + words.encode("utf-8", "surrogatepass"))
                 some = True
-        elif depth < 200:
-            d = signature(c, out, depth + 1)
+        else:
+            d = signature(c, out)
             if d:
                 h.update(b"\x02" + d)
                 some = True
@@ -218,7 +232,7 @@ def blocks(node: Node, deleted: set[int], hashes: dict[int, int], in_article: bo
             line.append("\n")
         elif c.tag in ("hr",):
             close()
-        elif is_outside(c, in_article) or hashes.get(id(c)) in deleted or depth > 900:
+        elif is_outside(c, in_article) or hashes.get(id(c)) in deleted:
             if c.tag in BLOCK:
                 close()
         elif c.tag in CELLS:

@@ -70,7 +70,11 @@ def test_html_shapes():
     assert text('<div class="page with-sidebar"><article><div class="post-header"><h1>H</h1></div>b<div class="commentlist">c</div><div class="site-header">s</div></article></div>') == "H\n\nb"
     assert text('<div id="content"><p>kept</p></div><div class="right side-bar">s</div><div id="ad-slot-1">a</div><div class="cookiebar">c</div>') == "kept"
     assert text("<table><tr><td>a<td>b<tr><th>c</table>") == "a b\n\nc"
-    assert text("<article>" + "<div>" * 3000 + "deep") in ("", "deep")
+    assert text('<p>a<a href="/cut off') == "a" and text('<p title="x>y</p>b') == "y\n\nb"
+    assert text("<p>it's<b title='q>r'>s</b></") == "it'ss"
+    for deep in ("<div>", "<article>", "<b>", "<ul><li>"):
+        assert text(deep * 3000 + "deep") == "deep" and len(html.candidates(html.parse(deep * 3000 + "deep"))) <= 300
+    assert text("<div>" * 600 + "a" + "</div>" * 600 + "b") == "a\n\nb"
     assert text("<article hidden>x</article><article>y</article>") == "y" and text("<style>p{}</style><script>never closed") == ""
 
 
