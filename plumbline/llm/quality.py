@@ -152,10 +152,13 @@ def margins(s, word, shape, per_row, weights: np.ndarray, bias: float) -> np.nda
 
 def train(column: pa.Array, posterior: dict[int, float], seed: int = 4) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic scorer from the column's texts and the posteriors of their vote patterns."""
-    s, word, shape, per_row = described(column)
+    parts = []
+    for b in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text", 1 << 18):  # few bytes at a time: hashing needs many times their room
+        s, word, shape, per_row = described(b.column("text"))
+        parts.append((s, (word % U(WEIGHTS)).astype(np.int32), (shape % U(WEIGHTS)).astype(np.int32), per_row))
+    s, word, shape, per_row = (np.concatenate(x) for x in zip(*parts))
     label = np.array([posterior.get(int(p), 0.5) for p in pattern_of(votes(s))])
     bins, cut = bins_of(s), np.concatenate(([0], np.cumsum(per_row)))
-    word, shape = (word % U(WEIGHTS)).astype(np.int64), (shape % U(WEIGHTS)).astype(np.int64)
     weights, squares, bias, bias_square = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6), 0.0, 1e-6
     order = np.random.default_rng(seed)
     for _ in range(EPOCHS):
