@@ -13,6 +13,8 @@ from plumbline.llm.queries import BPE_RANKS
 
 #: A text is in no known language if it is und or its profile is this far from all.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Near duplicates share this percentage of the union of their shingles of so many words.
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 80
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the smallest doc_id."""
     numbered = rows_of(docs)
-    groups = written(jaccard.similar_groups(numbered, "__row", "text").select("__row", "component_id"), "groups")
+    groups = written(jaccard.similar_groups(numbered, "__row", "text", k=SHINGLE_WORDS, percent=LEAST_SIMILARITY).select("__row", "component_id"), "groups")
     first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
     stay = numbered.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(first.alias("__row"))
     return numbered.join(stay.select("__row"), "__row", "left_semi").select(docs.columns)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as cp
 from plumbline.llm.common import written
 from tests.conftest import SMALL
-from tests.llm.test_jaccard import brute
+from tests.llm.test_jaccard import WORD, brute
 
 
 def test_stages_keep_columns_and_take_effect(spark):
@@ -38,3 +38,26 @@ def test_run_equals_the_stages(spark, tmp_path):
     docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})).write.parquet(f"{folder}/documents.parquet")
     out = cp.run(spark, folder)
     assert out.where("n_tokens is null or doc_id is null").count() == 0 and out.count() > 30
+
+
+def brute_five(rows):
+    """The smallest key of each group that links of 5-word Jaccard 0.8 or more make."""
+    sets = {k: set(zip(*(WORD.findall(t.lower())[i:] for i in range(5)))) for k, t in rows}
+    low = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    return sorted(set(low.values()))
+
+
+def test_near_copies_share_four_fifths_of_five_word_shingles(spark):
+    rows = []
+    for group, edit in enumerate((8, 12, 14, 16, 17, 18, 24)):
+        words = [f"g{group}w{i}" for i in range(200)]
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join(words[:90] + [f"x{w}" for w in words[90 : 90 + edit]] + words[90 + edit :]))]
+    kept = cp.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    want = brute_five(rows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert want != sorted({c for _, _, c in brute(rows)}) and 7 not in want and 13 in want
