@@ -1,3 +1,5 @@
+import zlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -32,6 +34,14 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert by["byte_bpe"][0] == by["byte_bpe"][1]
 
 
+def test_language_learns_from_every_labelled_row(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:4]
+    rows = [(1000 + i, f"The plain words of story number {i} are read by many.", "en") for i in range(8)]
+    rows += [(i, "Οι απλές λέξεις αυτής της ιστορίας διαβάζονται από πολλούς.", "el") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in cp.language(spark, docs, SMALL).collect()) == sorted(r[0] for r in rows)
+
+
 def test_run_equals_the_stages(spark, tmp_path):
     folder = str(tmp_path)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 80")
