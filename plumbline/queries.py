@@ -499,3 +499,27 @@ def prediction_reports(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "events").where("event_id < 100")
     log = e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_utc"), F.lit("m").alias("model_name"), F.lit(False).alias("model_legacy"), F.lit("benign").alias("predicted_label"), F.lit(0.2).alias("probability_positive"))
     return reports(log).select("id", F.get_json_object("report", "$.prediction.label").alias("label"))
+
+
+@query("SELECT n_name AS model_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)")
+def missing_models_all(spark: SparkSession, d: str) -> DataFrame:
+    """missing_models over whole tables: a model is evaluated where any supplier names it."""
+    nations = load(spark, d, "nation")
+    seen = load(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("model_name"))
+    return compare.missing_models(nations.select(F.col("n_name").alias("model_name")), seen)
+
+
+@query("""WITH p AS (SELECT event_id AS id, event_type AS model, coalesce(user_id % 2 = 0, false) AS legacy, floor(value * 10) % 1000 / 1000 AS p FROM events),
+  l AS (SELECT *, CASE WHEN p >= 0.5e0 THEN 'malignant' ELSE 'benign' END AS label, CASE WHEN p >= 0.5e0 THEN p ELSE 1 - p END AS shown, CASE WHEN greatest(p, 1 - p) >= 0.9e0 THEN 'high' WHEN greatest(p, 1 - p) >= 0.7e0 THEN 'moderate' ELSE 'low' END AS band FROM p)
+SELECT id, model, CAST(legacy AS VARCHAR) AS legacy, label, round(shown, 4) AS probability, band, 'The model assigns ' || label || ' with a probability of ' || printf('%.1f', shown * 100) || '%.' AS statement,
+  CASE band WHEN 'high' THEN 'The probability is far from one half.' WHEN 'moderate' THEN 'The probability is at some distance from one half.' ELSE 'The probability is close to one half; treat the answer as undecided.' END AS note,
+  '["Research output, not a diagnosis.","' || CASE WHEN legacy THEN 'A legacy model: its accuracy was measured on a leaking split.' ELSE 'Valid only for images like those of the training set.' END || '"]' AS limitations FROM l""")
+def prediction_reports_all(spark: SparkSession, d: str) -> DataFrame:
+    """prediction_reports of every event, with all that a report says."""
+    from plumbline.plans.bundles import prediction_reports as reports
+
+    p = F.floor(F.col("value") * 10) % 1000 / 1000
+    legacy = F.coalesce(F.col("user_id") % 2 == 0, F.lit(False))
+    log = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_utc"), F.col("event_type").alias("model_name"), legacy.alias("model_legacy"), F.when(p >= 0.5, "malignant").otherwise("benign").alias("predicted_label"), p.alias("probability_positive"))
+    said = {"model": "model.name", "legacy": "model.legacy", "label": "prediction.label", "probability": "prediction.probability", "band": "prediction.band", "statement": "statement", "note": "note", "limitations": "limitations"}
+    return reports(log).select("id", *(F.get_json_object("report", f"$.{at}").cast("double" if c == "probability" else "string").alias(c) for c, at in said.items()))
