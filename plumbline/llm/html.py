@@ -1,7 +1,8 @@
 """Main text of web pages: site templates found by counting element subtrees per host, then the article's blocks.
 
-A subtree's hash covers its tags, texts and order. Subtrees that stand on many pages of a host are its template and are
-deleted, as is what tags, roles and class names declare to be no part of the article.
+A subtree's hash covers its tags, texts and order. Subtrees of whole pages are counted, menus and footers included; those
+that stand on several distinct pages of a host are its template and are deleted, and so is what tags, roles and class
+names declare to be no part of the article.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import use_workers, written
 from plumbline.llm.urls import host_of
 
-#: A subtree is part of a site's template if so many of the host's pages, and this share of them, hold it.
+#: A subtree is part of a site's template if so many distinct pages of the host, and this share of them, hold it.
 LEAST_PAGES, LEAST_SHARE = 5, 0.3
-#: Rows of the template table that may be broadcast; a larger one is joined by host.
+#: Rows of the template table that may be broadcast; from a larger one each page gets its own subtrees by a join.
 MOST_BROADCAST = 1 << 18
 
 #: Element names of HTML by what they mean here.
@@ -31,7 +32,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CELLS = frozenset(("td", "th"))
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr table tbody thead figcaption b i em strong a span code q cite small sub sup u s mark abbr time".split())
+#: Prose of an article, which is never template, and what stands within lines of text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody thead figcaption".split())
+INLINE = frozenset("b i em strong a span code q cite small sub sup u s mark abbr time".split())
 NO_TEXT = frozenset(
     "script style nav footer aside form button select input textarea noscript iframe svg math canvas template object embed audio video dialog menu head title search label fieldset map noframes noembed xmp".split()
 )
@@ -206,13 +209,39 @@ def signature(node: Node, out: list[tuple[Node, int]] | None) -> bytes:
 
 
 def candidates(root: Node) -> list[tuple[Node, int]]:
-    """Subtrees that may be template: in an article only those that are no prose; on a page without one, all."""
+    """Subtrees of the whole page that may be template, but for the article, what holds it, and its prose.
+
+    An element within a line of text is part of that line, and a table's cell without elements is a value: neither is
+    counted by itself.
+    """
     roots, sure = main_roots(root)
+    found: list[tuple[Node, int]] = []
+    signature(root, found)
+    hashes = {id(n): d for n, d in found}
+    mains = {id(r) for r in roots}
     out: list[tuple[Node, int]] = []
-    for r in roots:
-        own: list[tuple[Node, int]] = []
-        signature(r, own)
-        out += [(n, d) for n, d in own if n is not r and (not sure or n.tag not in PROSE)]
+
+    def walk(node: Node, article: bool, prose: bool) -> bool:
+        """Whether a main root is below; prose tells that the block around is an article's prose."""
+        holds = False
+        alone = not any(isinstance(c, str) and not c.isspace() for c in node.children)
+        for c in node.children:
+            if not isinstance(c, Node) or id(c) not in hashes:
+                continue
+            is_main = id(c) in mains
+            within = article or sure and is_main
+            inline = c.tag in INLINE
+            own_prose = prose if inline else within and c.tag in PROSE
+            below = walk(c, within, own_prose)
+            holds |= is_main or below
+            if is_main or below or own_prose or inline and not alone:
+                continue
+            if c.tag in CELLS and not any(isinstance(x, Node) and id(x) in hashes for x in c.children):
+                continue
+            out.append((c, hashes[id(c)]))
+        return holds
+
+    walk(root, False, False)
     return out
 
 
@@ -232,7 +261,7 @@ def blocks(node: Node, deleted: set[int], hashes: dict[int, int], in_article: bo
             line.append("\n")
         elif c.tag in ("hr",):
             close()
-        elif is_outside(c, in_article) or hashes.get(id(c)) in deleted:
+        elif hashes.get(id(c)) in deleted or is_outside(c, in_article):
             if c.tag in BLOCK:
                 close()
         elif c.tag in CELLS:
@@ -260,43 +289,71 @@ def main_text(html: str, template: set[int]) -> str:
     return "\n\n".join(done)
 
 
-def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash, pages): subtrees on so many pages of a host. A host has at most (elements of a page) / least_share."""
-    use_workers(pages.sparkSession)
+def sited(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, doc, html): doc is a hash that tells distinct pages apart."""
+    text = F.col(html).cast("string")
+    return pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(text).alias("doc"), text.alias("html"))
+
+
+def subtrees(rows: DataFrame) -> DataFrame:
+    """(host, doc, hash): the subtrees of each page that may be template."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, found = [], []
-            for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+            hosts, docs, found = [], [], []
+            for host, doc, text in zip(b.column("host").to_pylist(), b.column("doc").to_pylist(), b.column("html").to_pylist()):
                 own = {d for _, d in candidates(parse(text))} if text else set()
                 hosts += [host] * len(own)
+                docs += [doc] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["host", "doc", "hash"])
+
+    return rows.mapInArrow(hashes, "host string, doc long, hash long")
+
 
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("of"))
-    counts = rows.mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, hash, pages): subtrees on so many distinct pages of a host. A host has at most (elements of a page) / least_share."""
+    use_workers(pages.sparkSession)
+    rows = sited(pages, url, html)
+    sizes = rows.groupBy("host").agg(F.count_distinct("doc").alias("of"))
+    counts = subtrees(rows).groupBy("host", "hash").agg(F.count_distinct("doc").alias("pages")).where(F.col("pages") >= least_pages)
     return counts.join(sizes, "host").where(F.col("pages") >= least_share * F.col("of")).select("host", "hash", "pages")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """(key, url, text, n_chars) of every page: the main text without template and surroundings, "" if there is none.
 
-    A null page has no text. Pages without a host count as one site. Repeated rows are pages of their own. Columns other
-    than the three named are dropped. Nothing of the article is dropped or cut: prose in an article is never template,
-    however often it recurs.
+    A null page has no text. Pages without a host count as one site. Repeated rows are pages of their own, but count once
+    for templates. Columns other than the three named are dropped. Paragraphs, headings, list items and cells of an article
+    are never template, however often they recur; a whole list or table may be.
     """
-    use_workers(pages.sparkSession)
+    spark = pages.sparkSession
+    use_workers(spark)
     templates = written(site_templates(pages, url, html, least_pages, least_share), "templates")
-    lists = templates.groupBy("host").agg(F.collect_list("hash").alias("template"))
-    if templates.count() <= MOST_BROADCAST:
-        lists = F.broadcast(lists)
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host")).join(lists, "host", "left").select("key", "url", "html", "template")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
     kind, url_kind = rows.schema["key"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
+    n = templates.count()
+    if n <= MOST_BROADCAST:
+        found: dict[str, set[int]] = {}
+        for host, d in templates.select("host", "hash").toLocalIterator():
+            found.setdefault(host, set()).add(d)
+        known = spark.sparkContext.broadcast(found)
+        rows = rows.withColumn("template", F.lit(None).cast("array<bigint>"))
+    else:
+        known = None
+        rows = rows.withColumn("doc", F.xxhash64("html"))
+        own = subtrees(sited(pages, url, html)).join(templates, ["host", "hash"], "left_semi").groupBy("host", "doc").agg(F.collect_set("hash").alias("template"))
+        rows = rows.join(own, ["host", "doc"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none: set[int] = set()
         for b in batches:
-            texts = [main_text(x or "", set(t or ())) for x, t in zip(b.column("html").to_pylist(), b.column("template").to_pylist())]
+            if known is None:
+                lists = [set(t or ()) for t in b.column("template").to_pylist()]
+            else:
+                lists = [known.value.get(h, none) for h in b.column("host").to_pylist()]
+            texts = [main_text(x or "", t) for x, t in zip(b.column("html").to_pylist(), lists)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
+    rows = rows.select("key", "url", "html", "host", "template")
     return rows.mapInArrow(run, f"key {kind}, url {url_kind}, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
