@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import use_workers, written
 from plumbline.llm.urls import host_of
 
-#: A subtree is part of a site's template if so many distinct pages of the host, and this share of them, hold it.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
+#: A subtree is part of a site's template if so many distinct pages of the host, and this share of them, hold it. The
+#: share asks for more only on hosts of over 5,000 pages.
+LEAST_PAGES, LEAST_SHARE = 5, 0.001
 #: Rows of the template table that may be broadcast; from a larger one each page gets its own subtrees by a join.
 MOST_BROADCAST = 1 << 18
 

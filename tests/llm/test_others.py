@@ -100,6 +100,15 @@ def test_templates_are_counted_over_whole_pages(spark, monkeypatch):
         assert found == {i: f"Own {i} Note so.\n\nSalt\n\n{i}" for i in range(8)} | {8: "Story of Note.", 9: "Made by A"}
 
 
+def test_a_larger_host_does_not_lift_the_bar(spark):
+    page = "<div><div>{}</div><p>Story number {}.</p></div>"
+    rows = [(i, "http://a.net/", page.format("Avis du site" if i < 5 else f"Part {i}", i)) for i in range(100)]
+    rows += [(100 + i, "http://a.net/", page.format("Once", "one")) for i in range(9)]  # one page, repeated
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[3] == "Story number 3." and found[7] == "Part 7\n\nStory number 7."
+    assert all(found[100 + i] == "Once\n\nStory number one." for i in range(9))
+
+
 # mixing
 
 
