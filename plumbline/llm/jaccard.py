@@ -5,7 +5,7 @@ order that all documents agree on. The order here puts shingles that few documen
 stand at the end. What the prefixes share is accumulated over ranges of shingles; a pair whose count stays below the
 bound that both sizes imply goes. Surviving pairs and shared common shingles gather documents in clusters, and within
 each cluster blocks of the document by n-gram matrix are multiplied with full sets. Only links that hold exactly on
-the full sets are kept, as a forest.
+the full sets are kept: as a forest for components, and where asked for as link counts or one by one.
 """
 
 from __future__ import annotations
@@ -242,8 +242,8 @@ def filter_of(names: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets of a link with which of b: the overlap counts of a sparse product against the sizes' bound."""
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of a link with which of b: the overlap counts of a sparse product against the sizes' bound; and the counts."""
     na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     both = np.concatenate([*a, *b])
     row = np.repeat(np.arange(len(a) + len(b)), np.concatenate((na, nb)))
@@ -272,37 +272,79 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray
         ok = (x < len(a)) & (y >= 0)
         overlap += np.bincount(x[ok] * len(b) + y[ok], minlength=len(a) * len(b)).reshape(len(a), len(b))
     shared = overlap.astype(np.int64)
-    return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared)
+    return 100 * shared >= percent * (na[:, None] + nb[None, :] - shared), shared
 
 
-def block_links(percent: int):
-    """From rows sorted by block: a forest of the exact links between the block's two chunks."""
+#: What block_links gives: edges of a forest; the same with rows (u, null, n) of link counts; or the links themselves.
+FOREST, COUNTED, PAIRS = "u long, v long", "u long, v long, n long", "u long, v long, nu long, nv long, shared long"
+#: Links that go out of a task at once.
+MOST_PAIRS = 1 << 18
 
-    def links(chunks: tuple[int, int], rows: dict[int, tuple[int, bytes]]):
-        lo = [(s, np.frombuffer(x, np.uint64)) for s, (c, x) in rows.items() if c == chunks[0]]
-        hi = lo if chunks[0] == chunks[1] else [(s, np.frombuffer(x, np.uint64)) for s, (c, x) in rows.items() if c == chunks[1]]
+
+def block_links(percent: int, what: str = FOREST):
+    """From rows sorted by block: the exact links between the block's two chunks as a forest, with counts, or one by one."""
+    names = [c.split()[0] for c in what.split(", ")]
+
+    def links(chunks: tuple[int, int], rows: dict[int, tuple[int, bytes, int]]) -> list[np.ndarray | None] | None:
+        lo = [(s, np.frombuffer(x, np.uint64), w) for s, (c, x, w) in rows.items() if c == chunks[0]]
+        hi = lo if chunks[0] == chunks[1] else [(s, np.frombuffer(x, np.uint64), w) for s, (c, x, w) in rows.items() if c == chunks[1]]
         if not lo or not hi or (lo is hi and len(lo) < 2):
             return None
-        i, j = np.nonzero(linked([x for _, x in lo], [x for _, x in hi], percent))
-        u, v = np.array([s for s, _ in lo])[i], np.array([s for s, _ in hi])[j]
-        return forest(u[u != v], v[u != v])
+        found, shared = linked([x for _, x, _ in lo], [x for _, x, _ in hi], percent)
+        i, j = np.nonzero(found)
+        lows, highs = np.array([s for s, _, _ in lo]), np.array([s for s, _, _ in hi])
+        other = lows[i] != highs[j]
+        i, j = i[other], j[other]
+        u, v = lows[i], highs[j]
+        if what == PAIRS:
+            once = u < v if lo is hi else np.ones(len(u), bool)
+            i, j, u, v = i[once], j[once], u[once], v[once]
+            swap = u > v
+            nu, nv = np.array([len(x) for _, x, _ in lo])[i], np.array([len(x) for _, x, _ in hi])[j]
+            return [np.where(swap, v, u), np.where(swap, u, v), np.where(swap, nv, nu), np.where(swap, nu, nv), shared[i, j]]
+        forests = [*forest(u, v)]
+        if what == FOREST:
+            return forests
+        low_copies, high_copies = np.array([w for _, _, w in lo], np.int64), np.array([w for _, _, w in hi], np.int64)
+        own = np.zeros(len(lo), np.int64)
+        np.add.at(own, i, high_copies[j])
+        names_of, counts = [lows], [own]
+        if lo is not hi:
+            theirs = np.zeros(len(hi), np.int64)
+            np.add.at(theirs, j, low_copies[i])
+            names_of.append(highs), counts.append(theirs)
+        counted = np.concatenate(counts)
+        some = counted > 0
+        return [*forests, np.concatenate(names_of)[some], counted[some]]
+
+    def batches_of(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(got[0]), MOST_PAIRS):
+            part = [pa.array(x[at : at + MOST_PAIRS], pa.int64()) for x in got[: 2 if what == COUNTED else len(names)]]
+            if what == COUNTED:
+                part.append(pa.nulls(len(part[0]), pa.int64()))
+            yield pa.RecordBatch.from_arrays(part, names=names)
+        if what == COUNTED and len(got[2]):
+            yield pa.RecordBatch.from_arrays([pa.array(got[2], pa.int64()), pa.nulls(len(got[2]), pa.int64()), pa.array(got[3], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, {}
-        us, vs = [], []
+        held: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "chunk", "sk", "tokens")]
-            for cluster, lo, hi, chunk, sk, tokens in zip(*cols):
+            cols = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "chunk", "sk", "tokens", "copies")]
+            for cluster, lo, hi, chunk, sk, tokens, copies in zip(*cols):
                 if (cluster, lo, hi) != at:
                     if at and (got := links(at[1:], rows)) is not None:
-                        us.append(got[0]), vs.append(got[1])
+                        held.append(got)
+                        if sum(len(x[0]) for x in held) >= MOST_PAIRS:
+                            yield from batches_of([np.concatenate(x) for x in zip(*held)])
+                            held = []
                     at, rows = (cluster, lo, hi), {}
-                rows[sk] = (chunk, tokens)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
-                us, vs = [], []
+                rows[sk] = (chunk, tokens, copies)
+            if held:
+                yield from batches_of([np.concatenate(x) for x in zip(*held)])
+                held = []
         if at and (got := links(at[1:], rows)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], names=["u", "v"])
+            yield from batches_of(got)
 
     return run
 
@@ -330,22 +372,15 @@ def full_sets(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
     return docs.select(text).mapInArrow(pick, "sk long, n long, tokens binary")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the size of its shingle set, and the smallest key reachable by links.
+def compared(base: DataFrame, k: int, percent: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """From (key, text): each row's key, set size n and set name sk; and blocks of full sets for block_links.
 
-    Words are runs of characters other than space and \\t to \\r, with A-Z in lower case. A text with fewer than k words
-    is one shingle; a null text or one without words has the empty set and links with nothing. Two rows link when
-    100 * overlap >= percent * union, so rows of equal sets link. Repeated rows each give a row. Where keys repeat, the
-    smallest key of the component counts; null keys are never the smallest unless all are null. The key may be of
-    any type that has an order; other columns are ignored. An empty table gives none.
+    A block's copies is the number of rows of the set if weighted, else 1.
     """
-    spark = docs.sparkSession
-    use_workers(spark)
-    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    spark = base.sparkSession
     ranges = range_count(base)
     common = spark.sparkContext.broadcast(common_shingles(base, "text", k, ranges))
     rows = written(described(base, "key", "text", k, percent, common), "sets")
-    smallest = rows.where("sk is not null").groupBy("sk").agg(F.min("key").alias("low"))
     light = candidate_pairs(rows, percent, ranges)
 
     def tokens_of(batches):
@@ -361,16 +396,60 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     heavy = rows.select("sk", "often").where("often is not null").mapInArrow(tokens_of, "u long, v long")
     clusters = connected(light.unionByName(heavy)).where(F.pmod("node", F.lit(2)) == 0).select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
-    placed = written(clusters.join(sizes, "cluster").select("sk", "cluster", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks")), "clusters")
+    placed = clusters.join(sizes, "cluster").select("sk", "cluster", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks"))
+    if weighted:
+        placed = placed.join(rows.groupBy("sk").agg(F.count("*").alias("copies")), "sk")
+    else:
+        placed = placed.withColumn("copies", F.lit(1).cast("long"))
+    placed = written(placed, "clusters")
     wanted = spark.sparkContext.broadcast(filter_of(placed, placed.count()))
     chunk = F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int")
     dealt = full_sets(base, "text", k, wanted).join(placed, "sk").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sk", "tokens")
-    blocks = blocks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    groups = connected(blocks.mapInArrow(block_links(percent), "u long, v long"))
-    lows = smallest.join(groups.withColumnRenamed("node", "sk"), "sk")
+    blocks = dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sk", "tokens", "copies")
+    return rows, blocks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, links: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the size of its shingle set, and the smallest key reachable by links.
+
+    Words are runs of characters other than space and \\t to \\r, with A-Z in lower case. A text with fewer than k words
+    is one shingle; a null text or one without words has the empty set and links with nothing. Two rows link when
+    100 * overlap >= percent * union, so rows of equal sets link. Repeated rows each give a row. Where keys repeat, the
+    smallest key of the component counts; null keys are never the smallest unless all are null. The key may be of
+    any type that has an order; other columns are ignored. An empty table gives none. With links set there is also
+    n_links: how many other rows the row links with.
+    """
+    use_workers(docs.sparkSession)
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows, blocks = compared(base, k, percent, links)
+    smallest = rows.where("sk is not null").groupBy("sk").agg(F.min("key").alias("low"), *([F.count("*").alias("copies")] if links else []))
+    if links:
+        found = written(blocks.mapInArrow(block_links(percent, COUNTED), COUNTED), "links")
+        edges = found.where("v is not null").select("u", "v")
+    else:
+        edges = blocks.mapInArrow(block_links(percent), FOREST)
+    groups = connected(edges)
+    lows = smallest.select("sk", "low").join(groups.withColumnRenamed("node", "sk"), "sk")
     lowest = lows.groupBy("root").agg(F.min("low").alias("lowest"))
     answer = lows.join(lowest, "root").select("sk", "lowest")
+    answer = smallest.join(answer, "sk", "left").withColumn("lowest", F.coalesce("lowest", "low"))
+    if links:
+        counts = found.where("n is not null").groupBy(F.col("u").alias("sk")).agg(F.sum("n").alias("n_links"))
+        answer = answer.join(counts, "sk", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    more = ["n_links"] if links else []
     # written, so that the last join reads plain rows on both sides and adaptive execution may split a set with many copies
-    answer = written(smallest.join(answer, "sk", "left").select("sk", F.coalesce("lowest", "low").alias("lowest")), "answer")
-    return rows.select("key", "n", "sk").join(answer, "sk", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("lowest", "key").alias("component_id"))
+    answer = written(answer.select("sk", "lowest", *more), "answer")
+    return rows.select("key", "n", "sk").join(answer, "sk", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("lowest", "key").alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in more))
+
+
+def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """The links themselves: (u, v, nu, nv, shared, similarity) between distinct sets u < v, and the members (key, sk).
+
+    u and v are names of sets, as sk is; nu and nv their sizes. Every row is a member, with a null sk if its set is empty;
+    rows of one set link with each other and stand in no pair. Words, shingles and links are those of similar_groups.
+    """
+    use_workers(docs.sparkSession)
+    base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows, blocks = compared(base, k, percent, False)
+    pairs = blocks.mapInArrow(block_links(percent, PAIRS), PAIRS)
+    return pairs.withColumn("similarity", F.col("shared") / (F.col("nu") + F.col("nv") - F.col("shared"))), rows.select(F.col("key").alias(key), "sk")

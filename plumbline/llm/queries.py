@@ -47,6 +47,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", k=4, percent=85)
 
 
+def op5_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 with each document's number of links."""
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), "doc_id", "text", k=4, percent=85, links=True)
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -112,6 +117,8 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS compo
 FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP5_LINKS_SQL = OP5_SQL.replace("SELECT r.doc_id, coalesce", "SELECT r.doc_id, (SELECT count(*) FROM e WHERE e.u = r.doc_id) AS n_links, coalesce")
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
@@ -121,5 +128,5 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_classifier": op4_quality_classifier, "op6_html_extraction": op6_html_extraction, "op7_edit_aware_counts": op7_edit_aware_counts, "op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op9_exact_top_k": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_classifier": op4_quality_classifier, "op6_html_extraction": op6_html_extraction, "op7_edit_aware_counts": op7_edit_aware_counts, "op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op5_ngram_jaccard_links": op5_ngram_jaccard_links, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op5_ngram_jaccard_links": OP5_LINKS_SQL, "op9_exact_top_k": OP9_SQL}

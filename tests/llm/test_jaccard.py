@@ -84,3 +84,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (2, 2)]
     got = dict(connected(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect())
     assert len(got) == 303 and {got[i] for i in range(301)} == {0} and got[1001] == 1000
+
+
+def test_links_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    monkeypatch.setattr(jaccard, "MOST_PAIRS", 16)
+    rows = corpus(5, 6, 40)
+    rows += [(len(rows) + i, t) for i, t in enumerate([rows[0][1]] * 3 + [None, "", "one"])]
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    near = lambda a, b: a and 100 * len(a & b) >= 85 * len(a | b)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.similar_groups(df, links=True).collect())
+    assert [r[:3] for r in got] == brute(rows)
+    assert [r[3] for r in got] == [sum(bool(near(a, b)) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    pairs, members = jaccard.similar_pairs(df)
+    sk = {r["doc_id"]: r["sk"] for r in members.collect()}
+    name = {s: sk[i] for i, s in enumerate(sets)}
+    distinct = sorted(set(sets), key=len)
+    want = {(*sorted((name[a], name[b])), len(a & b)) for i, a in enumerate(distinct) for b in distinct[:i] if near(a, b)}
+    found = pairs.collect()
+    assert len(found) == len(want) > 50 and {(r["u"], r["v"], r["shared"]) for r in found} == want
+    assert len(sk) == len(rows) and all(r["similarity"] >= 0.85 and r["u"] < r["v"] for r in found)
