@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,8 @@ from plumbline.operators.evaluation import RATES, confusion, sound
 
 #: Cases of a model up to which the exact form may gather them in one task.
 MOST_EXACT = 200_000
+#: Score ranges that draws are dealt to; cells times replicates that one task draws at once.
+RANGES, DRAWN = 256, 1 << 21
 
 
 def rates_of(tn: np.ndarray, fp: np.ndarray, fn: np.ndarray, tp: np.ndarray) -> dict[str, np.ndarray]:
@@ -47,6 +49,16 @@ def step_ap(y: np.ndarray, p: np.ndarray) -> float:
     return float((np.diff(tp, prepend=0) * tp / (last + 1)).sum() / pos)
 
 
+def areas_of(pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
+    """rank_auc and step_ap from counts per distinct score, lowest score first; both classes must be there."""
+    some = (pos > 0) | (neg > 0)
+    pos, neg = pos[some], neg[some]
+    p, n = int(pos.sum()), int(neg.sum())
+    won = (pos * (np.cumsum(neg) - neg / 2)).sum()
+    tp, fp = np.cumsum(pos[::-1]), np.cumsum(neg[::-1])
+    return float(won / (p * n)), float((pos[::-1] * tp / (tp + fp)).sum() / p)
+
+
 def interval(values: np.ndarray, confidence: float) -> tuple[float, float, int]:
     values = values[~np.isnan(values)]
     if not len(values):
@@ -66,20 +78,22 @@ def exact_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("case_id", kind="stable")
-        y, p = pdf["y_true"].to_numpy(), pdf["y_prob"].to_numpy(float)
+        y, p = pdf["y_true"].to_numpy() == 1, pdf["y_prob"].to_numpy(float)
+        values, code = np.unique(p, return_inverse=True)
+        code = 2 * code + y
+        hit = values >= threshold
         draw = np.random.default_rng(seed)
         found: dict[str, list[float]] = {m: [] for m in metrics}
-        areas: dict[str, Callable] = {"roc_auc": rank_auc, "pr_auc": step_ap}
         for _ in range(iterations):
-            at = draw.integers(0, len(y), len(y))
-            yy, pp = y[at], p[at]
-            if yy.min() == yy.max():
+            cells = np.bincount(code[draw.integers(0, len(y), len(y))], minlength=2 * len(values))
+            neg, pos = cells[::2], cells[1::2]
+            if not neg.any() or not pos.any():
                 continue
-            hit = pp >= threshold
-            one = yy == 1
-            r = rates_of(*(np.array(x.sum()) for x in (~one & ~hit, ~one & hit, one & ~hit, one & hit)))
+            r = rates_of(*(np.array(x.sum()) for x in (neg[~hit], neg[hit], pos[~hit], pos[hit])))
+            if "roc_auc" in metrics or "pr_auc" in metrics:
+                r["roc_auc"], r["pr_auc"] = areas_of(pos, neg)
             for m in metrics:
-                found[m].append(areas[m](yy, pp) if m in areas else float(r[m]))
+                found[m].append(float(r[m]))
         rows = [(pdf["model_name"].iloc[0], m, *interval(np.array(v, float), confidence)) for m, v in found.items()]
         return pd.DataFrame(rows, columns=["model_name", "metric", "lower", "upper", "n"])
 
@@ -87,10 +101,11 @@ def exact_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int =
 
 
 def scaled_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """The same for any number of cases, of the rates only.
+    """The same for any number of cases.
 
     Drawing n cases with replacement changes a confusion table exactly as a multinomial draw of n over its four cells
-    does, so replicates need the counts alone: one aggregation, whatever the number of cases.
+    does, so replicates of the rates need the counts alone: one aggregation, whatever the number of cases. Areas are drawn
+    in the same way over the counts per distinct score.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,4 +116,63 @@ def scaled_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int
         r = rates_of(*draws.T.astype(float))
         return pd.DataFrame([(row["model_name"], m, *interval(v, confidence)) for m, v in r.items()], columns=["model_name", "metric", "lower", "upper", "n"])
 
-    return confusion(scored, threshold).groupBy("model_name").applyInPandas(run, "model_name string, metric string, lower double, upper double, n long")
+    rates = confusion(scored, threshold).groupBy("model_name").applyInPandas(run, "model_name string, metric string, lower double, upper double, n long")
+    return rates.unionByName(area_intervals(scored, iterations, confidence, seed))
+
+
+def area_intervals(scored: DataFrame, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(model_name, metric, lower, upper, n) of roc_auc and pr_auc for any number of cases.
+
+    A model's draw of n cases is dealt to score ranges by one multinomial draw a replicate, and then within each range to
+    its scores, which together is one multinomial draw over all scores. Ranges learn what stands above them from the first
+    draw, so no task holds more than one range's scores.
+    """
+    part = F.least(F.greatest(F.floor(F.col("y_prob") * RANGES), F.lit(0)), F.lit(RANGES)).cast("int")
+    counts = sound(scored).groupBy("model_name", "y_prob").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")).withColumn("part", part)
+    parts = counts.groupBy("model_name", "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+    def source(name: str | None, part: int) -> np.random.Generator:
+        return np.random.default_rng([seed, part, zlib.crc32((name or "").encode())])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part", ascending=False)
+        cells = np.concatenate((pdf["pos"].to_numpy(), pdf["neg"].to_numpy()))
+        drawn = source(pdf["model_name"].iloc[0], RANGES + 1).multinomial(int(cells.sum()), cells / cells.sum(), iterations)
+        pos, neg = drawn[:, : len(pdf)], drawn[:, len(pdf) :]
+        columns = {"pos": pos, "neg": neg, "above_pos": np.cumsum(pos, axis=1) - pos, "above_neg": np.cumsum(neg, axis=1) - neg}
+        return pd.DataFrame({"model_name": pdf["model_name"], "part": pdf["part"]} | {c: [x.astype("<i8").tobytes() for x in v.T] for c, v in columns.items()})
+
+    def within(cells: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        cells, row = cells.sort_values("y_prob", ascending=False), dealt.iloc[0]
+        draw = source(row["model_name"], int(row["part"]))
+        pos, neg, above_pos, above_neg = (np.frombuffer(row[c], "<i8") for c in ("pos", "neg", "above_pos", "above_neg"))
+        shares = [x / max(1, x.sum()) for x in (cells["pos"].to_numpy(), cells["neg"].to_numpy())]
+        lost, step = np.zeros(iterations), np.zeros(iterations)
+        size = max(1, DRAWN // len(cells))
+        for i in range(0, iterations, size):
+            at = slice(i, i + size)
+            x, y = (draw.multinomial(n[at], share) if n.any() else np.zeros((len(n[at]), len(cells)), np.int64) for n, share in zip((pos, neg), shares))
+            tp, fp = above_pos[at, None] + np.cumsum(x, axis=1), above_neg[at, None] + np.cumsum(y, axis=1)
+            lost[at] = (x * (fp - y / 2)).sum(axis=1)
+            step[at] = (x * (tp / np.maximum(1, tp + fp))).sum(axis=1)
+        return pd.DataFrame({"model_name": [row["model_name"]], "pos": [row["pos"]], "neg": [row["neg"]], "lost": [lost.tobytes()], "step": [step.tobytes()]})
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, n, lost, step = (sum(np.frombuffer(x, kind).astype(float) for x in pdf[c]) for c, kind in (("pos", "<i8"), ("neg", "<i8"), ("lost", "<f8"), ("step", "<f8")))
+        both = (p > 0) & (n > 0)
+        p, n, lost, step = p[both], n[both], lost[both], step[both]
+        rows = [(pdf["model_name"].iloc[0], m, *interval(v, confidence)) for m, v in (("roc_auc", 1 - lost / (p * n)), ("pr_auc", step / p))]
+        return pd.DataFrame(rows, columns=["model_name", "metric", "lower", "upper", "n"])
+
+    drawn = "pos binary, neg binary"
+    dealt = parts.groupBy("model_name").applyInPandas(deal, f"model_name string, part int, {drawn}, above_pos binary, above_neg binary")
+    done = counts.groupBy("model_name", "part").cogroup(dealt.groupBy("model_name", "part")).applyInPandas(within, f"model_name string, {drawn}, lost binary, step binary")
+    return done.groupBy("model_name").applyInPandas(together, "model_name string, metric string, lower double, upper double, n long")
+
+
+def intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """exact_intervals of models of at most MOST_EXACT cases, scaled_intervals of all others."""
+    small = sound(scored).groupBy("model_name").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_EXACT).select(F.col("model_name").alias("__small"))
+    few = F.col("model_name").eqNullSafe(F.col("__small"))
+    exact = exact_intervals(scored.join(small, few, "left_semi"), threshold, iterations, confidence, seed)
+    return exact.unionByName(scaled_intervals(scored.join(small, few, "left_anti"), threshold, iterations, confidence, seed))

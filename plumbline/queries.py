@@ -423,7 +423,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci_exact(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.exact_intervals(orders(spark, d), iterations=50)
+    return bootstrap.intervals(orders(spark, d))
 
 
 @query(f"""{MODELS_SQL}, l AS (SELECT model_name, 'sensitivity' AS metric, sensitivity AS value, lower, upper FROM m UNION ALL SELECT model_name, 'upper', upper, NULL, NULL FROM m)

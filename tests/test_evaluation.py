@@ -98,3 +98,21 @@ def test_bundle(spark):
     got = bundles.evaluate(from_counts(spark, 8, 6, 4, 2), iterations=50)
     assert {k: v.count() for k, v in got.items()}["sweep"] == 101
     assert got["roc"].orderBy("fpr", "tpr").first()["threshold"] is None
+
+
+def test_intervals_of_areas_at_any_size(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    y = draw.integers(0, 2, 400)
+    p = np.round(np.clip(draw.normal(0.4 + 0.2 * y, 0.2), -0.1, 1.1), 2)
+    df = cases(spark, y.tolist(), p).unionByName(cases(spark, y[:90].tolist(), p[:90], "few"))
+    exact = {(r["model_name"], r["metric"]): r for r in bootstrap.exact_intervals(df, iterations=2000).collect()}
+    monkeypatch.setattr(bootstrap, "MOST_EXACT", 100)
+    got = {(r["model_name"], r["metric"]): r for r in bundles.evaluate(df)["intervals"].collect()}
+    assert set(got) == set(exact) and {r["n"] for r in got.values()} == {2000}
+    for k, r in got.items():
+        assert r["lower"] == pytest.approx(exact[k]["lower"], abs=0 if k[0] == "few" else 0.02) and r["upper"] == pytest.approx(exact[k]["upper"], abs=0 if k[0] == "few" else 0.02)
+    sample = draw.integers(0, 400, 400)
+    values = np.unique(p)
+    pos, neg = (np.array([((p[sample] == v) & (y[sample] == c)).sum() for v in values]) for c in (1, 0))
+    assert bootstrap.areas_of(pos, neg) == pytest.approx((bootstrap.rank_auc(y[sample], p[sample]), bootstrap.step_ap(y[sample], p[sample])))
+    assert bootstrap.scaled_intervals(cases(spark, [0, 0], [0.1, 0.2]), iterations=5).where("n > 0").count() == 0
