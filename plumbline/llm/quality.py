@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from plumbline.llm.common import laid_out, slices, use_workers
-from plumbline.llm.words import FOLDED, SPACE, mix, places, stream, word_spans
+from plumbline.llm.common import laid_out, offsets, slices, use_workers, written
+from plumbline.llm.words import FOLDED, SPACE, mix, pieces, places, stream, word_spans, word_sums
 
-#: Documents that the scorer is trained on at most, its weights, and passes over the sample.
-SAMPLE, WEIGHTS, EPOCHS = 6000, 1 << 16, 4
+#: Distinct texts that the scorer is trained on at most, their bytes, its weights, and passes over the sample.
+SAMPLE, SAMPLE_BYTES, WEIGHTS, EPOCHS = 6000, 32 << 20, 1 << 16, 4
 #: Documents whose score is at least this are kept.
 LEAST_SCORE = 0.5
 U = np.uint64
@@ -40,47 +40,65 @@ STATISTICS = ("words", "letters", "upper", "symbols", "again", "variety", "bangs
 
 
 def described(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics of each row [rows, STATISTICS], word hashes, shape hashes, and words per row."""
-    raw, starts, lengths, per_row = word_spans(column)
-    rows, n = len(per_row), len(starts)
-    s = np.zeros((rows, len(STATISTICS)))
-    s[:, 0] = per_row
-    if not n:
-        return s, np.zeros(0, U), np.zeros(0, U), per_row
+    """Statistics of each row [rows, STATISTICS], hashed words and word shapes (places of their weights), words per row.
+
+    A long text is taken piece by piece; what crosses pieces (repeats, distinct words) is carried over.
+    """
+    rows = len(column)
+    sums, per_row = np.zeros((rows, 8)), np.zeros(rows, np.int64)
+    words, shapes = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
+    variety = np.zeros(rows)
+    held: list[np.ndarray] = []  # distinct words of a row that has several pieces
+    before = -1, None  # the last row and word of the piece before
+    for first, n, part in pieces(column):
+        raw, starts, lengths, counts = word_spans(part)
+        if len(starts):
+            row = np.repeat(np.arange(n), counts)
+            word, shape, own = piece_sums(raw, starts, lengths, row, n)
+            same = np.zeros(len(word), bool)
+            same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+            same[0] = before[0] == first + row[0] and before[1] == word[0]
+            own[:, 4] = np.bincount(row, same, n)
+            sums[first : first + n] += own
+            per_row[first : first + n] += counts
+            words.append((word % U(WEIGHTS)).astype(np.uint16)), shapes.append((shape % U(WEIGHTS)).astype(np.uint16))
+            if held and before[0] != first:
+                variety[before[0]] = len(np.unique(np.concatenate(held)))
+                held = []
+            order = np.lexsort((word, row))
+            fresh = np.ones(len(word), bool)
+            fresh[1:] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
+            if n == 1:
+                held.append(word[order][fresh])
+            else:
+                variety[first : first + n] = np.bincount(row[order][fresh], minlength=n)
+            before = first + int(row[-1]), word[-1]
+    if held:
+        variety[before[0]] = len(np.unique(np.concatenate(held)))
+    size, total = np.maximum(per_row, 1), np.maximum(sums[:, 0], 1)
+    s = np.stack((per_row, sums[:, 1] / total, sums[:, 2] / np.maximum(sums[:, 1], 1), sums[:, 3] / total, sums[:, 4] / size, variety / np.minimum(size, 400), sums[:, 5] / size, sums[:, 6] / size, sums[:, 7] / size, total / size * (per_row > 0)), axis=1)
+    return s, np.concatenate(words), np.concatenate(shapes), per_row
+
+
+def piece_sums(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of word shapes; per row the bytes, letters, capitals, symbols, (0), repeated stops, bars, ends."""
     begin = np.concatenate(([0], np.cumsum(lengths)))
     at = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths)
     picked = raw[np.repeat(starts, lengths) + at]
-    word = mix(np.add.reduceat(FOLDED[picked] * places(int(lengths.max()))[at], begin[:-1]) + lengths.astype(U))
+    word = word_sums(raw, starts, lengths, FOLDED)
     kind = CLASS[picked]
     new = at == 0
     new[1:] |= kind[1:] != kind[:-1]
     index = np.flatnonzero(new)
-    which = np.repeat(np.arange(n), lengths)[index]
-    first = np.searchsorted(which, np.arange(n))
-    inside = np.arange(len(index)) - first[which]
+    first = np.flatnonzero(at[index] == 0)
+    inside = np.arange(len(index)) - np.repeat(first, np.diff(np.append(first, len(index))))
     shape = mix(np.add.reduceat(stream(256, 21)[kind[index]] * places(int(inside.max()) + 1)[inside], first))
-    row = np.repeat(np.arange(rows), per_row)
-    size = np.maximum(per_row, 1)
     add = lambda x: np.bincount(row, x, rows)
     of_bytes = lambda mask: add(np.add.reduceat(mask[picked].astype(np.int64), begin[:-1]))
-    total = np.maximum(add(lengths), 1)
-    s[:, 1] = of_bytes(LETTER) / total
-    s[:, 2] = of_bytes(UPPER) / np.maximum(of_bytes(LETTER), 1)
-    s[:, 3] = of_bytes(SYMBOL) / total
-    same = np.zeros(n, bool)
-    same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-    s[:, 4] = add(same) / size
-    order = np.lexsort((word, row))
-    fresh = np.ones(n, bool)
-    fresh[1:] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
-    s[:, 5] = np.bincount(row[order][fresh], minlength=rows) / np.minimum(size, 400)
     tail = raw[starts + lengths - 1]
     twice = (lengths > 1) & STOP[tail] & (raw[starts + np.maximum(lengths - 2, 0)] == tail)
-    s[:, 6] = add(twice) / size
-    s[:, 7] = add((lengths == 1) & np.isin(raw[starts], [ord(c) for c in "|>•*#=~"])) / size
-    s[:, 8] = add(STOP[tail] & ~twice) / size
-    s[:, 9] = total / size
-    return s, word, shape, per_row
+    bars = (lengths == 1) & np.isin(raw[starts], [ord(c) for c in "|>•*#=~" if ord(c) < 256])
+    return word, shape, np.stack((add(lengths), of_bytes(LETTER), of_bytes(UPPER), of_bytes(SYMBOL), np.zeros(rows), add(twice), add(bars), add(STOP[tail] & ~twice)), axis=1)
 
 
 def votes(s: np.ndarray) -> np.ndarray:
@@ -145,18 +163,17 @@ def bins_of(s: np.ndarray) -> np.ndarray:
 
 def margins(s, word, shape, per_row, weights: np.ndarray, bias: float) -> np.ndarray:
     row = np.repeat(np.arange(len(per_row)), per_row)
-    w = weights[(word % U(WEIGHTS)).astype(np.int64)] + weights[(shape % U(WEIGHTS)).astype(np.int64)]
+    w = weights[word] + weights[shape]
     mean = np.bincount(row, w, len(per_row)) / np.maximum(per_row, 1)
     return bias + 4 * mean + weights[bins_of(s)].sum(axis=1)
 
 
-def train(column: pa.Array, posterior: dict[int, float], seed: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic scorer from the column's texts and the posteriors of their vote patterns."""
-    parts = []
-    for b in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text", 1 << 18):  # few bytes at a time: hashing needs many times their room
-        s, word, shape, per_row = described(b.column("text"))
-        parts.append((s, (word % U(WEIGHTS)).astype(np.int32), (shape % U(WEIGHTS)).astype(np.int32), per_row))
-    s, word, shape, per_row = (np.concatenate(x) for x in zip(*parts))
+def train(texts: Iterator[pa.Array], posterior: dict[int, float], seed: int = 4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic scorer from texts and the posteriors of their vote patterns; zeros from no text."""
+    got = [described(x) for x in texts]
+    if not got:
+        return np.zeros(WEIGHTS, np.float32), 0.0
+    s, word, shape, per_row = (np.concatenate(x) for x in zip(*got))
     label = np.array([posterior.get(int(p), 0.5) for p in pattern_of(votes(s))])
     bins, cut = bins_of(s), np.concatenate(([0], np.cumsum(per_row)))
     weights, squares, bias, bias_square = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-6), 0.0, 1e-6
@@ -176,36 +193,84 @@ def train(column: pa.Array, posterior: dict[int, float], seed: int = 4) -> tuple
     return weights.astype(np.float32), float(bias)
 
 
-def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, seed: int = 4) -> dict:
-    """The label model over all rows and the scorer trained on at most sample of them (by a seeded hash of the text)."""
-    use_workers(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("text"))
+def vote_table(rows: DataFrame, sample: int) -> DataFrame:
+    """From (place, text): (pattern, n) of the vote patterns, and (place, bytes) of each task's texts of least place.
 
-    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task gives at most sample places, one for each distinct text, so the least of all tasks' are the least of all texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3**LABELLERS, np.int64)
+        least, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for whole in batches:
-            total = np.zeros(3**LABELLERS, np.int64)
             for b in slices(whole, "text"):
-                total += np.bincount(pattern_of(votes(described(b.column("text"))[0])), minlength=3**LABELLERS)
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
+                column = b.column("text")
+                s = described(column)[0]
+                total += np.bincount(pattern_of(votes(s)), minlength=3**LABELLERS)
+                some = s[:, 0] > 0
+                least, first = np.unique(np.concatenate((least, b.column("place").to_numpy()[some])), return_index=True)
+                size = np.concatenate((size, np.diff(offsets(column))[some]))[first]
+                least, size = least[:sample], size[:sample]
+        at = np.flatnonzero(total)
+        for a, b, names in ((at, total[at], ("pattern", "n")), (least, size, ("place", "bytes"))):
+            for i in range(0, len(a), 1 << 16):
+                own = {names[0]: pa.array(a[i : i + (1 << 16)]), names[1]: pa.array(b[i : i + (1 << 16)])}
+                none = pa.nulls(len(own[names[0]]), pa.int64())
+                yield pa.RecordBatch.from_arrays([own.get(c, none) for c in ("pattern", "n", "place", "bytes")], names=["pattern", "n", "place", "bytes"])
+
+    return rows.mapInArrow(run, "pattern long, n long, place long, bytes long")
+
+
+def sampled(rows: DataFrame, places_of: DataFrame, sample: int, most_bytes: int) -> DataFrame:
+    """(place, text): the distinct texts of least place, at most sample of them and, but for the first, most_bytes in all."""
+    chosen = places_of.where("place is not null").groupBy("place").agg(F.max("bytes").alias("bytes")).orderBy("place").limit(sample).collect()  # at most sample rows
+    last, total = -(2**63), 0
+    for i, r in enumerate(chosen):
+        total += r["bytes"]
+        if i and total > most_bytes:
+            break
+        last = r["place"]
 
-    counted = rows.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3**LABELLERS rows
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            at = []
+            for i, p in enumerate(b.column("place").to_pylist()):
+                if p not in seen:
+                    seen.add(p), at.append(i)
+            yield b.take(pa.array(at, pa.int64()))
+
+    kept = rows.where((F.col("place") <= last) & F.col("text").rlike(r"[^\x20\x09-\x0D]")) if chosen else rows.limit(0)
+    return kept.mapInArrow(once, "place long, text string").groupBy("place").agg(F.first("text").alias("text"))
+
+
+def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE, seed: int = 4, most_bytes: int = SAMPLE_BYTES) -> dict:
+    """The label model over all rows, and the scorer, trained on a bounded sample of distinct texts.
+
+    Votes, their patterns' counts and the labellers' accuracies cover every row, repeated ones as often as they stand. The
+    sample takes the sample distinct texts of least seeded hash, and of those as many as most_bytes hold, one at least; a
+    text counts once in it however often it is repeated, and no text is cut. Null texts and those without words vote
+    nothing and are not sampled; from an empty table, or one without words, comes a model of zeros.
+    """
+    use_workers(docs.sparkSession)
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    rows = rows.select(F.xxhash64(F.lit(seed), "text").alias("place"), "text")
+    table = written(vote_table(rows, sample), "votes")
+    counted = table.where("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3**LABELLERS rows
     if not counted:
         return {"weights": np.zeros(WEIGHTS, np.float32), "bias": 0.0, "posterior": {}, "accuracy": [0.5] * LABELLERS, "prior": 0.5}
     kinds, counts = np.array([r["pattern"] for r in counted]), np.array([r["n"] for r in counted], float)
     good, accuracy, prior = fit(kinds, counts)
     posterior = dict(zip(kinds.tolist(), good.tolist()))
-    place = F.xxhash64(F.lit(seed), "text")
-    share = min(1.0, 1.5 * sample / counts.sum())
-    few = rows.withColumn("place", place).where(F.col("place") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("place").limit(sample)
 
     def fit_scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = pa.chunked_array([b.column("text") for b in batches], pa.string()).combine_chunks()
-        weights, bias = train(column if isinstance(column, pa.Array) else column.chunk(0), posterior, seed)
+        weights, bias = train((x.column("text") for b in batches for x in slices(b, "text", 1 << 18)), posterior, seed)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
-    got = few.select("text").coalesce(1).mapInArrow(fit_scorer, "weights binary, bias double").first()
-    return {"weights": np.frombuffer(got["weights"], np.float32), "bias": got["bias"], "posterior": posterior, "accuracy": accuracy.tolist(), "prior": prior}
+    few = sampled(rows, table, sample, most_bytes)
+    got = few.repartition(1).sortWithinPartitions("place").select("text").mapInArrow(fit_scorer, "weights binary, bias double").first()
+    weights = np.frombuffer(got["weights"], np.float32) if got else np.zeros(WEIGHTS, np.float32)
+    return {"weights": weights, "bias": got["bias"] if got else 0.0, "posterior": posterior, "accuracy": accuracy.tolist(), "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], text: str = "text", least: float = LEAST_SCORE, names: tuple[str, str, str] = ("posterior", "score", "is_good")) -> DataFrame:

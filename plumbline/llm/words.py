@@ -29,6 +29,13 @@ VALUE = stream(256, 11)
 FOLDED = VALUE.copy()
 FOLDED[65:91] = VALUE[97:123]
 _place = [stream(64, 12) | U(1)]
+#: Bytes that are hashed at once: the work arrays take some fifty times their room.
+PIECE = 1 << 20
+
+
+def place_range(start: int, end: int) -> np.ndarray:
+    """The odd multipliers of byte positions from start up to end."""
+    return mix(np.arange(start + 1, end + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(12)) | U(1)
 
 
 def places(n: int) -> np.ndarray:
@@ -59,16 +66,55 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return raw, starts, lengths, np.diff(np.searchsorted(starts, off))
 
 
-def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z as a-z if fold is set, and the number of words of each row."""
-    raw, starts, lengths, per_row = word_spans(column)
-    if not len(starts):
-        return np.zeros(0, U), per_row
+def pieces(column: pa.Array, most: int = 0) -> Iterator[tuple[int, int, pa.Array]]:
+    """(first row, rows, texts): the column in pieces of at most so many bytes (PIECE); a longer row is cut between words.
+
+    Only a single word can make a piece longer.
+    """
+    most = most or PIECE
+    off, raw = offsets(column), data(column)
+    i, n = 0, len(column)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
+        if j > i + 1 or off[j] - off[i] <= most:
+            yield i, j - i, column.slice(i, j - i)
+        else:
+            at, end = int(off[i]), int(off[j])
+            while at < end:
+                stop = min(at + most, end)
+                while stop < end and not (gaps := SPACE[raw[stop : min(stop + most, end)]]).any():
+                    stop = min(stop + most, end)
+                if stop < end:
+                    stop += int(np.argmax(gaps))
+                yield i, 1, pa.array([raw[at:stop].tobytes()], pa.large_binary())
+                at = stop
+        i = j
+
+
+def word_sums(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The hash of each word from the value of each byte and its place in the word."""
+    if lengths.max() > 4 * PIECE:  # a word of many pieces: add it up piece by piece
+        out = np.zeros(len(starts), U)
+        for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist())):
+            for b in range(0, n, PIECE):
+                own = value[raw[a + b : a + min(n, b + PIECE)]]
+                out[i : i + 1] += (own * place_range(b, b + len(own))).sum(dtype=U, keepdims=True)
+        return mix(out + lengths.astype(U))
     begin = np.concatenate(([0], np.cumsum(lengths)))
     at = np.arange(begin[-1]) - np.repeat(begin[:-1], lengths)
     picked = raw[np.repeat(starts, lengths) + at]
-    value = (FOLDED if fold else VALUE)[picked] * places(int(lengths.max()))[at]
-    return mix(np.add.reduceat(value, begin[:-1]) + lengths.astype(U)), per_row
+    return mix(np.add.reduceat(value[picked] * places(int(lengths.max()))[at], begin[:-1]) + lengths.astype(U))
+
+
+def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, A-Z as a-z if fold is set, and the number of words of each row."""
+    found, per_row = [np.zeros(0, U)], np.zeros(len(column), np.int64)
+    for first, rows, part in pieces(column):
+        raw, starts, lengths, counts = word_spans(part)
+        per_row[first : first + rows] += counts
+        if len(starts):
+            found.append(word_sums(raw, starts, lengths, FOLDED if fold else VALUE))
+    return np.concatenate(found), per_row
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
