@@ -1,13 +1,17 @@
 """Main text of web pages: site templates found by counting element subtrees per host, then the article's blocks.
 
 A subtree's hash covers its tags, texts and order. Subtrees of whole pages are counted, menus and footers included; those
-that stand on several distinct pages of a host are its template and are deleted, and so is what tags, roles and class
-names declare to be no part of the article.
+that stand on several distinct pages of a host are its template and are deleted. What never recurs (a host of few pages, a
+menu that differs from page to page) is left to tags, roles and names that declare an element to be no part of the article.
+
+Each page is parsed once. What is left of it goes into a table: its text if no template could change it, else its blocks
+with the hashes around them. Only pages of the second kind, and only their blocks, meet the host's templates in a join.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import use_workers, written
+from plumbline.llm.common import slices, use_workers, written
 from plumbline.llm.urls import host_of
 
 #: A subtree is part of a site's template if so many distinct pages of the host, and this share of them, hold it. The
 #: share asks for more only on hosts of over 5,000 pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.001
-#: Rows of the template table that may be broadcast; from a larger one each page gets its own subtrees by a join.
-MOST_BROADCAST = 1 << 18
+#: Parts that a template's pages are dealt to, since a menu may stand on a third of all pages.
+SALTS = 16
 
 #: Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,15 +44,22 @@ NO_TEXT = frozenset(
     "script style nav footer aside form button select input textarea noscript iframe svg math canvas template object embed audio video dialog menu head title search label fieldset map noframes noembed xmp".split()
 )
 NO_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tooltip".split())
-#: What a class or id says by a part of its name; parts are what stands between - and _.
-NO_PARTS = re.compile(
-    r"(?:ads?|ad(?:box|slot|unit|block|wrap|wrapper|container|banner|space)|advert[a-z]*|adsense|sponsor[a-z]*|promo[a-z]*|banners?|nav|navbar|navigation|subnav|sidenav|menus?|topbar|masthead|header|footer|sidebars?|widgets?|breadcrumbs?|cookie[a-z]*|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|signup|login|share|sharing|sharebar|social|comment[a-z]*|respond|replies|disqus|related|recommended|popup|modal|overlay|pagination|pager|toolbar|skiplink|hidden)",
-    re.I,
+#: Names of what is no part of an article, whatever it says; and of what is none unless it holds running text.
+NAMES = frozenset(
+    "ad ads adbox adslot adunit adblock adwrap adwrapper adcontainer adbanner adspace advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos banner banners nav navbar navigation subnav sidenav menu menus menubar topbar masthead footer footers sidebar sidebars breadcrumb breadcrumbs cookie cookies cookiebar consent gdpr notice notices alert alerts newsletter subscribe subscription comment comments commentlist respond replies disqus related recommended popup modal pagination pager toolbar skiplink hidden sharebar".split()
+)
+UNLESS_PROSE = frozenset("header login signup share sharing social widget widgets overlay".split())
+#: What such names are joined with (site-header, post-comments); a name with any other part says something else.
+JOINED = frozenset(
+    "site page top bottom main global bar box list wrapper wrap container links link section block inner outer left right primary secondary area zone unit slot space post posts article articles entry story user users reader readers blog btn button buttons group item items icon icons count thread body text title row col column panel sticky fixed mobile desktop the js skip side sr only".split()
 )
 NO_WHOLE = frozenset("side-bar skip-link sr-only visually-hidden screen-reader-text top-bar".split())
 #: Names that tell of a neighbour (with-sidebar) or of an article's own heading (post-header).
 NEIGHBOUR = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]", re.I)
 OWN_HEADER = re.compile(r"^(?:article|post|entry|story|content|headline|h)[-_]+header$", re.I)
+#: Words outside links and fields from which an element counts as running text.
+PROSE_WORDS = 8
+FIELDS = frozenset("a button select option input textarea label nav script style".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -95,6 +106,7 @@ def parse(html: str) -> Node:
         tag = name.lower()
         if m[1]:
             if tag == "p" and all(x.tag != "p" for x in stack):
+                stack[-1].children.append(Node("p", ""))  # a stray end of a paragraph still ends the line
                 continue
             if flat[tag]:
                 flat[tag] -= 1
@@ -139,42 +151,85 @@ def parse(html: str) -> Node:
     return root
 
 
-def named_outside(names: str) -> bool:
-    """Whether a class or id attribute names something that is no part of an article."""
-    for token in names.split():
-        if token.lower() in NO_WHOLE:
+def prose_words(node: Node) -> int:
+    """Words outside links and fields."""
+    return sum(len(c.split()) if isinstance(c, str) else 0 if c.tag in FIELDS else prose_words(c) for c in node.children)
+
+
+def length(node: Node) -> int:
+    """Characters of words below the node, scripts and styles left out."""
+    return sum(len("".join(c.split())) if isinstance(c, str) else 0 if c.tag in ("script", "style") else length(c) for c in node.children)
+
+
+def holds(node: Node, tags: tuple[str, ...]) -> bool:
+    return any(isinstance(c, Node) and (c.tag in tags or holds(c, tags)) for c in node.children)
+
+
+def framed(root: Node) -> int:
+    """Characters of a page with a form, which may be its frame; 0 for others."""
+    return length(root) if holds(root, ("form", "fieldset")) else 0
+
+
+def named_outside(names: str, node: Node, in_article: bool) -> bool:
+    """Whether a class or id attribute names something that is no part of an article.
+
+    Every part of the name must say so or be a word that such names are joined with: market-share and chapter-header name
+    an article's own parts.
+    """
+    for token in names.lower().split():
+        if token in NO_WHOLE:
+            return True
+        if NEIGHBOUR.search(token) or OWN_HEADER.match(token):
+            continue
+        parts = [p for p in re.split(r"[-_]+", token) if p and not p.isdigit()]
+        said = [p for p in parts if p in NAMES]
+        soft = [p for p in parts if p in UNLESS_PROSE]
+        if not said and not soft or any(p not in NAMES and p not in UNLESS_PROSE and p not in JOINED for p in parts):
+            continue
+        if said:
             return True
-        if not NEIGHBOUR.search(token) and not OWN_HEADER.match(token) and any(NO_PARTS.fullmatch(p) for p in re.split(r"[-_]+", token)):
+        if soft == ["header"] and not in_article:
+            return not holds(node, ("article", "main"))
+        if not (in_article and holds(node, ("h1", "h2"))) and prose_words(node) < PROSE_WORDS:
             return True
     return False
 
 
-def is_outside(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, name or visibility say that this element is no part of the article."""
-    if node.tag in NO_TEXT:
+def is_outside(node: Node, in_article: bool, page: int = 0) -> bool:
+    """Whether tag, role, name or visibility say that this element is no part of the article.
+
+    A form round an article, or round half of the page's characters and more, is a frame and stays.
+    """
+    if node.tag in ("form", "fieldset"):
+        if not holds(node, ("article", "main")) and not (page and 2 * length(node) >= page):
+            return True
+    elif node.tag in NO_TEXT:
         return True
     if node.tag == "header" and not in_article:
         return True
     if not node.attrs:
         return False
     a = node.attributes()
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in NO_ROLES:
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
+    if a.get("role", "").lower() in NO_ROLES and node.tag not in ("form", "fieldset"):
+        return True
     if node.tag in ("article", "main"):
         return bool(re.search(r"(?:^|[\s_-])(?:comments?|related|recommended|sponsor[a-z]*|promo[a-z]*|ads?)(?:$|[\s_-])", f"{a.get('class', '')} {a.get('id', '')}", re.I))
-    return named_outside(a.get("class", "")) or named_outside(a.get("id", ""))
+    return named_outside(a.get("class", ""), node, in_article) or named_outside(a.get("id", ""), node, in_article)
 
 
 def main_roots(root: Node) -> tuple[list[Node], bool]:
     """The outermost articles that nothing declares to be outside, or else main elements, or else the page."""
+    page = framed(root)
     for wanted in ("article", "main"):
         found: list[Node] = []
 
         def walk(node: Node) -> None:
             for c in node.children:
-                if isinstance(c, Node) and not is_outside(c, False):
+                if isinstance(c, Node) and not is_outside(c, False, page):
                     if c.tag == wanted or wanted == "main" and 'role="main"' in c.attrs:
                         found.append(c)
                     else:
@@ -209,22 +264,25 @@ def signature(node: Node, out: list[tuple[Node, int]] | None) -> bytes:
     return d
 
 
-def candidates(root: Node) -> list[tuple[Node, int]]:
-    """Subtrees of the whole page that may be template, but for the article, what holds it, and its prose.
+def candidates(root: Node, roots: list[Node] | None = None, sure: bool = False) -> list[tuple[Node, int]]:
+    """Subtrees of the whole page that may be template, with their hashes.
 
-    An element within a line of text is part of that line, and a table's cell without elements is a value: neither is
-    counted by itself.
+    Of an article, its prose is none, nor is the article itself or what holds it, unless the page has several articles. An
+    element within a line of text is part of that line, and a table's cell without elements is a value: neither is counted
+    by itself.
     """
-    roots, sure = main_roots(root)
+    if roots is None:
+        roots, sure = main_roots(root)
     found: list[tuple[Node, int]] = []
     signature(root, found)
     hashes = {id(n): d for n, d in found}
     mains = {id(r) for r in roots}
+    several = sure and len(roots) > 1
     out: list[tuple[Node, int]] = []
 
     def walk(node: Node, article: bool, prose: bool) -> bool:
         """Whether a main root is below; prose tells that the block around is an article's prose."""
-        holds = False
+        holds_main = False
         alone = not any(isinstance(c, str) and not c.isspace() for c in node.children)
         for c in node.children:
             if not isinstance(c, Node) or id(c) not in hashes:
@@ -234,91 +292,154 @@ def candidates(root: Node) -> list[tuple[Node, int]]:
             inline = c.tag in INLINE
             own_prose = prose if inline else within and c.tag in PROSE
             below = walk(c, within, own_prose)
-            holds |= is_main or below
+            holds_main |= is_main or below
+            if is_main and several:
+                out.append((c, hashes[id(c)]))
             if is_main or below or own_prose or inline and not alone:
                 continue
             if c.tag in CELLS and not any(isinstance(x, Node) and id(x) in hashes for x in c.children):
                 continue
             out.append((c, hashes[id(c)]))
-        return holds
+        return holds_main
 
     walk(root, False, False)
     return out
 
 
-def blocks(node: Node, deleted: set[int], hashes: dict[int, int], in_article: bool, done: list[str], line: list[str], depth: int = 0) -> None:
-    """Append the text of each block to done; line holds the block that is open."""
+#: What stands in a page's line of events beside texts and [hash, ends the line, is an article]: a line's end, an element's.
+LINE, END = 0, 1
+
+
+def events_of(roots: list[Node], sure: bool, page: int, hashes: dict[int, int]) -> list:
+    """The roots' texts in order, with the ends of lines and the elements that may be template; what is outside is left out."""
+    out: list = []
+
+    def put(text: str) -> None:
+        out.append(unescape(text) if "&" in text else text)
+
+    def opened(c: Node, ends: bool, main: bool = False) -> bool:
+        if (h := hashes.get(id(c))) is None:
+            return False
+        out.append([h, ends, main])
+        return True
+
+    def walk(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, str):
+                put(c)
+            elif c.tag == "br":
+                out.append("\n")
+            elif c.tag == "hr":
+                out.append(LINE)
+            elif is_outside(c, sure, page):
+                if c.tag in BLOCK:
+                    out.append(LINE)
+            else:
+                edge = " " if c.tag in CELLS else LINE if c.tag in BLOCK else None
+                some = opened(c, edge == LINE)
+                if edge is not None:
+                    out.append(edge)
+                walk(c)
+                if edge is not None:
+                    out.append(edge)
+                if some:
+                    out.append(END)
+
+    for r in roots:
+        some = sure and len(roots) > 1 and opened(r, True, True)
+        walk(r)
+        out.append(LINE)
+        if some:
+            out.append(END)
+    return out
+
+
+def text_of(events: list, template: set[int]) -> str:
+    """The lines of the events, joined by an empty line, without the elements of the template.
+
+    Where every article of a page is template, their recurrence tells nothing and they stay.
+    """
+    mains = [e[0] for e in events if type(e) is list and e[2]]
+    spared = bool(mains) and all(h in template for h in mains)
+    done: list[str] = []
+    line: list[str] = []
+    deep = 0  # open elements since one of the template began
 
     def close() -> None:
-        text = " ".join(unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         if text:
             done.append(text)
         line.clear()
 
-    for c in node.children:
-        if isinstance(c, str):
-            line.append(c)
-        elif c.tag == "br":
-            line.append("\n")
-        elif c.tag in ("hr",):
-            close()
-        elif hashes.get(id(c)) in deleted or is_outside(c, in_article):
-            if c.tag in BLOCK:
+    for e in events:
+        if type(e) is list:
+            if deep:
+                deep += 1
+            elif e[0] in template and not (e[2] and spared):
+                deep = 1
+                if e[1]:
+                    close()
+        elif e == END:
+            deep -= deep > 0
+        elif not deep:
+            if e == LINE:
                 close()
-        elif c.tag in CELLS:
-            line.append(" ")
-            blocks(c, deleted, hashes, in_article, done, line, depth + 1)
-            line.append(" ")
-        elif c.tag in BLOCK:
-            close()
-            blocks(c, deleted, hashes, in_article, done, line, depth + 1)
-            close()
-        else:
-            blocks(c, deleted, hashes, in_article, done, line, depth + 1)
-    if depth == 0:
-        close()
+            else:
+                line.append(e)
+    close()
+    return "\n\n".join(done)
 
 
-def main_text(html: str, template: set[int]) -> str:
-    """The article's blocks, joined by an empty line."""
+def reduced(html: str) -> tuple[list, set[int]]:
+    """A page's events, and the hashes of all its subtrees that may be template."""
     root = parse(html)
     roots, sure = main_roots(root)
-    hashes = {id(n): d for n, d in candidates(root)} if template else {}
-    done: list[str] = []
-    for r in roots:
-        blocks(r, template, hashes, sure, done, [])
-    return "\n\n".join(done)
-
+    found = candidates(root, roots, sure)
+    return events_of(roots, sure, framed(root), {id(n): d for n, d in found}), {d for _, d in found}
 
-def sited(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(host, doc, html): doc is a hash that tells distinct pages apart."""
-    text = F.col(html).cast("string")
-    return pages.select(host_of(F.col(url)).alias("host"), F.xxhash64(text).alias("doc"), text.alias("html"))
 
+def main_text(html: str, template: set[int]) -> str:
+    """The article's blocks, joined by an empty line."""
+    return text_of(reduced(html)[0], template)
 
-def subtrees(rows: DataFrame) -> DataFrame:
-    """(host, doc, hash): the subtrees of each page that may be template."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hosts, docs, found = [], [], []
-            for host, doc, text in zip(b.column("host").to_pylist(), b.column("doc").to_pylist(), b.column("html").to_pylist()):
-                own = {d for _, d in candidates(parse(text))} if text else set()
-                hosts += [host] * len(own)
-                docs += [doc] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["host", "doc", "hash"])
+def read_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """A written table with a row for each page: key, url, host, row, doc (a hash that tells distinct pages apart), hashes of
+    its subtrees, and the text if no template can change it, else the events."""
+    text = F.col(html).cast("string")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.xxhash64(text).alias("doc"), text.alias("html"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:4])
 
-    return rows.mapInArrow(hashes, "host string, doc long, hash long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "html"):
+                texts, events, hashes = [], [], []
+                for value in b.column("html").to_pylist():
+                    line, found = reduced(value) if value else ([], set())
+                    open_ = any(type(e) is list for e in line)
+                    texts.append(None if open_ else text_of(line, set()))
+                    events.append(json.dumps(line, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass") if open_ else None)
+                    hashes.append(sorted(found))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(texts, pa.string()), pa.array(events, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["key", "url", "host", "doc", "text", "events", "hashes"])
+
+    return written(rows.mapInArrow(run, f"{kind}, text string, events binary, hashes array<bigint>").withColumn("row", F.monotonically_increasing_id()), "pages")
+
+
+def templates_of(read: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    sizes = read.groupBy("host").agg(F.count_distinct("doc").alias("of"))
+    each = read.select("host", "doc", F.explode("hashes").alias("hash"))
+    counts = each.groupBy("host", "hash").agg(F.count_distinct("doc").alias("pages")).where(F.col("pages") >= least_pages)
+    return counts.join(sizes, "host").where(F.col("pages") >= least_share * F.col("of")).select("host", "hash", "pages")
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash, pages): subtrees on so many distinct pages of a host. A host has at most (elements of a page) / least_share."""
+    """(host, hash, pages): subtrees on so many distinct pages of a host.
+
+    Null and empty pages have no subtrees; repeated rows are one page; rows without a host are pages of one site; an empty
+    table has no templates. Other columns are ignored. A host has at most (elements of a page) / least_share templates.
+    """
     use_workers(pages.sparkSession)
-    rows = sited(pages, url, html)
-    sizes = rows.groupBy("host").agg(F.count_distinct("doc").alias("of"))
-    counts = subtrees(rows).groupBy("host", "hash").agg(F.count_distinct("doc").alias("pages")).where(F.col("pages") >= least_pages)
-    return counts.join(sizes, "host").where(F.col("pages") >= least_share * F.col("of")).select("host", "hash", "pages")
+    return templates_of(read_pages(pages, url, url, html), least_pages, least_share)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -326,35 +447,25 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     A null page has no text. Pages without a host count as one site. Repeated rows are pages of their own, but count once
     for templates. Columns other than the three named are dropped. Paragraphs, headings, list items and cells of an article
-    are never template, however often they recur; a whole list or table may be.
+    are never template, however often they recur; a whole list or table may be, and of several articles on a page those
+    that other pages hold too. On hosts with fewer than least_pages pages nothing recurs often enough: there tags, roles
+    and names alone decide. A page is one value in one task; an empty table gives none.
     """
-    spark = pages.sparkSession
-    use_workers(spark)
-    templates = written(site_templates(pages, url, html, least_pages, least_share), "templates")
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    kind, url_kind = rows.schema["key"].dataType.simpleString(), rows.schema["url"].dataType.simpleString()
-    n = templates.count()
-    if n <= MOST_BROADCAST:
-        found: dict[str, set[int]] = {}
-        for host, d in templates.select("host", "hash").toLocalIterator():
-            found.setdefault(host, set()).add(d)
-        known = spark.sparkContext.broadcast(found)
-        rows = rows.withColumn("template", F.lit(None).cast("array<bigint>"))
-    else:
-        known = None
-        rows = rows.withColumn("doc", F.xxhash64("html"))
-        own = subtrees(sited(pages, url, html)).join(templates, ["host", "hash"], "left_semi").groupBy("host", "doc").agg(F.collect_set("hash").alias("template"))
-        rows = rows.join(own, ["host", "doc"], "left")
+    use_workers(pages.sparkSession)
+    read = read_pages(pages, key, url, html)
+    templates = written(templates_of(read, least_pages, least_share).select("host", "hash"), "templates")
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    open_ = read.where("events is not null")
+    every = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = open_.select("row", "host", part("row").alias("part"), F.explode("hashes").alias("hash")).join(every, ["host", "hash", "part"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("template"))
+    joined = open_.select("key", "url", "row", "events").join(own, "row", "left").select("key", "url", "events", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: set[int] = set()
-        for b in batches:
-            if known is None:
-                lists = [set(t or ()) for t in b.column("template").to_pylist()]
-            else:
-                lists = [known.value.get(h, none) for h in b.column("host").to_pylist()]
-            texts = [main_text(x or "", t) for x, t in zip(b.column("html").to_pylist(), lists)]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
-
-    rows = rows.select("key", "url", "html", "host", "template")
-    return rows.mapInArrow(run, f"key {kind}, url {url_kind}, text string, n_chars long").withColumnsRenamed({"key": key, "url": url})
+        for whole in batches:
+            for b in slices(whole, "events"):
+                texts = [text_of(json.loads(e.decode("utf-8", "surrogatepass")), set(t or ())) for e, t in zip(b.column("events").to_pylist(), b.column("template").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
+
+    kind, url_kind = read.schema["key"].dataType.simpleString(), read.schema["url"].dataType.simpleString()
+    done = read.where("events is null").select("key", "url", "text").unionByName(joined.mapInArrow(run, f"key {kind}, url {url_kind}, text string"))
+    return done.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))

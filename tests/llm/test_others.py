@@ -90,14 +90,12 @@ def test_templates_are_found_per_host(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_templates_are_counted_over_whole_pages(spark, monkeypatch):
+def test_templates_are_counted_over_whole_pages(spark):
     rows = [(i, f"http://a.net/{i}", f"<nav><ul><li>Home</li></ul></nav><article><p>Own {i} <b>Note</b> so.</p><ul><li>Print</li><li>Send</li></ul><ul><li>Salt</li><li>{i}</li></ul><table><tr><td>Call us</td></tr></table><span>Follow us</span></article><div>Made by A</div>") for i in range(8)]
     rows += [(8, "http://a.net/8", "<div>Made by A</div><p>Story of <b>Note</b>.</p><ul><li>Home</li></ul>"), (9, "http://b.net/9", "<div>Made by A</div>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for most in (1 << 18, 0):
-        monkeypatch.setattr(html, "MOST_BROADCAST", most)
-        found = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
-        assert found == {i: f"Own {i} Note so.\n\nSalt\n\n{i}" for i in range(8)} | {8: "Story of Note.", 9: "Made by A"}
+    found = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert found == {i: f"Own {i} Note so.\n\nSalt\n\n{i}" for i in range(8)} | {8: "Story of Note.", 9: "Made by A"}
 
 
 def test_a_larger_host_does_not_lift_the_bar(spark):
