@@ -162,8 +162,7 @@ def streams(payloads: list[bytes], rate: int = 8000, group: int = 1 << 20) -> li
         lengths += cut
         owner += [i] * len(cut)
         numbers += range(len(cut))
-    flat = np.frombuffer(b"".join(payloads), np.uint8) ^ np.uint8(0x80)
-    flat = flat.view(np.int8)
+    flat = np.frombuffer(payloads[0] if len(payloads) == 1 else b"".join(payloads), np.uint8)
     length = np.array(lengths, np.int64)
     begin = np.concatenate(([0], np.cumsum(length)))
     number = np.array(numbers, np.int64)
@@ -171,7 +170,7 @@ def streams(payloads: list[bytes], rate: int = 8000, group: int = 1 << 20) -> li
     i = 0
     while i < len(length):
         j = max(i + 1, int(np.searchsorted(begin, begin[i] + group, side="right")) - 1)
-        done += frames(flat[begin[i] : begin[j]], length[i:j], number[i:j])
+        done += frames((flat[begin[i] : begin[j]] ^ np.uint8(0x80)).view(np.int8), length[i:j], number[i:j])
         i = j
     out, at = [], 0
     for p in payloads:
@@ -183,8 +182,10 @@ def streams(payloads: list[bytes], rate: int = 8000, group: int = 1 << 20) -> li
             spots.append((x * FRAME).to_bytes(8, "big") + offset.to_bytes(8, "big") + min(FRAME, len(p) - x * FRAME).to_bytes(2, "big"))
             offset += len(f)
         sizes = [len(f) for f in own]
-        md5 = hashlib.md5(p.translate(FLIP)).digest()
-        info = FRAME.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (rate << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
+        md5 = hashlib.md5()
+        for x in range(0, len(p), group):
+            md5.update(p[x : x + group].translate(FLIP))
+        info = FRAME.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + (rate << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5.digest()
         seek = b"".join(spots)
         tables = b"".join((0x80 * (y + 932067 >= len(seek)) | 3).to_bytes(1, "big") + len(seek[y : y + 932067]).to_bytes(3, "big") + seek[y : y + 932067] for y in range(0, len(seek), 932067)) if len(seek) > 16_000_000 else b"\x83" + len(seek).to_bytes(3, "big") + seek
         out.append(b"fLaC" + b"\x00" + (34).to_bytes(3, "big") + info + tables + b"".join(own))
@@ -277,35 +278,62 @@ def frame_starts(raw: bytes, s: Stream) -> list[int]:
     return starts
 
 
-def decode(raws: list[bytes]) -> list[tuple[Stream, list[tuple[int, np.ndarray]]]]:
-    """Of each stream: its information, and (first sample, samples by channel) of every frame, all checks held."""
+def frame_list(raw: bytes, s: Stream) -> list[tuple[int, int, int, tuple]]:
+    """(start, end, first sample, header) of every frame, in order; an error if headers and the stream disagree."""
+    own = frame_starts(raw, s) if s.first < len(raw) else []
+    found, at = [], 0
+    for no, (a, z) in enumerate(zip(own, [*own[1:], len(raw)])):
+        h = header(raw, a, s.bits)
+        if h is None or not h[5] and h[4] != no or h[5] and h[4] != at:
+            raise FlacError(f"frame {no}: its header check fails or it is out of turn")
+        found.append((a, z, at, h))
+        at += h[1]
+    if s.total and at != s.total:
+        raise FlacError(f"{at} samples; the stream says {s.total}")
+    return found
+
+
+def decoded(raws: list[bytes], group: int = 1 << 20) -> Iterator[tuple[int, Stream, int, np.ndarray, bool]]:
+    """(stream's place, its information, first sample, samples by channel, whether the last) of every frame, in order.
+
+    Frames are decoded some at a time, as many as group bytes hold, so a long stream takes no more work space than short
+    ones. All checks are verified; a stream's own hash, once its last frame is read, before that frame is given out. A
+    stream without frames gives nothing.
+    """
     known = [Stream(r) for r in raws]
-    base = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
-    whole = np.frombuffer(b"".join(raws) + b"\0" * 16, np.uint8)
-    heads, starts, ends, owner, firsts = [], [], [], [], []
-    for i, (r, s) in enumerate(zip(raws, known)):
-        own = frame_starts(r, s) if s.first < len(r) else []
-        at = 0
-        for no, (a, z) in enumerate(zip(own, [*own[1:], len(r)])):
-            h = header(r, a, s.bits)
-            if h is None or not h[5] and h[4] != no or h[5] and h[4] != at:
-                raise FlacError(f"frame {no}: its header check fails or it is out of turn")
-            heads.append(h), starts.append(base[i] + a), ends.append(base[i] + z), owner.append(i), firsts.append(at)
-            at += h[1]
-        if s.total and at != s.total:
-            raise FlacError(f"{at} samples; the stream says {s.total}")
-    out: list[list[tuple[int, np.ndarray]]] = [[] for _ in raws]
-    if heads:
-        start, end = np.array(starts), np.array(ends)
+    todo = [(i, *f) for i, (r, s) in enumerate(zip(raws, known)) for f in frame_list(r, s)]
+    at = 0
+    hashes: dict[int, object] = {}
+    while at < len(todo):
+        n, upto = 0, at
+        while upto < len(todo) and (upto == at or n + todo[upto][2] - todo[upto][1] <= group):
+            n += todo[upto][2] - todo[upto][1]
+            upto += 1
+        own = todo[at:upto]
+        whole = np.frombuffer(b"".join(raws[i][a:z] for i, a, z, _, _ in own) + b"\0" * 16, np.uint8)
+        end = np.cumsum([z - a for _, a, z, _, _ in own])
+        start = np.concatenate(([0], end[:-1]))
         check = crc(whole, start, end - start - 2, 16)
         if (check != (whole[end - 2].astype(np.uint32) << np.uint32(8) | whole[end - 1])).any():
             raise FlacError("a frame's check fails")
-        for i, first, block in zip(owner, firsts, samples_of(whole, start, end, heads)):
-            out[i].append((first, block))
-    for s, got in zip(known, out):
-        if s.bits == 8 and s.channels == 1 and any(s.md5) and hashlib.md5(b"".join(x[0].astype(np.int8).tobytes() for _, x in got)).digest() != s.md5:
-            raise FlacError("the samples' hash differs")
-    return list(zip(known, out))
+        for x, ((i, _, _, first, _), block) in enumerate(zip(own, samples_of(whole, start, end, [f[4] for f in own]))):
+            s = known[i]
+            last = at + x + 1 == len(todo) or todo[at + x + 1][0] != i
+            if s.bits == 8 and s.channels == 1 and any(s.md5):
+                h = hashes.setdefault(i, hashlib.md5())
+                h.update(block[0].astype(np.int8).tobytes())
+                if last and hashes.pop(i).digest() != s.md5:
+                    raise FlacError("the samples' hash differs")
+            yield i, s, first, block, last
+        at = upto
+
+
+def decode(raws: list[bytes]) -> list[tuple[Stream, list[tuple[int, np.ndarray]]]]:
+    """Of each stream: its information, and (first sample, samples by channel) of every frame, all checks held."""
+    out: list[tuple[Stream, list[tuple[int, np.ndarray]]]] = [(Stream(r), []) for r in raws]
+    for i, _, first, block, _ in decoded(raws):
+        out[i][1].append((first, block))
+    return out
 
 
 def samples_of(raw: np.ndarray, start: np.ndarray, end: np.ndarray, heads: list[tuple]) -> list[np.ndarray]:
@@ -495,51 +523,108 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", group: i
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], make, group: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in slices(whole, "media", group):
-            present = [i for i, x in enumerate(b.column("media").to_pylist()) if x is not None]
-            if present:
-                yield make(b.take(pa.array(present)), decode([b.column("media")[i].as_py() for i in present]))
+#: What tells of a stream, on the last of its PCM blocks.
+STORED = "media_bytes long, media_sha256 string, n_frames long"
 
 
-def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 21) -> DataFrame:
-    """(key, block, sample_offset, n_samples, pcm): the decoded frames of every stream as blocks one can seek to.
+def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 20, most_samples: int = FRAME, carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, block, sample_offset, n_samples, pcm, last, ...): every stream's samples as blocks one can seek to.
 
-    pcm interleaves the channels as little-endian signed integers of 8, 16 or 32 bits, the least that holds a sample.
-    A null stream gives no blocks, nor does one without frames; a damaged one raises FlacError. Every header, frame
-    and (for 8-bit mono) stream check is verified.
+    A block holds whole frames, as many as most_samples hold, one at least; sample_offset is its first sample's place in
+    the stream. pcm interleaves the channels as little-endian signed integers of 8, 16 or 32 bits, the least that holds a
+    sample. Blocks of a stream come in order and within one task; its last one also has media_bytes and media_sha256 of
+    the stored stream and n_frames. A null stream gives no blocks, nor does one without frames; a damaged one raises
+    FlacError. Every header, frame and (for 8-bit mono) stream check is verified. Repeated rows each give their blocks;
+    other columns are dropped unless named in carry; an empty table gives none.
     """
     use_workers(df.sparkSession)
-    kind = dict(df.dtypes)[key]
-
-    def make(b: pa.RecordBatch, got) -> pa.RecordBatch:
-        row, no, offset, count, pcm = [], [], [], [], []
-        for i, (s, own) in enumerate(got):
+    carry = list(carry or [])
+    names = ["key", *(f"c{i}" for i in range(len(carry)))]
+    picked = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(media).alias("media"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    columns = ("block", "sample_offset", "n_samples", "pcm", "last", "media_bytes", "media_sha256", "n_frames")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
+
+    def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        stored = b.column("media").to_pylist()
+        at = [i for i, x in enumerate(stored) if x is not None]
+        row, rows, n = [], [], 0  # finished blocks of the batch that goes out next
+        held: list[np.ndarray] = []
+        start = no = count = frames_read = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in names), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*names, *columns])
+
+        for i, s, first, samples, last in decoded([stored[i] for i in at], group):
+            if held and count + samples.shape[1] > most_samples:
+                row.append(at[i]), rows.append((no, start, count, b"".join(held), False, None, None, None))
+                n += len(rows[-1][3])
+                no, held = no + 1, []
+            if not held:
+                start, count = first, 0
             width = np.int8 if s.bits <= 8 else "<i2" if s.bits <= 16 else "<i4"
-            for n, (first, x) in enumerate(own):
-                row.append(i), no.append(n), offset.append(first), count.append(x.shape[1]), pcm.append(x.T.astype(width).tobytes())
-        return pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row, pa.int64())), pa.array(no, pa.int64()), pa.array(offset, pa.int64()), pa.array(count, pa.int64()), pa.array(pcm, pa.binary())], names=["key", "block", "sample_offset", "n_samples", "pcm"])
+            held.append(samples.T.astype(width).tobytes())
+            count, frames_read = count + samples.shape[1], frames_read + 1
+            if last:
+                raw = stored[at[i]]
+                row.append(at[i]), rows.append((no, start, count, b"".join(held), True, len(raw), hashlib.sha256(raw).hexdigest(), frames_read))
+                n += len(rows[-1][3])
+                no = frames_read = 0
+                held = []
+            if n >= group:
+                yield out()
+                row, rows, n = [], [], 0
+        if rows:
+            yield out()
 
-    picked = df.select(F.col(key).alias("key"), F.col(media).alias("media"))
-    return picked.mapInArrow(lambda it: _blocks(it, make, group), f"key {kind}, block long, sample_offset long, n_samples long, pcm binary").withColumnRenamed("key", key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "media", group):
+                yield from blocks(b)
 
+    done = picked.mapInArrow(run, f"{', '.join(kinds)}, block long, sample_offset long, n_samples long, pcm binary, last boolean, {STORED}")
+    return done.withColumnsRenamed({"key": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
-def media_digests(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 21) -> DataFrame:
-    """Per stored text: hashes of what its stream decodes to and of the stream, and features of the decoded samples."""
-    use_workers(df.sparkSession)
-    kind = dict(df.dtypes)[key]
 
-    def make(b: pa.RecordBatch, got) -> pa.RecordBatch:
-        rows = []
-        for stored, (_, own) in zip(b.column("media").to_pylist(), got):
-            signal = np.concatenate([x[0] for _, x in own]).astype(np.int8)
-            payload = (signal.view(np.uint8) ^ np.uint8(0x80)).tobytes()
-            wide = signal.astype(np.int64)
-            feature = f"frames={len(own)};low={wide.min()};high={wide.max()};energy={int(wide @ wide)};turns={int(np.count_nonzero(np.diff(signal >= 0)))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.RecordBatch.from_arrays([b.column("key"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    picked = df.select(F.col(key).alias("key"), F.col("n_bytes"), F.col(media).alias("media"))
-    return picked.mapInArrow(lambda it: _blocks(it, make, group), f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+def block_digests(blocks: DataFrame, key: str = "doc_id", n_bytes: str = "n_bytes") -> DataFrame:
+    """Per stream of 8-bit mono, from its PCM blocks as pcm_blocks gives them: hashes of its payload and features.
+
+    Blocks are read one after the other, in the tasks that made them: nothing is shuffled, and no more than one block is
+    held. Repeated rows each give a row.
+    """
+    picked = blocks.select(F.col(key).alias("key"), F.col(n_bytes).alias("n_bytes"), "sample_offset", "pcm", "last", "media_bytes", "media_sha256", "n_frames")
+    kind = picked.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, tail, size, low, high, energy, turns, before = None, b"", 0, 0, 0, 0, 0, None
+        for b in batches:
+            at, rows = [], []
+            columns = [b.column(c).to_pylist() for c in ("sample_offset", "last", "media_bytes", "media_sha256", "n_frames")]
+            for i, (offset, last, media_bytes, media_sha256, n_frames) in enumerate(zip(*columns)):
+                signal = np.frombuffer(b.column("pcm")[i].as_buffer(), np.int8)
+                if not offset:
+                    sha, tail, size, low, high, energy, turns, before = hashlib.sha256(), b"", 0, 127, -128, 0, 0, None
+                if offset != size:
+                    raise FlacError(f"a block begins at sample {offset}, not at {size}")
+                payload = (signal.view(np.uint8) ^ np.uint8(0x80)).tobytes()
+                sha.update(payload)
+                tail, size = (tail + payload[-64:])[-64:], size + len(payload)
+                low, high = min(low, int(signal.min())), max(high, int(signal.max()))
+                wide = signal.astype(np.int32)
+                up = signal >= 0
+                energy += int(np.dot(wide, wide)) if len(wide) < 1 << 16 else int((wide.astype(np.int64) ** 2).sum())
+                turns += int(np.count_nonzero(up[1:] != up[:-1])) + (before is not None and before != up[0])
+                before = up[-1]
+                if last:
+                    at.append(i), rows.append((size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, f"frames={n_frames};low={low};high={high};energy={energy};turns={turns}"))
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                which = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("key").take(which), b.column("n_bytes").take(which), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    return picked.mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
+
+
+def media_digests(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """Per stored text: its stream is read back into PCM blocks, and these give the payload's hashes and features."""
+    return block_digests(pcm_blocks(df, key, media, most_samples=1 << 16, carry=["n_bytes"]), key)

@@ -140,3 +140,32 @@ def test_query_against_hashlib(spark):
 
     want = {r["doc_id"]: hashlib.sha256(flac.payload_of((r["text"] or "").encode())).hexdigest() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: r["payload_sha256"] for r in op2_flac_media(spark, SMALL).collect()} == want
+
+
+def test_blocks_hold_whole_frames_and_say_where_they_begin(spark):
+    long = "".join(chr(97 + i * i % 26) for i in range(50_000))
+    docs = spark.createDataFrame([(1, long, "x"), (2, "short", "y"), (1, long, "x")], "doc_id long, text string, block string")
+    rows = flac.pcm_blocks(flac.store_texts(docs), most_samples=4096, group=1 << 13, carry=["n_bytes"]).collect()
+    want = flac.payload_of(long.encode())
+    first = [r for r in rows if r["doc_id"] == 1]
+    whole = [r for r in first if r["last"]]
+    assert len(whole) == 2 and {r["n_frames"] for r in whole} == {-(-len(want) // 576)}
+    for r in first:
+        assert r["sample_offset"] % 576 == 0 and r["n_samples"] <= 4096 and r["n_bytes"] == 50_000
+        assert bytes(x ^ 0x80 for x in r["pcm"]) == want[r["sample_offset"] : r["sample_offset"] + r["n_samples"]]
+    assert sum(r["n_samples"] for r in first) == 2 * len(want)
+
+
+def test_a_long_stream_is_decoded_in_groups(monkeypatch):
+    draw = np.random.default_rng(1)
+    text = draw.integers(0, 256, 700_000, dtype=np.uint8).tobytes() + bytes(64 - 700_000 % 64)
+    raw = flac.streams([text])[0]
+    sizes = []
+    plain = flac.samples_of
+    monkeypatch.setattr(flac, "samples_of", lambda r, *a: sizes.append(len(r)) or plain(r, *a))
+    got = b"".join(x[0].astype(np.int8).tobytes() for _, _, _, x, _ in flac.decoded([raw], 1 << 16))
+    assert bytes(got).translate(flac.FLIP) == text and max(sizes) <= (1 << 16) + 16 and len(sizes) > 8
+    bad = bytearray(raw)
+    bad[len(raw) // 2] ^= 1
+    with pytest.raises(flac.FlacError):
+        list(flac.decoded([bytes(bad)], 1 << 16))
