@@ -19,76 +19,101 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plumbline.llm.common import laid_out, slices, use_workers
 
-#: Ranks in a profile; languages that may be told apart; grams that a task holds before it counts them.
-PROFILE, MOST_LANGUAGES, FLUSH = 400, 4096, 1 << 21
+#: Ranks in a profile; languages that may be told apart (fewer than 8,000 are known); grams that a task holds before it
+#: counts them; characters of a text that are taken at once.
+PROFILE, MOST_LANGUAGES, FLUSH, PIECE = 400, 1 << 14, 1 << 21, 1 << 20
 UNKNOWN = "und"
+#: What stands for a word's edge in a gram: a code point that is no letter. Grams are three code points of 21 bits each,
+#: shorter ones with zeros in front, so every gram has a number of its own.
+EDGE, BITS = 1, np.uint64(21)
 
 _table: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """For each code point of the basic plane: 0 if it is no letter, else a number of 10 bits that few letters share."""
+    """For each code point whether it is a letter."""
     if not _table:
-        code = np.zeros(1 << 16, np.uint32)
-        letters = np.array([i for i in range(1 << 16) if chr(i).isalpha()])
-        code[letters] = np.where(letters < 0x250, letters, 0x250 + letters % 431)
-        _table.append(code)
+        _table.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _table[0]
 
 
+def counted(grams: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how often each stands."""
+    if counts is None:
+        return np.unique(grams, return_counts=True)
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, int)
+    return grams[first], np.add.reduceat(counts, first) if len(grams) else counts
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the whole text and how often each stands, none if it has no letter; taken piece by piece."""
+    text = text.lower()
+    letter = letter_table()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    carry = np.array([EDGE], np.uint64)  # the last two codes before the piece
+    for at in range(0, len(text), PIECE):
+        point = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.where(letter[point], point, EDGE).astype(np.uint64)
+        if at + PIECE >= len(text):
+            code = np.append(code, np.uint64(EDGE))
+        keep = code != EDGE
+        keep[1:] |= code[:-1] != EDGE  # one edge behind each word
+        keep[0] |= carry[-1] != EDGE
+        c = np.concatenate((carry, code[keep]))
+        if len(c) > len(carry):
+            new = len(carry)
+            one = c[new:][c[new:] != EDGE]
+            two = c[new - 1 : -1] << BITS | c[new:]
+            third = np.arange(max(new, 2), len(c))
+            third = third[c[third - 1] != EDGE]
+            three = c[third - 2] << (2 * BITS) | c[third - 1] << BITS | c[third]
+            found.append(counted(np.concatenate((one, two, three))))
+            carry = c[-2:]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(found) == 1:
+        return found[0]
+    return counted(*(np.concatenate(x) for x in zip(*found)))
+
+
 def grams(text: str) -> np.ndarray:
-    """Codes of all n-grams of the whole text; none if it has no letter."""
-    point = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    code = letter_table()[np.minimum(point, 0xFFFF)]
-    beyond = point > 0xFFFF
-    if beyond.any():
-        code = code.copy()
-        for p in np.unique(point[beyond]).tolist():
-            code[point == p] = 0x250 + p % 431 if chr(p).isalpha() else 0
-    edge = np.zeros(len(code) + 2, np.uint32)
-    edge[1:-1] = code
-    keep = edge != 0
-    keep[1:] |= edge[:-1] != 0
-    c = edge[keep]  # one zero behind each word
-    if not len(c):
-        return c
-    c = np.concatenate((c[-1:], c))
-    two = c[:-1] << np.uint32(10) | c[1:]
-    three = (two[:-1] << np.uint32(10) | c[2:])[c[1:-1] != 0]
-    return np.concatenate((c[c != 0], two | np.uint32(1 << 30), three | np.uint32(2 << 30)))
+    """All n-grams of the whole text in order of their codes, each as often as it stands."""
+    return np.repeat(*gram_counts(text))
 
 
 def ranked(text: str, most: int) -> np.ndarray:
     """The text's most frequent grams, ties to the smaller code."""
-    g = np.sort(grams(text))
-    if not len(g):
-        return g
-    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-    count = np.diff(np.append(first, len(g)))
-    key = (np.uint64(1 << 31) - count.astype(np.uint64)) << np.uint64(32) | g[first]
-    if len(key) > most:
-        key = np.partition(key, most)[:most]
-    return (np.sort(key) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    g, n = gram_counts(text)
+    if len(g) > most:
+        often = n >= np.partition(n, len(n) - most)[len(n) - most]
+        g, n = g[often], n[often]
+    return g[np.lexsort((g, -n))][:most]
 
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
-    """Each language's most frequent grams over all its rows; rows without text or language teach nothing."""
+    """Each language's most frequent grams over all its rows, by falling frequency, ties to the smaller code.
+
+    Rows without text or language teach nothing, nor do texts without a letter; repeated rows count as often as they stand;
+    an empty table has no languages. Other columns are ignored.
+    """
     use_workers(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         n = 0
 
         def out(all_held):
             for name, parts in all_held.items():
-                codes, counts = np.unique(np.concatenate(parts), return_counts=True)
+                codes, counts = counted(*(np.concatenate(x) for x in zip(*parts)))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
         for whole in batches:
             for b in slices(whole, "text"):
                 for name, value in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                    g = grams(value)
-                    n += len(g)
+                    g = gram_counts(value)
+                    n += len(g[0])
                     held.setdefault(name, []).append(g)
                 if n >= FLUSH:
                     yield from out(held)
@@ -96,10 +121,10 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
         yield from out(held)
 
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found: dict[str, list[int]] = {}
-    for r in counted.withColumn("place", place).where(F.col("place") <= size).limit(size * MOST_LANGUAGES + 1).toLocalIterator():
+    for r in totals.withColumn("place", place).where(F.col("place") <= size).limit(size * MOST_LANGUAGES + 1).toLocalIterator():
         found.setdefault(r["lang"], []).append((r["place"], r["gram"]))
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -119,10 +144,10 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
     if set(names) & set(keep):
         raise ValueError(f"names of kept columns: {names}")
     languages = sorted(known)
-    union = np.unique(np.concatenate([np.array(known[n], np.uint32) for n in languages])) if languages else np.zeros(0, np.uint32)
+    union = np.unique(np.concatenate([np.array(known[n], np.uint64) for n in languages])) if languages else np.zeros(0, np.uint64)
     rank = np.full((len(union) + 1, len(languages)), -1, np.int32)
     for i, n in enumerate(languages):
-        rank[np.searchsorted(union, np.array(known[n], np.uint32)), i] = np.arange(len(known[n]))
+        rank[np.searchsorted(union, np.array(known[n], np.uint64)), i] = np.arange(len(known[n]))
     shared = spark.sparkContext.broadcast((languages, union, rank))
     base, place = laid_out(docs, keep, text)
     out = StructType([*base.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
@@ -130,7 +155,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, union, rank = shared.value
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, place)):
             lang, score = [], []
             for value in b.column(place).to_pylist():
                 own = ranked(value, size) if value and len(languages) else ()
