@@ -27,9 +27,6 @@ from plumbline.llm.urls import host_of
 #: A subtree is part of a site's template if so many distinct pages of the host, and this share of them, hold it. The
 #: share asks for more only on hosts of over 5,000 pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.001
-#: Parts that a template's pages are dealt to, since a menu may stand on a third of all pages.
-SALTS = 16
-
 #: Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed template svg math".split())
@@ -454,10 +451,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     use_workers(pages.sparkSession)
     read = read_pages(pages, key, url, html)
     templates = written(templates_of(read, least_pages, least_share).select("host", "hash"), "templates")
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     open_ = read.where("events is not null")
-    every = templates.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = open_.select("row", "host", part("row").alias("part"), F.explode("hashes").alias("hash")).join(every, ["host", "hash", "part"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("template"))
+    # both sides are plain rows of written tables, so adaptive execution may split a menu that stands on a third of all pages
+    own = open_.select("row", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("template"))
     joined = open_.select("key", "url", "row", "events").join(own, "row", "left").select("key", "url", "events", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
