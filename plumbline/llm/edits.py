@@ -8,7 +8,9 @@ are encoded again, and only the paths above their leaves are summed again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,28 +25,53 @@ from plumbline.llm.tokens import LOOK, Coder, coder
 LEAF, FULL = 64, 8
 
 
+#: Characters from which a text's pre-tokens are taken one by one, never all at once.
+LONG = 1 << 20
+
+
+def packed(pieces: list[str]) -> tuple[str, array]:
+    """A leaf: its pre-tokens as one string, and their lengths; many small strings would take twenty times the room."""
+    return "".join(pieces), array("I", map(len, pieces))
+
+
+def unpacked(leaf: tuple[str, array]) -> list[str]:
+    text, lengths = leaf
+    out, at = [], 0
+    for n in lengths:
+        out.append(text[at : at + n])
+        at += n
+    return out
+
+
 class TokenTree:
     """Token counts of one document under edits."""
 
     def __init__(self, text: str, code: Coder):
         self.code = code
         self.encoded = self.rebuilt = 0
-        self._build(code.pattern.findall(text))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._build(code.pattern.findall(text) if len(text) < LONG else (m.group() for m in code.pattern.finditer(text)))
+
+    def _build(self, pieces: Iterable[str]) -> None:
+        rest, leaves, tokens = iter(pieces), [], []
+        while own := list(islice(rest, LEAF)):
+            leaves.append(packed(own))
+            tokens.append(self._tokens(own))
+        self.leaves = leaves or [packed([])]
         self.width = 1
         while self.width < len(self.leaves):
             self.width *= 2
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, leaf in enumerate(self.leaves):
-            self._sum_leaf(i, leaf)
+        self.chars[self.width : self.width + len(leaves)] = [len(x[0]) for x in leaves]
+        self.tokens[self.width : self.width + len(leaves)] = tokens
         for i in range(self.width - 1, 0, -1):
             self._sum(i)
 
-    def _sum_leaf(self, i: int, leaf: list[str]) -> None:
-        self.chars[self.width + i] = sum(map(len, leaf))
-        self.tokens[self.width + i] = sum(map(len, map(self.code.pieces.__getitem__, leaf))) // 4
+    def _tokens(self, pieces: list[str]) -> int:
+        return sum(map(len, map(self.code.pieces.__getitem__, pieces))) // 4
+
+    def _set(self, i: int, pieces: list[str]) -> None:
+        self.leaves[i] = packed(pieces)
+        self.chars[self.width + i], self.tokens[self.width + i] = len(self.leaves[i][0]), self._tokens(pieces)
 
     def _sum(self, i: int) -> None:
         self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -58,7 +85,7 @@ class TokenTree:
         return self.tokens[1]
 
     def text(self) -> str:
-        return "".join(p for leaf in self.leaves for p in leaf)
+        return "".join(leaf[0] for leaf in self.leaves)
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds the character, and its first character's place."""
@@ -79,7 +106,7 @@ class TokenTree:
         while first and first_at > max(0, start - LOOK):
             first -= 1
             first_at -= self.chars[self.width + first]
-        pieces, keep, at = self.leaves[first], 0, first_at
+        pieces, keep, at = unpacked(self.leaves[first]), 0, first_at
         while keep < len(pieces) and at + len(pieces[keep]) <= start - LOOK:
             at += len(pieces[keep])
             keep += 1
@@ -94,7 +121,7 @@ class TokenTree:
         while True:
             while last + 1 < len(self.leaves) and (not ends or ends[-1] < end + 1):
                 last += 1
-                for p in self.leaves[last]:
+                for p in unpacked(self.leaves[last]):
                     place += len(p)
                     old.append(p)
                     ends.append(place)
@@ -116,7 +143,7 @@ class TokenTree:
             if met is not None or whole:
                 break
             last += 1
-            for p in self.leaves[last]:
+            for p in unpacked(self.leaves[last]):
                 place += len(p)
                 old.append(p)
                 ends.append(place)
@@ -127,11 +154,11 @@ class TokenTree:
         share = -(-len(merged) // slots) if merged else 0
         if share > LEAF * FULL:
             self.rebuilt += 1
-            self._build([p for leaf in self.leaves[:first] for p in leaf] + merged + [p for leaf in self.leaves[last + 1 :] for p in leaf])
+            before, after = self.leaves[:first], self.leaves[last + 1 :]
+            self._build(chain((p for leaf in before for p in unpacked(leaf)), merged, (p for leaf in after for p in unpacked(leaf))))
             return
         for i in range(slots):
-            self.leaves[first + i] = merged[i * share : (i + 1) * share]
-            self._sum_leaf(first + i, self.leaves[first + i])
+            self._set(first + i, merged[i * share : (i + 1) * share])
         low, high = (self.width + first) // 2, (self.width + last) // 2
         while low:
             for i in range(low, high + 1):
@@ -145,7 +172,8 @@ def count_under_edits(docs: DataFrame, edits: Column, ranks_path: str, pattern:
     edits is a column of array<struct<at: long, upto: long, new: string>>, places in characters of the text as it then is,
     cut to its ends; a null array, edit or replacement changes nothing or inserts nothing. A null text is empty. The
     result has the columns in keep, n_edits, n_chars, n_tokens, n_chars_after, n_tokens_after and n_encoded (pre-tokens
-    that edits had encoded again). Repeated rows each give a row; those names may not be among keep.
+    that edits had encoded again). Repeated rows each give a row; those names may not be among keep, and columns not in
+    keep are dropped; an empty table gives none. A document's tree is one task's work and holds its text about three times.
     """
     use_workers(docs.sparkSession)
     keep = list(keep or [])

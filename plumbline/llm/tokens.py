@@ -22,7 +22,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from plumbline.llm.common import slices, use_workers
 
-#: Characters that a match of the pre-token pattern may look at beyond its end.
+#: Characters that a match of the pre-token pattern may look at beyond its end. It holds for public_tokenizers.PATTERN and
+#: patterns like it, which look one character ahead; another pattern must not look further.
 LOOK = 4
 #: Pre-tokens whose ids a worker remembers; it starts afresh beyond that.
 MOST_PIECES = 200_000
@@ -33,11 +34,11 @@ _coders: dict[tuple[str, str], "Coder"] = {}
 class Pieces(dict):
     """Ids of pre-tokens as little-endian bytes, encoded when first asked for."""
 
-    def __init__(self, core):
-        self.core = core
+    def __init__(self, whole):
+        self.whole = whole
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.core.encode_single_piece(piece.encode("utf-8"))
+        ids = self.whole.encode_ordinary(piece)
         out = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(piece) <= 64:
             if len(self) >= MOST_PIECES:
@@ -59,7 +60,8 @@ class Coder:
                     token, rank = line.split()
                     ranks[base64.b64decode(token)] = int(rank)
         self.pattern = regex.compile(pattern)
-        self.pieces = Pieces(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe)
+        # the library is given whole pre-tokens: its own pattern takes any string as one
+        self.pieces = Pieces(tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}))
         self.bytes_of = {i.to_bytes(4, "little"): t for t, i in ranks.items()}
         self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
@@ -149,8 +151,8 @@ def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text
     A null text counts as an empty one: no ids. Repeated rows each give a row; an empty table gives none. Columns of
     df that are not named in keep are dropped, so clashing names cannot arise (n_tokens, ids_sha256, decoded_sha256
     and ids are reserved: a kept column of such a name is an error). Texts of at most long_chars characters are
-    encoded where they are read, chunk by chunk. Longer ones are dealt out chunk by chunk over the cluster.
-    Ids above 2**32 do not exist; the rank file must be readable by every executor.
+    encoded where they are read, chunk by chunk; one that fits in a chunk and its overlap is one chunk. Longer ones are dealt out chunk by chunk over the cluster.
+    The pattern must look no more than LOOK characters beyond a match. Ids above 2**32 do not exist; the rank file must be readable by every executor.
     """
     spark = df.sparkSession
     use_workers(spark)
