@@ -523,37 +523,24 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", group: i
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
-#: What tells of a stream, on the last of its PCM blocks.
-STORED = "media_bytes long, media_sha256 string, n_frames long"
+#: What a PCM block says beside its stream's key; what tells of the stream stands on its last block.
+BLOCK = (("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("pcm", pa.binary()), ("last", pa.bool_()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()))
+BLOCK_KINDS = "block long, sample_offset long, n_samples long, pcm binary, last boolean, media_bytes long, media_sha256 string, n_frames long"
+DIGEST_KINDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 20, most_samples: int = FRAME, carry: list[str] | None = None) -> DataFrame:
-    """(key, *carry, block, sample_offset, n_samples, pcm, last, ...): every stream's samples as blocks one can seek to.
-
-    A block holds whole frames, as many as most_samples hold, one at least; sample_offset is its first sample's place in
-    the stream. pcm interleaves the channels as little-endian signed integers of 8, 16 or 32 bits, the least that holds a
-    sample. Blocks of a stream come in order and within one task; its last one also has media_bytes and media_sha256 of
-    the stored stream and n_frames. A null stream gives no blocks, nor does one without frames; a damaged one raises
-    FlacError. Every header, frame and (for 8-bit mono) stream check is verified. Repeated rows each give their blocks;
-    other columns are dropped unless named in carry; an empty table gives none.
-    """
-    use_workers(df.sparkSession)
-    carry = list(carry or [])
-    names = ["key", *(f"c{i}" for i in range(len(carry)))]
-    picked = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(media).alias("media"))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
-    columns = ("block", "sample_offset", "n_samples", "pcm", "last", "media_bytes", "media_sha256", "n_frames")
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
-
-    def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def read_blocks(batches: Iterator[pa.RecordBatch], group: int, most_samples: int) -> Iterator[pa.RecordBatch]:
+    """PCM blocks of the streams in the last column, media, with the columns before it."""
+    for b in (x for whole in batches for x in slices(whole, "media", group)):
+        names = b.schema.names[:-1]
         stored = b.column("media").to_pylist()
         at = [i for i, x in enumerate(stored) if x is not None]
         row, rows, n = [], [], 0  # finished blocks of the batch that goes out next
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
         start = no = count = frames_read = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in names), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*names, *columns])
+            return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row, pa.int64())) for c in names), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), BLOCK))], names=[*names, *(c for c, _ in BLOCK)])
 
         for i, s, first, samples, last in decoded([stored[i] for i in at], group):
             if held and count + samples.shape[1] > most_samples:
@@ -577,54 +564,67 @@ def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", group:
         if rows:
             yield out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "media", group):
-                yield from blocks(b)
 
-    done = picked.mapInArrow(run, f"{', '.join(kinds)}, block long, sample_offset long, n_samples long, pcm binary, last boolean, {STORED}")
+def digest_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each stream of 8-bit mono, from its PCM blocks in order; no more than one block's samples are held."""
+    sha, tail, size, low, high, energy, turns, before = None, b"", 0, 0, 0, 0, 0, None
+    for b in batches:
+        at, rows = [], []
+        columns = [b.column(c).to_pylist() for c in ("sample_offset", "last", "media_bytes", "media_sha256", "n_frames")]
+        for i, (offset, last, media_bytes, media_sha256, n_frames) in enumerate(zip(*columns)):
+            signal = np.frombuffer(b.column("pcm")[i].as_buffer(), np.int8)
+            if not offset:
+                sha, tail, size, low, high, energy, turns, before = hashlib.sha256(), b"", 0, 127, -128, 0, 0, None
+            if offset != size:
+                raise FlacError(f"a block begins at sample {offset}, not at {size}")
+            payload = (signal.view(np.uint8) ^ np.uint8(0x80)).tobytes()
+            sha.update(payload)
+            tail, size = (tail + payload[-64:])[-64:], size + len(payload)
+            low, high = min(low, int(signal.min())), max(high, int(signal.max()))
+            wide = signal.astype(np.int64)
+            up = signal >= 0
+            energy += int(wide @ wide)
+            turns += int(np.count_nonzero(up[1:] != up[:-1])) + (before is not None and bool(before != up[0]))
+            before = up[-1]
+            if last:
+                at.append(i), rows.append((size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, f"frames={n_frames};low={low};high={high};energy={energy};turns={turns}"))
+        if rows:
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            which = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("key").take(which), b.column("n_bytes").take(which), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+def pcm_blocks(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 20, most_samples: int = FRAME, carry: list[str] | None = None) -> DataFrame:
+    """(key, *carry, block, sample_offset, n_samples, pcm, last, ...): every stream's samples as blocks one can seek to.
+
+    A block holds whole frames, as many as most_samples hold, one at least; sample_offset is its first sample's place in
+    the stream. pcm interleaves the channels as little-endian signed integers of 8, 16 or 32 bits, the least that holds a
+    sample. Blocks of a stream come in order and within one task; its last one also has media_bytes and media_sha256 of
+    the stored stream and n_frames. A null stream gives no blocks, nor does one without frames; a damaged one raises
+    FlacError. Every header, frame and (for 8-bit mono) stream check is verified. Repeated rows each give their blocks;
+    other columns are dropped unless named in carry; an empty table gives none.
+    """
+    use_workers(df.sparkSession)
+    carry = list(carry or [])
+    picked = df.select(F.col(key).alias("key"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(media).alias("media"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    done = picked.mapInArrow(lambda it: read_blocks(it, group, most_samples), f"{', '.join(kinds)}, {BLOCK_KINDS}")
     return done.withColumnsRenamed({"key": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
 
-def block_digests(blocks: DataFrame, key: str = "doc_id", n_bytes: str = "n_bytes") -> DataFrame:
-    """Per stream of 8-bit mono, from its PCM blocks as pcm_blocks gives them: hashes of its payload and features.
+def block_digests(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per stream of 8-bit mono, from the blocks of pcm_blocks with n_bytes carried: hashes of its payload and features.
 
-    Blocks are read one after the other, in the tasks that made them: nothing is shuffled, and no more than one block is
-    held. Repeated rows each give a row.
+    Nothing is shuffled: blocks are read in the tasks that made them, so they must come straight from pcm_blocks.
+    Repeated rows each give a row; an empty table gives none.
     """
-    picked = blocks.select(F.col(key).alias("key"), F.col(n_bytes).alias("n_bytes"), "sample_offset", "pcm", "last", "media_bytes", "media_sha256", "n_frames")
-    kind = picked.schema["key"].dataType.simpleString()
+    picked = blocks.select(F.col(key).alias("key"), "n_bytes", "sample_offset", "pcm", "last", "media_bytes", "media_sha256", "n_frames")
+    return picked.mapInArrow(digest_blocks, f"key {picked.schema['key'].dataType.simpleString()}, {DIGEST_KINDS}").withColumnRenamed("key", key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha, tail, size, low, high, energy, turns, before = None, b"", 0, 0, 0, 0, 0, None
-        for b in batches:
-            at, rows = [], []
-            columns = [b.column(c).to_pylist() for c in ("sample_offset", "last", "media_bytes", "media_sha256", "n_frames")]
-            for i, (offset, last, media_bytes, media_sha256, n_frames) in enumerate(zip(*columns)):
-                signal = np.frombuffer(b.column("pcm")[i].as_buffer(), np.int8)
-                if not offset:
-                    sha, tail, size, low, high, energy, turns, before = hashlib.sha256(), b"", 0, 127, -128, 0, 0, None
-                if offset != size:
-                    raise FlacError(f"a block begins at sample {offset}, not at {size}")
-                payload = (signal.view(np.uint8) ^ np.uint8(0x80)).tobytes()
-                sha.update(payload)
-                tail, size = (tail + payload[-64:])[-64:], size + len(payload)
-                low, high = min(low, int(signal.min())), max(high, int(signal.max()))
-                wide = signal.astype(np.int32)
-                up = signal >= 0
-                energy += int(np.dot(wide, wide)) if len(wide) < 1 << 16 else int((wide.astype(np.int64) ** 2).sum())
-                turns += int(np.count_nonzero(up[1:] != up[:-1])) + (before is not None and before != up[0])
-                before = up[-1]
-                if last:
-                    at.append(i), rows.append((size, sha.hexdigest(), zlib.crc32(tail), media_bytes, media_sha256, f"frames={n_frames};low={low};high={high};energy={energy};turns={turns}"))
-            if rows:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                which = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("key").take(which), b.column("n_bytes").take(which), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return picked.mapInArrow(run, f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("key", key)
-
-
-def media_digests(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """Per stored text: its stream is read back into PCM blocks, and these give the payload's hashes and features."""
-    return block_digests(pcm_blocks(df, key, media, most_samples=1 << 16, carry=["n_bytes"]), key)
+
+def media_digests(df: DataFrame, key: str = "doc_id", media: str = "media", group: int = 1 << 20) -> DataFrame:
+    """block_digests of pcm_blocks of every stored text (key, n_bytes, media), in one pass through Python."""
+    use_workers(df.sparkSession)
+    picked = df.select(F.col(key).alias("key"), F.col("n_bytes"), F.col(media).alias("media"))
+    both = lambda it: digest_blocks(read_blocks(it, group, 1 << 16))
+    return picked.mapInArrow(both, f"key {picked.schema['key'].dataType.simpleString()}, {DIGEST_KINDS}").withColumnRenamed("key", key)

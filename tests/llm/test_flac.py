@@ -154,6 +154,8 @@ def test_blocks_hold_whole_frames_and_say_where_they_begin(spark):
         assert r["sample_offset"] % 576 == 0 and r["n_samples"] <= 4096 and r["n_bytes"] == 50_000
         assert bytes(x ^ 0x80 for x in r["pcm"]) == want[r["sample_offset"] : r["sample_offset"] + r["n_samples"]]
     assert sum(r["n_samples"] for r in first) == 2 * len(want)
+    blocks = flac.pcm_blocks(flac.store_texts(docs), most_samples=4096, carry=["n_bytes"])
+    assert sorted(flac.block_digests(blocks).collect()) == sorted(flac.media_digests(flac.store_texts(docs)).collect())
 
 
 def test_a_long_stream_is_decoded_in_groups(monkeypatch):
