@@ -13,8 +13,9 @@ from plumbline.llm.common import use_workers
 
 #: Rules of the URL filter: (verdict, host, path).
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Listed canonical URLs: sites of advertisers and spammers.
+#: Listed URLs: sites of advertisers and spammers, and two sites' articles numbered below LISTED_ARTICLES, made by a rule.
 LISTED_URLS = tuple(f"http://{name}.example.com/" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"))
+LISTED_SITES, LISTED_ARTICLES = ("thther", "ththth"), 8192
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -23,9 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    each = lambda *values: F.explode(F.array(*map(F.lit, values)))
+    parts = spark.range(LISTED_ARTICLES).select("id", each("", "www.", "m.", "blog.").alias("sub")).withColumn("site", each(*LISTED_SITES)).withColumn("end", each("com", "net")).withColumn("lang", each("en", "es"))
+    articles = parts.select(F.format_string("http://%s%s.example.%s/%s/%d", "sub", "site", "end", "lang", "id").alias("url"))
+    return articles.unionByName(spark.createDataFrame([(u,) for u in LISTED_URLS], "url string"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "url string")
-    return urls.filter_urls(table(spark, sf_dir, "pages"), listed, URL_RULES)
+    return urls.filter_urls(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES)
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +104,8 @@ ruled AS (
   FROM cut)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(bare, '^((m|blog)\.)?(thther|ththth)\.example\.(com|net)$') AND regexp_matches(path, '^/+(en|es)/+(0|[1-9][0-9]*)/*$')
+      AND TRY_CAST(regexp_extract(path, '([0-9]+)/*$', 1) AS BIGINT) < 8192 THEN 'block'
     WHEN regexp_matches(bare, '^(.*\.)?(ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.com$') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
