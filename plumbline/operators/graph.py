@@ -23,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         near = links.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
         seen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         told = seen.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
-        low = seen.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("told", "low")).alias("low"))
+        # written, so that the look-up of roots joins plain rows and adaptive execution may split a root that many nodes have
+        low = written(seen.join(told, "node", "left").select("node", "root", F.least("low", F.coalesce("told", "low")).alias("low")), "low")
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         fresh = written(low.join(jump, "low", "left").select("node", F.coalesce("lower", "low").alias("root"), (F.coalesce("lower", "low") != F.col("root")).alias("moved")), "labels")
         labels = fresh.select("node", "root")
