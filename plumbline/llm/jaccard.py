@@ -11,52 +11,83 @@ the full sets are kept: as a forest for components, and where asked for as link
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, use_workers, written
 from plumbline.llm.components import connected, forest
 from plumbline.llm.words import shingle_sets
 
-#: A shingle that so many documents have counts as common; at most so many common shingles are made known to all tasks.
+#: A shingle that so many sets have counts as common; a list of at most so many common shingles is broadcast, and a longer
+#: one is joined with the shingles of all sets.
 COMMON, MOST_COMMON = 16, 1 << 21
+#: Bits of a token, which names a shingle while candidates are sought: 10^13 shingles would still leave most apart.
+TOKEN = 48
 #: Shingles that one task holds before it passes their counts on; documents in a block of the product.
 FLUSH, BLOCK = 1 << 22, 1024
-#: Bytes of input for each range of shingles.
-RANGE_BYTES = 4 << 20
+#: Bytes of input for each range of tokens, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 20
 #: Bits of the largest filter of documents that have a candidate.
 MOST_FILTER_BITS = 1 << 27
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of four-byte words, byte plane by byte plane, so that the shuffle's compression finds the zeros."""
-    return b"".join(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays)
+def pack(*parts: tuple[np.ndarray, int]) -> bytes:
+    """Arrays of whole numbers of so many bytes each, byte plane by byte plane, so that compression finds the zeros."""
+    return b"".join(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for x, w in parts)
 
 
-def unpack(blob: bytes, parts: int) -> list[np.ndarray]:
-    n = len(blob) // (4 * parts)
-    return [np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 4 * n * i).reshape(4, n).T).view("<u4").ravel() for i in range(parts)]
+def unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
+    n, at, out = len(blob) // sum(widths), 0, []
+    for w in widths:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :w] = np.frombuffer(blob, np.uint8, w * n, at).reshape(w, n).T
+        out.append(wide.view("<u8").ravel())
+        at += w * n
+    return out
+
+
+#: Bytes of a token, a set's name and a set's size in a blob.
+WIDTHS = (TOKEN // 8, 8, 4)
+
+
+def tokens_of(own: np.ndarray) -> np.ndarray:
+    """The tokens of sorted 64-bit shingles, in order."""
+    return own >> np.uint64(64 - TOKEN)
 
 
 def by_range(sorted_tokens: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of so many equal ranges of 32-bit tokens begins, and the end."""
-    edges = (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges)
+    """Where each of so many equal ranges of tokens (a power of two) begins, and the end."""
+    edges = np.arange(1, ranges, dtype=np.uint64) << np.uint64(TOKEN - (ranges.bit_length() - 1))
     return np.concatenate(([0], np.searchsorted(sorted_tokens, edges), [len(sorted_tokens)]))
 
 
 def range_count(docs: DataFrame) -> int:
-    """Ranges to deal shingles into: as the input's size asks for, so that none outgrows a task as tables grow."""
+    """Ranges to deal tokens into, a power of two: as the input's size asks for, so that none outgrows a task."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0  # tables without files tell no size
-    return min(1 << 16, max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES))
+    wanted = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // RANGE_BYTES, 1)
+    return min(MOST_RANGES, 1 << (wanted - 1).bit_length())
+
+
+def ranged(tokens: np.ndarray, ranges: int, *others: tuple[np.ndarray, int]) -> pa.RecordBatch:
+    """(range, blob) of sorted tokens, as differences within their range, and of what goes with them."""
+    cut = by_range(tokens, ranges)
+    some = np.flatnonzero(cut[1:] > cut[:-1])
+    blobs = [pack((np.diff(tokens[a:b], prepend=np.uint64(0)), WIDTHS[0]), *((x[a:b], w) for x, w in others)) for a, b in zip(cut[some].tolist(), cut[some + 1].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
 
 def set_key(own: np.ndarray) -> int:
-    """An even 64-bit name of a set; odd numbers name shingles."""
+    """An even 64-bit name of a set; odd numbers name tokens.
+
+    Equal sets are told by their names, and shingles by 64-bit hashes. The chance that any two of n different sets share a
+    name is about n * n / 2**64: 0.05 for 10**9 sets.
+    """
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) & ~1
 
 
@@ -66,7 +97,7 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, text: str, k: int, ranges: int) -> DataFrame:
-    """(token, df): 32-bit classes of shingles that COMMON documents or more have."""
+    """(token, df): tokens that COMMON documents or more have, and in how many they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -74,15 +105,12 @@ def shingle_counts(docs: DataFrame, text: str, k: int, ranges: int) -> DataFrame
 
         def out():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            cut = by_range(tokens, ranges)
-            blobs = [pack(np.diff(tokens[a:b], prepend=np.uint32(0)), counts[a:b]) for a, b in zip(cut, cut[1:])]
-            some = [i for i, x in enumerate(blobs) if x]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blobs[i] for i in some], pa.binary())], names=["range", "blob"])
+            return ranged(tokens, ranges, (counts, 4))
 
         for whole in batches:
             for b in slices(whole, text):
                 for own in shingle_sets(b.column(text), k):
-                    held.append((own >> np.uint64(32)).astype(np.uint32))
+                    held.append(tokens_of(own))
                     n += len(own)
                 if n >= FLUSH:
                     yield out()
@@ -91,39 +119,21 @@ def shingle_counts(docs: DataFrame, text: str, k: int, ranges: int) -> DataFrame
             yield out()
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, 2) for x in table.column("blob").to_pylist()]
-        tokens = np.concatenate([np.cumsum(t, dtype=np.uint32) for t, _ in parts])
+        parts = [unpack(x, WIDTHS[0], 4) for x in table.column("blob").to_pylist()]
+        tokens = np.concatenate([np.cumsum(t, dtype=np.uint64) for t, _ in parts])
         counts = np.concatenate([c for _, c in parts])
         order = np.argsort(tokens, kind="stable")
         tokens, counts = tokens[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, int)
-        df = np.add.reduceat(counts.astype(np.int64), first) if len(tokens) else counts.astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        df = np.add.reduceat(counts.astype(np.int64), first)
         keep = df >= COMMON
         return pa.table({"token": tokens[first][keep].astype(np.int64), "df": df[keep]})
 
     return docs.select(text).mapInArrow(count, "range int, blob binary").groupBy("range").applyInArrow(add, "token long, df long")
 
 
-def common_shingles(docs: DataFrame, text: str, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the most common shingles in order and their document counts: at most MOST_COMMON of them."""
-    counts = written(shingle_counts(docs, text, k, ranges), "common")
-    levels = {r["level"]: r["n"] for r in counts.groupBy(F.floor(F.log2("df")).alias("level")).agg(F.count("*").alias("n")).collect()}
-    least, total = max(levels, default=0) + 1, 0
-    while least - 1 in levels or least > min(levels, default=least):
-        if total + levels.get(least - 1, 0) > MOST_COMMON:
-            break
-        least -= 1
-        total += levels.get(least, 0)
-    got = counts.where(F.col("df") >= 2 ** int(least)).toArrow() if total else None
-    if got is None or not got.num_rows:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    tokens, df = got.column("token").to_numpy().astype(np.uint32), got.column("df").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], df[order]
-
-
-def described(docs: DataFrame, key: str, text: str, k: int, percent: int, common) -> DataFrame:
-    """Each row's key, set size n, set name sk, and for the first row of a set in a task its prefix: rare and common tokens."""
+def described(docs: DataFrame, key: str, text: str, k: int, percent: int, common, prefixes: bool) -> DataFrame:
+    """Each row's key, set size n, set name sk, and if asked for the first row of a set in a task its prefix: rare and common tokens."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = common.value
@@ -136,22 +146,22 @@ def described(docs: DataFrame, key: str, text: str, k: int, percent: int, common
                     sizes.append(n)
                     name = set_key(own) if n else None
                     names.append(name)
-                    if not n or name in seen:
+                    if not n or not prefixes or name in seen:
                         rare.append(None), often.append(None)
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(name)
-                    tokens, p = (own >> np.uint64(32)).astype(np.uint32), n - -(-n * percent // 100) + 1
+                    tokens, p = tokens_of(own), n - -(-n * percent // 100) + 1
                     if not len(known):
-                        rare.append(pack(tokens[:p])), often.append(None)
+                        rare.append(pack((tokens[:p], WIDTHS[0]))), often.append(None)
                         continue
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                     is_common = known[at] == tokens
                     light = tokens[~is_common][:p]
-                    rare.append(pack(light))
+                    rare.append(pack((light, WIDTHS[0])))
                     if len(light) < p:
                         heavy, count = tokens[is_common], df[at[is_common]]
-                        often.append(pack(heavy[np.argsort(count, kind="stable")][: p - len(light)]))
+                        often.append(pack((heavy[np.argsort(count, kind="stable")][: p - len(light)], WIDTHS[0])))
                     else:
                         often.append(None)
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(rare, pa.binary()), pa.array(often, pa.binary())], names=["key", "n", "sk", "rare", "often"])
@@ -160,41 +170,85 @@ def described(docs: DataFrame, key: str, text: str, k: int, percent: int, common
     return docs.select(key, text).mapInArrow(describe, f"key {kind}, n long, sk long, rare binary, often binary")
 
 
-def candidate_pairs(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
-    """(u, v): pairs of sets whose shared rare prefix shingles reach the bound that their sizes imply."""
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        n = 0
+def postings(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
+    """(range, blob) of (tokens, names of their sets, the sets' sizes), some at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
 
-        def out():
-            tokens, names, sizes = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(tokens, kind="stable")
-            tokens, names, sizes = tokens[order], names[order].view(np.uint64), sizes[order]
-            cut = by_range(tokens, ranges)
-            blobs = [pack(np.diff(tokens[a:b], prepend=np.uint32(0)), names[a:b] & np.uint64(0xFFFFFFFF), names[a:b] >> np.uint64(32), sizes[a:b]) for a, b in zip(cut, cut[1:])]
-            some = [i for i, x in enumerate(blobs) if x]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blobs[i] for i in some], pa.binary())], names=["range", "blob"])
+    def out() -> pa.RecordBatch:
+        tokens, names, sizes = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(tokens, kind="stable")
+        return ranged(tokens[order], ranges, (names[order].view(np.uint64), WIDTHS[1]), (sizes[order], WIDTHS[2]))
 
-        for b in batches:
-            for name, size, blob in zip(b.column("sk").to_pylist(), b.column("n").to_pylist(), b.column("rare").to_pylist()):
-                if blob:
-                    tokens = unpack(blob, 1)[0]
-                    held.append((tokens, np.full(len(tokens), name, np.int64), np.full(len(tokens), size, np.uint32)))
-                    n += len(tokens)
-            if n >= FLUSH // 4:
-                yield out()
-                held, n = [], 0
-        if n:
+    for one in found:
+        held.append(one)
+        n += len(one[0])
+        if n >= FLUSH // 4:
             yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, names and sizes of a range's postings."""
+    parts = [unpack(x, *WIDTHS) for x in table.column("blob").to_pylist()]
+    tokens = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts])
+    names, sizes = (np.concatenate([x[i] for x in parts]) for i in (1, 2))
+    return tokens, names.view(np.int64), sizes.astype(np.int64)
+
+
+def joined_prefixes(docs: DataFrame, text: str, k: int, percent: int, counts: DataFrame, ranges: int) -> DataFrame:
+    """(sk, n, token, df) of each set's prefix, df 0 for rare tokens, where the common ones are too many to be broadcast.
+
+    Every token of every set meets its range of the counts, and each set's tokens are then ranked by count. A set may stand
+    in several tasks; its tokens then come several times, which the dense rank does not mind.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            seen: set[int] = set()
+            for whole in batches:
+                for b in slices(whole, text):
+                    for own in shingle_sets(b.column(text), k):
+                        if not len(own) or (name := set_key(own)) in seen:
+                            continue
+                        if len(seen) < 1 << 20:
+                            seen.add(name)
+                        yield tokens_of(own), np.full(len(own), name, np.int64), np.full(len(own), len(own), np.int64)
+
+        return postings(found(), ranges)
+
+    def look_up(key: tuple, sets: pa.Table, known: pa.Table) -> pa.Table:
+        if not sets.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("sk", "n", "token", "df")})
+        tokens, names, sizes = unpacked(sets)
+        token, df = known.column("token").to_numpy().astype(np.uint64), known.column("df").to_numpy()
+        count = np.zeros(len(tokens), np.int64)
+        if len(token):
+            order = np.argsort(token)
+            at = np.minimum(np.searchsorted(token, tokens, sorter=order), len(token) - 1)
+            hit = token[order[at]] == tokens
+            count[hit] = df[order[at[hit]]]
+        return pa.table({"sk": names, "n": sizes, "token": tokens.astype(np.int64), "df": count})
+
+    shift = TOKEN - (ranges.bit_length() - 1)
+    dealt = counts.select("token", "df", F.shiftright("token", shift).cast("int").alias("range"))
+    met = docs.select(text).mapInArrow(every, "range int, blob binary").groupBy("range").cogroup(dealt.groupBy("range")).applyInArrow(look_up, "sk long, n long, token long, df long")
+    place = F.dense_rank().over(Window.partitionBy("sk").orderBy("df", "token"))
+    return met.withColumn("place", place).where(F.expr(f"place <= n - cast(-floor(-({percent}D * n) / 100) as long) + 1")).drop("place")
+
+
+def candidate_pairs(parts: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of sets whose shared rare prefix tokens, from (range, blob), reach the bound that their sizes imply.
+
+    A rare token is in fewer than COMMON sets, so the pairs of one token are few.
+    """
 
     def pair(table: pa.Table) -> pa.Table:
-        parts = [unpack(x, 4) for x in table.column("blob").to_pylist()]
-        tokens = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in parts])
-        low, high, sizes = (np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
-        names = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
+        tokens, names, sizes = unpacked(table)
         order = np.lexsort((names, sizes, tokens))
-        tokens, names, sizes = tokens[order], names[order], sizes[order].astype(np.int64)
+        tokens, names, sizes = tokens[order], names[order], sizes[order]
         new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (names[1:] != names[:-1])))
         tokens, names, sizes = tokens[new], names[new], sizes[new]
         found = []
@@ -215,8 +269,7 @@ def candidate_pairs(sets: DataFrame, percent: int, ranges: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))))
         return pa.table({"u": u[first], "v": v[first], "nu": nu[first], "nv": nv[first], "shared": np.diff(np.append(first, len(u)))})
 
-    parts = sets.select("sk", "n", "rare").where("rare is not null").mapInArrow(post, "range int, blob binary").groupBy("range").applyInArrow(pair, "u long, v long, nu long, nv long, shared long")
-    total = parts.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
+    total = parts.groupBy("range").applyInArrow(pair, "u long, v long, nu long, nv long, shared long").groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("shared"))
     least = F.expr(f"cast(-floor(-({percent}D * (nu + nv)) / (100 + {percent})) as long)")
     beyond = F.greatest(*(F.expr(f"cast(-floor(-({percent}D * {n}) / 100) as long) - 1") for n in ("nu", "nv")))
     return total.where(F.col("shared") >= F.greatest(F.lit(1), least - beyond)).select("u", "v")
@@ -372,6 +425,24 @@ def full_sets(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
     return docs.select(text).mapInArrow(pick, "sk long, n long, tokens binary")
 
 
+def bands(clusters: DataFrame, rows: DataFrame, percent: int, weighted: bool) -> DataFrame:
+    """(sk, cluster, copies, band, chunks, above, below) of clusters of two sets or more.
+
+    A cluster of more than BLOCK sets is dealt into bands of size: sets whose bands are no neighbours differ too much in
+    size to link. chunks is the number of blocks in the set's band, above and below those in the bands beside it.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
+    sets = rows.where("sk is not null").groupBy("sk").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
+    band = F.when(F.col("members") > BLOCK, F.floor(F.log("n") / width)).otherwise(0).cast("long")
+    placed = clusters.join(sizes, "cluster").join(sets, "sk").select("sk", "cluster", F.col("copies") if weighted else F.lit(1).cast("long").alias("copies"), band.alias("band"))
+    counts = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
+    order = Window.partitionBy("cluster").orderBy("band")
+    beside = lambda f, by: F.when(f("band").over(order) == F.col("band") + by, f("chunks").over(order)).otherwise(0)
+    around = counts.select("cluster", "band", "chunks", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    return placed.join(around, ["cluster", "band"])
+
+
 def compared(base: DataFrame, k: int, percent: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
     """From (key, text): each row's key, set size n and set name sk; and blocks of full sets for block_links.
 
@@ -379,32 +450,56 @@ def compared(base: DataFrame, k: int, percent: int, weighted: bool) -> tuple[Dat
     """
     spark = base.sparkSession
     ranges = range_count(base)
-    common = spark.sparkContext.broadcast(common_shingles(base, "text", k, ranges))
-    rows = written(described(base, "key", "text", k, percent, common), "sets")
-    light = candidate_pairs(rows, percent, ranges)
+    counts = written(shingle_counts(base, "text", k, ranges), "common")
+    few = counts.count() <= MOST_COMMON
+    if few:
+        got = counts.toArrow()
+        token, df = got.column("token").to_numpy().astype(np.uint64), got.column("df").to_numpy()
+        order = np.argsort(token)
+        known = token[order], np.minimum(df[order], 2**31 - 1).astype(np.int32)
+    else:
+        known = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    rows = written(described(base, "key", "text", k, percent, spark.sparkContext.broadcast(known), few), "sets")
+
+    def rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for b in batches:
+                for name, n, blob in zip(b.column("sk").to_pylist(), b.column("n").to_pylist(), b.column("rare").to_pylist()):
+                    if blob:
+                        tokens = unpack(blob, WIDTHS[0])[0]
+                        yield tokens, np.full(len(tokens), name, np.int64), np.full(len(tokens), n, np.int64)
 
-    def tokens_of(batches):
+        return postings(found(), ranges)
+
+    def often_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, v = [], []
             for name, blob in zip(b.column("sk").to_pylist(), b.column("often").to_pylist()):
                 if blob:
-                    t = unpack(blob, 1)[0].astype(np.int64) * 2 + 1
+                    t = unpack(blob, WIDTHS[0])[0].astype(np.int64) * 2 + 1
                     v.append(t), u.append(np.full(len(t), name, np.int64))
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    heavy = rows.select("sk", "often").where("often is not null").mapInArrow(tokens_of, "u long, v long")
-    clusters = connected(light.unionByName(heavy)).where(F.pmod("node", F.lit(2)) == 0).select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
-    placed = clusters.join(sizes, "cluster").select("sk", "cluster", F.ceil(F.col("members") / BLOCK).cast("int").alias("chunks"))
-    if weighted:
-        placed = placed.join(rows.groupBy("sk").agg(F.count("*").alias("copies")), "sk")
+    def rare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return postings(((b.column("token").to_numpy().astype(np.uint64), b.column("sk").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows), ranges)
+
+    if few:
+        rare = rows.select("sk", "n", "rare").where("rare is not null").mapInArrow(rare_of, "range int, blob binary")
+        heavy = rows.select("sk", "often").where("often is not null").mapInArrow(often_of, "u long, v long")
     else:
-        placed = placed.withColumn("copies", F.lit(1).cast("long"))
-    placed = written(placed, "clusters")
+        prefixes = written(joined_prefixes(base, "text", k, percent, counts, ranges), "prefixes")
+        rare = prefixes.where("df = 0").select("sk", "n", "token").mapInArrow(rare_rows, "range int, blob binary")
+        heavy = prefixes.where("df > 0").select(F.col("sk").alias("u"), (F.col("token") * 2 + 1).alias("v"))
+    light = candidate_pairs(rare, percent)
+    clusters = connected(light.unionByName(heavy)).where(F.pmod("node", F.lit(2)) == 0).select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
+    placed = written(bands(clusters, rows, percent, weighted), "clusters")
     wanted = spark.sparkContext.broadcast(filter_of(placed, placed.count()))
-    chunk = F.pmod(F.xxhash64("sk"), F.col("chunks")).cast("int")
-    dealt = full_sets(base, "text", k, wanted).join(placed, "sk").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    name = lambda band, c: F.shiftleft(band, 32) + c
+    each = lambda n, band: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1), lambda c: c < F.col(n)), lambda c: name(band, c))
+    own = F.pmod(F.xxhash64("sk"), F.col("chunks"))
+    others = F.concat(each("chunks", F.col("band")), each("above", F.col("band") + 1), each("below", F.col("band") - 1))
+    dealt = full_sets(base, "text", k, wanted).join(placed, "sk").withColumn("chunk", name(F.col("band"), own)).withColumn("other", F.explode(others))
     blocks = dealt.select("cluster", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "sk", "tokens", "copies")
     return rows, blocks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
 

@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from plumbline.llm import jaccard
 from plumbline.llm.components import connected
 
@@ -106,3 +110,37 @@ def test_links_and_pairs(spark, monkeypatch):
     found = pairs.collect()
     assert len(found) == len(want) > 50 and {(r["u"], r["v"], r["shared"]) for r in found} == want
     assert len(sk) == len(rows) and all(r["similarity"] >= 0.85 and r["u"] < r["v"] for r in found)
+
+
+@pytest.mark.parametrize("common, most", [(1, 1), (1, 1 << 21), (2, 1)])
+def test_whatever_counts_as_common(spark, monkeypatch, common, most):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "MOST_COMMON", most)
+    check(spark, corpus(7, 12, 8))
+
+
+def test_bands_of_size_in_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "COMMON", 2)
+    words = [f"w{i}" for i in range(420)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([*range(4, 400, 5), *range(6, 400, 17), 4, 200, 200, 395])]
+    check(spark, rows)
+    base = spark.createDataFrame(rows, "key long, text string")
+    described, blocks = jaccard.compared(base, 4, 85, False)
+    n = {r["sk"]: r["n"] for r in described.collect()}
+    met = {}
+    for r in blocks.select("cluster", "lo", "hi", "sk").collect():
+        met.setdefault((r["cluster"], r["lo"], r["hi"]), set()).add(n[r["sk"]])
+    assert len(met) > 20 and all(max(x) <= 1.5 * min(x) + 1 for x in met.values())  # no block holds sets of far sizes
+
+
+def test_tokens_of_48_bits_go_through_blobs():
+    draw = np.random.default_rng(3)
+    tokens = np.unique(draw.integers(0, 1 << jaccard.TOKEN, 5000, dtype=np.uint64))
+    names, sizes = draw.integers(-(2**63), 2**63 - 1, len(tokens)), draw.integers(1, 2**31, len(tokens))
+    parts = jaccard.ranged(tokens, 64, (names.view(np.uint64), 8), (sizes, 4))
+    assert parts.num_rows == 64
+    got = [jaccard.unpacked(pa.Table.from_batches([parts.slice(i, 1)])) for i in range(64)]
+    for i, want in enumerate((tokens, names, sizes)):
+        assert (np.concatenate([g[i] for g in got]) == want).all()
+    assert all((g[0] >> np.uint64(jaccard.TOKEN - 6) == i).all() for i, g in enumerate(got))
