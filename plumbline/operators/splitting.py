@@ -1,21 +1,22 @@
 """Group-aware stratified splits that leak no group from one split into another.
 
-Groups are dealt to folds greedily, the most uneven first, each to the fold that keeps the class shares closest. That
-runs over group sizes, not rows; beyond GREEDY groups the small rest is dealt by a seeded hash, which at that number
-stratifies by itself. Which group lands where depends on the seed alone, not on partitions.
+Groups of the same class counts are alike, so every fold gets the same number of them. What that leaves over, fewer than
+folds of each kind, is dealt greedily, the most uneven first, each to the fold that keeps the class shares closest. That
+runs over kinds of groups, whose number is bounded, so it is the same at any number of groups. Which group lands where
+depends on the seed alone, not on partitions.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import folds_for
 from plumbline.tables import written
 
-GREEDY = 100_000
+#: Bits of a class's count that tell kinds of groups apart: counts below 2**BITS exactly, others to under 1 %.
+BITS = 7
 
 
 def deal(counts: np.ndarray, folds: int) -> np.ndarray:
@@ -33,30 +34,46 @@ def deal(counts: np.ndarray, folds: int) -> np.ndarray:
     return out
 
 
+def coarse(n: Column) -> Column:
+    """n with its highest BITS bits."""
+    low = F.greatest(F.floor(F.log2(n.cast("double"))).cast("int") - (BITS - 1), F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, low), low)
+
+
+def numbered(rows: DataFrame, by: str, turn: str, key: str) -> DataFrame:
+    """rows with rank: from 0 within by, in the order of turn and key; counts per range of turn come first, so no window
+    spans all rows of one value."""
+    parts = rows.withColumn("part", F.shiftright(turn, 48))
+    counts = parts.groupBy(by, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy(by, "part").orderBy(turn, key))
+    return parts.join(counts.select(by, "part", before.alias("before")), [by, "part"]).withColumn("rank", F.col("before") + place - 1).drop("before", "part")
+
+
 def fold_of_groups(samples: DataFrame, folds: int, seed: int, group: str = "group_id", label: str = "label") -> DataFrame:
     """(group, fold) of every group; an error if there are fewer groups than folds."""
-    counts = written(samples.groupBy(F.col(group).alias("group"), F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n")), "groups")
-    spread = counts.groupBy("group").agg(F.sum("n").alias("size"), F.coalesce(F.stddev_pop("n"), F.lit(0.0)).alias("spread"))
-    spread = spread.withColumn("turn", F.xxhash64(F.lit(seed), "group"))
-    n = spread.count()
-    if n < folds:
-        raise ValueError(f"{n} groups are too few for {folds} folds")
-    first = spread.orderBy(F.desc("size"), "turn", "group").limit(GREEDY) if n > GREEDY else spread
-    rows = first.join(counts, "group").select("group", "label", "n", "size", "turn")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=["turn", "group"], columns="label", values="n", fill_value=0, dropna=False, aggfunc="sum").fillna(0)
-        wide = wide[wide.sum(axis=1) > 0].reset_index()
-        m = wide.drop(columns=["turn", "group"]).to_numpy(float)
-        order = np.lexsort((wide["group"].to_numpy(), wide["turn"].to_numpy(), -m.std(axis=1)))
-        return pd.DataFrame({"group": wide["group"].to_numpy()[order], "fold": deal(m[order], folds)})
-
-    kind = counts.schema["group"].dataType.simpleString()
-    done = rows.fillna("", ["label"]).withColumn("every", F.lit(1)).groupBy("every").applyInPandas(greedy, f"group {kind}, fold long")
-    if n > GREEDY:
-        rest = spread.join(first.select("group"), "group", "left_anti")
-        done = done.unionByName(rest.select("group", F.pmod(F.col("turn"), F.lit(folds)).alias("fold")))
-    return done
+    by_class = samples.groupBy(F.col(group).alias("group"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+    counts = F.array_sort(F.collect_list(F.struct("label", "n")))
+    kind = F.concat_ws(",", F.transform("counts", lambda c: F.concat_ws(":", F.hex(F.encode(c["label"], "UTF-8")), coarse(c["n"]).cast("string"))))
+    groups = by_class.groupBy("group").agg(counts.alias("counts")).select("group", "counts", kind.alias("kind"), F.xxhash64(F.lit(seed), "group").alias("turn"))
+    groups = written(groups, "groups")
+    kinds = {r["kind"]: r["n"] for r in groups.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # bounded: see BITS
+    if sum(kinds.values()) < folds:
+        raise ValueError(f"{sum(kinds.values())} groups are too few for {folds} folds")
+    sums = groups.select("kind", F.explode("counts").alias("c")).groupBy("kind", "c.label").agg(F.sum("c.n").alias("n")).collect()
+    names = {x: i for i, x in enumerate(sorted({r["label"] for r in sums}))}
+    mean = {k: np.zeros(len(names)) for k in kinds}
+    for r in sums:
+        mean[r["kind"]][names[r["label"]]] = r["n"] / kinds[r["kind"]]
+    order = sorted(kinds, key=lambda k: (-mean[k].std(), -mean[k].sum(), k))
+    left = [k for k in order for _ in range(kinds[k] % folds)]
+    dealt: dict[str, list[int]] = {k: [] for k in kinds}
+    if left:
+        for k, f in zip(left, deal(np.array([mean[k] for k in left]), folds).tolist()):
+            dealt[k].append(f)
+    table = samples.sparkSession.createDataFrame([(k, n - n % folds, dealt[k]) for k, n in kinds.items()], "kind string, even long, rest array<long>")
+    fold = F.when(F.col("rank") < F.col("even"), F.col("rank") % folds).otherwise(F.get("rest", (F.col("rank") - F.col("even")).cast("int")))
+    return numbered(groups.drop("counts"), "kind", "turn", "group").join(table, "kind").select("group", fold.cast("long").alias("fold"))
 
 
 def group_folds(samples: DataFrame, folds: int = 5, seed: int = 42, group: str = "group_id", label: str = "label") -> DataFrame:

@@ -85,10 +85,39 @@ def test_splits(spark):
     assert splitting.naive_split(s).where("split = 'test'").count() == 24
 
 
-def test_many_groups_are_dealt_by_hash(spark, monkeypatch):
-    monkeypatch.setattr(splitting, "GREEDY", 10)
-    f = splitting.group_folds(groups(spark), 4)
-    assert f.count() == 120 and f.select("group_id", "fold").distinct().count() == 40 and f.select("fold").distinct().count() == 4
+def fold_table(df):
+    """{fold: {label: n}}"""
+    out = {}
+    for r in df.groupBy("fold", "label").count().collect():
+        out.setdefault(r["fold"], {})[r["label"]] = r["count"]
+    return out
+
+
+@pytest.mark.parametrize("n", [40, 120_000])
+def test_folds_are_even_at_any_number_of_groups(spark, n):
+    g = F.floor(F.col("id") / 3)
+    f = splitting.group_folds(spark.range(3 * n).select(F.col("id").alias("idx"), F.concat(F.lit("g"), g.cast("string")).alias("group_id"), (g % 5 == 0).cast("int").alias("label")), 4)
+    assert f.count() == 3 * n and f.select("group_id", "fold").distinct().count() == n
+    got = fold_table(f)
+    for label, of in ((1, 3 * (n // 5)), (0, 3 * n - 3 * (n // 5))):
+        assert all(abs(x[label] - of / 4) <= 3 for x in got.values())
+
+
+def test_a_large_group_leaves_its_fold_little_else(spark):
+    rows = [("big", i % 2) for i in range(400)] + [(f"g{i}", i % 2) for i in range(300)] + [(f"h{i // 200}", 1) for i in range(400)] + [("odd", None), ("none", 0)]
+    s = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "idx long, group_id string, label int")
+    f = splitting.group_folds(s, 3, seed=1)
+    sizes = {r["fold"]: r["count"] for r in f.groupBy("fold").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 520
+    assert f.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    assert sorted(f.collect(), key=str) == sorted(splitting.group_folds(s.repartition(7), 3, seed=1).collect(), key=str)
+    assert f.select("group_id", "fold").distinct().exceptAll(splitting.group_folds(s, 3, seed=2).select("group_id", "fold").distinct()).count() > 0
+
+
+def test_kinds_of_groups_are_bounded(spark):
+    n = [1, 2, 100, 127, 128, 129, 130, 255, 256, 1000, 10**6, 10**12 + 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(splitting.coarse(F.col("n"))).collect()]
+    assert got == [x >> max(0, x.bit_length() - 7) << max(0, x.bit_length() - 7) for x in n]
 
 
 def test_log(spark, tmp_path):
