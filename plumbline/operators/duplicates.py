@@ -1,18 +1,27 @@
-"""Exact and near duplicates: hashes, correlated vectors, clusters, and leakage between splits."""
+"""Exact and near duplicates: hashes, correlated vectors, clusters, and leakage between splits.
+
+Standardised vectors are points on a sphere, and their correlation is the cosine of the angle between them. Each is put
+into a cell by its nearest pivot and its angle to it. Cells whose angles to some pivot lie further apart than the wanted
+pairs do cannot hold such a pair (triangle inequality) and are never multiplied: that is exact whatever the pivots are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import ratio
-from plumbline.operators.graph import cluster_ids
+from plumbline.operators.graph import cluster_ids, forest
 from plumbline.tables import written
 
-#: Vectors in a block of the pairwise product.
-BLOCK = 2048
+#: Vectors in a block at most, in a block of small tables at least, and rows of a product that are held at once.
+BLOCK, LEAST_BLOCK, TILE = 8192, 512, 1024
+#: Vectors that serve as pivots, and steps of the angle to the nearest one: at most PIVOTS * STEPS cells.
+PIVOTS, STEPS = 32, 90
 THRESHOLDS = (0.90, 0.95, 0.97, 0.99)
 
 
@@ -38,64 +47,183 @@ def standardised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return base.select("idx", F.transform("v", lambda x: F.when(F.col("s") > 1e-8, (x - F.col("m")) / F.col("s")).otherwise(0.0)).alias("z"))
 
 
-def _blocks(z: DataFrame) -> int:
-    return max(1, -(-z.count() // BLOCK))
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix, shorter ones filled with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    off = np.asarray(column.offsets)
+    flat, sizes = np.asarray(column.values), np.diff(off)
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return flat[off[0] : off[-1]].reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat[off[0] : off[-1]]
+    return out
+
+
+def units(m: np.ndarray) -> np.ndarray:
+    """Rows over their length; zero rows stay."""
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
+def block_size(n: int) -> int:
+    return min(BLOCK, max(LEAST_BLOCK, -(-n // 6)))
+
+
+def cells(z: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """z with cell; and by cell: rows, least and greatest angle to each pivot. Cells follow pivots and steps of the angle."""
+    known = z.sparkSession.sparkContext.broadcast(pivots)
+    names = [f"{side}{i}" for side in ("lo", "hi") for i in range(len(pivots))]
+
+    def angles(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own = matrix(b.column("z"))
+        p = known.value
+        width = max(own.shape[1], p.shape[1])
+        wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
+        a = np.arccos(np.clip(units(wide(own)) @ wide(p).T, -1, 1))
+        near = a.argmin(axis=1)
+        step = np.minimum((a[np.arange(len(a)), near] * (STEPS / np.pi)).astype(np.int64), STEPS - 1)
+        return a, near * STEPS + step
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angles(b)[1], pa.int64())], names=["idx", "z", "cell"])
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, cell = angles(b)
+            order = np.argsort(cell, kind="stable")
+            a, cell = a[order], cell[order]
+            first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            lo, hi = np.minimum.reduceat(a, first), np.maximum.reduceat(a, first)
+            columns = [cell[first], np.diff(np.append(first, len(cell))), *lo.T, *hi.T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "n", *names])
+
+    found = z.mapInArrow(bounds, f"cell long, n long, {', '.join(f'{c} double' for c in names)}").groupBy("cell").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in names)).orderBy("cell").toArrow()  # at most PIVOTS * STEPS rows
+    columns = [found.column(c).to_numpy() for c in ("cell", "n", *names)]
+    table = np.stack(columns[2:]) if found.num_rows else np.zeros((len(names), 0))
+    return z.mapInArrow(place, f"idx {z.schema['idx'].dataType.simpleString()}, z array<double>, cell long"), np.stack(columns[:2]), table[: len(pivots)], table[len(pivots) :]
+
+
+def block_pairs(z: DataFrame, least: float) -> tuple[DataFrame, int, int]:
+    """(lo, hi, b, idx, z): each row once for each pair of blocks that may hold a correlation above least; and how many such
+    pairs there are, of how many in all."""
+    spark = z.sparkSession
+    n = z.count()
+    first = z.orderBy(F.xxhash64("idx"), "idx").limit(PIVOTS).select("z").toArrow().column("z")
+    width = max((len(x) for x in first), default=0)
+    pivots = units(np.array([x.as_py() + [0.0] * (width - len(x)) for x in first], float).reshape(len(first), width)) if n else np.zeros((1, 1))
+    with_cell, counts, lo, hi = cells(z, pivots)
+    size = block_size(n)
+    # neighbouring small cells share a block; a cell of more rows than a block holds is dealt to several
+    group, groups = np.zeros(counts.shape[1], int), []
+    for c in range(counts.shape[1]):
+        m = int(counts[1, c])
+        if groups and groups[-1][0] + m <= size:
+            groups[-1] = (groups[-1][0] + m, np.minimum(groups[-1][1], lo[:, c]), np.maximum(groups[-1][2], hi[:, c]))
+        else:
+            groups.append((m, lo[:, c], hi[:, c]))
+        group[c] = len(groups) - 1
+    low, high = (np.stack([g[i] for g in groups]) if groups else np.zeros((0, len(pivots))) for i in (1, 2))
+    chunks = [-(-g[0] // size) for g in groups]
+    far = np.arccos(np.clip(least, -1, 1)) + 1e-6
+    rows, kept = [], 0
+    for i in range(len(groups)):
+        apart = np.maximum(low - high[i], low[i] - high).max(axis=1, initial=0)
+        partners = np.flatnonzero(apart <= far)
+        rows.append((i, chunks[i], [(int(j), chunks[j]) for j in partners]))
+        kept += sum(chunks[i] * chunks[j] for j in partners if j > i) + chunks[i] * (chunks[i] + 1) // 2
+    total = sum(chunks)
+    place = spark.createDataFrame([(int(c), int(g)) for c, g in zip(counts[0], group)], "cell long, unit int")
+    meets = spark.createDataFrame(rows, "unit int, chunks int, partners array<struct<unit: int, chunks: int>>")
+    name = lambda unit, c: F.shiftleft(unit.cast("long"), 32) + c
+    others = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["chunks"] - 1), lambda c: name(p["unit"], c))))
+    own = with_cell.join(F.broadcast(place), "cell").join(F.broadcast(meets), "unit")  # both have a row a cell at most
+    own = own.withColumn("b", name(F.col("unit"), F.pmod(F.xxhash64("idx"), F.col("chunks")))).withColumn("other", F.explode(others))
+    return own.select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "idx", "z"), kept, total * (total + 1) // 2
+
+
+def tiles(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Names of rows, names of columns and correlations of a pair of blocks, some rows at a time; each pair of rows once."""
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    b, idx, m = t.column("b").to_numpy(), t.column("idx").to_numpy(), matrix(t.column("z"))
+    left, right = (np.flatnonzero(b == x) for x in (lo, hi))
+    for at in range(0, len(left), TILE):
+        rows = left[at : at + TILE]
+        columns = right[at:] if lo == hi else right
+        c = m[rows] @ m[columns].T / max(1, m.shape[1])
+        if lo == hi:
+            c[np.arange(len(rows))[:, None] >= np.arange(len(columns))] = -np.inf
+        yield idx[rows], idx[columns], c
 
 
 def correlated_pairs(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(i, j, corr): pairs i < j whose Pearson correlation is above the threshold, exactly, from blocks of a matrix product.
 
-    Each block pair is one task's work of bounded size: rows are dealt to blocks by hash and copied once per partner block.
-    Only pairs above the threshold leave a task. Keys are unique.
+    Each pair of blocks is one task's work of bounded size, and only blocks that may hold such a pair meet. Only pairs above
+    the threshold leave a task. Keys are unique.
     """
     z = written(standardised(vectors, key, vector), "vectors")
-    n = _blocks(z)
-    own = z.withColumn("b", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = own.select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "idx", "z")
 
     def product(t: pa.Table) -> pa.Table:
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        b, idx = t.column("b").to_numpy(), t.column("idx").to_numpy()
-        rows = t.column("z").to_pylist()
-        k = max(map(len, rows))
-        m = np.zeros((len(rows), max(k, 1)))
-        for r, v in enumerate(rows):
-            m[r, : len(v)] = v
-        left, right = b == lo, b == hi
-        c = m[left] @ m[right].T / max(k, 1)
-        i, j = np.nonzero(c > threshold)
-        u, v, c = idx[left][i], idx[right][j], c[i, j]
-        keep = u < v if lo == hi else u != v
-        return pa.table({"i": np.minimum(u, v)[keep], "j": np.maximum(u, v)[keep], "corr": c[keep]})
-
-    return dealt.groupBy("lo", "hi").applyInArrow(product, "i long, j long, corr double")
+        found = []
+        for u, v, c in tiles(t):
+            i, j = np.nonzero(c > threshold)
+            found.append((np.minimum(u[i], v[j]), np.maximum(u[i], v[j]), c[i, j]))
+        return pa.table(dict(zip(("i", "j", "corr"), (np.concatenate(x) for x in zip(*found))))) if found else pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "corr": pa.array([], pa.float64())})
+
+    return block_pairs(z, threshold)[0].groupBy("lo", "hi").applyInArrow(product, "i long, j long, corr double")
+
+
+def links_and_best(vectors: DataFrame, threshold: float, least: float, key: str, vector: str) -> DataFrame:
+    """(u, v) links with the components of all pairs above threshold, and (u, null, best) rows: the best correlation of a
+    row within a pair of blocks, where it is above least. Copies need no pair of each with each: a block gives a forest."""
+    z = written(standardised(vectors, key, vector), "vectors")
+
+    def product(t: pa.Table) -> pa.Table:
+        edges, best = [], {}
+        for u, v, c in tiles(t):
+            i, j = np.nonzero(c > threshold)
+            edges.append(forest(u[i], v[j]))
+            for names, top in ((u, c.max(axis=1, initial=-np.inf)), (v, c.max(axis=0, initial=-np.inf))):
+                for x, y in zip(names[top > least].tolist(), top[top > least].tolist()):
+                    best[x] = max(y, best.get(x, y))
+        a, b = forest(*(np.concatenate(x) for x in zip(*edges))) if edges else (np.zeros(0, np.int64),) * 2
+        u, v = pa.array([*a.tolist(), *best], pa.int64()), pa.array([*b.tolist(), *[None] * len(best)], pa.int64())
+        return pa.table({"u": u, "v": v, "best": pa.array([None] * len(a) + list(best.values()), pa.float64())})
+
+    return block_pairs(z, min(least, threshold))[0].groupBy("lo", "hi").applyInArrow(product, "u long, v long, best double")
 
 
 def near_duplicate_clusters(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(idx, cluster_id): transitive clusters of correlated vectors, numbered by first appearance."""
-    pairs = correlated_pairs(vectors, threshold, key, vector)
-    return cluster_ids(vectors.select(F.col(key).alias("idx")), pairs.select(F.col("i").alias("u"), F.col("j").alias("v")))
+    links = links_and_best(vectors, threshold, np.inf, key, vector).select("u", "v")
+    return cluster_ids(vectors.select(F.col(key).alias("idx")), links)
 
 
 def best_correlation(left: DataFrame, right: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(idx, best): each left row's highest correlation with any right row other than itself, in bounded blocks."""
     a, b = written(standardised(left, key, vector), "left"), written(standardised(right, key, vector), "right")
-    na, nb = _blocks(a), _blocks(b)
+    na, nb = (max(1, -(-n // block_size(n))) for n in (a.count(), b.count()))
     block = lambda n: F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = a.select("idx", "z", F.lit(True).alias("is_left"), block(na).alias("lb"), each(nb).alias("rb")).unionByName(b.select("idx", "z", F.lit(False).alias("is_left"), each(na).alias("lb"), block(nb).alias("rb")))
 
     def product(t: pa.Table) -> pa.Table:
-        is_left, idx, rows = t.column("is_left").to_numpy(zero_copy_only=False), t.column("idx").to_numpy(), t.column("z").to_pylist()
-        k = max(1, max(map(len, rows)))
-        m = np.zeros((len(rows), k))
-        for r, v in enumerate(rows):
-            m[r, : len(v)] = v
+        is_left, idx, m = t.column("is_left").to_numpy(zero_copy_only=False), t.column("idx").to_numpy(), matrix(t.column("z"))
         if is_left.all() or not is_left.any():
             return pa.table({"idx": pa.array([], pa.int64()), "best": pa.array([], pa.float64())})
-        c = m[is_left] @ m[~is_left].T / k
-        c[idx[is_left][:, None] == idx[~is_left][None, :]] = -np.inf
-        return pa.table({"idx": idx[is_left], "best": c.max(axis=1)})
+        rows, other = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        best = []
+        for at in range(0, len(rows), TILE):
+            own = rows[at : at + TILE]
+            c = m[own] @ m[other].T / max(1, m.shape[1])
+            c[idx[own][:, None] == idx[other]] = -np.inf
+            best.append(c.max(axis=1))
+        return pa.table({"idx": idx[rows], "best": np.concatenate(best)})
 
     found = both.groupBy("lb", "rb").applyInArrow(product, "idx long, best double")
     return found.groupBy("idx").agg(F.max("best").alias("best")).where("best > double('-Infinity')")
@@ -103,14 +231,13 @@ def best_correlation(left: DataFrame, right: DataFrame, key: str = "vec_id", vec
 
 def integrity_audit(vectors: DataFrame, contents: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """One row: duplicate groups and files of contents(key, content), clusters of vectors, rates of near duplicates."""
-    low = min(*thresholds, threshold)
-    pairs = written(correlated_pairs(vectors, low, key, vector), "pairs")
+    found = written(links_and_best(vectors, threshold, min(thresholds), key, vector), "links")
     nodes = vectors.select(F.col(key).alias("idx"))
-    clusters = cluster_ids(nodes, pairs.where(F.col("corr") > threshold).select(F.col("i").alias("u"), F.col("j").alias("v")))
+    clusters = cluster_ids(nodes, found.where("best is null").select("u", "v"))
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
     shape = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n_samples"), F.count("*").alias("n_clusters"), F.count_if(F.col("size") > 1).alias("multi_member_clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest_cluster"))
     groups = exact_duplicate_groups(contents, "content", "key").agg(F.count("*").alias("exact_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("exact_files"))
-    ends = pairs.select(F.col("i").alias("idx"), "corr").unionByName(pairs.select(F.col("j").alias("idx"), "corr")).groupBy("idx").agg(F.max("corr").alias("best"))
+    ends = found.where("best is not null").groupBy(F.col("u").alias("idx")).agg(F.max("best").alias("best"))
     near = ends.agg(*(F.count_if(F.col("best") > t).alias(f"near_{round(100 * t)}") for t in thresholds))
     one = lambda df: df.withColumn("one", F.lit(1))
     row = one(shape).join(one(groups), "one").join(one(near), "one").drop("one")

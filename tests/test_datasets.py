@@ -267,3 +267,38 @@ def test_stream(spark, tmp_path):
     q = stream.windowed_summary(source).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from daily").first()[0] == spark.read.parquet(f"{SMALL}/events.parquet").count()
+
+
+def clustered(draw, n_clusters, each, width):
+    centres = draw.normal(size=(n_clusters, width))
+    return np.concatenate([c + 0.05 * draw.normal(size=(each, width)) for c in centres])
+
+
+def test_block_pairs_that_cannot_hold_a_pair_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(duplicates, "BLOCK", 32)
+    monkeypatch.setattr(duplicates, "TILE", 7)
+    v = clustered(np.random.default_rng(4), 12, 50, 16)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    c = np.corrcoef(v)
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] > 0.95}
+    assert {(r["i"], r["j"]) for r in duplicates.correlated_pairs(df, 0.95).collect()} == want and len(want) > 10_000
+    kept, total = duplicates.block_pairs(duplicates.standardised(df, "vec_id", "embedding"), 0.95)[1:]
+    assert kept < total / 2
+    links = duplicates.links_and_best(df, 0.95, 0.9, "vec_id", "embedding").collect()
+    assert sum(r["best"] is None for r in links) < len(want) / 4  # forests, not all pairs
+    best = {}
+    for r in links:
+        if r["best"] is not None:
+            best[r["u"]] = max(r["best"], best.get(r["u"], -1))
+    np.fill_diagonal(c, -1)
+    assert best == pytest.approx({i: x for i, x in enumerate(c.max(axis=1)) if x > 0.9})
+    got = dict(duplicates.near_duplicate_clusters(df, 0.95).collect())
+    assert [got[i] for i in range(len(v))] == [i // 50 for i in range(len(v))]
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    df = spark.createDataFrame([(3, [1.0, 2.0, 3.0]), (1, [2.0, 4.0, 6.0]), (2, None), (5, []), (7, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in duplicates.near_duplicate_clusters(df).collect()) == [(1, 0), (2, 1), (3, 0), (5, 2), (7, 3)]
+    assert duplicates.near_duplicate_clusters(df.where("false")).count() == 0 and duplicates.correlated_pairs(df.where("false")).count() == 0
+    assert duplicates.near_duplicate_clusters(df.where("vec_id = 2")).count() == 1
