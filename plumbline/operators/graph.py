@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +30,35 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Fewer links with the same components, from what one task holds; no more than most links are held at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def out() -> pa.RecordBatch:
+        a, b = forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column("u").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False)))
+            n += batch.num_rows
+        if n >= most:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): each node of the edges (u, v) with the smallest node it reaches.
+    """(node, root): each node of the links (u, v: long) between different nodes with the smallest node it reaches.
 
-    Each round a node takes the smallest root of its neighbours, roots pass that on to their nodes, and roots are
+    Tasks first replace their links by forests of the same components. Then each round a node takes the smallest root of its neighbours, roots pass that on to their nodes, and roots are
     replaced by their own roots. Each round is written to the shared folder, so plans stay short; no link is gathered
     on the driver.
     """
-    links = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = edges.where("u <> v").select("u", "v").mapInArrow(contracted, "u long, v long")
+    links = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = written(links, "links")
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = written(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
