@@ -1,57 +1,6 @@
-"""Connected components of many links: forests within tasks, then label lowering over the whole table."""
+"""Connected components of many links, as the core has them."""
 
-from __future__ import annotations
+from plumbline.operators.graph import components as connected
+from plumbline.operators.graph import forest
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from plumbline.operators.graph import components
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each node to the smallest node of its component among these links."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        np.minimum.at(label, before, label)  # the old root learns its nodes' new root
-        label = label[label]
-        if (label == before).all():
-            break
-    other = label != np.arange(len(nodes))
-    return nodes[other], nodes[label[other]]
-
-
-def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Fewer links with the same components, from what one task holds."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-
-    def out():
-        a, b = forest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column("u").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False)))
-            n += batch.num_rows
-        if n >= most:
-            yield out()
-            held, n = [], 0
-    if held:
-        yield out()
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of the links (u, v: long) with the smallest node that it reaches.
-
-    Tasks first replace their links by forests of the same components; rounds over what is left do the rest.
-    """
-    return components(edges.mapInArrow(contracted, "u long, v long"))
+__all__ = ["connected", "forest"]
