@@ -452,8 +452,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     read = read_pages(pages, key, url, html)
     templates = written(templates_of(read, least_pages, least_share).select("host", "hash"), "templates")
     open_ = read.where("events is not null")
-    # both sides are plain rows of written tables, so adaptive execution may split a menu that stands on a third of all pages
-    own = open_.select("row", "host", F.explode("hashes").alias("hash")).join(templates, ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("template"))
+    # both sides are plain rows of written tables, so adaptive execution may split a menu that stands on a third of all
+    # pages; templates grow with the pages and are never broadcast
+    own = open_.select("row", "host", F.explode("hashes").alias("hash")).join(templates.hint("merge"), ["host", "hash"], "left_semi").groupBy("row").agg(F.collect_set("hash").alias("template"))
     joined = open_.select("key", "url", "row", "events").join(own, "row", "left").select("key", "url", "events", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
