@@ -193,3 +193,31 @@ def _bmp(b: bytes) -> np.ndarray:
     stride = (3 * w + 3) // 4 * 4
     rows = np.frombuffer(b, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : 3 * w].reshape(abs(h), w, 3)
     return rows[::-1] if h > 0 else rows
+
+
+def png(image: np.ndarray) -> bytes:
+    """The PNG of [h, w] or [h, w, 1] gray or [h, w, 3 or 4] pixels, blue first; values are cut to 0 to 255."""
+    p = np.clip(np.rint(image.astype(float)), 0, 255).astype(np.uint8)
+    p = p[:, :, None] if p.ndim == 2 else p
+    h, w, c = p.shape
+    if c > 1:
+        p = p[:, :, [2, 1, 0, 3][:c]]
+    rows = np.concatenate((np.zeros((h, 1), np.uint8), p.reshape(h, w * c)), axis=1)
+    part = lambda name, data: len(data).to_bytes(4, "big") + name + data + zlib.crc32(name + data).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([8, {1: 0, 3: 2, 4: 6}[c], 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def shown(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The image at another size for display: red first, 8 bits, not normalised."""
+    three = np.repeat(image[:, :, :1], 3, axis=2) if image.shape[2] == 1 else image[:, :, 2::-1]
+    return np.rint(area_resize(three, height, width)).astype(np.uint8)
+
+
+def small_copy(image: np.ndarray, longest: int = 128) -> np.ndarray:
+    """The image with its longer side at most longest; never larger than it was."""
+    h, w = image.shape[:2]
+    scale = longest / max(h, w)
+    if scale >= 1:
+        return image
+    return np.rint(area_resize(image, max(1, int(h * scale)), max(1, int(w * scale)))).astype(np.uint8)

@@ -125,3 +125,39 @@ def format_metric(value: float | None, low: float | None = None, high: float | N
     if value is None or math.isnan(value):
         return "n/a"
     return f"{value:.3f}" + (f" [{low:.3f}-{high:.3f}]" if low is not None and high is not None and not math.isnan(low) else "")
+
+
+def binarised(label: Column, positive: int | str) -> Column:
+    """1 where the label is the positive one, 0 elsewhere; null stays null."""
+    return (label == F.lit(positive)).cast("int")
+
+
+def one_hot(label: Column, classes: int) -> Column:
+    """array<double> with 1 at the label's place and 0 elsewhere; null for a null label or one that is no class."""
+    hot = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == label).cast("double"))
+    return F.when((label >= 0) & (label < classes), hot)
+
+
+def class_probabilities(probabilities: Column, classes: list[str]) -> Column:
+    """map of each class to its probability, classes in order."""
+    return F.map_from_arrays(F.array(*map(F.lit, classes)), probabilities)
+
+
+def per_image_ms(total_seconds: Column, n: Column) -> Column:
+    """Mean milliseconds per image; over no image the total counts as one's."""
+    return F.lit(1000.0) * total_seconds / F.greatest(F.lit(1), n)
+
+
+def canonical_json(document: Column) -> Column:
+    """The JSON document with every object's keys in order and no blanks; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(document))
+
+
+def augmentation_text(settings: dict) -> dict:
+    """What a configuration's augmentation does, in words: {"enabled", "transforms"}; settings hold "augmentation"."""
+    own = settings.get("augmentation") or {}
+    if not own.get("enabled"):
+        return {"enabled": False, "transforms": []}
+    #: Setting and words for it, in order; {} is its value.
+    said = (("horizontal_flip", "horizontal_flip"), ("vertical_flip", "vertical_flip"), ("rotation_range", "rotation +/-{} deg"), ("zoom_range", "zoom +/-{}"), ("width_shift_range", "width_shift +/-{}"), ("height_shift_range", "height_shift +/-{}"), ("brightness_range", "brightness {}"))
+    return {"enabled": True, "transforms": [words.format(own[name]) for name, words in said if own.get(name)]}

@@ -12,6 +12,23 @@ def divergent_settings(settings: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy("key").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("model_name").alias("models")).where("n_values > 1 and models > 1").select("key", "n_values")
 
 
+def divergent_maps(settings: DataFrame) -> DataFrame:
+    """The same for settings(model_name, settings map<string, string>): keys are those of any model."""
+    models = settings.select("model_name").distinct()
+    keys = settings.select(F.explode(F.map_keys("settings")).alias("key")).distinct()
+    own = settings.select("model_name", F.explode("settings").alias("key", "value"))
+    known = own.groupBy("key").agg(F.count_distinct("value").alias("n"), F.count_distinct("model_name").alias("of"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    total = models.agg(F.count("*").alias("models"))
+    both = keys.join(known, "key").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    values = F.col("n") + ((F.col("of") < F.col("models")) | (F.col("nulls") > 0)).cast("int")
+    return both.select("key", values.alias("n_values"), "models").where("n_values > 1 and models > 1").select("key", "n_values")
+
+
+def with_metadata(models: DataFrame, metadata: DataFrame) -> DataFrame:
+    """models(model_name) that have metadata(model_name, ...), with it; others are skipped."""
+    return models.select("model_name").distinct().join(metadata, "model_name")
+
+
 def missing_models(requested: DataFrame, evaluated: DataFrame) -> DataFrame:
     """Requested model names that nothing was evaluated for."""
     return requested.select("model_name").distinct().join(evaluated.select("model_name").distinct(), "model_name", "left_anti")

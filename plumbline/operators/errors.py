@@ -6,16 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import category, cohens_d, decided, decision_confidence, effect_band
+from plumbline.operators.evaluation import score_range
 
 CATEGORIES = ("true_positive", "true_negative", "false_positive", "false_negative")
 
 
-def error_table(scored: DataFrame, threshold: float = 0.5, properties: list[str] | None = None) -> DataFrame:
-    """One row per case: decision, its confidence, whether it is right, the category, and properties as a struct if asked."""
+def error_table(scored: DataFrame, threshold: float = 0.5, properties: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row per case: decision, its confidence, whether it is right, the category, and properties as a struct if asked.
+
+    carry names further columns of the case to keep, such as path and class_name; with path comes filename, its last part.
+    """
     t = scored.withColumn("predicted_label", decided(F.col("y_prob"), threshold))
+    kept = [F.col(c) for c in carry or []]
+    if "path" in (carry or []):
+        kept.append(F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"))
     out = t.select(
         "model_name",
         "case_id",
+        *kept,
         F.col("y_true").alias("true_label"),
         "predicted_label",
         F.col("y_prob").alias("probability_positive"),
@@ -49,10 +57,25 @@ def top_properties(comparison: DataFrame, n: int = 3) -> DataFrame:
     return comparison.withColumn("place", place).where(F.col("place") <= n)
 
 
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median): exact, from counts of distinct values and running counts within ranges of them, for values in [0, 1]."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("part", score_range(F.col("v")))
+    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("m"))
+    up = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("m").over(up), F.lit(0)).alias("below"), F.sum("m").over(Window.partitionBy(*by)).alias("total"))
+    inside = Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.join(parts, [*by, "part"]).withColumn("upto", F.col("below") + F.sum("n").over(inside))
+    holds = lambda place: F.max(F.when((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place), F.col("v")))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    return run.groupBy(*by).agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
 def confidence_separation(errors: DataFrame) -> DataFrame:
     """Mean and median confidence of right and wrong cases and the gap of means; models lacking a side give no row."""
-    side = lambda ok: F.when(F.col("correct") == ok, F.col("confidence"))
-    stats = errors.groupBy("model_name").agg(*(f(side(ok)).alias(f"{n}_{w}") for ok, w in ((True, "correct"), (False, "incorrect")) for f, n in ((F.avg, "mean"), (F.median, "median"))))
+    means = errors.groupBy("model_name", "correct").agg(F.avg("confidence").alias("mean"))
+    both = means.join(medians(errors, ["model_name", "correct"], "confidence"), ["model_name", "correct"])
+    side = lambda c, ok: F.max(F.when(F.col("correct") == ok, F.col(c)))
+    stats = both.groupBy("model_name").agg(*(side(c, ok).alias(f"{c}_{w}") for ok, w in ((True, "correct"), (False, "incorrect")) for c in ("mean", "median")))
     return stats.where("mean_correct is not null and mean_incorrect is not null").withColumn("gap", F.col("mean_correct") - F.col("mean_incorrect"))
 
 

@@ -1,7 +1,8 @@
 """Evaluation of binary scores: tables scored(model_name, case_id, y_true, y_prob), one result per model.
 
 Rows with a null label or a null or NaN score are left out. Curves and areas start from counts per distinct score, and
-running counts are taken within score ranges first, so no task holds a model's whole curve in one window.
+running counts are taken within score ranges first, so no task holds a model's whole curve in one window. Ranges are
+even in the logarithm of the odds, since scores crowd near 0 and 1.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import decided, grid, ratio
 
-#: Score ranges that running counts are taken in.
-RANGES = 4096
+#: Score ranges for each unit of log odds.
+RANGES = 64
 RATES = ("accuracy", "balanced_accuracy", "sensitivity", "specificity", "precision", "npv", "f1", "false_positive_rate", "false_negative_rate")
 
 
@@ -46,10 +47,15 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
+def score_range(p: Column) -> Column:
+    """A whole number that never falls as p rises; all p up to 0 share one, and all from 1 on."""
+    return F.when(p <= 0, -(2**20)).when(p >= 1, 2**20).otherwise(F.floor(F.log(p / (1 - p)) * RANGES)).cast("long")
+
+
 def score_steps(scored: DataFrame) -> DataFrame:
     """Per model and distinct score: pos, neg, the running pos_ge and neg_ge from the highest score down, and totals."""
     counts = sound(scored).groupBy("model_name", "y_prob").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg"))
-    counts = counts.withColumn("part", F.least(F.greatest(F.floor(F.col("y_prob") * RANGES), F.lit(0)), F.lit(RANGES)))
+    counts = counts.withColumn("part", score_range(F.col("y_prob")))
     parts = counts.groupBy("model_name", "part").agg(F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg"))
     down = Window.partitionBy("model_name").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("model_name")

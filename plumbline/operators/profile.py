@@ -41,9 +41,17 @@ def shortcut_check(samples: DataFrame, properties: list[str], label: str = "clas
     return sides.where("classes = 2 and a.n >= 2 and b.n >= 2").select("property", F.col("a.class_name").alias("class_a"), F.col("b.class_name").alias("class_b"), F.col("a.mean").alias("mean_a"), F.col("b.mean").alias("mean_b"), d.alias("cohens_d")).withColumn("concern", F.abs("cohens_d") >= concern)
 
 
-def class_weights(samples: DataFrame, label: str = "class_name") -> DataFrame:
-    """(class_name, n, weight): total / (classes * n), so that classes weigh alike."""
+def class_weights(samples: DataFrame, label: str = "class_name", mode: str | dict | None = "balanced") -> DataFrame | None:
+    """(class_name, n, weight) by mode: balanced is total / (classes * n), so that classes weigh alike; a dict gives the
+    weights itself, null for classes that it lacks; none, "none" or "" is no table at all; anything else is an error."""
+    if not mode or mode == "none":
+        return None
     counts = samples.groupBy(F.col(label).alias("class_name")).agg(F.count("*").alias("n"))
+    if isinstance(mode, dict):
+        given = F.coalesce(*(F.when(F.col("class_name").cast("string") == str(k), F.lit(float(v))) for k, v in mode.items()))
+        return counts.withColumn("weight", given)
+    if mode != "balanced":
+        raise KeyError(f"unknown class weights: {mode!r}")
     every = Window.partitionBy()
     return counts.withColumn("weight", ratio(F.sum("n").over(every), F.count("*").over(every) * F.col("n")))
 
@@ -79,9 +87,14 @@ def against_expected(samples: DataFrame, expected: DataFrame) -> DataFrame:
     return n.join(expected, "class_name", "left").withColumn("matches", F.coalesce(F.col("n") == F.col("expected"), F.lit(True)))
 
 
+def _drawn(key: str, seed: int) -> list[Column]:
+    """The order in which a class's rows are drawn: by a seeded digest of the key, the same on every cluster."""
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)]
+
+
 def sample_per_class(samples: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
-    """k rows of each class, chosen by a seeded hash of the key: the same rows on every cluster."""
-    place = F.row_number().over(Window.partitionBy("class_name").orderBy(F.xxhash64(F.lit(seed), key), key))
+    """k rows of each class, chosen by a seeded digest of the key."""
+    place = F.row_number().over(Window.partitionBy("class_name").orderBy(*_drawn(key, seed)))
     return samples.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 
@@ -89,3 +102,30 @@ def labelled(samples: DataFrame, classes: list[str]) -> DataFrame:
     """Adds label: the place of class_name in classes, null for others."""
     name: Column = F.array_position(F.array(*map(F.lit, classes)), F.col("class_name")) - 1
     return samples.withColumn("label", F.when(name >= 0, name.cast("int")))
+
+
+def dimensions(samples: DataFrame) -> DataFrame:
+    """(class_name, width, height, n): how many images of a class have a size; unreadable ones are left out."""
+    return samples.where("width is not null and height is not null").groupBy("class_name", "width", "height").agg(F.count("*").alias("n"))
+
+
+def sample_grid(samples: DataFrame, columns: int, key: str, seed: int = 42) -> DataFrame:
+    """sample_per_class with row (the class's place in name order) and column of a picture sheet."""
+    picked = sample_per_class(samples, columns, key, seed)
+    place = F.row_number().over(Window.partitionBy("class_name").orderBy(*_drawn(key, seed))) - 1
+    row = F.dense_rank().over(Window.orderBy("class_name")) - 1  # at most columns rows a class are left
+    return picked.withColumn("column", place).withColumn("row", row)
+
+
+def training_history(history: DataFrame, metrics: list[str]) -> DataFrame:
+    """(model_name, epoch, metric, train, val): each metric beside its val_ twin, null where the history lacks it."""
+    value = lambda c: F.col(c).cast("double") if c in history.columns else F.lit(None).cast("double")
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), value(m).alias("train"), value(f"val_{m}").alias("val")) for m in metrics))
+    return history.select("model_name", "epoch", F.explode(each).alias("h")).select("model_name", "epoch", "h.*")
+
+
+def fold_stability(folds: DataFrame, metrics: list[str]) -> DataFrame:
+    """(model_name, metric, n, low, q1, middle, q3, high): a box for each metric over the folds (model_name, fold, metrics)."""
+    long = folds.select("model_name", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot("model_name", metrics, "metric", "value").where("value is not null")
+    at = lambda q: F.percentile("value", F.lit(q))  # noqa: E731  a model's folds are few
+    return long.groupBy("model_name", "metric").agg(F.count("*").alias("n"), F.min("value").alias("low"), at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"), F.max("value").alias("high"))

@@ -124,3 +124,17 @@ def naive_split(samples: DataFrame, share: float = 0.2, seed: int = 0, key: str
 def stale_rows(split: DataFrame, manifest: DataFrame) -> DataFrame:
     """Rows of a stored split(idx, path) whose path is no longer the manifest's at that idx, missing ones included."""
     return split.alias("s").join(manifest.alias("m"), "idx", "left").where(~F.col("s.path").eqNullSafe(F.col("m.path"))).select("idx", F.col("s.path").alias("recorded"), F.col("m.path").alias("current"))
+
+
+def split_samples(samples: DataFrame, split: DataFrame, which: str | None = None, key: str = "idx") -> DataFrame:
+    """samples with split, by the stored split(idx, split): those of one split, or of all; rows of no split are left out."""
+    rows = split.select(key, "split")
+    return samples.join(rows.where(F.col("split") == which) if which else rows, key)
+
+
+def aligned(truth: DataFrame, scores: DataFrame, positive: int | str, key: str = "case_id", label: str = "label") -> DataFrame:
+    """(model_name, case_id, y_true, y_prob): truth(case_id, label) made binary beside scores(model_name, case_id, y_prob).
+
+    Cases are matched by name, never by place; those that one side lacks are left out.
+    """
+    return scores.select("model_name", key, "y_prob").join(truth.select(key, (F.col(label) == F.lit(positive)).cast("int").alias("y_true")), key).select("model_name", F.col(key).alias("case_id"), "y_true", "y_prob")

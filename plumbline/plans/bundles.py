@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from plumbline.functions.scalar import confidence_band, format_metric, shown_probability
 from plumbline.operators import bootstrap, compare, duplicates, errors, evaluation, profile, splitting
+from plumbline.sources import images as sources
 from plumbline.tables import written
 
 
@@ -55,10 +56,29 @@ def dataset_report(samples: DataFrame, properties: list[str], vector: str, thres
     }
 
 
+def unclassed_audit(spark: SparkSession, root: str, threshold: float = 0.95, seed: int = 0) -> dict[str, DataFrame]:
+    """An audit of all images below root, whatever folders they are in: duplicates, and what a split by rows leaks.
+
+    Empty of rows where there are no images; nothing is grouped.
+    """
+    files = sources.listing(spark, root)
+    seen = sources.features(sources.images(spark, root)).select("path", "thumbnail")
+    s = written(sources.every_folder(files).join(seen, "path"), "unclassed")
+    content = sources.contents(spark, root).join(s.select("idx", "path"), "path").select(F.col("idx").alias("key"), "content")
+    split = splitting.naive_split(s.select("idx", "thumbnail"), 0.2, seed)
+    side = lambda name: split.where(F.col("split") == name).select("idx", "thumbnail")
+    return {"samples": s, "audit": duplicates.integrity_audit(s, content, threshold, "idx", "thumbnail"), "naive_leakage": duplicates.split_leakage(side("test"), side("train"), key="idx", vector="thumbnail")}
+
+
 def comparison(metrics: DataFrame, intervals: DataFrame, settings: DataFrame, keys: list[str], names: list[str]) -> dict[str, DataFrame]:
     """Leaderboard, metric table with texts, settings that differ, and which intervals reach the best model's."""
     table = compare.comparison_table(metrics, intervals, names)
-    text = F.udf(format_metric, StringType())
+
+    @F.pandas_udf("string")
+    def text(value: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+        none = lambda x: None if pd.isna(x) else x
+        return pd.Series([format_metric(*map(none, r)) for r in zip(value, low, high)], dtype=object)
+
     best = metrics.join(intervals.where("metric = 'sensitivity'").select("model_name", "lower", "upper"), "model_name", "left")
     return {"leaderboard": compare.leaderboard(metrics), "table": table.withColumn("text", text("value", "lower", "upper")), "divergent": compare.divergent_settings(settings, keys), "overlap": compare.interval_overlap(best)}
 

@@ -376,10 +376,11 @@ def fairness_divergence(spark: SparkSession, d: str) -> DataFrame:
     return compare.divergent_settings(n, ["n_name", "n_regionkey", "seed"])
 
 
-@query("SELECT n_name AS model_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20)")
+@query("SELECT n_name AS model_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)")
 def missing_models(spark: SparkSession, d: str) -> DataFrame:
+    """A model is evaluated where any supplier names it."""
     nations = load(spark, d, "nation")
-    seen = load(spark, d, "customer").where("c_custkey < 20").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("model_name"))
+    seen = load(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("model_name"))
     return compare.missing_models(nations.select(F.col("n_name").alias("model_name")), seen)
 
 
@@ -487,26 +488,14 @@ def top_property(spark: SparkSession, d: str) -> DataFrame:
     return rounded(errors.top_properties(errors.property_comparison(parts, ["p_size", "p_retailprice"]), 1).select("property", "cohens_d"))
 
 
-@query(f"{FILES_SQL}, w AS (SELECT class_name, least(5, count(*)) AS n FROM s GROUP BY class_name) SELECT class_name, n FROM w")
+@query(f"{FILES_SQL} SELECT class_name, idx, group_id FROM s QUALIFY row_number() OVER (PARTITION BY class_name ORDER BY md5('42:' || idx), idx) <= 5")
 def sample_per_class(spark: SparkSession, d: str) -> DataFrame:
-    return profile.sample_per_class(files(spark, d), 5, "idx").groupBy("class_name").agg(F.count("*").alias("n"))
+    return profile.sample_per_class(files(spark, d), 5, "idx").select("class_name", "idx", "group_id")
 
 
-@query("SELECT event_id AS id, 'benign' AS label FROM events WHERE event_id < 100")
-def prediction_reports(spark: SparkSession, d: str) -> DataFrame:
-    from plumbline.plans.bundles import prediction_reports as reports
-
-    e = load(spark, d, "events").where("event_id < 100")
-    log = e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_utc"), F.lit("m").alias("model_name"), F.lit(False).alias("model_legacy"), F.lit("benign").alias("predicted_label"), F.lit(0.2).alias("probability_positive"))
-    return reports(log).select("id", F.get_json_object("report", "$.prediction.label").alias("label"))
-
-
-@query("SELECT n_name AS model_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey IS NOT NULL)")
-def missing_models_all(spark: SparkSession, d: str) -> DataFrame:
-    """missing_models over whole tables: a model is evaluated where any supplier names it."""
-    nations = load(spark, d, "nation")
-    seen = load(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("model_name"))
-    return compare.missing_models(nations.select(F.col("n_name").alias("model_name")), seen)
+@query(f"{FILES_SQL}, w AS (SELECT class_name, idx, CAST(row_number() OVER (PARTITION BY class_name ORDER BY md5('7:' || idx), idx) - 1 AS INTEGER) AS place FROM s) SELECT class_name, idx, place AS \"column\", CAST(dense_rank() OVER (ORDER BY class_name) - 1 AS INTEGER) AS \"row\" FROM w WHERE place < 4")
+def sample_grid(spark: SparkSession, d: str) -> DataFrame:
+    return profile.sample_grid(files(spark, d), 4, "idx", 7).select("class_name", "idx", "column", "row")
 
 
 @query("""WITH p AS (SELECT event_id AS id, event_type AS model, coalesce(user_id % 2 = 0, false) AS legacy, floor(value * 10) % 1000 / 1000 AS p FROM events),
@@ -514,8 +503,8 @@ def missing_models_all(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, model, CAST(legacy AS VARCHAR) AS legacy, label, round(shown, 4) AS probability, band, 'The model assigns ' || label || ' with a probability of ' || printf('%.1f', shown * 100) || '%.' AS statement,
   CASE band WHEN 'high' THEN 'The probability is far from one half.' WHEN 'moderate' THEN 'The probability is at some distance from one half.' ELSE 'The probability is close to one half; treat the answer as undecided.' END AS note,
   '["Research output, not a diagnosis.","' || CASE WHEN legacy THEN 'A legacy model: its accuracy was measured on a leaking split.' ELSE 'Valid only for images like those of the training set.' END || '"]' AS limitations FROM l""")
-def prediction_reports_all(spark: SparkSession, d: str) -> DataFrame:
-    """prediction_reports of every event, with all that a report says."""
+def prediction_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of every event, with all that a report says."""
     from plumbline.plans.bundles import prediction_reports as reports
 
     p = F.floor(F.col("value") * 10) % 1000 / 1000
@@ -523,3 +512,114 @@ def prediction_reports_all(spark: SparkSession, d: str) -> DataFrame:
     log = load(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_utc"), F.col("event_type").alias("model_name"), legacy.alias("model_legacy"), F.when(p >= 0.5, "malignant").otherwise("benign").alias("predicted_label"), p.alias("probability_positive"))
     said = {"model": "model.name", "legacy": "model.legacy", "label": "prediction.label", "probability": "prediction.probability", "band": "prediction.band", "statement": "statement", "note": "note", "limitations": "limitations"}
     return reports(log).select("id", *(F.get_json_object("report", f"$.{at}").cast("double" if c == "probability" else "string").alias(c) for c, at in said.items()))
+
+
+CASES_SQL = f"""{ERRORS_SQL}, t AS (SELECT e.model_name, case_id, 'cases/' || o_orderpriority || '/' || case_id || '.png' AS path, o_orderpriority AS class_name, case_id || '.png' AS filename, y_true AS true_label, p AS predicted_label,
+  y_prob AS probability_positive, confidence, correct, category FROM e JOIN orders ON o_orderkey = case_id)"""
+
+
+def case_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The error table of orders with their paths, classes and a property."""
+    o = load(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.concat(F.lit("cases/"), "o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("path"), F.col("o_orderpriority").alias("class_name"), F.col("o_totalprice").alias("price"))
+    return errors.error_table(orders(spark, d).join(o, "case_id"), 0.5, ["price"], carry=["path", "class_name"])
+
+
+@query(f"{CASES_SQL} SELECT * FROM t")
+def error_table_cases(spark: SparkSession, d: str) -> DataFrame:
+    return case_rows(spark, d).drop("properties")
+
+
+@query(f"{CASES_SQL} SELECT *, 0 AS property_fields FROM t")
+def error_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The error report as it is written and read again: JSON rows without properties."""
+    from plumbline.sources.artifacts import write_reports
+    from plumbline.tables import new_path
+
+    rows = case_rows(spark, d)
+    folder = write_reports({"errors": rows}, new_path(spark, "report"))[0]
+    back = spark.read.text(folder)
+    schema = rows.drop("properties").schema
+    fields = F.size(F.coalesce(F.from_json(F.get_json_object("value", "$.properties"), "map<string, double>"), F.create_map().cast("map<string, double>")))
+    return back.select(F.from_json("value", schema).alias("r"), fields.alias("property_fields")).select("r.*", "property_fields")
+
+
+@query("SELECT event_type, count(*) AS n, round(1000e0 * sum(value) / greatest(1, count(*)), 6) AS ms FROM events GROUP BY event_type UNION ALL SELECT 'none', 0, 2500e0")
+def per_image_latency(spark: SparkSession, d: str) -> DataFrame:
+    spent = load(spark, d, "events").groupBy("event_type").agg(F.sum("value").alias("seconds"), F.count("*").alias("n"))
+    spent = spent.unionByName(spark.createDataFrame([("none", 2.5, 0)], "event_type string, seconds double, n long"))
+    return spent.select("event_type", "n", F.round(scalar.per_image_ms(F.col("seconds"), F.col("n")), 6).alias("ms"))
+
+
+@query("SELECT n_name AS name, n_regionkey = 0 AS legacy, 'standard_224' AS profile FROM nation")
+def registry_description(spark: SparkSession, d: str) -> DataFrame:
+    from plumbline.sources.artifacts import described
+
+    return described(load(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_regionkey") == 0).alias("legacy"), F.lit("standard_224").alias("profile"), F.to_json(F.struct("n_nationkey")).alias("config")))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(range(0, 8), lambda i: CASE WHEN i = p_size % 10 THEN 1 ELSE 0 END), ',') AS hot FROM part WHERE p_size % 10 < 8 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 10 >= 8")
+def one_hot_labels(spark: SparkSession, d: str) -> DataFrame:
+    hot = scalar.one_hot(F.col("p_size") % 10, 8)
+    return load(spark, d, "part").select("p_partkey", F.when(hot.isNotNull(), F.array_join(F.transform(hot, lambda x: x.cast("int").cast("string")), ",")).alias("hot"))
+
+
+@query(f"{ONE_SQL} SELECT case_id, 1 - y_prob AS benign, y_prob AS malignant FROM scored")
+def class_probability_map(spark: SparkSession, d: str) -> DataFrame:
+    both = scalar.class_probabilities(F.array(1 - F.col("y_prob"), F.col("y_prob")), ["benign", "malignant"])
+    return orders(spark, d).select("case_id", *(F.element_at(both, c).alias(c) for c in ("benign", "malignant")))
+
+
+@query(f"{FILES_SQL} SELECT class_name, count(*) AS n, CASE WHEN class_name = 'good' THEN 0.5e0 END AS weight FROM s GROUP BY class_name")
+def class_weights_given(spark: SparkSession, d: str) -> DataFrame:
+    return profile.class_weights(files(spark, d), mode={"good": 0.5, "other": 2})
+
+
+@query("""SELECT event_id, '{"at":{"a":' || user_id || ',"b":"' || event_type || '"},"props":' || replace(props, ' ', '') || ',"z":1}' AS document FROM events""")
+def canonical_documents(spark: SparkSession, d: str) -> DataFrame:
+    loose = F.format_string('{"z": 1, "props": %s, "at": {"b": "%s", "a": %d}}', "props", "event_type", "user_id")
+    return load(spark, d, "events").select("event_id", scalar.canonical_json(loose).alias("document"))
+
+
+@query("SELECT 'region' AS key, count(DISTINCT n_regionkey) AS n_values FROM nation UNION ALL SELECT 'first', 2")
+def divergent_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Settings as maps: seed is the same for all, first is known of one model only."""
+    n = load(spark, d, "nation")
+    settings = F.map_concat(F.create_map(F.lit("seed"), F.lit("42"), F.lit("region"), F.col("n_regionkey").cast("string")), F.when(F.col("n_nationkey") == 0, F.create_map(F.lit("first"), F.lit("yes"))).otherwise(F.create_map().cast("map<string, string>")))
+    return compare.divergent_maps(n.select(F.col("n_name").alias("model_name"), settings.alias("settings")))
+
+
+@query(f"{FILES_SQL} SELECT idx, class_name, CASE WHEN idx % 7 = 0 THEN 'test' ELSE 'train' END AS split FROM s WHERE idx % 7 <> 1")
+def split_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of a stored split that leaves every seventh out."""
+    stored = load(spark, d, "documents").where("doc_id % 7 <> 1").select(F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 7 == 0, "test").otherwise("train").alias("split"))
+    return splitting.split_samples(files(spark, d), stored).select("idx", "class_name", "split")
+
+
+@query("SELECT 'm' AS model_name, doc_id AS case_id, CAST(lang = 'de' AS INTEGER) AS y_true, n_chars / 20000e0 AS y_prob FROM documents JOIN labels USING (doc_id)")
+def aligned_cases(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    scores = docs.select(F.lit("m").alias("model_name"), F.col("doc_id").alias("case_id"), (F.col("n_chars") / 20000).alias("y_prob"))
+    truth = docs.join(load(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("case_id"), F.col("lang").alias("label"))
+    return splitting.aligned(truth, scores, "de")
+
+
+@query("SELECT n_name AS model_name, r_name AS region FROM nation JOIN region ON r_regionkey = n_nationkey")
+def models_with_metadata(spark: SparkSession, d: str) -> DataFrame:
+    n = load(spark, d, "nation").withColumn("model_name", F.col("n_name"))
+    known = n.join(load(spark, d, "region"), F.col("r_regionkey") == F.col("n_nationkey")).select("model_name", F.col("r_name").alias("region"))
+    return compare.with_metadata(n, known)
+
+
+@query("SELECT p_brand AS class_name, p_size AS width, length(p_name) AS height, count(*) AS n FROM part WHERE p_size IS NOT NULL AND p_name IS NOT NULL GROUP BY ALL")
+def dimension_counts(spark: SparkSession, d: str) -> DataFrame:
+    return profile.dimensions(load(spark, d, "part").select(F.col("p_brand").alias("class_name"), F.col("p_size").alias("width"), F.length("p_name").alias("height")))
+
+
+@query("SELECT p_brand AS model_name, p_partkey AS epoch, 'loss' AS metric, CAST(p_retailprice AS DOUBLE) AS train, CAST(p_size AS DOUBLE) AS val FROM part UNION ALL SELECT p_brand, p_partkey, 'auc', NULL, NULL FROM part")
+def training_history(spark: SparkSession, d: str) -> DataFrame:
+    return profile.training_history(load(spark, d, "part").select(F.col("p_brand").alias("model_name"), F.col("p_partkey").alias("epoch"), F.col("p_retailprice").alias("loss"), F.col("p_size").alias("val_loss")), ["loss", "auc"])
+
+
+@query("SELECT p_brand AS model_name, 'auc' AS metric, count(*) AS n, min(CAST(p_size AS DOUBLE)) AS low, quantile_cont(CAST(p_size AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS middle, quantile_cont(CAST(p_size AS DOUBLE), 0.75) AS q3, max(CAST(p_size AS DOUBLE)) AS high FROM part GROUP BY p_brand")
+def fold_stability(spark: SparkSession, d: str) -> DataFrame:
+    return profile.fold_stability(load(spark, d, "part").select(F.col("p_brand").alias("model_name"), F.col("p_partkey").alias("fold"), F.col("p_size").alias("auc")), ["auc"])

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.scalar import IMAGE_EXTENSIONS, is_mask
+
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Documents of one schema; a corrupt one gives a row of nulls, a missing path no rows."""
@@ -35,6 +37,65 @@ def evaluated_models(spark: SparkSession, folder: str) -> DataFrame:
     return file_names(spark, folder, "*.json").select(F.regexp_replace("name", r"\.json$", "").alias("model_name"))
 
 
+def described(registry: DataFrame) -> DataFrame:
+    """All that is known of every model, in order of name, but for its configuration."""
+    return registry.drop("config").orderBy("name")
+
+
+def report_rows(df: DataFrame, drop: tuple[str, ...] = ("properties",)) -> DataFrame:
+    """(document): each row as a JSON object, without the columns in drop."""
+    return df.select(F.to_json(F.struct(*(F.col(c) for c in df.columns if c not in drop)), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def write_reports(bundle: dict[str, DataFrame], folder: str, drop: tuple[str, ...] = ("properties",)) -> list[str]:
+    """Write every relation of a bundle as JSON lines below the folder, one subfolder each, over what is there.
+
+    Rows stay distributed: a report of many cases is many files. Returns the subfolders in order of name.
+    """
+    for name, df in bundle.items():
+        report_rows(df, drop).write.mode("overwrite").text(f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in sorted(bundle)]
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """Write one small document (an index, a manifest) as indented JSON, by way of the file system Spark sees."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(json.dumps(document, indent=2, ensure_ascii=False, default=str).encode("utf-8")))
+    finally:
+        out.close()
+
+
+def ingested(spark: SparkSession, source: str, target: str, folders: DataFrame, files: DataFrame, expected: dict[str, int], force: bool = False) -> dict:
+    """Copy class folders (class_name, folder) into target and write its manifest.json, which is returned.
+
+    Refuses a target that is not empty, unless force is set, and a source without class folders. The source is never
+    changed. files is the listing of the source: the manifest holds images, masks and the expected number of each class.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    fs = place.getFileSystem(conf)
+    if not force and fs.exists(place) and len(fs.listStatus(place)):
+        raise FileExistsError(f"{target} is not empty")
+    found = {r["class_name"]: r["folder"] for r in folders.collect()}  # a row a class
+    if not found:
+        raise FileNotFoundError(f"no class folders below {source}")
+    images = files.join(folders.select("class_name").distinct(), "class_name", "left_semi").where(F.col("ext").isin(*IMAGE_EXTENSIONS))
+    counts = {r["class_name"]: r for r in images.groupBy("class_name").agg(F.count_if(~is_mask(F.col("stem"))).alias("images"), F.count_if(is_mask(F.col("stem"))).alias("masks")).collect()}
+    for name, folder in sorted(found.items()):
+        own = jvm.org.apache.hadoop.fs.Path(folder)
+        to = jvm.org.apache.hadoop.fs.Path(place, name)
+        fs.mkdirs(to)
+        for status in own.getFileSystem(conf).listStatus(own):
+            if status.isFile() and "." + status.getPath().getName().lower().rpartition(".")[2] in IMAGE_EXTENSIONS:
+                jvm.org.apache.hadoop.fs.FileUtil.copy(own.getFileSystem(conf), status.getPath(), fs, to, False, True, conf)
+    said = {n: {"images": counts[n]["images"] if n in counts else 0, "masks": counts[n]["masks"] if n in counts else 0, "expected": expected.get(n)} for n in sorted(found)}
+    manifest = {"source": source, "classes": said, "as_expected": all(c["expected"] in (None, c["images"]) for c in said.values())}
+    write_document(spark, manifest, f"{target}/manifest.json")
+    return manifest
+
+
 def model_catalog(files: DataFrame, metadata: DataFrame, legacy_name: str | None = None) -> DataFrame:
     """(name, legacy, ...metadata): model files with their metadata, and the legacy model if no file bears its name."""
     known = files.select("name").distinct().join(metadata, "name", "left").withColumn("legacy", F.coalesce(F.col("legacy"), F.lit(False)))
@@ -45,7 +106,7 @@ def model_catalog(files: DataFrame, metadata: DataFrame, legacy_name: str | None
 
 
 def merged_index(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(model_name, place): names of both, once and in order."""
+    """(model_name, place): names of both, once and in order; models are few, and one window ranks them."""
     names = old.select("model_name").unionByName(new.select("model_name")).distinct()
     return names.withColumn("place", F.row_number().over(Window.orderBy("model_name")))
 

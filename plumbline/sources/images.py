@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.images import PROFILES, augmented, gray, pixels, png, preprocess, properties, shown, small_copy, thumbnail
 from plumbline.functions.images import decoded as image_pixels
-from plumbline.functions.images import gray, properties, thumbnail
 from plumbline.functions.scalar import IMAGE_EXTENSIONS, MOST_BYTES, extension, is_mask, side_error, sniffed_format, stem, validation_error
 from plumbline.operators.profile import labelled
+from plumbline.tables import in_order
 
 PROPERTIES = "struct<width: double, height: double, mean_intensity: double, std_intensity: double, rms_contrast: double, laplacian_variance: double, dark_fraction: double, edge_density: double>"
 MASK_SUFFIX = r"(?i)_mask(_\d+)?$"
@@ -29,19 +31,29 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path"), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("class_name"), stem(path).alias("stem"), extension(path).alias("ext"), "length")
 
 
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all files below root."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+
+
 def manifest(files: DataFrame, classes: list[str]) -> DataFrame:
     """(idx, path, class_name, label, stem, mask_paths, group_id) of the images in class order, then path order.
 
-    Masks (name_mask, name_mask_1, ...) are attached to the image of their class and name, in order. idx comes from
-    counts per class and part of the path's hash range, so that sorting is the only work over all rows.
+    Masks (name_mask, name_mask_1, ...) are attached to the image of their class and name, in order. idx comes from a sort
+    by range over the cluster and from counts of its parts.
     """
     kept = labelled(files.where(F.col("ext").isin(*IMAGE_EXTENSIONS)), classes).where("label is not null")
     masks = kept.where(is_mask(F.col("stem"))).select("class_name", F.regexp_replace("stem", MASK_SUFFIX, "").alias("stem"), F.col("path").alias("mask")).groupBy("class_name", "stem").agg(F.array_sort(F.collect_list("mask")).alias("mask_paths"))
     images = kept.where(~is_mask(F.col("stem"))).join(masks, ["class_name", "stem"], "left")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("path"))
-    before = images.groupBy("label").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = images.withColumn("place", place).join(before.select("label", "start"), "label")
-    return numbered.select((F.col("start") + F.col("place") - 1).alias("idx"), "path", "class_name", "label", "stem", F.coalesce("mask_paths", F.array().cast("array<string>")).alias("mask_paths"), F.concat_ws("/", "class_name", "stem").alias("group_id"))
+    named = images.select("path", "class_name", "label", "stem", F.coalesce("mask_paths", F.array().cast("array<string>")).alias("mask_paths"), F.concat_ws("/", "class_name", "stem").alias("group_id"))
+    return in_order(named, ["label", "path"]).select("idx", *named.columns)
+
+
+def every_folder(files: DataFrame, ext: str = ".png") -> DataFrame:
+    """(idx, path, class_name, label, stem, mask_paths, group_id) of all images of one extension below any folder, label 0,
+    each a group of its own: a scan that knows no classes and attaches no masks."""
+    kept = files.where(F.col("ext") == ext).select("path", "class_name", F.lit(0).alias("label"), "stem", F.array().cast("array<string>").alias("mask_paths"), F.col("path").alias("group_id"))
+    return in_order(kept, ["class_name", "path"]).select("idx", *kept.columns)
 
 
 def missing_classes(files: DataFrame, classes: list[str]) -> DataFrame:
@@ -125,3 +137,65 @@ def validated(uploads: DataFrame, key: str = "filename", payload: str = "payload
     jpeg = sniffed_format(F.col(payload)) == "JPEG"
     return seen.withColumn("error", F.coalesce("quick", F.when(~jpeg, side_error(F.col("width"), F.col("height"))))).select(*uploads.columns, "width", "height", "error")
 
+
+
+def _each(decoded: DataFrame, make, schema: str) -> DataFrame:
+    """make(path, pixels) gives rows for each decoded image; images that could not be decoded give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        for pdf in batches:
+            ok = pdf[pdf["data"].notna()]
+            rows = [x for r in ok.itertuples(index=False) for x in make(r.path, pixels(r.data, int(r.height), int(r.width), int(r.channels)))]
+            yield pd.DataFrame(rows, columns=names)
+
+    return decoded.select("path", "width", "height", "channels", "data").mapInPandas(run, schema)
+
+
+def preprocessed(decoded: DataFrame, profile: str) -> DataFrame:
+    """(path, side, x): each image as the profile's model wants it, flattened by rows, red first. An unknown profile is an
+    error, and images that cannot be decoded give no row."""
+    side = PROFILES[profile][0]
+    return _each(decoded, lambda path, image: [(path, side, preprocess(image, profile)[0].ravel())], "path string, side int, x array<float>")
+
+
+def split_arrays(samples: DataFrame, split: DataFrame, which: str, decoded: DataFrame, profile: str) -> DataFrame:
+    """(idx, label, x) of one split's samples: a model's input and its labels."""
+    rows = samples.join(split.where(F.col("split") == which).select("idx"), "idx").select("idx", "label", "path")
+    return rows.join(preprocessed(decoded, profile), "path").select("idx", "label", "x")
+
+
+def displayed(decoded: DataFrame, width: int, height: int) -> DataFrame:
+    """(path, width, height, rgb): 8-bit pixels at another size, red first, not normalised."""
+    return _each(decoded, lambda path, image: [(path, width, height, shown(image, width, height).tobytes())], "path string, width int, height int, rgb binary")
+
+
+def small_copies(decoded: DataFrame, longest: int = 128) -> DataFrame:
+    """(path, width, height, png): copies for a log, no side longer than longest, as PNG (no JPEG encoder is at hand)."""
+
+    def make(path, image):
+        small = small_copy(image, longest)
+        return [(path, small.shape[1], small.shape[0], png(small))]
+
+    return _each(decoded, make, "path string, width int, height int, png binary")
+
+
+def variants(decoded: DataFrame, n: int, seed: int = 42, settings: dict | None = None) -> DataFrame | None:
+    """(path, variant, width, height, channels, data): n random variants of each image; None where settings' augmentation
+    is switched off. A variant depends on seed, path and its number alone."""
+    own = (settings or {}).get("augmentation", {"enabled": True})
+    if not own.get("enabled"):
+        return None
+    how = {"flip": bool(own.get("horizontal_flip", True)), "degrees": own.get("rotation_range", 15), "zoom": own.get("zoom_range", 0.1), "shift": own.get("width_shift_range", 0.1), "brightness": 0.1}
+
+    def make(path, image):
+        start = zlib.crc32(f"{seed}:{path}".encode())
+        return [(path, i, image.shape[1], image.shape[0], image.shape[2], augmented(image, start + i, **how).tobytes()) for i in range(n)]
+
+    return _each(decoded, make, "path string, variant int, width int, height int, channels int, data binary")
+
+
+def training_variants(samples: DataFrame, split: DataFrame, decoded: DataFrame, n: int, seed: int = 42, settings: dict | None = None) -> DataFrame | None:
+    """variants of the train split's images only, with idx and label: nothing of val and test is ever varied."""
+    made = variants(decoded, n, seed, settings)
+    return None if made is None else samples.join(split.where("split = 'train'").select("idx"), "idx").select("idx", "label", "path").join(made, "path")

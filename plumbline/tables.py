@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def session(app: str = "plumbline", **conf: str) -> SparkSession:
@@ -47,5 +48,20 @@ def removed(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def in_order(df: DataFrame, by: list[str], name: str = "idx") -> DataFrame:
+    """df with name: each row's place, from 0, in the order of the columns in by.
+
+    Rows are sorted by range over the cluster and written; places follow from how many rows each part holds, so no window
+    spans all rows.
+    """
+    sorted_rows = written(df.orderBy(*by).withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("__id", 33)
+    counts = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__start"))  # a row a part
+    placed = sorted_rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn(name, F.col("__start") + F.col("__id") - F.shiftleft("__part", 33)).drop("__id", "__part", "__start")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,9 +27,9 @@ def test_entry(spark):
 
 def test_reports_and_missing_models_cover_whole_tables(spark):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
-    rows = queries.prediction_reports_all(spark, SMALL).collect()
+    rows = queries.prediction_reports(spark, SMALL).collect()
     assert len(rows) == events.count() > 100 and {r["label"] for r in rows} == {"malignant", "benign"}
     assert {r["model"] for r in rows} == {r[0] for r in events.select("event_type").distinct().collect()}
     nations, suppliers = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("nation", "supplier"))
     want = nations.join(suppliers, nations.n_nationkey == suppliers.s_nationkey, "left_anti")
-    assert queries.missing_models_all(spark, SMALL).count() == want.count() > 0
+    assert queries.missing_models(spark, SMALL).count() == want.count() > 0
