@@ -1,12 +1,15 @@
 """Exact top-k search by inner product: sparse query rows scatter weighted postings into dense score arrays.
 
-Vectors and queries are dealt into blocks of bounded size. A task holds one block of each: postings by dimension of its
-vectors, and for each query one dense array of scores, to which every non-zero term of the query adds its weighted
-posting. A partition step selects each query's best of the block; the blocks' selections are merged by rank.
+Vectors stay where they lie; blocks of queries of bounded size are sent to all tasks. A task holds the postings by
+dimension of a block of its vectors, and for each query one dense array of scores, to which every non-zero term of the
+query adds its weighted posting. A partition step selects each query's best of the block, a task merges its blocks'
+selections, and the tasks' selections are merged by rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,59 +17,104 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import use_workers, written
 
-#: Vectors and queries in a block.
-VECTORS, QUERIES = 8192, 1024
+#: Vectors in a block; queries, and bytes of their components, that are sent to the tasks at once.
+VECTORS, QUERIES, QUERY_BYTES = 8192, 1 << 16, 32 << 20
+#: Vectors that are worth a task of their own.
+LEAST_VECTORS = 1024
+
+
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All components of a list column, and where each row's begin."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    off = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.values)[off[0] : off[-1]], off - off[0]
 
 
-def postings(rows: list[list[float]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def postings(values: np.ndarray, starts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By dimension: the rows with a non-zero component there, and those components."""
-    lengths = np.array([len(r) for r in rows])
-    value = np.concatenate([np.asarray(r, np.float64) for r in rows]) if len(rows) else np.zeros(0)
-    row = np.repeat(np.arange(len(rows)), lengths)
-    dim = np.concatenate([np.arange(n) for n in lengths]) if len(rows) else np.zeros(0, int)
+    sizes = np.diff(starts)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    dim = np.arange(len(values)) - np.repeat(starts[:-1], sizes)
     order = np.argsort(dim, kind="stable")
-    order = order[value[order] != 0]
+    order = order[values[order] != 0]
     ds, first = np.unique(dim[order], return_index=True)
-    ends = np.append(first[1:], len(order))
-    return {int(d): (row[order[a:b]], value[order[a:b]]) for d, a, b in zip(ds, first, ends)}
-
-
-def best(table: pa.Table, k: int) -> pa.Table:
-    """The k best vectors of one block for each of its queries; equal scores to the smaller id."""
-    is_query = table.column("is_query").to_numpy(zero_copy_only=False)
-    row, key = table.column("row").to_numpy(), table.column("id").to_numpy()
-    vec = table.column("vec").to_pylist()
-    at, asks = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-    out: list[tuple] = []
-    if len(at) and len(asks):
-        own = postings([vec[i] for i in at])
-        ids, rows = key[at], row[at]
-        largest = max((np.abs(w).max() for _, w in own.values()), default=0.0)
-        for q in asks:
-            x = np.asarray(vec[q], np.float64)
-            if np.abs(x).sum() * largest < 2**53:  # sums of whole numbers below 2**53 are exact in doubles
-                score = np.zeros(len(at))
-                for d in np.flatnonzero(x):
-                    if (p := own.get(int(d))) is not None:
-                        score[p[0]] += x[d] * p[1] if len(p[0]) < len(at) else 0
-                        if len(p[0]) == len(at):
-                            score += x[d] * p[1]
-            else:
-                exact = [0] * len(at)
-                for d in np.flatnonzero(x):
-                    for i, w in zip(*own.get(int(d), ((), ()))):
-                        exact[i] += int(x[d]) * int(w)
-                score = np.array(exact, dtype=object)
-            usable = rows != row[q]
-            s, i, r = score[usable], ids[usable], rows[usable]
-            if len(s) > k:
-                edge = np.partition(s, len(s) - k)[len(s) - k] if s.dtype != object else sorted(s)[-k]
-                near = s >= edge
-                s, i, r = s[near], i[near], r[near]
-            order = sorted(range(len(s)), key=lambda j: (-s[j], i[j], r[j]))[:k]
-            out += [(int(row[q]), int(key[q]), max(-(2**63), min(2**63 - 1, int(s[j]))), int(i[j]), int(r[j])) for j in order]
-    columns = list(zip(*out)) if out else [[]] * 5
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_row", "query_id", "score", "vec_id", "vec_row"), columns)})
+    return {int(d): (row[order[a:b]], values[order[a:b]]) for d, a, b in zip(ds, first, np.append(first[1:], len(order)))}
+
+
+class Queries:
+    """A block of queries, as every task gets it."""
+
+    def __init__(self, table: pa.Table):
+        self.rows, self.ids = table.column("row").to_numpy(), table.column("id").to_numpy()
+        self.values, self.starts = flat(table.column("vec")) if table.num_rows else (np.zeros(0), np.zeros(1, np.int64))
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for i, (row, name) in enumerate(zip(self.rows.tolist(), self.ids.tolist())):
+            yield row, name, self.values[self.starts[i] : self.starts[i + 1]]
+
+
+def scores_of(x: np.ndarray, own: dict[int, tuple[np.ndarray, np.ndarray]], n: int, largest: float) -> np.ndarray:
+    """The inner products of one query with n vectors, term by term; exact also beyond what doubles hold."""
+    if np.abs(x).sum() * largest < 2**53:  # sums of whole numbers below 2**53 are exact in doubles
+        score = np.zeros(n)
+        for d in np.flatnonzero(x).tolist():
+            if (p := own.get(d)) is not None:
+                if len(p[0]) == n:
+                    score += x[d] * p[1]
+                else:
+                    score[p[0]] += x[d] * p[1]
+        return score
+    exact = [0] * n
+    for d in np.flatnonzero(x).tolist():
+        for i, w in zip(*own.get(d, ((), ()))):
+            exact[i] += int(x[d]) * int(w)
+    return np.array(exact, dtype=object)
+
+
+def selected(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(-score, id, row) of the k best, equal scores to the smaller id."""
+    if len(score) > k:
+        edge = np.partition(score, len(score) - k)[len(score) - k] if score.dtype != object else sorted(score)[-k]
+        near = np.flatnonzero(score >= edge)
+        score, ids, rows = score[near], ids[near], rows[near]
+    return sorted((-int(s), i, r) for s, i, r in zip(score.tolist(), ids.tolist(), rows.tolist()))[:k]
+
+
+def search(queries, k: int):
+    """From (row, id, vec): each query's k best among one task's vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = list(queries.value)
+        best: list[list[tuple[int, int, int]]] = [[] for _ in asked]
+        held: list[pa.RecordBatch] = []
+
+        def block() -> None:
+            t = pa.Table.from_batches(held)
+            rows, ids = t.column("row").to_numpy(), t.column("id").to_numpy()
+            own = postings(*flat(t.column("vec")))
+            largest = max((np.abs(w).max() for _, w in own.values()), default=0.0)
+            for q, (row, _, x) in enumerate(asked):
+                usable = rows != row
+                score = scores_of(x, own, len(rows), largest)
+                if not usable.all():
+                    found = selected(score[usable], ids[usable], rows[usable], k)
+                else:
+                    found = selected(score, ids, rows, k)
+                best[q] = sorted(best[q] + found)[:k]
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= VECTORS:
+                block()
+                held = []
+        if held:
+            block()
+        out = [(row, name, max(-(2**63), min(2**63 - 1, -s)), i, r) for (row, name, _), own in zip(asked, best) for s, i, r in own]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_row", "query_id", "score", "vec_id", "vec_row"])
+
+    return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0, k: int = 5) -> DataFrame:
@@ -76,7 +124,8 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     nor do rows without a key; an empty vector scores 0 with everything. Vectors of different lengths are compared as if
     the shorter ended in zeros. Repeated rows are rows of their own: each is a query and a candidate, only never its own.
     Ties go to the smaller id. With fewer than k other rows all are given. Scores beyond 64 bits are cut to its ends.
-    Other columns are ignored.
+    Other columns are ignored. Queries go to the tasks in blocks of about QUERIES rows or QUERY_BYTES: the vectors
+    are read once a block and never shuffled, but for a small table, which is first dealt to all cores.
     """
     use_workers(vectors.sparkSession)
     spark = vectors.sparkSession
@@ -84,14 +133,19 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     sound = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
     scaled = F.transform(x, lambda v: F.floor(v * F.lit(float(scale)).cast("double")).cast("double"))
     rows = written(vectors.where(sound).select(F.col(key).cast("long").alias("id"), scaled.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    tasks = spark.sparkContext.defaultParallelism
-    vector_blocks = max(1, -(-n["n"] // VECTORS), min(2 * tasks, n["n"] // 1024))
-    query_blocks = max(1, -(-n["q"] // QUERIES))
-    block = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    asked = rows.where("asks").select("row", "id", "vec", F.lit(True).alias("is_query"), block(query_blocks).alias("qb"), each(vector_blocks).alias("vb"))
-    offered = rows.select("row", "id", "vec", F.lit(False).alias("is_query"), each(query_blocks).alias("qb"), block(vector_blocks).alias("vb"))
-    found = asked.unionByName(offered).groupBy("qb", "vb").applyInArrow(lambda t: best(t, k), "query_row long, query_id long, score long, vec_id long, vec_row long")
+    size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
+    most = max(1, min(QUERIES, QUERY_BYTES // (8 * max(1, size["d"]))))
+    blocks = max(1, -(-size["q"] // most))
+    offered = rows.select("row", "id", "vec")
+    tasks = min(2 * spark.sparkContext.defaultParallelism, -(-size["n"] // LEAST_VECTORS))
+    if size["n"] < tasks * VECTORS:
+        offered = offered.repartition(max(1, tasks), "row")
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    done = None
+    for i in range(blocks):
+        own = rows.where(F.col("asks") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == i)).select("row", "id", "vec").toArrow()  # one block of queries
+        found = offered.mapInArrow(search(spark.sparkContext.broadcast(Queries(own)), k), "query_row long, query_id long, score long, vec_id long, vec_row long")
+        found = found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        found = written(found, "found") if blocks > 1 else found
+        done = found if done is None else done.unionByName(found)
+    return done
