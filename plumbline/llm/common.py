@@ -19,16 +19,22 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Rows that go to a Python worker at once: whole texts are long.
 ROWS = 1000
+#: Settings of workers' memory: arrays of a megabyte and more go back to the system when they are freed, so that a worker
+#: that waits for its next task holds little.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def use_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed but lies at the same path, and keep batches short.
+    """Let Python workers import this package where it is not installed but lies at the same path, and keep them small.
 
-    The number of rows in a batch is a setting of the session; only its default is lowered.
+    This changes the session: the number of rows in an Arrow batch is lowered to ROWS if it is at its default, and workers'
+    PYTHONPATH and WORKER_MEMORY are set, the latter where the user has not.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])

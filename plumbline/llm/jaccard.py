@@ -29,7 +29,7 @@ COMMON, MOST_COMMON = 16, 1 << 21
 #: Bits of a token, which names a shingle while candidates are sought: 10^13 shingles would still leave most apart.
 TOKEN = 48
 #: Shingles that one task holds before it passes their counts on; documents in a block of the product.
-FLUSH, BLOCK = 1 << 22, 1024
+FLUSH, BLOCK = 1 << 21, 1024
 #: Bytes of input for each range of tokens, and ranges at most.
 RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 20
 #: Bits of the largest filter of documents that have a candidate.
@@ -183,7 +183,7 @@ def postings(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], ranges:
     for one in found:
         held.append(one)
         n += len(one[0])
-        if n >= FLUSH // 4:
+        if n >= FLUSH // 2:
             yield out()
             held, n = [], 0
     if n:
@@ -431,7 +431,9 @@ def bands(clusters: DataFrame, rows: DataFrame, percent: int, weighted: bool) ->
     A cluster of more than BLOCK sets is dealt into bands of size: sets whose bands are no neighbours differ too much in
     size to link. chunks is the number of blocks in the set's band, above and below those in the bands beside it.
     """
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1")
+    # tables of clusters and of bands are written, so that their joins have plain rows on both sides and adaptive execution
+    # may split a cluster of many sets
+    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1"), "clusters")
     sets = rows.where("sk is not null").groupBy("sk").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
     width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
     band = F.when(F.col("members") > BLOCK, F.floor(F.log("n") / width)).otherwise(0).cast("long")
@@ -439,7 +441,7 @@ def bands(clusters: DataFrame, rows: DataFrame, percent: int, weighted: bool) ->
     counts = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
     order = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f, by: F.when(f("band").over(order) == F.col("band") + by, f("chunks").over(order)).otherwise(0)
-    around = counts.select("cluster", "band", "chunks", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below"))
+    around = written(counts.select("cluster", "band", "chunks", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below")), "bands")
     return placed.join(around, ["cluster", "band"])
 
 

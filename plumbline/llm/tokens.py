@@ -26,7 +26,7 @@ from plumbline.llm.common import slices, use_workers
 #: patterns like it, which look one character ahead; another pattern must not look further.
 LOOK = 4
 #: Pre-tokens whose ids a worker remembers; it starts afresh beyond that.
-MOST_PIECES = 200_000
+MOST_PIECES = 100_000
 
 _coders: dict[tuple[str, str], "Coder"] = {}
 
@@ -62,7 +62,6 @@ class Coder:
         self.pattern = regex.compile(pattern)
         # the library is given whole pre-tokens: its own pattern takes any string as one
         self.pieces = Pieces(tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}))
-        self.bytes_of = {i.to_bytes(4, "little"): t for t, i in ranks.items()}
         self.raw = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.raw[i] = t
