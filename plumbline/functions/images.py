@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 
+from plumbline.functions import jpeg
+
 #: Luminance weights of blue, green and red; preprocessing profiles as (side, normalisation).
 LUMINANCE = (0.114, 0.587, 0.299)
 CHANNEL_MEANS = (103.939, 116.779, 123.68)
@@ -129,10 +131,13 @@ def mask_agreement(heatmap: np.ndarray, mask: np.ndarray, percentile: float = 80
 
 
 def decoded(payload: bytes | None) -> np.ndarray | None:
-    """Pixels [h, w, channels], blue first, of a PNG (8 bits, not interlaced) or an uncompressed 24-bit BMP; else None."""
+    """Pixels [h, w, channels], blue first, of a PNG (16 bits are cut to 8), a sequential JPEG or an uncompressed BMP;
+    else None."""
     try:
         if payload and payload[:8] == b"\x89PNG\r\n\x1a\n":
             return _png(payload)
+        if payload and payload[:3] == b"\xff\xd8\xff":
+            return jpeg.decoded(payload)
         if payload and payload[:2] == b"BM":
             return _bmp(payload)
     except (ValueError, IndexError, KeyError, zlib.error):
@@ -140,59 +145,108 @@ def decoded(payload: bytes | None) -> np.ndarray | None:
     return None
 
 
+def sides(payload: bytes | None) -> tuple[int, int] | None:
+    """(width, height) of an image that decodes; of a JPEG that is not sequential, those its header states; else None."""
+    p = decoded(payload)
+    if p is not None:
+        return p.shape[1], p.shape[0]
+    stated = jpeg.frame(payload) if payload and payload[:3] == b"\xff\xd8\xff" else None
+    return stated[:2] if stated and not stated[2] else None
+
+
+def _unfiltered(raw: np.ndarray, rows: int, line: int, step: int) -> np.ndarray:
+    """Bytes [rows, line] of PNG scan lines, whose filters look step bytes to the left."""
+    raw = raw.reshape(rows, 1 + line)
+    out = np.zeros((rows + 1, line + step), np.uint8)  # one row above and one pixel to the left are zero
+    for y in range(rows):
+        way, given, above, row = int(raw[y, 0]), raw[y, 1:], out[y], out[y + 1]
+        if way == 0:
+            row[step:] = given
+        elif way == 1:
+            for i in range(step):
+                row[step + i :: step] = np.cumsum(given[i::step], dtype=np.uint8)
+        elif way == 2:
+            row[step:] = given + above[step:]
+        elif way in (3, 4):
+            own, over, new = row.tolist(), above.tolist(), given.tolist()
+            for x in range(line):
+                left, up, corner = own[x], over[x + step], over[x]
+                if way == 3:
+                    guess = (left + up) // 2
+                else:
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = left if a <= b and a <= c else up if b <= c else corner
+                own[x + step] = (new[x] + guess) & 255
+            row[:] = own
+        else:
+            raise ValueError("unknown row filter")
+    return out[1:, step:]
+
+
+#: First column and row, and steps between them, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def _png(b: bytes) -> np.ndarray:
-    at, data, palette, head = 8, b"", None, None
+    at, data, palette, head = 8, [], None, None
     while at + 8 <= len(b):
-        n, kind, body = int.from_bytes(b[at : at + 4], "big"), b[at + 4 : at + 8], b[at + 8 : at + 8 + int.from_bytes(b[at : at + 4], "big")]
+        n, kind = int.from_bytes(b[at : at + 4], "big"), b[at + 4 : at + 8]
+        body = b[at + 8 : at + 8 + n]
         if kind == b"IHDR":
             head = body
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         elif kind == b"IEND":
             break
         at += 12 + n
-    if head is None or head[8] != 8 or head[12]:
-        raise ValueError("not an 8-bit PNG without interlacing")
-    w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
-    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[9]]
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h + 1, (w + 1) * c), np.uint8)  # one row above and one pixel to the left are zero
-    for y in range(h):
-        way, line, above = raw[y, 0], raw[y, 1:], out[y]
-        row = out[y + 1]
-        if way == 0:
-            row[c:] = line
-        elif way == 1:
-            row[c:] = np.cumsum(line.reshape(w, c), axis=0, dtype=np.uint8).ravel()
-        elif way == 2:
-            row[c:] = line + above[c:]
-        elif way in (3, 4):
-            for x in range(w * c):
-                left, up, corner = int(row[x]), int(above[x + c]), int(above[x])
-                if way == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((left, up, corner), key=lambda v: abs(p - v))
-                row[x + c] = (int(line[x]) + guess) & 255
-        else:
-            raise ValueError("unknown row filter")
-    p = out[1:, c:].reshape(h, w, c)
-    if head[9] == 3:
+    if head is None or not int.from_bytes(head[:4], "big") or not int.from_bytes(head[4:8], "big"):
+        raise ValueError("no PNG header")
+    w, h, depth, kind, laced = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9], head[12]
+    c = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
+    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+
+    def part(start: int, wide: int, high: int) -> tuple[np.ndarray, int]:
+        line = -(-wide * c * depth // 8)
+        end = start + high * (1 + line)
+        rows = _unfiltered(raw[start:end], high, line, max(1, c * depth // 8))
+        if depth == 16:
+            rows = rows[:, ::2]
+        elif depth < 8:
+            bits = np.unpackbits(rows, axis=1).reshape(high, -1, depth)
+            rows = bits.dot(1 << np.arange(depth)[::-1])[:, : wide * c].astype(np.uint8)
+            if kind != 3:
+                rows = rows * np.uint8(255 // ((1 << depth) - 1))
+        return rows.reshape(high, wide, c), end
+
+    if not laced:
+        p = part(0, w, h)[0]
+    else:
+        p, start = np.zeros((h, w, c), np.uint8), 0
+        for x, y, dx, dy in PASSES:
+            wide, high = -(-(w - x) // dx), -(-(h - y) // dy)
+            if wide > 0 and high > 0:
+                p[y::dy, x::dx], start = part(start, wide, high)
+    if kind == 3:
         return palette[p[:, :, 0]][:, :, ::-1]
     return p[:, :, :1] if c < 3 else p[:, :, 2::-1] if c == 3 else p[:, :, [2, 1, 0, 3]]
 
 
 def _bmp(b: bytes) -> np.ndarray:
     word = lambda i, n=4: int.from_bytes(b[i : i + n], "little", signed=n == 4)
-    start, w, h = word(10), word(18), word(22)
-    if word(28, 2) != 24 or word(30):
-        raise ValueError("not a plain 24-bit BMP")
-    stride = (3 * w + 3) // 4 * 4
-    rows = np.frombuffer(b, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : 3 * w].reshape(abs(h), w, 3)
-    return rows[::-1] if h > 0 else rows
+    start, head, w, h, bits = word(10), word(14), word(18), word(22), word(28, 2)
+    if bits not in (1, 4, 8, 24, 32) or word(30) or w <= 0 or not h:
+        raise ValueError("not a plain BMP")
+    stride = (bits * w + 31) // 32 * 4
+    rows = np.frombuffer(b, np.uint8, stride * abs(h), start).reshape(abs(h), stride)
+    if bits > 8:
+        p = rows[:, : bits // 8 * w].reshape(abs(h), w, bits // 8)[:, :, :3]
+    else:
+        colours = np.frombuffer(b, np.uint8, 4 * (word(46) or 1 << bits), 14 + head).reshape(-1, 4)[:, :3]
+        at = np.unpackbits(rows, axis=1).reshape(abs(h), -1, bits).dot(1 << np.arange(bits)[::-1])[:, :w]
+        p = colours[at]
+    return p[::-1] if h > 0 else p
 
 
 def png(image: np.ndarray) -> bytes:

@@ -88,7 +88,7 @@ def cells(z: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, np.ndarray, np.n
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angles(b)[1], pa.int64())], names=["idx", "z", "cell"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(angles(b)[1], pa.int64())], names=[*b.schema.names, "cell"])
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,12 +105,13 @@ def cells(z: DataFrame, pivots: np.ndarray) -> tuple[DataFrame, np.ndarray, np.n
     found = z.mapInArrow(bounds, f"cell long, n long, {', '.join(f'{c} double' for c in names)}").groupBy("cell").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in names)).orderBy("cell").toArrow()  # at most PIVOTS * STEPS rows
     columns = [found.column(c).to_numpy() for c in ("cell", "n", *names)]
     table = np.stack(columns[2:]) if found.num_rows else np.zeros((len(names), 0))
-    return z.mapInArrow(place, f"idx {z.schema['idx'].dataType.simpleString()}, z array<double>, cell long"), np.stack(columns[:2]), table[: len(pivots)], table[len(pivots) :]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in z.schema.fields)
+    return z.mapInArrow(place, f"{kinds}, cell long"), np.stack(columns[:2]), table[: len(pivots)], table[len(pivots) :]
 
 
 def block_pairs(z: DataFrame, least: float) -> tuple[DataFrame, int, int]:
-    """(lo, hi, b, idx, z): each row once for each pair of blocks that may hold a correlation above least; and how many such
-    pairs there are, of how many in all."""
+    """(lo, hi, b, idx, z, ...): each row of z(idx, z, ...) once for each pair of blocks that may hold a correlation above
+    least; and how many such pairs there are, of how many in all."""
     spark = z.sparkSession
     n = z.count()
     first = z.orderBy(F.xxhash64("idx"), "idx").limit(PIVOTS).select("z").toArrow().column("z")
@@ -143,7 +144,7 @@ def block_pairs(z: DataFrame, least: float) -> tuple[DataFrame, int, int]:
     others = F.flatten(F.transform("partners", lambda p: F.transform(F.sequence(F.lit(0), p["chunks"] - 1), lambda c: name(p["unit"], c))))
     own = with_cell.join(F.broadcast(place), "cell").join(F.broadcast(meets), "unit")  # both have a row a cell at most
     own = own.withColumn("b", name(F.col("unit"), F.pmod(F.xxhash64("idx"), F.col("chunks")))).withColumn("other", F.explode(others))
-    return own.select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "idx", "z"), kept, total * (total + 1) // 2
+    return own.select(F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", *z.columns), kept, total * (total + 1) // 2
 
 
 def tiles(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -246,8 +247,40 @@ def integrity_audit(vectors: DataFrame, contents: DataFrame, threshold: float =
     return row.select("n_samples", "exact_groups", "exact_files", "n_clusters", "multi_member_clusters", "largest_cluster", *shares, factor.alias("reduction_factor"))
 
 
+def best_above(left: DataFrame, right: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(idx, best): the left rows whose highest correlation with a right row other than itself is above least, and that
+    correlation; only blocks that may hold such a pair meet."""
+    side = lambda rows, is_left: standardised(rows, key, vector).withColumn("is_left", F.lit(is_left))
+    z = written(side(left, True).unionByName(side(right, False)), "sides")
+
+    def product(t: pa.Table) -> pa.Table:
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        b, idx, m = t.column("b").to_numpy(), t.column("idx").to_numpy(), matrix(t.column("z"))
+        is_left = t.column("is_left").to_numpy(zero_copy_only=False)
+        best: dict[int, float] = {}
+        for one, other in {(lo, hi), (hi, lo)}:
+            rows, columns = np.flatnonzero((b == one) & is_left), np.flatnonzero((b == other) & ~is_left)
+            for at in range(0, len(rows) if len(columns) else 0, TILE):
+                own = rows[at : at + TILE]
+                c = m[own] @ m[columns].T / max(1, m.shape[1])
+                c[idx[own][:, None] == idx[columns]] = -np.inf
+                top = c.max(axis=1)
+                for x, y in zip(idx[own][top > least].tolist(), top[top > least].tolist()):
+                    best[x] = max(y, best.get(x, y))
+        return pa.table({"idx": pa.array(list(best), pa.int64()), "best": pa.array(list(best.values()), pa.float64())})
+
+    found = block_pairs(z, least)[0].groupBy("lo", "hi").applyInArrow(product, "idx long, best double")
+    return found.groupBy("idx").agg(F.max("best").alias("best"))
+
+
 def split_leakage(test: DataFrame, train: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(threshold, leakage): the share of test rows whose best correlation with a training row is above; 0 if a side is empty."""
-    best = best_correlation(test, train, key, vector)
-    n = best.agg(F.count("*").alias("n"), *(F.count_if(F.col("best") > t).alias(f"t{i}") for i, t in enumerate(thresholds)))
+    """(threshold, leakage): the share of test rows whose best correlation with a training row is above; 0 if a side is empty.
+
+    Test rows that no training row other than themselves stands beside do not count.
+    """
+    best = best_above(test, train, min(thresholds), key, vector)
+    above = best.agg(*(F.count_if(F.col("best") > t).alias(f"t{i}") for i, t in enumerate(thresholds)), F.lit(1).alias("one"))
+    others = train.agg(F.count_distinct(key).alias("others"), F.min(key).alias("only"), F.lit(1).alias("one"))
+    beside = test.select(F.col(key).alias("idx"), F.lit(1).alias("one")).join(others, "one").where((F.col("others") > 1) | (F.col("others") == 1) & (F.col("idx") != F.col("only")))
+    n = beside.agg(F.count("*").alias("n"), F.lit(1).alias("one")).join(above, "one")
     return n.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), ratio(F.col(f"t{i}"), F.col("n")).alias("leakage")) for i, t in enumerate(thresholds)))).alias("r")).select("r.*")

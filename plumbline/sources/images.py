@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.images import PROFILES, augmented, gray, pixels, png, preprocess, properties, shown, small_copy, thumbnail
+from plumbline.functions.images import PROFILES, augmented, gray, pixels, preprocess, properties, shown, small_copy, thumbnail
 from plumbline.functions.images import decoded as image_pixels
-from plumbline.functions.scalar import IMAGE_EXTENSIONS, MOST_BYTES, extension, is_mask, side_error, sniffed_format, stem, validation_error
+from plumbline.functions.images import sides as sides_of
+from plumbline.functions.jpeg import encoded as jpeg_bytes
+from plumbline.functions.scalar import IMAGE_EXTENSIONS, MOST_BYTES, extension, is_mask, side_error, stem, validation_error
 from plumbline.operators.profile import labelled
 from plumbline.tables import in_order
 
@@ -105,7 +107,7 @@ def features(decoded: DataFrame, size: int = 32) -> DataFrame:
 
 
 def payload_features(uploads: DataFrame, key: str, payload: str, size: int = 32) -> DataFrame:
-    """(key, width, height, thumbnail, properties) of PNG and BMP images that lie in rows as bytes; nulls if undecodable."""
+    """(key, width, height, thumbnail, properties) of PNG, JPEG and BMP images that lie in rows as bytes; nulls if undecodable."""
     kind = dict(uploads.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,19 +125,18 @@ def payload_features(uploads: DataFrame, key: str, payload: str, size: int = 32)
 def validated(uploads: DataFrame, key: str = "filename", payload: str = "payload", most_bytes: int = MOST_BYTES) -> DataFrame:
     """uploads with error: the first rule broken of name, bytes, decoding and sides; null for a sound image.
 
-    JPEG cannot be decoded here and is judged by name and bytes alone.
+    A JPEG that is not sequential is judged by the sides that its header states.
     """
     quick = uploads.withColumn("quick", validation_error(F.col(payload), F.col(key), most_bytes))
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shapes = [None if q is not None else image_pixels(b) for q, b in zip(pdf["quick"], pdf[payload])]
-            yield pdf.assign(width=[None if p is None else p.shape[1] for p in shapes], height=[None if p is None else p.shape[0] for p in shapes]).astype({"width": "Int32", "height": "Int32"})
+            found = [None if q is not None else sides_of(b) for q, b in zip(pdf["quick"], pdf[payload])]
+            yield pdf.assign(width=[None if p is None else p[0] for p in found], height=[None if p is None else p[1] for p in found]).astype({"width": "Int32", "height": "Int32"})
 
     schema = ", ".join(f"`{n}` {t}" for n, t in quick.dtypes) + ", width int, height int"
     seen = quick.mapInPandas(sides, schema)
-    jpeg = sniffed_format(F.col(payload)) == "JPEG"
-    return seen.withColumn("error", F.coalesce("quick", F.when(~jpeg, side_error(F.col("width"), F.col("height"))))).select(*uploads.columns, "width", "height", "error")
+    return seen.withColumn("error", F.coalesce("quick", side_error(F.col("width"), F.col("height")))).select(*uploads.columns, "width", "height", "error")
 
 
 
@@ -170,14 +171,14 @@ def displayed(decoded: DataFrame, width: int, height: int) -> DataFrame:
     return _each(decoded, lambda path, image: [(path, width, height, shown(image, width, height).tobytes())], "path string, width int, height int, rgb binary")
 
 
-def small_copies(decoded: DataFrame, longest: int = 128) -> DataFrame:
-    """(path, width, height, png): copies for a log, no side longer than longest, as PNG (no JPEG encoder is at hand)."""
+def small_copies(decoded: DataFrame, longest: int = 128, quality: int = 70) -> DataFrame:
+    """(path, width, height, thumbnail_jpeg): copies for a log, no side longer than longest, never larger than the image."""
 
     def make(path, image):
         small = small_copy(image, longest)
-        return [(path, small.shape[1], small.shape[0], png(small))]
+        return [(path, small.shape[1], small.shape[0], jpeg_bytes(small[:, :, :3], quality))]
 
-    return _each(decoded, make, "path string, width int, height int, png binary")
+    return _each(decoded, make, "path string, width int, height int, thumbnail_jpeg binary")
 
 
 def variants(decoded: DataFrame, n: int, seed: int = 42, settings: dict | None = None) -> DataFrame | None:

@@ -232,7 +232,7 @@ def test_images_in_rows(spark):
     assert (kernels.decoded(bmp) == rgb).all() and kernels.decoded(b"\x89PNG\r\n\x1a\nxx") is None and kernels.decoded(None) is None
     rows = [("a.png", png(rgb)), ("b.png", png(rgb[:10])), ("c.png", b"\x89PNG\r\n\x1a\nrubbish"), ("d.jpg", b"\xff\xd8\xffxx"), ("e.txt", b"x"), ("f.bmp", bmp)]
     df = spark.createDataFrame(rows, "filename string, payload binary")
-    assert [r["error"] for r in images.validated(df).orderBy("filename").collect()] == [None, "image too small", "cannot be decoded", None, "extension not allowed", None]
+    assert [r["error"] for r in images.validated(df).orderBy("filename").collect()] == [None, "image too small", "cannot be decoded", "cannot be decoded", "extension not allowed", None]
     f = {r["filename"]: r for r in images.payload_features(df, "filename", "payload").collect()}
     assert f["a.png"]["width"] == 24 and f["c.png"]["thumbnail"] is None and f["a.png"]["properties"]["mean_intensity"] > 0
 
@@ -302,3 +302,24 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(tuple(r) for r in duplicates.near_duplicate_clusters(df).collect()) == [(1, 0), (2, 1), (3, 0), (5, 2), (7, 3)]
     assert duplicates.near_duplicate_clusters(df.where("false")).count() == 0 and duplicates.correlated_pairs(df.where("false")).count() == 0
     assert duplicates.near_duplicate_clusters(df.where("vec_id = 2")).count() == 1
+
+
+def test_leakage_between_splits(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "LEAST_BLOCK", 8)
+    monkeypatch.setattr(duplicates, "TILE", 5)
+    v = clustered(np.random.default_rng(9), 10, 12, 16)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    test, train = df.where("vec_id % 5 = 0"), df.where("vec_id % 5 <> 0 and vec_id < 60")
+    c = np.corrcoef(v)
+    here, there = np.arange(0, 120, 5), np.array([i for i in range(60) if i % 5])
+    best = c[np.ix_(here, there)].max(axis=1)
+    got = {r["idx"]: r["best"] for r in duplicates.best_above(test, train, 0.9).collect()}
+    assert got == pytest.approx({int(i): x for i, x in zip(here, best) if x > 0.9}) and len(got) > 5
+    assert {r["idx"]: r["best"] for r in duplicates.best_correlation(test, train).collect()} == pytest.approx(dict(zip(here.tolist(), best)))
+    leak = {r["threshold"]: r["leakage"] for r in duplicates.split_leakage(test, train, (0.9, 0.99)).collect()}
+    assert leak == pytest.approx({t: (best > t).mean() for t in (0.9, 0.99)})
+    # a row beside nothing but itself does not count; an empty side leaks nothing
+    assert [r["leakage"] for r in duplicates.split_leakage(df.where("vec_id < 3"), df.where("vec_id = 1"), (0.5,)).collect()] == [1.0]
+    assert [r["leakage"] for r in duplicates.split_leakage(test, train.where("false")).collect()] == [0.0] * 4
+    assert [r["leakage"] for r in duplicates.split_leakage(test.where("false"), train).collect()] == [0.0] * 4

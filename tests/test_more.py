@@ -2,13 +2,14 @@
 
 import json
 import statistics
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import images as kernels
-from plumbline.functions import scalar
+from plumbline.functions import jpeg, scalar
 from plumbline.operators import compare, errors, evaluation, profile
 from plumbline.plans import bundles
 from plumbline.sources import artifacts
@@ -47,7 +48,7 @@ def test_images_over_tables(spark, image_folder):
         sources.preprocessed(seen, "no such profile")
     assert {(r["width"], r["height"], len(r["rgb"])) for r in sources.displayed(seen, 20, 10).collect()} == {(20, 10, 600)}
     copies = sources.small_copies(seen, 16).collect()
-    assert {kernels.decoded(r["png"]).shape[:2] for r in copies} == {(16, 16)}
+    assert {kernels.decoded(r["thumbnail_jpeg"]).shape[:2] for r in copies} == {(16, 16)} and len(copies) == readable.count()
     samples = sources.discover(spark, image_folder, CLASSES)
     split = samples.select("idx", F.when(F.col("idx") % 3 == 0, "train").otherwise("val").alias("split"))
     arrays = sources.split_arrays(samples, split, "train", seen, "standard_224").select("idx", "label", F.size("x").alias("n")).collect()
@@ -165,3 +166,99 @@ def test_samples_are_drawn_by_a_digest(spark):
     a = sorted(profile.sample_per_class(docs, 3, "doc_id").collect())
     assert a == sorted(profile.sample_per_class(docs.repartition(7), 3, "doc_id").collect())
     assert a != sorted(profile.sample_per_class(docs, 3, "doc_id", 1).collect())
+
+
+def java_image(spark, data, kind):
+    """The bytes of an image in another format, as Java's own library writes it."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, kind, out)
+    return bytes(out.toByteArray())
+
+
+def waves(h, w):
+    y, x = np.mgrid[:h, :w]
+    return np.clip(128 + 90 * np.sin(x / 9)[:, :, None] * np.array([1, 0.5, -0.7]) + 50 * np.cos(y / 7)[:, :, None], 0, 255).astype(np.uint8)
+
+
+def test_jpeg_against_another_library(spark):
+    for h, w in ((48, 64), (37, 61), (9, 130)):
+        image = waves(h, w)
+        theirs = java_image(spark, kernels.png(image), "jpg")  # colour at half size
+        ours = kernels.decoded(theirs).astype(int)
+        back = kernels.decoded(java_image(spark, theirs, "png")).astype(int)
+        assert ours.shape == back.shape == (h, w, 3) and np.abs(ours - back).mean() < 2 and np.abs(ours - image).mean() < 5
+        read = kernels.decoded(java_image(spark, jpeg.encoded(image, 90), "png")).astype(int)  # ours, read by theirs
+        assert np.abs(read - image).mean() < 2 and np.abs(read - kernels.decoded(jpeg.encoded(image, 90))).mean() < 1
+    gray = waves(33, 20)[:, :, 0]
+    assert np.abs(kernels.decoded(jpeg.encoded(gray))[:, :, 0].astype(int) - gray).mean() < 3
+    noise = np.random.default_rng(1).integers(0, 256, (40, 24, 3), dtype=np.uint8)
+    assert np.abs(kernels.decoded(jpeg.encoded(noise, 100)).astype(int) - noise).mean() < 1
+
+
+def test_jpeg_faults_are_no_images():
+    raw = jpeg.encoded(waves(40, 40))
+    assert jpeg.frame(raw) == (40, 40, True) and kernels.sides(raw) == (40, 40)
+    assert kernels.decoded(raw[:60]) is None and kernels.decoded(b"\xff\xd8\xffxx") is None and kernels.sides(raw[:60]) is None
+    progressive = raw.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    assert kernels.decoded(progressive) is None and kernels.sides(progressive) == (40, 40)
+
+
+def test_codes_stay_within_sixteen_bits():
+    from collections import Counter
+
+    lengths = jpeg.code_lengths(Counter({i: 2**i for i in range(40)}))
+    assert max(lengths.values()) <= 16 and sum(2.0**-n for n in lengths.values()) < 1
+    table, codes = jpeg.codes_of(lengths)
+    assert all(c != (1 << n) - 1 for c, n in codes.values()) and sum(table[:16]) == 40 == len(table) - 16
+    assert jpeg.code_lengths(Counter({5: 1})) == {5: 1}
+
+
+def scan_lines(p, bits, way):
+    """PNG scan lines of [h, w, c] samples in one filter, written plainly."""
+    h, w, c = p.shape
+    if bits == 16:
+        rows = p.astype(">u2").view(np.uint8).reshape(h, -1)
+    elif bits == 8:
+        rows = p.astype(np.uint8).reshape(h, -1)
+    else:
+        flat = p.reshape(h, -1)
+        rows = np.packbits(np.unpackbits(flat.astype(np.uint8)[:, :, None], axis=2)[:, :, 8 - bits :].reshape(h, -1), axis=1)
+    step, out = max(1, c * bits // 8), b""
+    before = np.zeros(rows.shape[1], int)
+    for row in rows.astype(int):
+        left = np.concatenate((np.zeros(step, int), row))[: len(row)]
+        corner = np.concatenate((np.zeros(step, int), before))[: len(row)]
+        near = [min((l, u, k), key=lambda v, l=l, u=u, k=k: abs(l + u - k - v)) for l, u, k in zip(left, before, corner)]
+        guess = {0: 0, 1: left, 2: before, 3: (left + before) // 2, 4: np.array(near)}[way]
+        out += bytes([way]) + ((row - guess) % 256).astype(np.uint8).tobytes()
+        before = row
+    return out
+
+
+def as_png(p, bits, kind, laced, way, palette=None):
+    h, w, _ = p.shape
+    if laced:
+        data = b"".join(scan_lines(p[y::dy, x::dx], bits, way) for x, y, dx, dy in kernels.PASSES if p[y::dy, x::dx].size)
+    else:
+        data = scan_lines(p, bits, way)
+    part = lambda n, d: len(d).to_bytes(4, "big") + n + d + zlib.crc32(n + d).to_bytes(4, "big")
+    head = w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([bits, kind, 0, 0, laced])
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + (part(b"PLTE", palette.tobytes()) if palette is not None else b"") + part(b"IDAT", zlib.compress(data)) + part(b"IEND", b"")
+
+
+@pytest.mark.parametrize("laced", [0, 1])
+@pytest.mark.parametrize("way", range(5))
+def test_png_of_every_kind(spark, laced, way):
+    draw = np.random.default_rng(way)
+    for bits, kind, c in ((8, 0, 1), (8, 2, 3), (8, 6, 4), (16, 2, 3), (16, 0, 1), (1, 0, 1), (2, 0, 1), (4, 0, 1)):
+        p = draw.integers(0, 1 << bits, (11, 13, c))
+        got = kernels.decoded(as_png(p, bits, kind, laced, way))
+        want = p >> 8 if bits == 16 else p * (255 // ((1 << bits) - 1))
+        assert (got == (want if c == 1 else want[:, :, [2, 1, 0, 3][:c]])).all(), (bits, kind)
+    palette = draw.integers(0, 256, (16, 3), dtype=np.uint8)
+    p = draw.integers(0, 16, (9, 10, 1))
+    raw = as_png(p, 4, 3, laced, way, palette)
+    assert (kernels.decoded(raw) == palette[p[:, :, 0]][:, :, ::-1]).all()
+    assert (kernels.decoded(java_image(spark, raw, "bmp")) == kernels.decoded(raw)).all()
