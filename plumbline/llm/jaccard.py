@@ -28,8 +28,9 @@ from plumbline.llm.words import shingle_sets
 COMMON, MOST_COMMON = 16, 1 << 21
 #: Bits of a token, which names a shingle while candidates are sought: 10^13 shingles would still leave most apart.
 TOKEN = 48
-#: Shingles that one task holds before it passes their counts on; documents in a block of the product.
-FLUSH, BLOCK = 1 << 21, 1024
+#: Shingles that one task holds before it passes their counts on; sets, and about their shingles, in one side of a block of
+#: the product.
+FLUSH, BLOCK, BLOCK_TOKENS = 1 << 21, 1024, 1 << 18
 #: Bytes of input for each range of tokens, and ranges at most.
 RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 20
 #: Bits of the largest filter of documents that have a candidate.
@@ -428,21 +429,24 @@ def full_sets(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
 def bands(clusters: DataFrame, rows: DataFrame, percent: int, weighted: bool) -> DataFrame:
     """(sk, cluster, copies, band, chunks, above, below) of clusters of two sets or more.
 
-    A cluster of more than BLOCK sets is dealt into bands of size: sets whose bands are no neighbours differ too much in
-    size to link. chunks is the number of blocks in the set's band, above and below those in the bands beside it.
+    A cluster that is too large for one block is dealt into bands of size: sets whose bands are no neighbours differ too
+    much in size to link. chunks is the number of parts of the set's band, above and below those of the bands beside it;
+    they are as many as BLOCK and BLOCK_TOKENS ask for.
     """
-    # tables of clusters and of bands are written, so that their joins have plain rows on both sides and adaptive execution
-    # may split a cluster of many sets
-    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("members")).where("members > 1"), "clusters")
     sets = rows.where("sk is not null").groupBy("sk").agg(F.first("n").alias("n"), F.count("*").alias("copies"))
+    # the tables here are written, so that their joins have plain rows on both sides and adaptive execution may split a
+    # cluster of many sets
+    known = written(clusters.join(sets, "sk").select("sk", "cluster", "n", F.col("copies") if weighted else F.lit(1).cast("long").alias("copies")), "members")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("long")
+    sizes = written(known.groupBy("cluster").agg(F.count("*").alias("members"), parts.alias("parts")).where("members > 1"), "clusters")
     width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
-    band = F.when(F.col("members") > BLOCK, F.floor(F.log("n") / width)).otherwise(0).cast("long")
-    placed = clusters.join(sizes, "cluster").join(sets, "sk").select("sk", "cluster", F.col("copies") if weighted else F.lit(1).cast("long").alias("copies"), band.alias("band"))
-    counts = placed.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"))
+    band = F.when(F.col("parts") > 1, F.floor(F.log("n") / width)).otherwise(0).cast("long")
+    placed = known.join(sizes, "cluster").select("sk", "cluster", "n", "copies", band.alias("band"))
+    counts = placed.groupBy("cluster", "band").agg(parts.alias("chunks"))
     order = Window.partitionBy("cluster").orderBy("band")
     beside = lambda f, by: F.when(f("band").over(order) == F.col("band") + by, f("chunks").over(order)).otherwise(0)
     around = written(counts.select("cluster", "band", "chunks", beside(F.lead, 1).alias("above"), beside(F.lag, -1).alias("below")), "bands")
-    return placed.join(around, ["cluster", "band"])
+    return placed.drop("n").join(around, ["cluster", "band"])
 
 
 def compared(base: DataFrame, k: int, percent: int, weighted: bool) -> tuple[DataFrame, DataFrame]:
