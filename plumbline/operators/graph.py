@@ -50,11 +50,12 @@ def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterat
         yield out()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the links (u, v: long) between different nodes with the smallest node it reaches.
 
     Tasks first replace their links by forests of the same components. Then each round a node takes the smallest root of its neighbours, roots pass that on to their nodes, and roots are
-    replaced by their own roots. Each round is written to the shared folder, so plans stay short; no link is gathered
+    replaced by their own roots, which takes about as many rounds as the longest path has binary digits; labels only fall,
+    so the rounds end. Each round is written to the shared folder, so plans stay short; no link is gathered
     on the driver.
     """
     edges = edges.where("u <> v").select("u", "v").mapInArrow(contracted, "u long, v long")
@@ -62,7 +63,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links = written(links, "links")
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = written(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = links.join(labels.select(F.col("node").alias("v"), F.col("root").alias("near")), "v").groupBy(F.col("u").alias("node")).agg(F.min("near").alias("near"))
         seen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         told = seen.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("told"))
@@ -73,7 +74,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = fresh.select("node", "root")
         if not fresh.where("moved").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def cluster_ids(nodes: DataFrame, edges: DataFrame) -> DataFrame:
