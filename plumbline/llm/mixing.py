@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import use_workers, written
+from plumbline.tables import in_order
 
 #: Largest budget that dynamic programming fills; a greedy descent through the lengths leaves less than that.
 STATES = 1 << 16
 #: Parts of each length's documents that are counted apart, so that no window spans a whole length.
 PARTS = 256
+#: Sources whose sizes the driver lists.
+MOST_SOURCES = 1 << 17
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,6 +51,29 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], share
     return found
 
 
+def target_table(per_source: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(source, source_size, target) from (source, total): the same targets for any number of sources.
+
+    Whose target stops is told by one number, what a unit of weight gets; each round works it out anew from two sums, and it
+    only rises, so the driver holds nothing but that.
+    """
+    ordered = in_order(per_source.withColumn("is_null", F.col("source").isNull()), ["is_null", "source"], "place")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = written(ordered.select("source", F.col("total").alias("source_size"), weight.alias("weight")), "sources")
+    top = F.lit(float(most)) * F.col("source_size")
+    all_words = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    over, left, total, before = F.lit(False), all_words, 0, -1
+    while True:
+        sums = rows.agg(F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.sum(F.when(over, top)).alias("held"), F.count_if(over).alias("n")).first()
+        left, total = all_words - (sums["held"] or 0.0), sums["weight"] or 0
+        if sums["n"] == before or not total:
+            break
+        before = sums["n"]
+        over = F.lit(left) * F.col("weight") / F.lit(total) > top
+    open_target = F.lit(left) * F.col("weight") / F.lit(total) if total else top
+    return rows.select("source", "source_size", F.when(over, top).otherwise(open_target).alias("target"))
+
+
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum as near to budget as possible, not above."""
     total = int((lengths * counts).sum())
@@ -98,7 +124,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     as often as its source's whole copies say, which adds nothing. Null sources form one source. Rows of equal keys
     and lengths are told apart by the columns in carry, or by nothing: then any of them may be taken, always as many. An
     empty table gives none. carry names further columns to keep, short ones, as they are shuffled; they must not be called
-    size, source_size, target, taken or copies. Sources are few enough that a list of their sizes fits the driver (MOST_SOURCES).
+    size, source_size, target, taken or copies. Up to MOST_SOURCES sources are listed on the driver and broadcast; the targets
+    of more are worked out where their sizes lie.
     """
     use_workers(docs.sparkSession)
     carry = list(carry or [])
@@ -108,13 +135,18 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     part = F.pmod(F.xxhash64(F.lit(seed), "key", "size"), F.lit(PARTS)).cast("int")
     rows = written(named.withColumn("part", part), "sizes")
     counts = written(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "lengths")
-    per_source = [(r["source"], r["total"]) for r in counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")).limit(MOST_SOURCES + 1).collect()]
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    goal = targets(per_source, weights, share, most)
+    sums = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
+    per_source = [(r["source"], r["total"]) for r in sums.limit(MOST_SOURCES + 1).collect()]
     spark = docs.sparkSession
-    plan = [(s, n, float(goal[s]), int(goal[s] // n) if n else 0, int(round(goal[s])) - int(goal[s] // n) * n if n else 0) for s, n in per_source]
-    known = F.broadcast(spark.createDataFrame(plan, "source string, source_size long, target double, whole int, budget long"))
+    if len(per_source) <= MOST_SOURCES:
+        goal = targets(per_source, weights, share, most)
+        known = spark.createDataFrame([(s, n, float(goal[s])) for s, n in per_source], "source string, source_size long, target double")
+    else:
+        known = written(target_table(sums, weights, share, most), "targets")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    budget = F.when(F.col("source_size") > 0, F.bround("target").cast("long") - whole * F.col("source_size")).otherwise(0).cast("long")
+    known = known.withColumns({"whole": whole, "budget": budget})
+    known = F.broadcast(known) if len(per_source) <= MOST_SOURCES else known
 
     def choose(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("size")
@@ -139,7 +171,3 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     copies = (F.col("s.whole") + F.col("d.more")).cast("int")
     kept = [F.col(f"d.c{i}").alias(c) for i, c in enumerate(carry)]
     return done.select(F.col("d.key").alias(key), *kept, F.col("d.size").alias("size"), F.col("s.source_size").alias("source_size"), F.col("s.target").alias("target"), (F.col("d.size") * copies).cast("long").alias("taken"), copies.alias("copies"))
-
-
-#: Sources whose sizes the driver lists.
-MOST_SOURCES = 1 << 17

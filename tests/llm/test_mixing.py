@@ -58,3 +58,28 @@ def test_op8_against_every_sum(spark, sf_dir):
         assert sum(more) == budget - rest + (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
         taken = Counter(r["size"] for m, r in zip(more, own) if m)
         assert all(taken[n] >= c for n, c in share.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_of_any_number_of_sources(spark, seed):
+    import random
+
+    from plumbline.llm import mixing
+
+    draw = random.Random(seed)
+    sizes = [(f"s{i}", draw.choice([0, 1, 5, 1000, draw.randint(0, 10**6)])) for i in range(draw.choice([1, 2, 40, 300]))] + [(None, 77)]
+    table = spark.createDataFrame(sizes, "source string, total long").repartition(3)
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.target_table(table, (3, 1, 2), 1.5, 2.0).collect()}
+    want = mixing.targets(sizes, (3, 1, 2), 1.5, 2.0)
+    assert got == {s: (n, pytest.approx(want[s])) for s, n in sizes}
+    assert mixing.target_table(table.where("false"), (3, 1, 2), 1.5, 2.0).count() == 0
+
+
+def test_more_sources_than_the_driver_lists(spark, monkeypatch):
+    from plumbline.llm import mixing
+
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 50}" if i % 11 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 10)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == want
