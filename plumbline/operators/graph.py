@@ -58,9 +58,10 @@ def components(edges: DataFrame) -> DataFrame:
     so the rounds end. Each round is written to the shared folder, so plans stay short; no link is gathered
     on the driver.
     """
-    edges = edges.where("u <> v").select("u", "v").mapInArrow(contracted, "u long, v long")
-    links = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    links = written(links, "links")
+    upward = lambda links: links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    fewer = lambda links: upward(links.mapInArrow(contracted, "u long, v long"))
+    # before and after links meet their copies: few links, which then lie in one part, are done with that
+    links = written(fewer(fewer(edges.where("u <> v").select("u", "v")).distinct()), "links")
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = written(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
     while True:
