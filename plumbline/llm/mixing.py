@@ -20,8 +20,8 @@ from plumbline.tables import in_order
 STATES = 1 << 16
 #: Parts of each length's documents that are counted apart, so that no window spans a whole length.
 PARTS = 256
-#: Sources whose sizes the driver lists.
-MOST_SOURCES = 1 << 17
+#: Sources whose sizes the driver lists; rows that nothing tells apart in a run.
+MOST_SOURCES, RUN = 1 << 17, 1 << 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -164,9 +164,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     on = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.part") == F.col(f"{b}.part"))
     joined = rows.alias("r").join(quota.alias("q"), on("r", "q"), "left")
     picked = joined.select("r.*", F.coalesce("q.quota", F.lit(0)).alias("quota"), F.coalesce("q.n", F.lit(0)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", *(f"c{i}" for i in range(len(carry)))))
     full = picked.where("quota = 0 or quota = n").withColumn("more", (F.col("quota") > 0).cast("int"))
-    split = picked.where("quota > 0 and quota < n").withColumn("place", place).withColumn("more", (F.col("place") <= F.col("quota")).cast("int")).drop("place")
+    # rows that nothing tells apart count as one of so many, and are dealt out again in runs of bounded length
+    alike = picked.where("quota > 0 and quota < n").groupBy(*picked.columns).agg(F.count("*").alias("alike"))
+    order = Window.partitionBy("source", "size", "part").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", *(f"c{i}" for i in range(len(carry)))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = alike.withColumn("take", F.greatest(F.lit(0), F.least("alike", F.col("quota") - F.sum("alike").over(order) + F.col("alike"))))
+    runs = some.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("alike") - 1) / RUN)))).repartition("source", "size", "key", "run")
+    each = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("alike"), (F.col("run") + 1) * RUN) - 1))
+    split = runs.withColumn("i", each).withColumn("more", (F.col("i") < F.col("take")).cast("int")).select(*full.columns)
     done = full.unionByName(split).alias("d").join(known.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     copies = (F.col("s.whole") + F.col("d.more")).cast("int")
     kept = [F.col(f"d.c{i}").alias(c) for i, c in enumerate(carry)]

@@ -83,3 +83,16 @@ def test_more_sources_than_the_driver_lists(spark, monkeypatch):
     want = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     monkeypatch.setattr(mixing, "MOST_SOURCES", 10)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == want
+
+
+def test_rows_that_nothing_tells_apart(spark, monkeypatch):
+    from plumbline.llm import mixing
+
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "a b", "x")] * 2000 + [(i, "c d", "x") for i in range(900)] + [(5, "e f", "x")] * 500 + [(i, "g h i", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    assert len(got) == len(rows) and got == sorted(map(tuple, mixing.mix(docs.repartition(9)).collect()), key=str)
+    taken = sum(r["taken"] for r in mixing.mix(docs).collect() if r["source_size"] == 6800)
+    target = mixing.targets([("x", 6800), ("y", 120)], (3, 1, 2), 1.5, 2.0)["x"]
+    assert abs(taken - target) <= 2
