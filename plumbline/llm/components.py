@@ -1,6 +1,6 @@
 """Connected components of many links, as the core has them."""
 
 from plumbline.operators.graph import components as connected
-from plumbline.operators.graph import forest
+from plumbline.operators.graph import contracted, forest
 
-__all__ = ["connected", "forest"]
+__all__ = ["connected", "contracted", "forest"]

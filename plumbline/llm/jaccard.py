@@ -339,9 +339,9 @@ def block_links(percent: int, what: str = FOREST):
     """From rows sorted by block: the exact links between the block's two chunks as a forest, with counts, or one by one."""
     names = [c.split()[0] for c in what.split(", ")]
 
-    def links(chunks: tuple[int, int], rows: dict[int, tuple[int, bytes, int]]) -> list[np.ndarray | None] | None:
-        lo = [(s, np.frombuffer(x, np.uint64), w) for s, (c, x, w) in rows.items() if c == chunks[0]]
-        hi = lo if chunks[0] == chunks[1] else [(s, np.frombuffer(x, np.uint64), w) for s, (c, x, w) in rows.items() if c == chunks[1]]
+    def links(chunks: tuple[int, int], rows: dict[tuple[int | None, int], tuple[bytes, int]]) -> list[np.ndarray | None] | None:
+        lo = [(s, np.frombuffer(x, np.uint64), w) for (c, s), (x, w) in rows.items() if c == chunks[0]]
+        hi = lo if chunks[0] == chunks[1] else [(s, np.frombuffer(x, np.uint64), w) for (c, s), (x, w) in rows.items() if c == chunks[1]]
         if not lo or not hi or (lo is hi and len(lo) < 2):
             return None
         found, shared = linked([x for _, x, _ in lo], [x for _, x, _ in hi], percent)
@@ -393,7 +393,7 @@ def block_links(percent: int, what: str = FOREST):
                             yield from batches_of([np.concatenate(x) for x in zip(*held)])
                             held = []
                     at, rows = (cluster, lo, hi), {}
-                rows[sk] = (chunk, tokens, copies)
+                rows[chunk, sk] = (tokens, copies)
             if held:
                 yield from batches_of([np.concatenate(x) for x in zip(*held)])
                 held = []

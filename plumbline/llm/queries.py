@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import edits, flac, html, jaccard, langid, mixing, quality, tokens, topk, urls
+from plumbline.llm import ballkmeans, edits, flac, html, jaccard, langid, minhash, mixing, quality, tokens, topk, urls, whitening
 from plumbline.llm.common import use_workers
 
 #: Rules of the URL filter: (verdict, host, path).
@@ -87,6 +87,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, known, ["doc_id", "held_out"])
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=85)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), count=16, scale=64.0)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballkmeans.ball_kmeans(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256.0, seed=2)
+
+
 OP1_SQL = r"""
 WITH cut AS (
   SELECT page_id,
@@ -128,6 +140,11 @@ FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 
 OP5_LINKS_SQL = OP5_SQL.replace("SELECT r.doc_id, coalesce", "SELECT r.doc_id, (SELECT count(*) FROM e WHERE e.u = r.doc_id) AS n_links, coalesce")
 
+OP11_SQL = (
+    OP5_SQL.replace("len(ws) < 4", "len(ws) < 3").replace("len(ws) - 2", "len(ws) - 1").replace("ws[i:i + 3]", "ws[i:i + 2]")
+    .replace("SELECT r.doc_id, coalesce", "SELECT r.doc_id, r.doc_id = min(r.root) AS kept, coalesce")
+)
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
@@ -137,5 +154,27 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_classifier": op4_quality_classifier, "op6_html_extraction": op6_html_extraction, "op7_edit_aware_counts": op7_edit_aware_counts, "op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op5_ngram_jaccard_links": op5_ngram_jaccard_links, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id}
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op5_ngram_jaccard_links": OP5_LINKS_SQL, "op9_exact_top_k": OP9_SQL}
+OP13_START = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS c, x FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40)"""
+OP13_PLACE = """,
+a{0} AS MATERIALIZED (
+  SELECT vec_id, x, min(struct_pack(d := d, c := c)) AS m FROM (
+    SELECT vec_id, v.x, c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i]))) AS d FROM v CROSS JOIN c{0} b)
+  GROUP BY vec_id, x)"""
+OP13_MOVE = """,
+s{0} AS (
+  SELECT c, list(q ORDER BY i) AS x FROM (
+    SELECT c, i, CAST((sum(z) - ((sum(z) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+    FROM (SELECT m.c AS c, unnest(range(1, 65)) AS i, unnest(x) AS z FROM a{0}) GROUP BY c, i) GROUP BY c),
+c{1} AS MATERIALIZED (SELECT b.c, coalesce(s.x, b.x) AS x FROM c{0} b LEFT JOIN s{0} s ON s.c = b.c)"""
+OP13_SQL = OP13_START + "".join(OP13_PLACE.format(i) + OP13_MOVE.format(i, i + 1) for i in range(5)) + OP13_PLACE.format(5) + """
+SELECT vec_id, m.c AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(b.x, ',')) AS centroid_sha256
+FROM a5 JOIN c5 b ON b.c = m.c
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_quality_classifier": op4_quality_classifier, "op6_html_extraction": op6_html_extraction, "op7_edit_aware_counts": op7_edit_aware_counts, "op1_url_filter": op1_url_filter, "op2_flac_media": op2_flac_media, "op3_byte_bpe": op3_byte_bpe, "op5_ngram_jaccard": op5_ngram_jaccard, "op5_ngram_jaccard_links": op5_ngram_jaccard_links, "op8_mix_sources": op8_mix_sources, "op9_exact_top_k": op9_exact_top_k, "op10_language_id": op10_language_id, "op11_minhash_dedup": op11_minhash_dedup, "op12_whitening": op12_whitening, "op13_ball_kmeans": op13_ball_kmeans}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op5_ngram_jaccard_links": OP5_LINKS_SQL, "op9_exact_top_k": OP9_SQL, "op11_minhash_dedup": OP11_SQL, "op13_ball_kmeans": OP13_SQL}
