@@ -1,0 +1,107 @@
+import random
+
+import numpy as np
+import pytest
+
+from plumbline.llm import jaccard, minhash, queries
+from plumbline.llm.words import shingle_sets
+from tests.conftest import SMALL
+from tests.llm.test_jaccard import WORD, corpus
+from tests.oracle import same
+
+
+def brute(rows, k=3, percent=85):
+    """Every pair of sets compared."""
+    words = [WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)})) for _, t in rows]
+    sets = [{tuple(w)} if 0 < len(w) < k else set(zip(*(w[i:] for i in range(k)))) for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= percent * (len(a) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    low = {}
+    for i, (key, _) in enumerate(rows):
+        low[find(i)] = min(low.get(find(i), key), key)
+    return sorted((key, len(s), low[find(i)], key == low[find(i)]) for i, ((key, _), s) in enumerate(zip(rows, sets)))
+
+
+def found(spark, rows):
+    # columns of clashing names are ignored
+    df = spark.createDataFrame([(k, t, "x", 1, 2) for k, t in rows], "doc_id long, text string, sk string, n int, cluster int").repartition(3)
+    return sorted(tuple(r) for r in minhash.near_groups(df).select("doc_id", "n_shingles", "component_id", "kept").collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_equal_brute_force(spark, seed):
+    rows = corpus(seed, 30, 6) + [(9000 + i, t) for i, t in enumerate([None, "", "  \t", "one", "ONE", "one two", "Two one", "a b c", "a B c"])]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_large_clusters_lose_no_link(spark, monkeypatch):
+    """Blocks of a few sets, so that pivots, bands of size and parts that skip each other all come into play."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for base in ([draw.choice(words) for _ in range(n)] for n in (60, 66, 90, 140)):
+        for _ in range(40):
+            t = list(base)
+            for _ in range(draw.randint(0, 4)):
+                t[draw.randrange(len(t))] = draw.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    got = found(spark, rows)
+    assert got == brute(rows) and len({r[2] for r in got}) < len(rows) / 2
+
+
+def test_a_chain_of_candidates_is_cut_where_links_end(spark):
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 12 : i * 12 + 200])) for i in range(16)]  # neighbours share 188 words: similarity 0.89
+    rows += [(100 + i, " ".join(words[i * 40 : i * 40 + 200])) for i in range(5)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_empty_tables_and_null_keys(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.near_groups(df).count() == 0
+    rows = [(None, "a b c d"), (7, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "x y z w"), (None, None), (5, "")]
+    got = {tuple(r) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 2, 3, False), (7, 2, 3, False), (3, 2, 3, True), (None, 2, None, True), (None, 0, None, True), (5, 0, 5, True)}
+
+
+def test_a_text_of_megabytes(spark):
+    draw = random.Random(9)
+    long = " ".join(draw.choice("abcdefghij") + str(draw.randrange(10**6)) for _ in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, long[: len(long) // 2]), (4, "short text here")]
+    assert [(r[0], r[2]) for r in found(spark, rows)] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_tables_meet_as_often_as_similarity_says():
+    """Tensored keys: a pair meets if any small hash of either collection agrees."""
+    draw = np.random.default_rng(3)
+    met = {0.85: 0, 0.2: 0}
+    for s in met:
+        for _ in range(60):
+            common = draw.integers(0, 2**63, round(300 * 2 * s / (1 + s)), dtype=np.uint64)
+            pair = [np.sort(np.concatenate((common, draw.integers(0, 2**63, 300 - len(common), dtype=np.uint64)))) for _ in range(2)]
+            a, b = minhash.small_hashes(pair)
+            same = a == b
+            met[s] += bool(same[: minhash.BANDS].any() and same[minhash.BANDS :].any())
+    assert met[0.85] == 60 and met[0.2] < 20
+
+
+def test_shingles_are_those_of_three_words():
+    import pyarrow as pa
+
+    assert [len(s) for s in shingle_sets(pa.array(["a b c d", "a b", ""]), 3)] == [2, 1, 0]
+
+
+def test_query_equals_sql(spark):
+    same(queries.op11_minhash_dedup(spark, SMALL), queries.ORACLE_SQL["op11_minhash_dedup"], SMALL)
