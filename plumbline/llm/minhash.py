@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard
 from plumbline.llm.common import slices, use_workers, written
-from plumbline.llm.components import connected, contracted
+from plumbline.llm.components import connected, forest
 from plumbline.llm.words import mix, shingle_sets, stream
 
 #: Minhashes in one small hash, and small hashes in each of the two collections.
 ROWS, BANDS = 4, 24
 #: Shingles whose minhashes are worked out at once.
 SHINGLES = 1 << 18
+#: Links that a task holds at once.
+LINKS = 1 << 20
 #: Sets of a large cluster that all its others are compared with first, for each of its bands of size.
 PIVOTS = 8
 _factor = (stream(2 * BANDS * ROWS, 31) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -88,22 +90,37 @@ def sketched(base: DataFrame, k: int) -> DataFrame:
     return base.mapInArrow(sketch, f"key {dict(base.dtypes)['key']}, n long, sk long, small array<long>")
 
 
-def table_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sk, small): links of each set with its keys in all tables (odd numbers), as forests of what a task holds."""
+def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Links of the same components from sets (even) u to tables' keys (odd) v: of each component its smallest set with
+    every other set and every key."""
+    nodes = np.unique(np.concatenate((u, v)))
+    other, low = forest(u, v)
+    root = nodes.copy()
+    root[np.searchsorted(nodes, other)] = low
+    sets = np.flatnonzero(nodes % 2 == 0)
+    roots, first = np.unique(root[sets], return_index=True)  # nodes are sorted, so the first is the smallest
+    head = nodes[sets[first]][np.searchsorted(roots, root)]
+    some = head != nodes
+    return pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(nodes[some])], names=["u", "v"])
 
-    def links() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, v = [], []
-            for name, small in zip(b.column("sk").to_pylist(), b.column("small").to_pylist()):
-                own = np.array(small, np.int64).view(np.uint64)
-                odd = (own & np.uint64(1)).astype(bool)
-                keys = mix(own[~odd][:, None] * np.uint64(3) + mix(own[odd])[None, :]).ravel() | np.uint64(1)
-                v.append(keys.view(np.int64))
-                u.append(np.full(len(keys), name, np.int64))
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    yield from contracted(links())
+def table_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (sk, small): links of sets with their keys in all tables (odd numbers) and with each other, as stars of what a
+    task holds."""
+    u, v, n = [], [], 0
+    for b in batches:
+        for name, small in zip(b.column("sk").to_pylist(), b.column("small").to_pylist()):
+            own = np.array(small, np.int64).view(np.uint64)
+            odd = (own & np.uint64(1)).astype(bool)
+            keys = mix(own[~odd][:, None] * np.uint64(3) + mix(own[odd])[None, :]).ravel() | np.uint64(1)
+            v.append(keys.view(np.int64))
+            u.append(np.full(len(keys), name, np.int64))
+            n += len(keys)
+            if n >= LINKS:
+                yield stars(np.concatenate(u), np.concatenate(v))
+                u, v, n = [], [], 0
+    if n:
+        yield stars(np.concatenate(u), np.concatenate(v))
 
 
 def candidate_clusters(rows: DataFrame) -> DataFrame:
@@ -115,7 +132,10 @@ def candidate_clusters(rows: DataFrame) -> DataFrame:
     every = rows.where("small is not null").select("sk", F.explode("small").alias("small"))
     shared = written(every.groupBy("small").agg(F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("small"), "shared")
     left = every.join(shared, "small").groupBy("sk").agg(F.collect_set("small").alias("small"))  # at most 2 * BANDS a set
-    edges = left.mapInArrow(table_links, "u long, v long")
+    links = written(left.mapInArrow(table_links, "u long, v long"), "links")
+    keyed = F.pmod("v", F.lit(2)) == 1
+    met = written(links.where(keyed).groupBy("v").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("v"), "met")
+    edges = links.where(~keyed).unionByName(links.where(keyed).join(met, "v").select("u", "v"))
     found = connected(edges).where(F.pmod("node", F.lit(2)) == 0)
     return found.select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
 
@@ -191,9 +211,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     groups = connected(verified(base, rows, clusters, k, percent)).withColumnRenamed("node", "sk")
     smallest = rows.where("sk is not null").groupBy("sk").agg(F.min("key").alias("low"))
     lows = written(smallest.join(groups, "sk", "left"), "lows")
-    lowest = lows.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest"))
+    lowest = written(lows.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest")), "lowest")
     answer = lows.join(lowest, "root", "left").select("sk", F.coalesce("lowest", "low").alias("lowest"))
-    # written, so that the last join reads plain rows on both sides and adaptive execution may split a set of many copies
+    # written like lowest, so that joins read plain rows on both sides and adaptive execution may split large groups
     answer = written(answer, "answer")
     found = rows.select("key", "n", "sk").join(answer, "sk", "left").withColumn("lowest", F.coalesce("lowest", "key"))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("lowest").alias("component_id"), F.col("key").eqNullSafe(F.col("lowest")).alias("kept"))
