@@ -104,9 +104,8 @@ def preprocess(image: np.ndarray, profile: str) -> np.ndarray:
     return normalised(np.rint(area_resize(three, side, side)).astype(np.float32)[None], kind)
 
 
-def augmented(image: np.ndarray, seed: int, flip: bool = True, degrees: float = 15, zoom: float = 0.1, shift: float = 0.1, brightness: float = 0.1) -> np.ndarray:
-    """One random variant: flip, rotation, zoom and shift by nearest pixels, and brightness."""
-    draw = np.random.default_rng(seed)
+def varied(image: np.ndarray, draw: np.random.Generator, flip: bool = True, degrees: float = 15, zoom: float = 0.1, shift: float = 0.1, brightness: float = 0.1) -> np.ndarray:
+    """One random variant, not rounded: flip, rotation, zoom and shift by nearest pixels, and brightness."""
     h, w = image.shape[:2]
     a = np.deg2rad(draw.uniform(-degrees, degrees))
     z = draw.uniform(1 - zoom, 1 + zoom)
@@ -116,9 +115,18 @@ def augmented(image: np.ndarray, seed: int, flip: bool = True, degrees: float =
     sy = np.clip(np.rint((np.cos(a) * y - np.sin(a) * x) / z + (h - 1) / 2), 0, h - 1).astype(int)
     sx = np.clip(np.rint((np.sin(a) * y + np.cos(a) * x) / z + (w - 1) / 2), 0, w - 1).astype(int)
     out = image[sy, sx].astype(float) * draw.uniform(1 - brightness, 1 + brightness)
-    if flip and draw.random() < 0.5:
-        out = out[:, ::-1]
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return out[:, ::-1] if flip and draw.random() < 0.5 else out
+
+
+def augmented(image: np.ndarray, seed: int, **how: float) -> np.ndarray:
+    """One random variant of 8-bit pixels."""
+    return np.clip(np.rint(varied(image, np.random.default_rng(seed), **how)), 0, 255).astype(np.uint8)
+
+
+def variation(settings: dict) -> dict[str, float]:
+    """What varied() is to do, from a configuration's augmentation."""
+    own = settings.get("augmentation") or {}
+    return {"flip": bool(own.get("horizontal_flip", True)), "degrees": own.get("rotation_range", 15), "zoom": own.get("zoom_range", 0.1), "shift": own.get("width_shift_range", 0.1), "brightness": own.get("brightness", 0.1)}
 
 
 def mask_agreement(heatmap: np.ndarray, mask: np.ndarray, percentile: float = 80) -> dict[str, float | bool]:

@@ -154,10 +154,13 @@ def canonical_json(document: Column) -> Column:
 
 
 def augmentation_text(settings: dict) -> dict:
-    """What a configuration's augmentation does, in words: {"enabled", "transforms"}; settings hold "augmentation"."""
-    own = settings.get("augmentation") or {}
-    if not own.get("enabled"):
+    """What a configuration's augmentation does, in words by rule: {"enabled", "transforms"}; settings hold "augmentation".
+
+    A setting that is switched on is told by its name, one with an amount by its name and amount.
+    """
+    own = dict(settings.get("augmentation") or {})
+    if not own.pop("enabled", False):
         return {"enabled": False, "transforms": []}
-    #: Setting and words for it, in order; {} is its value.
-    said = (("horizontal_flip", "horizontal_flip"), ("vertical_flip", "vertical_flip"), ("rotation_range", "rotation +/-{} deg"), ("zoom_range", "zoom +/-{}"), ("width_shift_range", "width_shift +/-{}"), ("height_shift_range", "height_shift +/-{}"), ("brightness_range", "brightness {}"))
-    return {"enabled": True, "transforms": [words.format(own[name]) for name, words in said if own.get(name)]}
+    spoken = lambda name: name.removesuffix("_range").replace("_", " ")
+    span = lambda v: f"from {v[0]} to {v[1]}" if isinstance(v, (list, tuple)) else f"by up to {v}"
+    return {"enabled": True, "transforms": [spoken(n) if v is True else f"{spoken(n)} {span(v)}" for n, v in own.items() if v]}

@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import chosen_label, confidence_band
+from plumbline.operators import fitting
 from plumbline.operators.profile import class_weights
 
 
-def train(samples: DataFrame, features: str = "features", label: str = "label", rounds: int = 50, l2: float = 0.01) -> tuple[PipelineModel, list[float]]:
-    """A fitted pipeline and its loss by round, from samples(features array<double>, label int); balanced class weights."""
-    weights = class_weights(samples, label).select(F.col("class_name").alias(label), "weight")
-    rows = samples.join(F.broadcast(weights), label).select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"), "weight")  # one row a class
+def train(samples: DataFrame, features: str = "features", label: str = "label", rounds: int = 50, l2: float = 0.01, class_weight: str | dict | None = "balanced") -> tuple[PipelineModel, list[float]]:
+    """A fitted pipeline and its loss by round, from samples(features array<double>, label int); classes weigh as class_weight
+    says, those that a map lacks once."""
+    weights = class_weights(samples, label, class_weight)
+    weighed = samples.withColumn("weight", F.lit(1.0)) if weights is None else samples.join(F.broadcast(weights.select(F.col("class_name").alias(label), F.coalesce("weight", F.lit(1.0)).alias("weight"))), label)  # one row a class
+    rows = weighed.select(array_to_vector(F.col(features).cast("array<double>")).alias("x"), F.col(label).cast("double").alias("y"), "weight")
     fit = Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True), LogisticRegression(featuresCol="z", labelCol="y", weightCol="weight", maxIter=rounds, regParam=l2)]).fit(rows)
     return fit, [float(v) for v in fit.stages[-1].summary.objectiveHistory]
 
@@ -34,6 +37,11 @@ def scored(model: PipelineModel, samples: DataFrame, model_name: str, key: str =
     return model.transform(rows).select(F.lit(model_name).alias("model_name"), "case_id", "y_true", F.element_at(vector_to_array("probability"), 2).alias("y_prob"))
 
 
+def scored_with(model: PipelineModel | fitting.Softmax, samples: DataFrame, model_name: str, key: str = "idx", features: str = "features", label: str = "label") -> DataFrame:
+    """scored by a model of either kind that can be trained here."""
+    return (fitting.scored if isinstance(model, fitting.Softmax) else scored)(model, samples, model_name, key, features, label)
+
+
 def scored_by(load: Callable[[], Callable[[np.ndarray], np.ndarray]], samples: DataFrame, model_name: str, key: str = "idx", features: str = "features", label: str = "label") -> DataFrame:
     """The same by any Python model: load() runs once in each worker and gives a function from [n, k] to n probabilities."""
 

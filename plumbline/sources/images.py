@@ -5,11 +5,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.images import PROFILES, augmented, gray, pixels, preprocess, properties, shown, small_copy, thumbnail
+from plumbline.functions.images import PROFILES, augmented, gray, pixels, preprocess, properties, shown, small_copy, thumbnail, variation
 from plumbline.functions.images import decoded as image_pixels
 from plumbline.functions.images import sides as sides_of
 from plumbline.functions.jpeg import encoded as jpeg_bytes
@@ -184,10 +185,9 @@ def small_copies(decoded: DataFrame, longest: int = 128, quality: int = 70) -> D
 def variants(decoded: DataFrame, n: int, seed: int = 42, settings: dict | None = None) -> DataFrame | None:
     """(path, variant, width, height, channels, data): n random variants of each image; None where settings' augmentation
     is switched off. A variant depends on seed, path and its number alone."""
-    own = (settings or {}).get("augmentation", {"enabled": True})
-    if not own.get("enabled"):
+    if not (settings or {}).get("augmentation", {"enabled": True}).get("enabled"):
         return None
-    how = {"flip": bool(own.get("horizontal_flip", True)), "degrees": own.get("rotation_range", 15), "zoom": own.get("zoom_range", 0.1), "shift": own.get("width_shift_range", 0.1), "brightness": 0.1}
+    how = variation(settings or {})
 
     def make(path, image):
         start = zlib.crc32(f"{seed}:{path}".encode())
@@ -200,3 +200,23 @@ def training_variants(samples: DataFrame, split: DataFrame, decoded: DataFrame,
     """variants of the train split's images only, with idx and label: nothing of val and test is ever varied."""
     made = variants(decoded, n, seed, settings)
     return None if made is None else samples.join(split.where("split = 'train'").select("idx"), "idx").select("idx", "label", "path").join(made, "path")
+
+
+def variant_examples(decoded: DataFrame, n: int, seed: int = 42, settings: dict | None = None) -> DataFrame | None:
+    """(path, variant, width, height, channels, shade): each image as variant 0 and n variants of it, for showing: pixels by
+    rows, scaled from 0 to 1 between the least and the largest (0 if all are equal). None where augmentation is off."""
+    made = variants(decoded, n, seed, settings)
+    if made is None:
+        return None
+    every = decoded.select("path", F.lit(0).alias("variant"), "width", "height", "channels", "data").unionByName(made.withColumn("variant", F.col("variant") + 1))
+
+    def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shades = []
+            for data in pdf.pop("data"):
+                p = np.frombuffer(data, np.uint8).astype(np.float32)
+                low, high = (p.min(), p.max()) if len(p) else (0, 0)
+                shades.append((p - low) / (high - low) if high > low else np.zeros_like(p))
+            yield pdf.assign(shade=shades)
+
+    return every.mapInPandas(scale, "path string, variant int, width int, height int, channels int, shade array<float>")

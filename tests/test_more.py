@@ -72,8 +72,8 @@ def test_variants_of_the_train_split_only(spark, image_folder):
 
 def test_augmentation_text():
     assert scalar.augmentation_text({}) == scalar.augmentation_text({"augmentation": {"zoom_range": 1}}) == {"enabled": False, "transforms": []}
-    got = scalar.augmentation_text({"augmentation": {"enabled": True, "horizontal_flip": True, "rotation_range": 15, "zoom_range": 0.1, "width_shift_range": 0, "brightness_range": [0.9, 1.1]}})
-    assert got == {"enabled": True, "transforms": ["horizontal_flip", "rotation +/-15 deg", "zoom +/-0.1", "brightness [0.9, 1.1]"]}
+    own = {"enabled": True, "horizontal_flip": True, "rotation_range": 15, "zoom_range": 0.1, "width_shift_range": 0, "brightness_range": [0.9, 1.1]}
+    assert scalar.augmentation_text({"augmentation": own}) == {"enabled": True, "transforms": ["horizontal flip", "rotation by up to 15", "zoom by up to 0.1", "brightness from 0.9 to 1.1"]}
 
 
 def test_scan_without_classes_and_its_audit(spark, image_folder):
