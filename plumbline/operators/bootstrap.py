@@ -1,178 +1,192 @@
-"""Bootstrap confidence intervals of metrics: one exact form for small case sets, one that scales."""
+"""Bootstrap confidence intervals of metrics by one plan for any number of cases.
+
+Every case has a weight in every replicate, drawn from Poisson(1) by a counter: a hash of the seed, the replicate and the
+case's number. Nothing else enters, so neither partitions nor the order of rows change a result. Cases are numbered by
+falling score, positives first among equal scores. Weights are added up by score and label, then over ranges of the log
+odds for a block of replicates at a time: first the ranges' totals, then, knowing what stands above each range, the areas.
+"""
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.evaluation import RATES, confusion, sound
-
-#: Cases of a model up to which the exact form may gather them in one task.
-MOST_EXACT = 200_000
-#: Score ranges that draws are dealt to; cells times replicates that one task draws at once.
-RANGES, DRAWN = 256, 1 << 21
-
-
-def rates_of(tn: np.ndarray, fp: np.ndarray, fn: np.ndarray, tp: np.ndarray) -> dict[str, np.ndarray]:
-    """Rates of arrays of counts; zero denominators give 0."""
-
-    def over(a, b):
-        return np.divide(a, b, out=np.zeros(np.shape(a), float), where=np.asarray(b) != 0)
-
-    sens, spec = over(tp, tp + fn), over(tn, tn + fp)
-    return {"accuracy": over(tp + tn, tn + fp + fn + tp), "balanced_accuracy": (sens + spec) / 2, "sensitivity": sens, "specificity": spec, "precision": over(tp, tp + fp), "npv": over(tn, tn + fn), "f1": over(2 * tp, 2 * tp + fp + fn), "false_positive_rate": over(fp, fp + tn), "false_negative_rate": over(fn, fn + tp)}
-
-
-def rank_auc(y: np.ndarray, p: np.ndarray) -> float:
-    """ROC area by ranks, ties counting half; NaN with one class."""
-    pos = int((y == 1).sum())
-    neg = len(y) - pos
-    if not pos or not neg:
-        return float("nan")
-    values, at, counts = np.unique(p, return_inverse=True, return_counts=True)
-    rank = np.cumsum(counts) - (counts - 1) / 2
-    return float((rank[at][y == 1].sum() - pos * (pos + 1) / 2) / (pos * neg))
-
-
-def step_ap(y: np.ndarray, p: np.ndarray) -> float:
-    """Average precision as a sum of steps; NaN with one class."""
-    pos = int((y == 1).sum())
-    if not pos or pos == len(y):
-        return float("nan")
-    order = np.argsort(-p, kind="stable")
-    last = np.flatnonzero(np.append(np.diff(p[order]) != 0, True))
-    tp = np.cumsum(y[order] == 1)[last]
-    return float((np.diff(tp, prepend=0) * tp / (last + 1)).sum() / pos)
-
-
-def areas_of(pos: np.ndarray, neg: np.ndarray) -> tuple[float, float]:
-    """rank_auc and step_ap from counts per distinct score, lowest score first; both classes must be there."""
-    some = (pos > 0) | (neg > 0)
-    pos, neg = pos[some], neg[some]
-    p, n = int(pos.sum()), int(neg.sum())
-    won = (pos * (np.cumsum(neg) - neg / 2)).sum()
-    tp, fp = np.cumsum(pos[::-1]), np.cumsum(neg[::-1])
-    return float(won / (p * n)), float((pos[::-1] * tp / (tp + fp)).sum() / p)
-
-
-def interval(values: np.ndarray, confidence: float) -> tuple[float, float, int]:
-    values = values[~np.isnan(values)]
-    if not len(values):
-        return float("nan"), float("nan"), 0
-    a = (1 - confidence) / 2
-    return float(np.quantile(values, a)), float(np.quantile(values, 1 - a)), len(values)
-
-
-def exact_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42, metrics: tuple[str, ...] = (*RATES, "roc_auc", "pr_auc")) -> DataFrame:
-    """(model_name, metric, lower, upper, n): cases are drawn with replacement in case order; draws of one class are skipped.
-
-    For models of at most MOST_EXACT cases; larger ones are an error here, as scaled_intervals serves them.
-    """
-    large = sound(scored).groupBy("model_name").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EXACT).limit(1).collect()
-    if large:
-        raise ValueError(f"{large[0]['model_name']} has {large[0]['n']} cases; use scaled_intervals")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("case_id", kind="stable")
-        y, p = pdf["y_true"].to_numpy() == 1, pdf["y_prob"].to_numpy(float)
-        values, code = np.unique(p, return_inverse=True)
-        code = 2 * code + y
-        hit = values >= threshold
-        draw = np.random.default_rng(seed)
-        found: dict[str, list[float]] = {m: [] for m in metrics}
-        for _ in range(iterations):
-            cells = np.bincount(code[draw.integers(0, len(y), len(y))], minlength=2 * len(values))
-            neg, pos = cells[::2], cells[1::2]
-            if not neg.any() or not pos.any():
-                continue
-            r = rates_of(*(np.array(x.sum()) for x in (neg[~hit], neg[hit], pos[~hit], pos[hit])))
-            if "roc_auc" in metrics or "pr_auc" in metrics:
-                r["roc_auc"], r["pr_auc"] = areas_of(pos, neg)
-            for m in metrics:
-                found[m].append(float(r[m]))
-        rows = [(pdf["model_name"].iloc[0], m, *interval(np.array(v, float), confidence)) for m, v in found.items()]
-        return pd.DataFrame(rows, columns=["model_name", "metric", "lower", "upper", "n"])
-
-    return sound(scored).select("model_name", "case_id", "y_true", "y_prob").groupBy("model_name").applyInPandas(run, "model_name string, metric string, lower double, upper double, n long")
-
-
-def scaled_intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """The same for any number of cases.
-
-    Drawing n cases with replacement changes a confusion table exactly as a multinomial draw of n over its four cells
-    does, so replicates of the rates need the counts alone: one aggregation, whatever the number of cases. Areas are drawn
-    in the same way over the counts per distinct score.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        cells = np.array([row["tn"], row["fp"], row["fn"], row["tp"]], float)
-        draws = np.random.default_rng(seed).multinomial(int(cells.sum()), cells / cells.sum(), iterations)
-        draws = draws[(draws[:, 2] + draws[:, 3] > 0) & (draws[:, 0] + draws[:, 1] > 0)]
-        r = rates_of(*draws.T.astype(float))
-        return pd.DataFrame([(row["model_name"], m, *interval(v, confidence)) for m, v in r.items()], columns=["model_name", "metric", "lower", "upper", "n"])
-
-    rates = confusion(scored, threshold).groupBy("model_name").applyInPandas(run, "model_name string, metric string, lower double, upper double, n long")
-    return rates.unionByName(area_intervals(scored, iterations, confidence, seed))
-
-
-def area_intervals(scored: DataFrame, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """(model_name, metric, lower, upper, n) of roc_auc and pr_auc for any number of cases.
-
-    A model's draw of n cases is dealt to score ranges by one multinomial draw a replicate, and then within each range to
-    its scores, which together is one multinomial draw over all scores. Ranges learn what stands above them from the first
-    draw, so no task holds more than one range's scores.
+from plumbline.operators.evaluation import RATES, rates, score_steps
+from plumbline.tables import written
+
+#: Replicates that one task works on; cases of one score and label that are drawn at once; weights held at once.
+BLOCK, SLICE, DRAWN = 250, 4096, 1 << 18
+#: Multipliers of the 32-bit mixing function, and of the replicate's number.
+MIX, STEP = (0x7FEB352D, 0x846CA68B), 0x9E3779B1
+#: The weight is the number of these that the hash's upper 16 bits reach: Poisson(1) to within 2**-16.
+LEVELS = tuple(x for k in range(12) if (x := round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))) < 65536)
+_weight = np.searchsorted(np.array(LEVELS), np.arange(65536), side="right").astype(np.uint8)
+AREAS = ("roc_auc", "pr_auc")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def weights(seed: int, replicates: np.ndarray, cases: np.ndarray) -> np.ndarray:
+    """[replicates, cases]: how often each replicate draws each numbered case."""
+    first = mixed(replicates.astype(np.uint32) * np.uint32(STEP) + np.uint32(seed % 2**32))
+    again = mixed(first + np.uint32(1))
+    low, high = (cases & 0xFFFFFFFF).astype(np.uint32), (cases >> 32).astype(np.uint32) * np.uint32(MIX[1])
+    u = mixed(mixed(first[:, None] + low) + (again[:, None] + high))
+    return _weight[u >> np.uint32(16)]
+
+
+def drawn(seed: int, replicates: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[replicates, cells]: weights added up over cells, each a run of cases."""
+    ends = np.cumsum(sizes)
+    cases = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.zeros((len(replicates), len(sizes)), np.int64)
+    some = np.flatnonzero(sizes)
+    rows = max(1, DRAWN // max(1, len(cases)))
+    if len(some):
+        for i in range(0, len(replicates), rows):
+            out[i : i + rows, some] = np.add.reduceat(weights(seed, replicates[i : i + rows], cases), (ends - sizes)[some], axis=1, dtype=np.int64)
+    return out
+
+
+def chunks(cells: pd.DataFrame, seed: int, replicates: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """A range's scores, highest first, some at a time, with the weights of their positives and negatives."""
+    cells = cells.sort_values("y_prob", ascending=False, kind="stable")
+    size = np.where(cells["pos_drawn"].isna(), cells["pos"], 0) + np.where(cells["neg_drawn"].isna(), cells["neg"], 0)
+    for _, some in cells.groupby(np.cumsum(size) // SLICE, sort=False):
+        for at in range(0, len(some), SLICE):
+            part = some.iloc[at : at + SLICE]
+            sides = []
+            for side, before in (("pos", part["before"]), ("neg", part["before"] + part["pos"])):
+                ready = part[f"{side}_drawn"].to_numpy()
+                own = np.array([x is None for x in ready], bool)
+                w = drawn(seed, replicates, before.to_numpy(np.int64), np.where(own, part[side].to_numpy(np.int64), 0))
+                for i in np.flatnonzero(~own).tolist():
+                    w[:, i] = np.frombuffer(ready[i], "<i8")
+                sides.append(w)
+            yield part, *sides
+
+
+def block_of(block: int, iterations: int) -> np.ndarray:
+    return np.arange(block * BLOCK, min(iterations, (block + 1) * BLOCK))
+
+
+def large_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(model_name, y_prob, block, pos_drawn, neg_drawn): weights of labels with over SLICE cases of one score, which are
+    dealt out in runs of SLICE cases, so that no task draws all of them."""
+    side = lambda name, before: F.struct(F.lit(name).alias("side"), before.alias("start"), F.col(name).alias("n"))
+    large = cells.select("model_name", "y_prob", F.explode(F.array(side("pos", F.col("before")), side("neg", F.col("before") + F.col("pos")))).alias("c")).select("model_name", "y_prob", "c.*").where(F.col("n") > SLICE)
+    runs = large.select("model_name", "y_prob", "side", "start", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))).alias("at"))
+    runs = runs.repartition("model_name", "y_prob", "side", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for model, p, side, start, n, at in zip(*(c.to_pylist() for c in b.columns)):
+                own = drawn(seed, np.arange(iterations), np.array([start + at]), np.array([min(SLICE, n - at)]))[:, 0]
+                total[model, p, side] = total[model, p, side] + own if (model, p, side) in total else own
+        for (model, p, side), own in total.items():
+            parts = [own[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, iterations, BLOCK)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * n, pa.string()), pa.array([p] * n, pa.float64()), pa.array([side] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=["model_name", "y_prob", "side", "block", "drawn"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = pdf.iloc[:1].copy()
+        sums["drawn"] = [np.sum([np.frombuffer(x, "<i8") for x in pdf["drawn"]], axis=0).tobytes()]
+        return sums
+
+    schema = "model_name string, y_prob double, side string, block int, drawn binary"
+    done = runs.mapInArrow(run, schema).groupBy("model_name", "y_prob", "side", "block").applyInPandas(add, schema)
+    blob = lambda name: F.max(F.when(F.col("side") == name, F.col("drawn"))).alias(f"{name}_drawn")
+    return done.groupBy("model_name", "y_prob", "block").agg(blob("pos"), blob("neg"))
+
+
+def replicates(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, seed: int = 42) -> DataFrame:
+    """(model_name, replicate, tn, fp, fn, tp, rates, roc_auc, pr_auc) of every replicate that draws both classes.
+
+    Cases with a null label or score take no part, and their numbers close up; a null model is a model. An empty table
+    gives no rows. Equal cases (score and label) are told apart by their numbers only, so repeated rows count each.
     """
-    part = F.least(F.greatest(F.floor(F.col("y_prob") * RANGES), F.lit(0)), F.lit(RANGES)).cast("int")
-    counts = sound(scored).groupBy("model_name", "y_prob").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") != 1).alias("neg")).withColumn("part", part)
-    parts = counts.groupBy("model_name", "part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-    def source(name: str | None, part: int) -> np.random.Generator:
-        return np.random.default_rng([seed, part, zlib.crc32((name or "").encode())])
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+    blocks = -(-iterations // BLOCK)
+    before = F.col("pos_ge") + F.col("neg_ge") - F.col("pos") - F.col("neg")
+    # a null model is told by its name's absence and kept under one that groups match on
+    steps = score_steps(scored.withColumn("model_name", F.coalesce(F.concat(F.lit("="), "model_name"), F.lit(""))))
+    cells = written(steps.select("model_name", "part", F.col("y_prob").cast("double").alias("y_prob"), "pos", "neg", before.alias("before")), "cells")
+    each = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    ready = written(large_cells(cells, iterations, seed), "drawn")
+    rows = written(each.join(ready, ["model_name", "y_prob", "block"], "left").select("model_name", "part", "block", "y_prob", "pos", "neg", "before", "pos_drawn", "neg_drawn"), "cells")
+    key = "model_name string, part long, block int"
+    total = ("hit_pos", "hit_neg", "pos", "neg")
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        reps = block_of(int(pdf["block"].iloc[0]), iterations)
+        sums = np.zeros((4, len(reps)), np.int64)
+        for part, pos, neg in chunks(pdf, seed, reps):
+            hit = part["y_prob"].to_numpy() >= threshold
+            sums += np.stack((pos[:, hit].sum(axis=1), neg[:, hit].sum(axis=1), pos.sum(axis=1), neg.sum(axis=1)))
+        return pd.DataFrame({c: pdf[c].iloc[:1] for c in ("model_name", "part", "block")} | {c: [x.astype("<i8").tobytes()] for c, x in zip(total, sums)})
+
+    def above(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", ascending=False)
-        cells = np.concatenate((pdf["pos"].to_numpy(), pdf["neg"].to_numpy()))
-        drawn = source(pdf["model_name"].iloc[0], RANGES + 1).multinomial(int(cells.sum()), cells / cells.sum(), iterations)
-        pos, neg = drawn[:, : len(pdf)], drawn[:, len(pdf) :]
-        columns = {"pos": pos, "neg": neg, "above_pos": np.cumsum(pos, axis=1) - pos, "above_neg": np.cumsum(neg, axis=1) - neg}
-        return pd.DataFrame({"model_name": pdf["model_name"], "part": pdf["part"]} | {c: [x.astype("<i8").tobytes() for x in v.T] for c, v in columns.items()})
-
-    def within(cells: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
-        cells, row = cells.sort_values("y_prob", ascending=False), dealt.iloc[0]
-        draw = source(row["model_name"], int(row["part"]))
-        pos, neg, above_pos, above_neg = (np.frombuffer(row[c], "<i8") for c in ("pos", "neg", "above_pos", "above_neg"))
-        shares = [x / max(1, x.sum()) for x in (cells["pos"].to_numpy(), cells["neg"].to_numpy())]
-        lost, step = np.zeros(iterations), np.zeros(iterations)
-        size = max(1, DRAWN // len(cells))
-        for i in range(0, iterations, size):
-            at = slice(i, i + size)
-            x, y = (draw.multinomial(n[at], share) if n.any() else np.zeros((len(n[at]), len(cells)), np.int64) for n, share in zip((pos, neg), shares))
-            tp, fp = above_pos[at, None] + np.cumsum(x, axis=1), above_neg[at, None] + np.cumsum(y, axis=1)
-            lost[at] = (x * (fp - y / 2)).sum(axis=1)
-            step[at] = (x * (tp / np.maximum(1, tp + fp))).sum(axis=1)
-        return pd.DataFrame({"model_name": [row["model_name"]], "pos": [row["pos"]], "neg": [row["neg"]], "lost": [lost.tobytes()], "step": [step.tobytes()]})
+        for c in ("pos", "neg"):
+            run = np.zeros(len(pdf[c].iloc[0]) // 8, np.int64)
+            over = []
+            for x in pdf[c]:
+                over.append(run.astype("<i8").tobytes())
+                run = run + np.frombuffer(x, "<i8")
+            pdf[f"above_{c}"] = over
+        return pdf
+
+    def within(cells: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row = found.iloc[0]
+        reps = block_of(int(row["block"]), iterations)
+        tp, fp = (np.frombuffer(row[f"above_{c}"], "<i8").astype(float) for c in ("pos", "neg"))
+        lost, step = np.zeros(len(reps)), np.zeros(len(reps))
+        for _, pos, neg in chunks(cells, seed, reps):
+            tps, fps = tp[:, None] + np.cumsum(pos, axis=1), fp[:, None] + np.cumsum(neg, axis=1)
+            lost += (pos * (2 * fps - neg)).sum(axis=1)
+            step += (pos * (tps / np.maximum(1, tps + fps))).sum(axis=1)
+            tp, fp = tps[:, -1], fps[:, -1]
+        return found[["model_name", "block", *total]].assign(lost=[lost.tobytes()], step=[step.tobytes()])
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, n, lost, step = (sum(np.frombuffer(x, kind).astype(float) for x in pdf[c]) for c, kind in (("pos", "<i8"), ("neg", "<i8"), ("lost", "<f8"), ("step", "<f8")))
-        both = (p > 0) & (n > 0)
-        p, n, lost, step = p[both], n[both], lost[both], step[both]
-        rows = [(pdf["model_name"].iloc[0], m, *interval(v, confidence)) for m, v in (("roc_auc", 1 - lost / (p * n)), ("pr_auc", step / p))]
-        return pd.DataFrame(rows, columns=["model_name", "metric", "lower", "upper", "n"])
-
-    drawn = "pos binary, neg binary"
-    dealt = parts.groupBy("model_name").applyInPandas(deal, f"model_name string, part int, {drawn}, above_pos binary, above_neg binary")
-    done = counts.groupBy("model_name", "part").cogroup(dealt.groupBy("model_name", "part")).applyInPandas(within, f"model_name string, {drawn}, lost binary, step binary")
-    return done.groupBy("model_name").applyInPandas(together, "model_name string, metric string, lower double, upper double, n long")
-
-
-def intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """exact_intervals of models of at most MOST_EXACT cases, scaled_intervals of all others."""
-    small = sound(scored).groupBy("model_name").agg(F.count("*").alias("n")).where(F.col("n") <= MOST_EXACT).select(F.col("model_name").alias("__small"))
-    few = F.col("model_name").eqNullSafe(F.col("__small"))
-    exact = exact_intervals(scored.join(small, few, "left_semi"), threshold, iterations, confidence, seed)
-    return exact.unionByName(scaled_intervals(scored.join(small, few, "left_anti"), threshold, iterations, confidence, seed))
+        hit_pos, hit_neg, pos, neg = (np.sum([np.frombuffer(x, "<i8") for x in pdf[c]], axis=0) for c in total)
+        lost, step = (np.sum([np.frombuffer(x, "<f8") for x in pdf[c]], axis=0) for c in ("lost", "step"))
+        reps = block_of(int(pdf["block"].iloc[0]), iterations)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = pd.DataFrame({"model_name": pdf["model_name"].iloc[0], "replicate": reps, "tn": neg - hit_neg, "fp": hit_neg, "fn": pos - hit_pos, "tp": hit_pos, "roc_auc": 1 - lost / (2.0 * pos * neg), "pr_auc": step / pos})
+        return out[(pos > 0) & (neg > 0)]
+
+    blobs = lambda *names: "".join(f", {n} binary" for n in names)
+    dealt = rows.groupBy("model_name", "part", "block").applyInPandas(totals, key + blobs(*total))
+    known = dealt.groupBy("model_name", "block").applyInPandas(above, key + blobs(*total, "above_pos", "above_neg"))
+    by = ("model_name", "part", "block")
+    done = rows.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(within, "model_name string, block int" + blobs(*total, "lost", "step"))
+    counts = done.groupBy("model_name", "block").applyInPandas(together, "model_name string, replicate int, tn long, fp long, fn long, tp long, roc_auc double, pr_auc double")
+    name = F.when(F.col("model_name") != "", F.substr("model_name", F.lit(2)))
+    return rates(counts.withColumn("model_name", name))
+
+
+def intervals(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000, confidence: float = 0.95, seed: int = 42, metrics: tuple[str, ...] = (*RATES, *AREAS)) -> DataFrame:
+    """(model_name, metric, lower, upper, n): percentiles of the replicates, and how many drew both classes.
+
+    A model whose replicates never draw both classes has null ends and n = 0.
+    """
+    a = (1 - confidence) / 2
+    models = scored.where("y_true is not null and y_prob is not null").where(~F.isnan("y_prob")).select("model_name").distinct()
+    each = models.select("model_name", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
+    rows = replicates(scored, threshold, iterations, seed).select("model_name", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics))).alias("v")).select("model_name", "v.*")
+    ends = rows.groupBy("model_name", "metric").agg(F.percentile("value", F.array(F.lit(a), F.lit(1 - a))).alias("ends"), F.count("value").alias("n"))  # of at most iterations rows
+    ends = ends.select(F.col("model_name").alias("model"), F.col("metric").alias("name"), "ends", "n")
+    found = each.join(ends, F.col("model_name").eqNullSafe(F.col("model")) & (F.col("metric") == F.col("name")), "left")
+    return found.select("model_name", "metric", F.col("ends")[0].alias("lower"), F.col("ends")[1].alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -12,14 +12,13 @@ from plumbline.sources import images as sources
 from plumbline.tables import written
 
 
-def evaluate(scored: DataFrame, threshold: float = 0.5, target: float = 0.95, iterations: int = 2000, exact: bool = True) -> dict[str, DataFrame]:
-    """Everything about scored cases, over one written copy of their columns; exact intervals where a model's cases allow."""
+def evaluate(scored: DataFrame, threshold: float = 0.5, target: float = 0.95, iterations: int = 2000) -> dict[str, DataFrame]:
+    """Everything about scored cases, over one written copy of their columns."""
     s = written(evaluation.sound(scored).select("model_name", "case_id", "y_true", "y_prob"), "scored")
-    intervals = bootstrap.intervals(s, threshold, iterations) if exact else bootstrap.scaled_intervals(s, threshold, iterations)
     return {
         "balance": evaluation.class_balance(s),
         "metrics": evaluation.point_metrics(s, threshold),
-        "intervals": intervals,
+        "intervals": bootstrap.intervals(s, threshold, iterations),
         "calibration": evaluation.calibration_bins(s),
         "ece": evaluation.expected_calibration_error(s),
         "roc": evaluation.roc_curve(s),

@@ -417,14 +417,55 @@ def mask_attach(spark: SparkSession, d: str) -> DataFrame:
     return manifest(listed, brands).select("path", F.size("mask_paths").alias("n_masks"), "group_id")
 
 
-@query()
+def mixed_sql(source: str, out: str, value: str) -> str:
+    """source with out: the 32-bit mixing function of value, a step a level, as SQL has no variables."""
+    one, two = bootstrap.MIX
+    steps = (value, "xor(z, z >> 16)", f"(z * {one}) & 4294967295", "xor(z, z >> 15)", f"(z * {two}) & 4294967295", "xor(z, z >> 16)")
+    for i, step in enumerate(steps):
+        source = f"(SELECT *{' EXCLUDE z' if i else ''}, CAST({step} AS UBIGINT) AS z FROM {source})"
+    return f"(SELECT * EXCLUDE z, z AS {out} FROM {source})"
+
+
+def replicates_sql(scored_sql: str, iterations: int, seed: int = 42) -> str:
+    """Draws by hash of (seed, replicate, case number), added up by score; counts, rates and areas of each replicate."""
+    first = mixed_sql(f"(SELECT CAST(unnest(range(0, {iterations})) AS UBIGINT) AS r)", "h", f"(r * {bootstrap.STEP} + {seed}) & 4294967295")
+    again = mixed_sql("k0", "g", "(h + 1) & 4294967295")
+    near = mixed_sql("(SELECT model_name, y_prob, y_true, r, g, h, i FROM c CROSS JOIN k)", "a", "(h + i) & 4294967295")
+    far = mixed_sql(near, "u", "(a + g) & 4294967295")  # cases beyond 2**32 add to g, and there are none here
+    weight = " + ".join(f"CAST(u >> 16 >= {x} AS INTEGER)" for x in bootstrap.LEVELS)
+    return f"""{scored_sql},
+c AS (SELECT model_name, y_prob, y_true, CAST(row_number() OVER (PARTITION BY model_name ORDER BY y_prob DESC, y_true DESC) - 1 AS UBIGINT) AS i FROM scored),
+k0 AS (SELECT * FROM {first}), k AS (SELECT * FROM {again}),
+w AS (SELECT model_name, r, y_prob, sum(w) FILTER (y_true = 1) AS pos, sum(w) FILTER (y_true <> 1) AS neg FROM (SELECT *, {weight} AS w FROM {far}) WHERE w > 0 GROUP BY ALL),
+v AS (SELECT model_name, r, y_prob, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM w),
+q AS (SELECT *, sum(pos) OVER o AS tps, sum(neg) OVER o AS fps FROM v WINDOW o AS (PARTITION BY model_name, r ORDER BY y_prob DESC)),
+t AS (SELECT model_name, CAST(r AS INTEGER) AS replicate, sum(neg) FILTER (y_prob < 0.5e0) AS tn0, sum(neg) FILTER (y_prob >= 0.5e0) AS fp0, sum(pos) FILTER (y_prob < 0.5e0) AS fn0, sum(pos) FILTER (y_prob >= 0.5e0) AS tp0,
+  CAST(sum(pos * (2 * fps - neg)) AS DOUBLE) AS lost, sum(pos * CAST(tps AS DOUBLE) / CAST(tps + fps AS DOUBLE)) AS step FROM q GROUP BY model_name, r),
+d AS (SELECT model_name, replicate, CAST(coalesce(tn0, 0) AS BIGINT) AS tn, CAST(coalesce(fp0, 0) AS BIGINT) AS fp, CAST(coalesce(fn0, 0) AS BIGINT) AS fn, CAST(coalesce(tp0, 0) AS BIGINT) AS tp, lost, step FROM t),
+s AS (SELECT model_name, replicate, tn, fp, fn, tp, {RATES_SQL}, 1 - lost / (2e0 * (tp + fn) * (tn + fp)) AS roc_auc, step / (tp + fn) AS pr_auc FROM d WHERE tp + fn > 0 AND tn + fp > 0)"""
+
+
+def intervals_sql(scored_sql: str, iterations: int) -> str:
+    names = (*evaluation.RATES, *bootstrap.AREAS)
+    ends = lambda m: f"list({m} ORDER BY {m})"
+    at = lambda share: f"round(v[CAST(floor({share} * (len(v) - 1)) AS BIGINT) + 1] + ({share} * (len(v) - 1) - floor({share} * (len(v) - 1))) * (v[least(len(v), CAST(floor({share} * (len(v) - 1)) AS BIGINT) + 2)] - v[CAST(floor({share} * (len(v) - 1)) AS BIGINT) + 1]), 6)"
+    each = " UNION ALL ".join(f"SELECT model_name, '{m}' AS metric, {ends(m)} AS v FROM s GROUP BY model_name" for m in names)
+    return f"{replicates_sql(scored_sql, iterations)}, f AS ({each}) SELECT model_name, metric, {at('0.025e0')} AS lower, {at('0.975e0')} AS upper, CAST(len(v) AS BIGINT) AS n FROM f"
+
+
+@query(replicates_sql(SCORED_SQL, 20) + f" SELECT model_name, replicate, tn, fp, fn, tp, {', '.join(f'round({c}, 6) AS {c}' for c in (*evaluation.RATES, *bootstrap.AREAS))} FROM s")
+def bootstrap_replicates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bootstrap.replicates(scored(spark, d), iterations=20))
+
+
+@query(intervals_sql(SCORED_SQL, 2000))
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.scaled_intervals(scored(spark, d))
+    return rounded(bootstrap.intervals(scored(spark, d)))
 
 
-@query()
+@query(intervals_sql(ONE_SQL, 2000))
 def bootstrap_ci_exact(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.intervals(orders(spark, d))
+    return rounded(bootstrap.intervals(orders(spark, d)))
 
 
 @query(f"""{MODELS_SQL}, l AS (SELECT model_name, 'sensitivity' AS metric, sensitivity AS value, lower, upper FROM m UNION ALL SELECT model_name, 'upper', upper, NULL, NULL FROM m)

@@ -13,22 +13,32 @@ def cases(spark, y, p, name="m"):
     return spark.createDataFrame([(name, i, a, float(b)) for i, (a, b) in enumerate(zip(y, p))], SCHEMA)
 
 
-def from_counts(spark, tp, tn, fp, fn):
-    return cases(spark, [1] * tp + [1] * fn + [0] * tn + [0] * fp, [0.9] * tp + [0.1] * fn + [0.1] * tn + [0.9] * fp)
+def tabled(spark, **cells):
+    """Cases whose confusion table at 0.5 has these cells: tp, fn, fp and tn."""
+    sides = {"tp": (1, 0.75), "fn": (1, 0.25), "fp": (0, 0.625), "tn": (0, 0.125)}
+    each = [sides[c] for c in sorted(cells) for _ in range(cells[c])]
+    return cases(spark, [y for y, _ in each], [p for _, p in each])
 
 
-@pytest.mark.parametrize(
-    ("counts", "want"),
-    [
-        ((492, 504, 1, 3), {"accuracy": 0.996, "precision": 0.998, "sensitivity": 0.9939, "specificity": 0.998, "f1": 0.996}),
-        ((8, 6, 4, 2), {"sensitivity": 0.8, "specificity": 0.6, "precision": 8 / 12, "npv": 6 / 8, "balanced_accuracy": 0.7}),
-    ],
-)
-def test_rates(spark, counts, want):
-    row = evaluation.point_metrics(from_counts(spark, *counts)).first()
-    assert (row["tp"], row["tn"], row["fp"], row["fn"]) == counts
-    for name, value in want.items():
-        assert row[name] == pytest.approx(value, abs=5e-4)
+def test_rates_follow_from_counts(spark):
+    """The survey's two confusion tables with their rates, to as many digits as it states."""
+    small = evaluation.point_metrics(tabled(spark, fn=2, fp=4, tn=6, tp=8)).first()
+    assert [small[c] for c in ("tn", "fp", "fn", "tp")] == [6, 4, 2, 8]
+    assert (small["sensitivity"], small["specificity"], small["balanced_accuracy"], small["npv"]) == pytest.approx((0.8, 0.6, 0.7, 0.75))
+    assert small["precision"] == pytest.approx(2 / 3)
+    large = evaluation.point_metrics(tabled(spark, fn=3, fp=1, tn=504, tp=492)).first()
+    assert [round(large[c], 4) for c in ("accuracy", "specificity", "sensitivity", "precision", "f1")] == [0.996, 0.998, 0.9939, 0.998, 0.996]
+
+
+def rank_auc(y, p):
+    """The share of pairs of a positive and a negative that the scores order rightly, ties counting half."""
+    pos, neg = p[y == 1], p[y == 0]
+    return ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+
+
+def step_ap(y, p):
+    """Precision at each distinct score, weighed by the positives that it adds."""
+    return sum(((y == 1) & (p == v)).sum() * y[p >= v].mean() for v in np.unique(p)) / (y == 1).sum()
 
 
 def test_areas(spark):
@@ -39,7 +49,7 @@ def test_areas(spark):
     draw = np.random.default_rng(1)
     y, p = draw.integers(0, 2, 500), np.round(draw.random(500), 2)
     row = evaluation.areas(cases(spark, y.tolist(), p)).first()
-    assert row["roc_auc"] == pytest.approx(bootstrap.rank_auc(y, p)) and row["pr_auc"] == pytest.approx(bootstrap.step_ap(y, p))
+    assert row["roc_auc"] == pytest.approx(rank_auc(y, p)) and row["pr_auc"] == pytest.approx(step_ap(y, p))
 
 
 def test_bad_rows_are_left_out(spark):
@@ -66,14 +76,63 @@ def test_sweep_is_monotone_and_operating_point(spark):
     assert not none["target_met"] and none["threshold"] == 0
 
 
+def plain_replicates(y, p, iterations, seed, threshold):
+    """Each replicate by expanding every case as often as it is drawn."""
+    order = np.lexsort((-y, -p))
+    y, p = y[order], p[order]
+    w = bootstrap.weights(seed, np.arange(iterations), np.arange(len(y))).astype(int)
+    out = {}
+    for r in range(iterations):
+        ys, ps = np.repeat(y, w[r]), np.repeat(p, w[r])
+        if len(set(ys.tolist())) == 2:
+            hit = ps >= threshold
+            out[r] = [int((hit & (ys == 1)).sum()), int((hit & (ys == 0)).sum()), rank_auc(ys, ps), step_ap(ys, ps)]
+    return out
+
+
+def test_replicates_equal_expanded_cases_at_any_partitioning(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    y = draw.integers(0, 2, 400)
+    p = np.round(np.clip(draw.normal(0.4 + 0.2 * y, 0.2), -0.1, 1.1), 2)
+    df = cases(spark, y.tolist(), p).unionByName(cases(spark, y[:9].tolist(), p[:9], "few")).unionByName(cases(spark, [1, 0, None], [0.7, 0.2, 0.9], None))
+    got = bootstrap.replicates(df, 0.45, 300, 7).orderBy("model_name", "replicate").collect()
+    for name, n in (("m", 400), ("few", 9)):
+        want = plain_replicates(y[:n], p[:n], 300, 7, 0.45)
+        mine = {r["replicate"]: [r["tp"], r["fp"], r["roc_auc"], r["pr_auc"]] for r in got if r["model_name"] == name}
+        assert set(mine) == set(want) and (name == "m") == (len(want) == 300)
+        for r in want:
+            assert mine[r] == pytest.approx(want[r], abs=1e-12)
+    assert {r["model_name"] for r in got} == {"m", "few", None}
+    # labels with many cases of one score are drawn in runs
+    monkeypatch.setattr(bootstrap, "SLICE", 3)
+    again = bootstrap.replicates(df.repartition(7), 0.45, 300, 7).orderBy("model_name", "replicate").collect()
+    assert [r[:6] for r in again] == [r[:6] for r in got]
+    assert [r["pr_auc"] for r in again] == pytest.approx([r["pr_auc"] for r in got])
+
+
 def test_intervals(spark):
-    df = from_counts(spark, 40, 35, 10, 15)
-    exact = {r["metric"]: r for r in bootstrap.exact_intervals(df, iterations=400).collect()}
-    scaled = {r["metric"]: r for r in bootstrap.scaled_intervals(df, iterations=400).collect()}
-    for m in ("accuracy", "sensitivity", "f1"):
-        assert exact[m]["lower"] == pytest.approx(scaled[m]["lower"], abs=0.05) and exact[m]["upper"] == pytest.approx(scaled[m]["upper"], abs=0.05)
-    single = bootstrap.exact_intervals(cases(spark, [0, 0], [0.1, 0.2]), iterations=5).first()
-    assert single["n"] == 0 and single["lower"] is None
+    df = tabled(spark, tp=40, tn=35, fp=10, fn=15)
+    found = {r["metric"]: r for r in bootstrap.intervals(df).collect()}
+    assert set(found) == {*evaluation.RATES, "roc_auc", "pr_auc"} and {r["n"] for r in found.values()} == {2000}
+    point = evaluation.point_metrics(df).first()
+    for m, r in found.items():
+        assert r["lower"] < point[m] < r["upper"], m
+    # the interval of a rate is about as wide as its binomial deviation says
+    assert found["accuracy"]["upper"] - found["accuracy"]["lower"] == pytest.approx(2 * 1.96 * (0.75 * 0.25 / 100) ** 0.5, rel=0.08)
+    assert found["sensitivity"]["upper"] - found["sensitivity"]["lower"] == pytest.approx(2 * 1.96 * (40 / 55 * 15 / 55 / 55) ** 0.5, rel=0.08)
+    single = bootstrap.intervals(cases(spark, [0, 0], [0.1, 0.2]), iterations=5).collect()
+    assert len(single) == 11 and all(r["n"] == 0 and r["lower"] is None for r in single)
+    assert bootstrap.intervals(df.limit(0), iterations=5).count() == 0
+
+
+def test_weights_are_poisson():
+    w = bootstrap.weights(5, np.arange(200), np.arange(5000))
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01)
+    assert (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.003)
+    assert abs(np.corrcoef(w[:50].astype(float)) - np.eye(50)).max() < 0.07  # replicates are independent
+    far = bootstrap.weights(5, np.arange(3), np.array([0, 2**32, 2**32 + 1, 2**40]))
+    assert far.shape == (3, 4)
+    assert (bootstrap.weights(5, np.arange(64), np.array([2**32])) != bootstrap.weights(5, np.arange(64), np.array([0]))).any()
 
 
 def test_texts_and_folds():
@@ -85,7 +144,7 @@ def test_texts_and_folds():
 
 
 def test_errors(spark):
-    df = from_counts(spark, 3, 2, 1, 1).withColumn("width", (evaluation.F.col("case_id") * 2).cast("int"))
+    df = tabled(spark, tp=3, tn=2, fp=1, fn=1).withColumn("width", (evaluation.F.col("case_id") * 2).cast("int"))
     table = errors.error_table(df, 0.5, None)
     assert {r["category"]: r["n"] for r in errors.category_counts(table).collect()} == {"true_positive": 3, "true_negative": 2, "false_positive": 1, "false_negative": 1}
     assert [r["n_covered"] for r in errors.abstention_curve(table).orderBy("cutoff").collect()][:1] == [7]
@@ -95,24 +154,6 @@ def test_errors(spark):
 
 
 def test_bundle(spark):
-    got = bundles.evaluate(from_counts(spark, 8, 6, 4, 2), iterations=50)
+    got = bundles.evaluate(tabled(spark, tp=8, tn=6, fp=4, fn=2), iterations=50)
     assert {k: v.count() for k, v in got.items()}["sweep"] == 101
     assert got["roc"].orderBy("fpr", "tpr").first()["threshold"] is None
-
-
-def test_intervals_of_areas_at_any_size(spark, monkeypatch):
-    draw = np.random.default_rng(3)
-    y = draw.integers(0, 2, 400)
-    p = np.round(np.clip(draw.normal(0.4 + 0.2 * y, 0.2), -0.1, 1.1), 2)
-    df = cases(spark, y.tolist(), p).unionByName(cases(spark, y[:90].tolist(), p[:90], "few"))
-    exact = {(r["model_name"], r["metric"]): r for r in bootstrap.exact_intervals(df, iterations=2000).collect()}
-    monkeypatch.setattr(bootstrap, "MOST_EXACT", 100)
-    got = {(r["model_name"], r["metric"]): r for r in bundles.evaluate(df)["intervals"].collect()}
-    assert set(got) == set(exact) and {r["n"] for r in got.values()} == {2000}
-    for k, r in got.items():
-        assert r["lower"] == pytest.approx(exact[k]["lower"], abs=0 if k[0] == "few" else 0.02) and r["upper"] == pytest.approx(exact[k]["upper"], abs=0 if k[0] == "few" else 0.02)
-    sample = draw.integers(0, 400, 400)
-    values = np.unique(p)
-    pos, neg = (np.array([((p[sample] == v) & (y[sample] == c)).sum() for v in values]) for c in (1, 0))
-    assert bootstrap.areas_of(pos, neg) == pytest.approx((bootstrap.rank_auc(y[sample], p[sample]), bootstrap.step_ap(y[sample], p[sample])))
-    assert bootstrap.scaled_intervals(cases(spark, [0, 0], [0.1, 0.2]), iterations=5).where("n > 0").count() == 0
