@@ -283,7 +283,7 @@ def test_block_pairs_that_cannot_hold_a_pair_are_left_out(spark, monkeypatch):
     c = np.corrcoef(v)
     want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] > 0.95}
     assert {(r["i"], r["j"]) for r in duplicates.correlated_pairs(df, 0.95).collect()} == want and len(want) > 10_000
-    kept, total = duplicates.block_pairs(duplicates.standardised(df, "vec_id", "embedding"), 0.95)[1:]
+    kept, total = duplicates.block_pairs(duplicates.standardised(df, "vec_id", "embedding"), 0.95)[2:]
     assert kept < total / 2
     links = duplicates.links_and_best(df, 0.95, 0.9, "vec_id", "embedding").collect()
     assert sum(r["best"] is None for r in links) < len(want) / 4  # forests, not all pairs
@@ -316,10 +316,53 @@ def test_leakage_between_splits(spark, monkeypatch):
     best = c[np.ix_(here, there)].max(axis=1)
     got = {r["idx"]: r["best"] for r in duplicates.best_above(test, train, 0.9).collect()}
     assert got == pytest.approx({int(i): x for i, x in zip(here, best) if x > 0.9}) and len(got) > 5
-    assert {r["idx"]: r["best"] for r in duplicates.best_correlation(test, train).collect()} == pytest.approx(dict(zip(here.tolist(), best)))
+    # training rows only meet blocks of test rows, and test rows those of training rows
+    side = lambda rows, is_left: duplicates.standardised(rows, "vec_id", "embedding").withColumn("is_left", duplicates.F.lit(is_left))
+    blocks, _, kept, total = duplicates.block_pairs(side(test, True).unionByName(side(train, False)), 0.9, sides=True)
+    pairs = blocks.groupBy("lo", "hi").agg(duplicates.F.count_if("is_left").alias("left"), duplicates.F.count_if(~duplicates.F.col("is_left")).alias("right")).collect()
+    assert 0 < len(pairs) <= kept <= total and all(r["left"] and r["right"] for r in pairs)
     leak = {r["threshold"]: r["leakage"] for r in duplicates.split_leakage(test, train, (0.9, 0.99)).collect()}
     assert leak == pytest.approx({t: (best > t).mean() for t in (0.9, 0.99)})
     # a row beside nothing but itself does not count; an empty side leaks nothing
     assert [r["leakage"] for r in duplicates.split_leakage(df.where("vec_id < 3"), df.where("vec_id = 1"), (0.5,)).collect()] == [1.0]
     assert [r["leakage"] for r in duplicates.split_leakage(test, train.where("false")).collect()] == [0.0] * 4
     assert [r["leakage"] for r in duplicates.split_leakage(test.where("false"), train).collect()] == [0.0] * 4
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "mixed"])
+def test_bounds_inside_blocks_leave_out_most_products_and_no_pair(kind):
+    draw = np.random.default_rng(11)
+    n, d, least = 3000, 64, 0.95
+    if kind == "even":  # spread evenly over the sphere: no cell and no tile lies apart
+        v = draw.normal(size=(n, d))
+        v[::50] = v[1::50] + 0.2 * draw.normal(size=(n // 50, d))
+    elif kind == "clustered":
+        v = clustered(draw, 60, 50, d)
+    else:  # one large group of near copies among others
+        v = np.concatenate((draw.normal(size=(n // 2, d)), draw.normal(size=d) + 0.2 * draw.normal(size=(n // 2, d))))
+    v = v[draw.permutation(len(v))]
+    m = (v - v.mean(axis=1, keepdims=True)) / v.std(axis=1, keepdims=True)
+    m[7] = 0  # a constant vector
+    full = m @ m.T / d
+    for least in (0.95, 0.9):
+        lead = duplicates.Lead.fit(m[: duplicates.FITTED], least)
+        work = [0.0, 0.0]
+        got = {(min(i, j), max(i, j)): c for u, w, cs in duplicates.near(m, np.arange(n), None, least, lead, work) for i, j, c in zip(u.tolist(), w.tolist(), cs.tolist())}
+        i, j = np.nonzero(np.triu(full > least, 1))
+        assert set(got) == set(zip(i.tolist(), j.tolist())) and len(got) > 20
+        assert list(got.values()) == pytest.approx([full[k] for k in got])
+        if kind != "mixed" and least == 0.95:
+            assert work[0] < work[1] / 4
+        left, right = np.arange(0, n, 3), np.arange(1, n, 3)
+        both = {(i, j) for u, w, _ in duplicates.near(m, left, right, least, lead) for i, j in zip(u.tolist(), w.tolist())}
+        assert both == {(i, j) for i, j in zip(*np.nonzero(full > least)) if i % 3 == 0 and j % 3 == 1}
+
+
+def test_odd_widths_and_low_thresholds_are_multiplied_whole():
+    draw = np.random.default_rng(12)
+    m = draw.normal(size=(40, 5))
+    for least in (-0.5, 0.3):
+        lead = duplicates.Lead.fit(m, least)
+        got = {(i, j) for u, w, _ in duplicates.near(m, np.arange(40), None, least, lead) for i, j in zip(u.tolist(), w.tolist())}
+        c = m @ m.T / 5
+        assert lead.k == 0 and {tuple(sorted(p)) for p in got} == {(i, j) for i in range(40) for j in range(i + 1, 40) if c[i, j] > least}
