@@ -1,22 +1,26 @@
 """Group-aware stratified splits that leak no group from one split into another.
 
-Groups of the same class counts are alike, so every fold gets the same number of them. What that leaves over, fewer than
-folds of each kind, is dealt greedily, the most uneven first, each to the fold that keeps the class shares closest. That
-runs over kinds of groups, whose number is bounded, so it is the same at any number of groups. Which group lands where
-depends on the seed alone, not on partitions.
+Groups are dealt to ranges by a seeded hash, and within each range to folds, the most uneven first, each to the fold that
+keeps the class shares closest. A range then is a few bins of groups, one a fold, and bins are dealt in the same way: each
+range's bins to different folds, range by range, within ranges of ranges, until one is left. So no step holds more than
+RANGE groups or ranges, and none waits for all groups. Which group lands where depends on the seed alone, not on
+partitions.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import folds_for
 from plumbline.tables import written
 
-#: Bits of a class's count that tell kinds of groups apart: counts below 2**BITS exactly, others to under 1 %.
-BITS = 7
+#: Groups in a range, and ranges in a range of ranges, about.
+RANGE = 4096
 
 
 def deal(counts: np.ndarray, folds: int) -> np.ndarray:
@@ -34,51 +38,100 @@ def deal(counts: np.ndarray, folds: int) -> np.ndarray:
     return out
 
 
-def coarse(n: Column) -> Column:
-    """n with its highest BITS bits."""
-    low = F.greatest(F.floor(F.log2(n.cast("double"))).cast("int") - (BITS - 1), F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", n, low), low)
+def matched(bins: np.ndarray) -> np.ndarray:
+    """[ranges, folds]: the fold of each of bins[range, fold, class], a range's bins in different folds, range by range.
+
+    What the folds hold beyond their mean is kept small, by squares over the class totals: bins go where they fit best, the
+    most uneven first, and then trade places while that helps.
+    """
+    ranges, folds, _ = bins.shape
+    over = np.zeros(bins.shape[1:])
+    total = np.maximum(bins.sum(axis=(0, 1)), 1)
+    out = np.zeros((ranges, folds), int)
+    for r, b in enumerate(bins):
+        d = b - b.mean(axis=0)
+        cost = ((over[None, :, :] + d[:, None, :]) ** 2 / total).sum(axis=2)
+        free = list(range(folds))
+        for i in np.argsort(-(d**2 / total).sum(axis=1), kind="stable").tolist():
+            out[r, i] = free.pop(int(np.argmin(cost[i, free])))
+        better = True
+        while better:
+            better = False
+            for i in range(folds):
+                for j in range(i):
+                    x, y = out[r, i], out[r, j]
+                    if cost[i, y] + cost[j, x] < cost[i, x] + cost[j, y] - 1e-12:
+                        out[r, i], out[r, j], better = y, x, True
+        over[out[r]] += d
+    return out
+
+
+def by_class(texts: pd.Series) -> np.ndarray:
+    """[rows, classes] of counts that stand as JSON objects, classes in order of their names."""
+    each = [json.loads(t) for t in texts]
+    names = sorted({c for m in each for c in m})
+    return np.array([[m.get(c, 0) for c in names] for m in each], float).reshape(len(each), len(names))
 
 
-def numbered(rows: DataFrame, by: str, turn: str, key: str) -> DataFrame:
-    """rows with rank: from 0 within by, in the order of turn and key; counts per range of turn come first, so no window
-    spans all rows of one value."""
-    parts = rows.withColumn("part", F.shiftright(turn, 48))
-    counts = parts.groupBy(by, "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(by, "part").orderBy(turn, key))
-    return parts.join(counts.select(by, "part", before.alias("before")), [by, "part"]).withColumn("rank", F.col("before") + place - 1).drop("before", "part")
+def added(texts: pd.Series) -> str:
+    """The sum of counts that stand as JSON objects."""
+    total: dict[str, int] = {}
+    for t in texts:
+        for c, n in json.loads(t).items():
+            total[c] = total.get(c, 0) + n
+    return json.dumps(total, sort_keys=True)
 
 
 def fold_of_groups(samples: DataFrame, folds: int, seed: int, group: str = "group_id", label: str = "label") -> DataFrame:
-    """(group, fold) of every group; an error if there are fewer groups than folds."""
-    by_class = samples.groupBy(F.col(group).alias("group"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
-    counts = F.array_sort(F.collect_list(F.struct("label", "n")))
-    kind = F.concat_ws(",", F.transform("counts", lambda c: F.concat_ws(":", F.hex(F.encode(c["label"], "UTF-8")), coarse(c["n"]).cast("string"))))
-    groups = by_class.groupBy("group").agg(counts.alias("counts")).select("group", "counts", kind.alias("kind"), F.xxhash64(F.lit(seed), "group").alias("turn"))
+    """(group, fold) of every group; an error if there are fewer groups than folds. Null groups are one group, null labels a
+    class of their own."""
+    cells = samples.groupBy(F.col(group).alias("group"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(F.count("*").alias("n"))
+    counts = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))))
+    groups = cells.groupBy("group").agg(counts.alias("counts")).withColumn("turn", F.xxhash64(F.lit(seed), "group"))
     groups = written(groups, "groups")
-    kinds = {r["kind"]: r["n"] for r in groups.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # bounded: see BITS
-    if sum(kinds.values()) < folds:
-        raise ValueError(f"{sum(kinds.values())} groups are too few for {folds} folds")
-    sums = groups.select("kind", F.explode("counts").alias("c")).groupBy("kind", "c.label").agg(F.sum("c.n").alias("n")).collect()
-    names = {x: i for i, x in enumerate(sorted({r["label"] for r in sums}))}
-    mean = {k: np.zeros(len(names)) for k in kinds}
-    for r in sums:
-        mean[r["kind"]][names[r["label"]]] = r["n"] / kinds[r["kind"]]
-    order = sorted(kinds, key=lambda k: (-mean[k].std(), -mean[k].sum(), k))
-    left = [k for k in order for _ in range(kinds[k] % folds)]
-    dealt: dict[str, list[int]] = {k: [] for k in kinds}
-    if left:
-        for k, f in zip(left, deal(np.array([mean[k] for k in left]), folds).tolist()):
-            dealt[k].append(f)
-    table = samples.sparkSession.createDataFrame([(k, n - n % folds, dealt[k]) for k, n in kinds.items()], "kind string, even long, rest array<long>")
-    fold = F.when(F.col("rank") < F.col("even"), F.col("rank") % folds).otherwise(F.get("rest", (F.col("rank") - F.col("even")).cast("int")))
-    return numbered(groups.drop("counts"), "kind", "turn", "group").join(table, "kind").select("group", fold.cast("long").alias("fold"))
+    n = groups.count()
+    if n < folds:
+        raise ValueError(f"{n} groups are too few for {folds} folds")
+    ranges = -(-n // RANGE)
+    kind = dict(groups.dtypes)["group"]
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("turn", kind="stable").reset_index(drop=True)
+        table = by_class(pdf["counts"])
+        order = np.lexsort((np.arange(len(pdf)), -table.sum(axis=1), -table.std(axis=1)))
+        pdf.loc[order, "fold"] = deal(table[order], folds)
+        return pdf[["group", "range", "counts", "fold"]].astype({"fold": "int64"})
+
+    dealt = groups.withColumn("range", F.pmod(F.xxhash64(F.lit(seed), F.lit("range"), "group"), F.lit(ranges)))
+    dealt = dealt.groupBy("range").applyInPandas(within, f"group {kind}, range long, counts string, fold long")
+    if ranges == 1:
+        return dealt.select("group", "fold")
+    dealt = written(dealt, "dealt")
+
+    def bins(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(counts=added(pdf["counts"]))
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["range", "fold"]).reset_index(drop=True)
+        table = by_class(pdf["counts"])
+        whole = np.zeros((pdf["range"].nunique(), folds, table.shape[1]))  # a range of few groups may lack bins
+        whole[pd.factorize(pdf["range"])[0], pdf["fold"]] = table
+        return pdf.assign(into=matched(whole)[pd.factorize(pdf["range"])[0], pdf["fold"]])[["range", "fold", "into", "counts"]]
+
+    row = "range long, counts string, fold long"
+    left = written(dealt.select("range", "counts", "fold").groupBy("range", "fold").applyInPandas(bins, row), "bins")
+    while ranges > 1:
+        moved = written(left.groupBy(F.floor(F.col("range") / RANGE).alias("wide")).applyInPandas(between, "range long, fold long, into long, counts string"), "moved")
+        dealt = dealt.join(moved.select("range", "fold", "into"), ["range", "fold"]).select("group", F.floor(F.col("range") / RANGE).alias("range"), F.col("into").alias("fold"))
+        ranges = -(-ranges // RANGE)
+        left = moved.select(F.floor(F.col("range") / RANGE).alias("range"), "counts", F.col("into").alias("fold")).groupBy("range", "fold").applyInPandas(bins, row)
+    return dealt.select("group", "fold")
 
 
 def group_folds(samples: DataFrame, folds: int = 5, seed: int = 42, group: str = "group_id", label: str = "label") -> DataFrame:
     """samples with fold: rows of a group always share one."""
-    return samples.join(fold_of_groups(samples, folds, seed, group, label).withColumnRenamed("group", group), group)
+    of = fold_of_groups(samples, folds, seed, group, label).withColumnRenamed("group", "__group")
+    return samples.join(of, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 
 
 def holdout(samples: DataFrame, share: float, seed: int, group: str = "group_id", label: str = "label") -> DataFrame:

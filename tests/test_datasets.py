@@ -114,10 +114,35 @@ def test_a_large_group_leaves_its_fold_little_else(spark):
     assert f.select("group_id", "fold").distinct().exceptAll(splitting.group_folds(s, 3, seed=2).select("group_id", "fold").distinct()).count() > 0
 
 
-def test_kinds_of_groups_are_bounded(spark):
-    n = [1, 2, 100, 127, 128, 129, 130, 255, 256, 1000, 10**6, 10**12 + 1]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").select(splitting.coarse(F.col("n"))).collect()]
-    assert got == [x >> max(0, x.bit_length() - 7) << max(0, x.bit_length() - 7) for x in n]
+def test_ten_classes_in_ranges_of_ranges(spark, monkeypatch):
+    """Nearly every group has class counts of its own, and no step sees more than RANGE groups or ranges."""
+    monkeypatch.setattr(splitting, "RANGE", 32)
+    draw = np.random.default_rng(8)
+    n, share = 4000, draw.dirichlet(np.ones(10))
+    rows = [(f"g{g}", int(c)) for g in range(n) for c in draw.choice(10, size=1 + draw.integers(0, 9), p=share)] + [(None, 3)] * 5 + [("odd", None)]
+    s = spark.createDataFrame(rows, "group_id string, label int").repartition(4)
+    f = splitting.group_folds(s, 5, seed=3).cache()
+    assert f.count() == len(rows) and f.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    got = fold_table(f)
+    assert set(got) == set(range(5))
+    for c in range(10):
+        each = [x.get(c, 0) for x in got.values()]
+        assert max(each) - min(each) <= 12, (c, each)
+    again = splitting.group_folds(s.repartition(9), 5, seed=3)
+    assert f.select("group_id", "fold").distinct().exceptAll(again.select("group_id", "fold").distinct()).count() == 0
+    f.unpersist()
+
+
+def test_a_range_s_bins_go_to_different_folds():
+    draw = np.random.default_rng(3)
+    bins = draw.integers(0, 9, (50, 4, 3)).astype(float)
+    folds = splitting.matched(bins)
+    assert (np.sort(folds, axis=1) == np.arange(4)).all()
+    held = np.zeros((4, 3))
+    for f, b in zip(folds, bins):
+        held[f] += b
+    assert np.ptp(held, axis=0).max() <= 9  # no more than one range alone may differ by
+    assert len(splitting.deal(np.zeros((0, 2)), 3)) == 0
 
 
 def test_log(spark, tmp_path):
