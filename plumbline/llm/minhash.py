@@ -36,15 +36,15 @@ _place = stream(2 * BANDS * ROWS, 33) | np.uint64(1)
 
 
 def small_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 2 * BANDS small hashes for each non-empty set of 64-bit shingles: even ones of the first collection, odd ones
-    of the second."""
+    """A row of 2 * BANDS small hashes, of jaccard.TOKEN bits, for each non-empty set of 64-bit shingles: even ones of the
+    first collection, odd ones of the second."""
     starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[:-1]]))).astype(np.int64)
     flat = np.concatenate(sets)
     flat = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)  # truncates to the low half
     least = np.empty((len(sets), 2 * BANDS * ROWS), np.uint64)
     for j in range(2 * BANDS * ROWS):
         least[:, j] = np.minimum.reduceat((flat ^ _shift[j]) * _factor[j], starts)
-    own = mix((least * _place).reshape(len(sets), 2 * BANDS, ROWS).sum(axis=2, dtype=np.uint64))
+    own = jaccard.tokens_of(mix((least * _place).reshape(len(sets), 2 * BANDS, ROWS).sum(axis=2, dtype=np.uint64)))
     side = np.repeat(np.array([0, 1], np.uint64), BANDS)
     return (own & ~np.uint64(1)) | side
 
@@ -90,7 +90,53 @@ def sketched(base: DataFrame, k: int) -> DataFrame:
     return base.mapInArrow(sketch, f"key {dict(base.dtypes)['key']}, n long, sk long, small array<long>")
 
 
-def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def posted_hashes(ranges: int):
+    """From (sk, small): postings (range, blob) of distinct small hashes, with a set that has each and a mark if several sets
+    of the task do; and rows (sk, hash) where they do. So no range gets more postings of a hash than there are tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, hashes, n = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            sk = np.concatenate(names).repeat(2 * BANDS)
+            own = np.concatenate(hashes).view(np.uint64)
+            order = np.argsort(own, kind="stable")
+            own, sk = own[order], sk[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            count = np.diff(np.append(first, len(own)))
+            for b in jaccard.postings([(own[first], sk[first], (count > 1).astype(np.int64))], ranges):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=["range", "blob", "sk", "hash"])
+            many = np.repeat(count > 1, count)
+            n = int(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(sk[many]), pa.array(own[many].view(np.int64))], names=["range", "blob", "sk", "hash"])
+
+        for b in batches:
+            if b.num_rows:
+                names.append(b.column("sk").to_numpy())
+                hashes.append(np.asarray(b.column("small").flatten()))
+                n += len(hashes[-1])
+            if n >= LINKS:
+                yield from out()
+                names, hashes, n = [], [], 0
+        if n:
+            yield from out()
+
+    return run
+
+
+def met_hashes(table: pa.Table) -> pa.Table:
+    """(sk, hash) of the postings of a range whose hash another posting's set has too, without those that know it."""
+    own, sk, marked = jaccard.unpacked(table)
+    order = np.argsort(own, kind="stable")
+    own, sk, marked = own[order], sk[order], marked[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    count = np.diff(np.append(first, len(own)))
+    several = (np.minimum.reduceat(sk, first) != np.maximum.reduceat(sk, first)) | (np.maximum.reduceat(marked, first) > 0)
+    told = np.repeat(several, count) & (marked == 0)
+    return pa.table({"sk": sk[told], "hash": own[told].view(np.int64)})
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of the same components from sets (even) u to tables' keys (odd) v: of each component its smallest set with
     every other set and every key."""
     nodes = np.unique(np.concatenate((u, v)))
@@ -101,42 +147,66 @@ def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     roots, first = np.unique(root[sets], return_index=True)  # nodes are sorted, so the first is the smallest
     head = nodes[sets[first]][np.searchsorted(roots, root)]
     some = head != nodes
-    return pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(nodes[some])], names=["u", "v"])
-
-
-def table_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sk, small): links of sets with their keys in all tables (odd numbers) and with each other, as stars of what a
-    task holds."""
-    u, v, n = [], [], 0
-    for b in batches:
-        for name, small in zip(b.column("sk").to_pylist(), b.column("small").to_pylist()):
-            own = np.array(small, np.int64).view(np.uint64)
-            odd = (own & np.uint64(1)).astype(bool)
-            keys = mix(own[~odd][:, None] * np.uint64(3) + mix(own[odd])[None, :]).ravel() | np.uint64(1)
-            v.append(keys.view(np.int64))
-            u.append(np.full(len(keys), name, np.int64))
-            n += len(keys)
-            if n >= LINKS:
-                yield stars(np.concatenate(u), np.concatenate(v))
-                u, v, n = [], [], 0
-    if n:
-        yield stars(np.concatenate(u), np.concatenate(v))
-
-
-def candidate_clusters(rows: DataFrame) -> DataFrame:
+    return head[some], nodes[some]
+
+
+def posted_keys(ranges: int):
+    """From (sk, small): links (u, v) of sets that share a table's key within the task, and postings (range, blob) of keys
+    with the smallest set of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v, n = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            head, node = stars(np.concatenate(u), np.concatenate(v))
+            key = node % 2 != 0
+            links = int((~key).sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(links, pa.int32()), pa.nulls(links, pa.binary()), pa.array(head[~key]), pa.array(node[~key])], names=["range", "blob", "u", "v"])
+            order = np.argsort(node[key], kind="stable")
+            keys = node[key][order].view(np.uint64)
+            for b in jaccard.postings([(keys, head[key][order], np.zeros(len(keys), np.int64))], ranges):
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=["range", "blob", "u", "v"])
+
+        for b in batches:
+            for name, small in zip(b.column("sk").to_pylist(), b.column("small").to_pylist()):
+                own = np.array(small, np.uint64)
+                odd = (own & np.uint64(1)).astype(bool)
+                keys = jaccard.tokens_of(mix(own[~odd][:, None] * np.uint64(3) + mix(own[odd])[None, :]).ravel()) | np.uint64(1)
+                v.append(keys.view(np.int64))
+                u.append(np.full(len(keys), name, np.int64))
+                n += len(keys)
+                if n >= LINKS:
+                    yield from out()
+                    u, v, n = [], [], 0
+        if n:
+            yield from out()
+
+    return run
+
+
+def met_keys(table: pa.Table) -> pa.Table:
+    """Links (u, v) of the sets that stand for a key in different tasks."""
+    own, sk, _ = jaccard.unpacked(table)
+    order = np.lexsort((sk, own))
+    own, sk = own[order], sk[order]
+    first = np.concatenate(([True], own[1:] != own[:-1]))
+    head = sk[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return pa.table({"u": head[head != sk], "v": sk[head != sk]})
+
+
+def candidate_clusters(rows: DataFrame, ranges: int) -> DataFrame:
     """(sk, cluster): sets that meet in a table, directly or by way of others.
 
     Only small hashes that two sets or more share can be part of a key that they share, so the tables' keys are formed from
-    those alone.
+    those alone. Hashes and keys go to ranges packed, a few bytes each and once a task.
     """
-    every = rows.where("small is not null").select("sk", F.explode("small").alias("small"))
-    shared = written(every.groupBy("small").agg(F.min("sk").alias("low"), F.max("sk").alias("high")).where("low <> high").select("small"), "shared")
-    left = every.join(shared, "small").groupBy("sk").agg(F.collect_set("small").alias("small"))  # at most 2 * BANDS a set
-    links = written(left.mapInArrow(table_links, "u long, v long"), "links")
-    keyed = F.pmod("v", F.lit(2)) == 1
-    met = written(links.where(keyed).groupBy("v").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("v"), "met")
-    edges = links.where(~keyed).unionByName(links.where(keyed).join(met, "v").select("u", "v"))
-    found = connected(edges).where(F.pmod("node", F.lit(2)) == 0)
+    posted = written(rows.where("small is not null").select("sk", "small").mapInArrow(posted_hashes(ranges), "range int, blob binary, sk long, hash long"), "hashes")
+    told = posted.where("blob is not null").groupBy("range").applyInArrow(met_hashes, "sk long, hash long")
+    shared = posted.where("blob is null").select("sk", "hash").unionByName(told)
+    left = shared.groupBy("sk").agg(F.collect_set("hash").alias("small"))  # at most 2 * BANDS a set
+    keys = written(left.mapInArrow(posted_keys(ranges), "range int, blob binary, u long, v long"), "keys")
+    met = keys.where("blob is not null").groupBy("range").applyInArrow(met_keys, "u long, v long")
+    found = connected(keys.where("blob is null").select("u", "v").unionByName(met))
     return found.select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
 
 
@@ -148,14 +218,17 @@ def dealt(members: DataFrame, by: list[str]) -> DataFrame:
     return written(members.join(counts, by).withColumn("chunk", chunk).drop("parts"), "dealt")
 
 
-def links_of(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """The exact links (u, v) as forests within the blocks (cluster, lo, hi) of placed sets (sk, cluster, lo, hi, chunk)."""
-    rows = sets.join(placed, "sk").select("cluster", "lo", "hi", "chunk", "sk", "tokens", F.lit(1).cast("long").alias("copies"))
+def links_of(blocks: DataFrame, percent: int) -> DataFrame:
+    """The exact links (u, v) as forests within the blocks (cluster, lo, hi) of sets (sk, chunk, tokens)."""
+    rows = blocks.select("cluster", "lo", "hi", "chunk", "sk", "tokens", F.lit(1).cast("long").alias("copies"))
     return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(jaccard.block_links(percent), jaccard.FOREST)
 
 
 def verified(base: DataFrame, rows: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links (u, v) that hold on full sets between sets of one cluster, as forests with the same components."""
+    """The links (u, v) that hold on full sets between sets of one cluster, as forests with the same components.
+
+    A cluster that fits in a block is one. Full sets move twice: to their cluster, and to the blocks they are compared in.
+    """
     spark = base.sparkSession
     sizes = rows.where("sk is not null").groupBy("sk").agg(F.first("n").alias("n"))
     known = written(clusters.join(sizes, "sk"), "members")
@@ -163,36 +236,37 @@ def verified(base: DataFrame, rows: DataFrame, clusters: DataFrame, k: int, perc
     several = written(known.groupBy("cluster").agg(F.count("*").alias("members"), parts.alias("parts")).where("members > 1"), "clusters")
     # sets whose bands are no neighbours differ too much in size to link
     width = max(math.log(100 / percent), 0.01) * (1 + 1e-9)
-    band = F.when(F.col("parts") > 1, F.floor(F.log("n") / width)).otherwise(0).cast("long")
-    members = written(known.join(several, "cluster").select("sk", "cluster", "n", band.alias("band"), (F.col("parts") > 1).alias("large")), "members")
+    none = F.lit(None).cast("long")
+    members = written(known.join(several, "cluster").select("sk", "cluster", "n", F.floor(F.log("n") / width).cast("long").alias("band"), (F.col("parts") > 1).alias("large")), "members")
+    large = dealt(members.where("large"), ["cluster", "band"])
+    placed = members.where("not large").select("sk", "cluster", "n", none.alias("band"), none.alias("chunk")).unionByName(large.select("sk", "cluster", "n", "band", "chunk"))
     wanted = spark.sparkContext.broadcast(jaccard.filter_of(members, members.count()))  # at most 16 MB
-    sets = written(jaccard.full_sets(base, "text", k, wanted).join(members.select("sk"), "sk", "left_semi"), "sets")
+    sets = written(jaccard.full_sets(base, "text", k, wanted).drop("n").join(placed, "sk"), "sets")
 
     # large clusters: every chunk of a band and of those beside it meets the band's pivots
-    large = dealt(members.where("large"), ["cluster", "band"])
     pick = large.groupBy("cluster", F.col("band").alias("near"), F.pmod(F.hash("sk"), F.lit(PIVOTS)).alias("nth")).agg(F.min_by("sk", F.xxhash64("sk")).alias("sk"))
-    pivots = written(pick.select("cluster", "near", "sk"), "pivots")
-    chunks = large.select("cluster", "band", "chunk").distinct()
-    beside = chunks.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    met = beside.join(pivots, ["cluster", "near"]).select("sk", "cluster", F.lit(None).cast("long").alias("lo"), F.col("chunk").alias("hi"), F.lit(None).cast("long").alias("chunk"))
-    own = large.select("sk", "cluster", F.lit(None).cast("long").alias("lo"), F.col("chunk").alias("hi"), "chunk")
-    star = written(links_of(sets, own.unionByName(met), percent), "star")
+    chunks = written(large.select("cluster", "band", "chunk").distinct(), "chunks")
+    beside = chunks.select("cluster", F.col("chunk").alias("hi"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("near"))
+    pivots = written(sets.where("chunk is not null").join(pick.select("cluster", "near", "sk"), ["cluster", "sk"]).select("cluster", "near", "sk", "tokens"), "pivots")
+    met = beside.join(pivots, ["cluster", "near"]).select("cluster", none.alias("lo"), "hi", none.alias("chunk"), "sk", "tokens")
+    own = sets.where("chunk is not null").select("cluster", none.alias("lo"), F.col("chunk").alias("hi"), "chunk", "sk", "tokens")
+    star = written(links_of(own.unionByName(met), percent), "star")
 
     # then chunks of parts that are joined already skip each other
     joined = large.drop("chunk").join(connected(star).withColumnRenamed("node", "sk"), "sk", "left")
     many = joined.where("root is not null").groupBy("root").agg(F.count("*").alias("of")).where(F.col("of") >= jaccard.BLOCK // 4)
     parted = joined.join(many.select("root", F.lit(True).alias("whole")), "root", "left").withColumn("root", F.when(F.col("whole"), F.col("root")))
-    small = members.where("not large").select("sk", "cluster", "n", "band", F.lit(None).cast("long").alias("root"))
-    dealt_again = dealt(parted.select("sk", "cluster", "n", "band", F.coalesce("root", F.lit(1)).alias("root")), ["cluster", "band", "root"])  # roots are even
-    each = dealt_again.select("cluster", "band", "root", "chunk").distinct()
+    again = dealt(parted.select("sk", "cluster", "n", "band", F.coalesce("root", F.lit(1)).alias("root")), ["cluster", "band", "root"])  # roots are even
+    each = again.select("cluster", "band", "root", "chunk").distinct()
     other = each.select("cluster", F.col("band").alias("band2"), F.col("root").alias("root2"), F.col("chunk").alias("chunk2"))
     apart = (F.abs(F.col("band") - F.col("band2")) <= 1) & (F.col("chunk") <= F.col("chunk2")) & ((F.col("root") != F.col("root2")) | (F.col("root") == 1))
     pairs = each.join(other, "cluster").where(apart).select("cluster", F.col("chunk").alias("lo"), F.col("chunk2").alias("hi"))
     ends = pairs.select("cluster", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("chunk"))
-    blocks = dealt_again.select("sk", "cluster", "chunk").join(ends, ["cluster", "chunk"]).select("sk", "cluster", "lo", "hi", "chunk")
+    meets = written(again.select("sk", "cluster", "chunk").join(ends, ["cluster", "chunk"]).select("sk", "lo", "hi", "chunk"), "meets")
+    blocks = sets.where("chunk is not null").drop("chunk").join(meets, "sk").select("cluster", "lo", "hi", "chunk", "sk", "tokens")
     zero = F.lit(0).cast("long")
-    alone = small.select("sk", "cluster", zero.alias("lo"), zero.alias("hi"), zero.alias("chunk"))
-    return star.unionByName(links_of(sets, blocks.unionByName(alone), percent))
+    alone = sets.where("chunk is null").select("cluster", zero.alias("lo"), zero.alias("hi"), zero.alias("chunk"), "sk", "tokens")
+    return star.unionByName(links_of(blocks.unionByName(alone), percent))
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 85) -> DataFrame:
@@ -207,7 +281,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     use_workers(docs.sparkSession)
     base = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = written(sketched(base, k), "sketches")
-    clusters = written(candidate_clusters(rows), "candidates")
+    clusters = written(candidate_clusters(rows, jaccard.range_count(base)), "candidates")
     groups = connected(verified(base, rows, clusters, k, percent)).withColumnRenamed("node", "sk")
     smallest = rows.where("sk is not null").groupBy("sk").agg(F.min("key").alias("low"))
     lows = written(smallest.join(groups, "sk", "left"), "lows")
