@@ -129,13 +129,56 @@ def variation(settings: dict) -> dict[str, float]:
     return {"flip": bool(own.get("horizontal_flip", True)), "degrees": own.get("rotation_range", 15), "zoom": own.get("zoom_range", 0.1), "shift": own.get("width_shift_range", 0.1), "brightness": own.get("brightness", 0.1)}
 
 
+def cubic_weights(n: int, m: int, a: float = -0.75) -> np.ndarray:
+    """[m, n]: the share of each of n cells in each of m cells, by cubic convolution around the new cell's centre; beyond the
+    ends the last cell goes on. a is the usual sharpness."""
+    at = (np.arange(m) + 0.5) * (n / m) - 0.5
+    first = np.floor(at).astype(int)
+    out = np.zeros((m, n))
+    for k in range(-1, 3):
+        x = np.abs(at - (first + k))
+        w = np.where(x <= 1, (a + 2) * x**3 - (a + 3) * x**2 + 1, a * (x**3 - 5 * x**2 + 8 * x - 4))
+        np.add.at(out, (np.arange(m), np.clip(first + k, 0, n - 1)), w)
+    return out
+
+
+def cubic_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image at another size, by cubic weights of rows and of columns; at its own size it stays as it is."""
+    if image.shape[:2] == (height, width):
+        return image.astype(float)
+    return np.einsum("hi,ij...,wj->hw...", cubic_weights(image.shape[0], height), image.astype(float), cubic_weights(image.shape[1], width), optimize=True)
+
+
+def heat_colours() -> np.ndarray:
+    """[256, 3]: red, green and blue from cold to hot: blue, cyan, yellow, red, each a ramp over half the way."""
+    x = np.arange(256) / 255
+    return np.rint(255 * np.clip(1.5 - np.abs(4 * x[:, None] - np.array([3, 2, 1])), 0, 1)).astype(np.uint8)
+
+
+def overlaid(rgb: np.ndarray, heatmap: np.ndarray, alpha: float = 0.4) -> np.ndarray:
+    """8-bit pixels under the colours of a heat map from 0 to 1, which count alpha."""
+    hot = np.clip(cubic_resize(heatmap, *rgb.shape[:2]), 0, 1)
+    return np.clip(np.rint(rgb * (1.0 - alpha) + heat_colours()[(255 * hot).astype(np.uint8)] * alpha), 0, 255).astype(np.uint8)
+
+
+def class_heatmaps(activations: np.ndarray, gradients: np.ndarray) -> np.ndarray:
+    """[n, h, w] from 0 to 1 of [n, h, w, channels]: channels weighed by their mean gradient, what speaks against the class
+    cut off, over the peak; all 0 where nothing speaks for it."""
+    weights = gradients.mean(axis=(1, 2))
+    heat = np.maximum(np.einsum("nhwc,nc->nhw", activations, weights), 0)
+    peak = heat.max(axis=(1, 2), initial=0)[:, None, None]
+    return np.divide(heat, peak, out=np.zeros_like(heat), where=peak > 1e-12)
+
+
 def mask_agreement(heatmap: np.ndarray, mask: np.ndarray, percentile: float = 80) -> dict[str, float | bool]:
-    """How a heat map agrees with a mask (above 127): peak inside, overlap over union and coverage of the hottest pixels."""
+    """How a heat map, brought to the mask's size, agrees with a mask (above 127): whether its peak lies inside, overlap over
+    union of its hottest pixels (at the percentile or above, never 0) with the mask, the mask's share of the image, and
+    whether there is no hot pixel."""
     m = mask > 127
-    h = heatmap if heatmap.shape == m.shape else area_resize(heatmap, *m.shape)
+    h = cubic_resize(heatmap, *m.shape)
     hot = (h >= np.percentile(h, percentile)) & (h > 0)
     union, inside = int((hot | m).sum()), int((hot & m).sum())
-    return {"pointing_hit": bool(m.flat[int(h.argmax())]), "iou": inside / union if union else 0.0, "coverage": inside / int(m.sum()) if m.any() else 0.0, "degenerate": not hot.any() or not m.any()}
+    return {"pointing_hit": bool(m.flat[int(h.argmax())]), "iou": inside / union if union and hot.any() else 0.0, "mask_coverage": float(m.mean()), "degenerate": not hot.any()}
 
 
 def decoded(payload: bytes | None) -> np.ndarray | None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators import bootstrap, compare, duplicates, errors, evaluation, predlog, profile, splitting
+from plumbline.operators import bootstrap, compare, duplicates, errors, evaluation, explain, predlog, profile, splitting
 from plumbline.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -664,3 +664,33 @@ def training_history(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_brand AS model_name, 'auc' AS metric, count(*) AS n, min(CAST(p_size AS DOUBLE)) AS low, quantile_cont(CAST(p_size AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS middle, quantile_cont(CAST(p_size AS DOUBLE), 0.75) AS q3, max(CAST(p_size AS DOUBLE)) AS high FROM part GROUP BY p_brand")
 def fold_stability(spark: SparkSession, d: str) -> DataFrame:
     return profile.fold_stability(load(spark, d, "part").select(F.col("p_brand").alias("model_name"), F.col("p_partkey").alias("fold"), F.col("p_size").alias("auc")), ["auc"])
+
+
+def layers(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as activations of 4 x 4 cells with 4 channels, and themselves backwards as gradients."""
+    v = F.col("embedding").cast("array<double>")
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.col("label").alias("class_index"), F.lit(4).alias("height"), F.lit(4).alias("width"), v.alias("activations"), F.reverse(v).alias("gradients"))
+
+
+HEAT_SQL = """WITH w AS (SELECT vec_id, label, embedding AS a, list_transform(range(1, 5), lambda c: list_sum(list_transform(range(0, 16), lambda p: CAST(embedding[64 - (4 * p + c) + 1] AS DOUBLE))) / 16) AS w FROM embeddings),
+r AS (SELECT vec_id, label, a, list_transform(range(0, 16), lambda p: greatest(0e0, a[4 * p + 1] * w[1] + a[4 * p + 2] * w[2] + a[4 * p + 3] * w[3] + a[4 * p + 4] * w[4])) AS h FROM w),
+h AS (SELECT vec_id, label, a, CASE WHEN list_max(h) > 1e-12 THEN list_transform(h, lambda x: x / list_max(h)) ELSE list_transform(h, lambda x: 0e0) END AS h FROM r)"""
+
+
+@query(f"{HEAT_SQL} SELECT vec_id AS path, label AS class_index, CAST(unnest(range(0, 16)) AS INTEGER) AS cell, round(unnest(h), 6) AS heat, list_max(h) = 0 AS degenerate FROM h")
+def class_heatmaps(spark: SparkSession, d: str) -> DataFrame:
+    maps = explain.heatmaps(layers(spark, d))
+    return maps.select("path", "class_index", F.posexplode("heatmap").alias("cell", "heat"), "degenerate").withColumn("heat", F.round("heat", 6))
+
+
+@query(f"""{HEAT_SQL}, m AS (SELECT vec_id, label, h, list_transform(a[1:16], lambda x: x > 0.05e0) AS m, list_sort(h)[13] AS cut FROM h),
+b AS (SELECT *, list_transform(h, lambda x: x >= cut AND x > 0) AS hot FROM m),
+n AS (SELECT *, len(list_filter(range(1, 17), lambda i: hot[i] AND m[i])) AS inside, len(list_filter(range(1, 17), lambda i: hot[i] OR m[i])) AS joint, len(list_filter(hot, lambda x: x)) AS n_hot FROM b)
+SELECT vec_id AS path, label AS class_index, m[list_position(h, list_max(h))] AS pointing_hit, round(CASE WHEN joint > 0 AND n_hot > 0 THEN inside / joint ELSE 0e0 END, 6) AS iou,
+  round(len(list_filter(m, lambda x: x)) / 16, 6) AS mask_coverage, n_hot = 0 AS degenerate FROM n""")
+def mask_agreements(spark: SparkSession, d: str) -> DataFrame:
+    """Two masks an image, united: the even and the odd ones of the cells whose first channels are above 0.05."""
+    seen = load(spark, d, "embeddings").select(F.col("vec_id").alias("path"), F.slice("embedding", 1, 16).alias("a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("odd"))
+    cells = F.transform("a", lambda x, i: F.when((x > 0.05) & (i % 2 == F.col("odd")), "FF").otherwise("00"))
+    masks = seen.select("path", F.lit(4).alias("height"), F.lit(4).alias("width"), F.unhex(F.array_join(cells, "")).alias("data"))
+    return rounded(explain.agreement(explain.heatmaps(layers(spark, d)), masks))

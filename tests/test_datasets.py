@@ -240,7 +240,7 @@ def test_kernels():
     heat, mask = np.zeros((16, 16)), np.zeros((16, 16))
     heat[4:8, 4:8], mask[4:8, 4:8] = 1, 255
     hit = kernels.mask_agreement(heat, mask, 90)
-    assert hit["pointing_hit"] and hit["iou"] == 1 and hit["coverage"] == 1
+    assert hit["pointing_hit"] and hit["iou"] == 1 and hit["mask_coverage"] == 1 / 16 and not hit["degenerate"]
     mask[:] = 0
     mask[12:, 12:] = 255
     assert not kernels.mask_agreement(heat, mask)["pointing_hit"] and kernels.mask_agreement(np.zeros((4, 4)), mask)["degenerate"]
