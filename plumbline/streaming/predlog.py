@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators.predlog import retained
+from plumbline.operators.predlog import Log, retained
 
 
 def windowed_summary(events: DataFrame, ts: str = "ts", label: str = "event_type", value: str = "value", every: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -26,3 +26,8 @@ def keep_newest(events: DataFrame, path: str, checkpoint: str, most_rows: int =
         retained(held, most_rows, order).write.mode("overwrite").parquet(f"{path}/{no % 2}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_stream(rows: DataFrame, log: Log, checkpoint: str) -> StreamingQuery:
+    """Append each batch of a stream of log rows; a batch that runs again after a failure is not added twice."""
+    return rows.writeStream.foreachBatch(lambda batch, no: log.append(batch, f"{checkpoint}:{no}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,12 +1,16 @@
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import images as kernels
 from plumbline.functions import scalar
-from plumbline.operators import compare, duplicates, graph, predlog, profile, splitting
+from plumbline.operators import compare, duplicates, fitting, graph, predlog, profile, scoring, splitting
 from plumbline.plans import bundles
 from plumbline.sources import artifacts, images
+from plumbline.sources import images as sources
+from plumbline.streaming import predlog as stream
 
 
 def test_manifest(spark, image_folder):
@@ -145,20 +149,75 @@ def test_a_range_s_bins_go_to_different_folds():
     assert len(splitting.deal(np.zeros((0, 2)), 3)) == 0
 
 
-def test_log(spark, tmp_path):
+def log_rows(spark, first, n):
+    """Log rows without ids; their times fall, so the last is the oldest."""
+    return spark.range(first, first + n).select(F.timestamp_seconds(F.lit(10**6) - F.col("id")).alias("created_utc"), F.lit("m").alias("model_name"), F.lit("benign").alias("predicted_label"), F.lit(0.2).alias("probability_positive"), F.lit(0.8).alias("confidence"), F.lit("moderate").alias("confidence_band"), F.col("id").cast("double").alias("inference_ms"), F.col("id").cast("string").cast("binary").alias("thumbnail_jpeg"))
+
+
+def test_log_segments(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(predlog, "ROWS_A_FILE", 4)
+    path = str(tmp_path / "log")
+    log = predlog.Log(spark, path, most_rows=15)
+    assert log.rows().count() == 0 and log.page().count() == 0 and log.row(1).count() == 0 and log.clear() == 0
+    assert log.append(log_rows(spark, 0, 10).repartition(3), "one") == 10
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    assert log.append(log_rows(spark, 10, 7), "two") == 7 and log.append(log_rows(spark, 10, 7), "two") == 0 and log.append(log_rows(spark, 0, 0), "none") == 0
+    assert before.items() <= files().items()  # an append rewrites nothing old
+    assert sorted(r["id"] for r in log.rows().collect()) == list(range(3, 18))  # the newest 15 of 17
+    assert [r["inference_ms"] for r in log.rows().where("id <= 10").orderBy("id").collect()] == [7, 6, 5, 4, 3, 2, 1, 0]  # ids follow time
+    assert [r["id"] for r in log.page(5, 2).collect()] == [15, 14, 13, 12, 11] and [r["id"] for r in log.page(50, 12).collect()] == [5, 4, 3]
+    assert log.page(-1).count() == 0 and log.page(50, 99).count() == 0 and "thumbnail_jpeg" not in log.page().columns
+    one = log.row(9)
+    assert len(one.inputFiles()) == 1 and one.first()["thumbnail_jpeg"] == b"1" and predlog.thumbnail(one, 9).count() == 1
+    assert log.row(2).count() == 0 and log.row(18).count() == 0
+    assert {r["kind"] for r in predlog.summary(log.rows()).collect()} == {"total", "label", "band"}
+    assert '"label":"benign"' in bundles.prediction_reports(log.rows()).first()["report"] and "Label: benign" in bundles.report_text(log.rows()).first()["text"]
+    assert log.append(log_rows(spark, 20, 9), "three") == 9 and [s.first for s in log.segments()] == [11, 18]  # the oldest segment went whole
+    assert sorted(r["id"] for r in predlog.Log(spark, path, 15).rows().collect()) == list(range(12, 27))
+    (tmp_path / "log" / "_unfinished-ab").mkdir()
+    assert len(log.segments()) == 2 and log.clear() == 15 and log.rows().count() == 0
+    assert log.append(log_rows(spark, 0, 1), "one") == 1 and log.row(1).count() == 1
+
+
+def test_log_as_a_stream(spark, tmp_path):
+    source = tmp_path / "source"
+    log_rows(spark, 0, 5).write.parquet(str(source))
+    log = predlog.Log(spark, str(tmp_path / "log"))
+    for _ in range(2):
+        stream.append_stream(spark.readStream.schema(log_rows(spark, 0, 1).schema).parquet(str(source)), log, str(tmp_path / "check")).awaitTermination()
+    assert [r["id"] for r in log.page().collect()] == [5, 4, 3, 2, 1]
+    shutil.rmtree(tmp_path / "check" / "commits")  # the batch runs again
+    stream.append_stream(spark.readStream.schema(log_rows(spark, 0, 1).schema).parquet(str(source)), log, str(tmp_path / "check")).awaitTermination()
+    assert log.rows().count() == 5
+
+
+def test_appended_and_retained_rows(spark):
     row = lambda i, ms: (i, None, "m", False, "benign", 0.2, 0.8, "moderate", 0.5, None, None, None, ms, False, None, None)
     log = spark.createDataFrame([row(i, float(i)) for i in range(1, 8)], predlog.SCHEMA)
     more = spark.createDataFrame([row(0, 1.0), row(0, 2.0)], predlog.SCHEMA).withColumn("created_utc", F.timestamp_seconds(F.col("inference_ms"))).drop("id")
-    path = str(tmp_path / "log")
-    kept = predlog.replace(spark, path, predlog.appended(log, more, 5))
+    kept = predlog.appended(log, more, 5)
     assert sorted(r["id"] for r in kept.collect()) == [5, 6, 7, 8, 9]
-    again = predlog.replace(spark, path, predlog.retained(kept, 2))
-    assert [r["id"] for r in predlog.page(again).collect()] == [9, 8] and predlog.page(again, -1).count() == 0
-    assert predlog.thumbnail(again, 9).count() == 1
-    assert {r["kind"] for r in predlog.summary(again).collect()} == {"total", "label", "band"}
-    assert '"label":"benign"' in bundles.prediction_reports(again).first()["report"]
-    assert "Label: benign" in bundles.report_text(again).first()["text"]
-    assert predlog.clear(spark, path) == 2 and spark.read.schema(predlog.SCHEMA).parquet(path).count() == 0
+    assert [r["id"] for r in predlog.page(predlog.retained(kept, 2)).collect()] == [9, 8] and predlog.page(kept, -1).count() == 0
+
+
+def test_images_are_predicted_and_logged(spark, image_folder, tmp_path):
+    seen = sources.images(spark, image_folder)
+    readable = seen.where("data is not null").count()
+    draw = np.random.default_rng(1)
+    model = fitting.Softmax(np.zeros(64 * 64 * 3), np.ones(64 * 64 * 3), draw.normal(size=(64 * 64 * 3 + 1, 2)))
+    log = predlog.Log(spark, str(tmp_path / "log"))
+    some = seen.where("data is not null").select("path").limit(3)
+    how = dict(model=model, model_name="m1", profile="legacy_64", log=log, classes=["benign", "malignant"], threshold=0.4, explained=some)
+    rows = scoring.predict_and_log(seen, batch="first", **how).collect()
+    assert len(rows) == readable and sorted(r["id"] for r in rows) == list(range(1, readable + 1)) and sum(r["had_explanation"] for r in rows) == 3
+    pixels = {r["path"].split("/")[-1]: np.array(r["x"], float) for r in sources.preprocessed(seen, "legacy_64").collect()}
+    for r in rows:
+        p = model(pixels[r["original_filename"]][None])[0]
+        assert r["probability_positive"] == pytest.approx(p[1]) and r["confidence"] == pytest.approx(p.max())
+        assert r["predicted_label"] == ("malignant" if p[1] >= 0.4 else "benign") and r["inference_ms"] > 0
+        assert kernels.decoded(r["thumbnail_jpeg"]).shape[:2] == (r["image_height"], r["image_width"])
+    assert scoring.predict_and_log(seen, batch="first", **how).count() == 0 and log.rows().count() == readable
 
 
 def test_validation(spark):
