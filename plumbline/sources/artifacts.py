@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalar import IMAGE_EXTENSIONS, is_mask
+from plumbline.functions.scalar import IMAGE_EXTENSIONS, extension, is_mask
+from plumbline.tables import written
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,6 +63,12 @@ def write_reports(bundle: dict[str, DataFrame], folder: str, drop: tuple[str, ..
     return [f"{folder}/{name}" for name in sorted(bundle)]
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system that holds path, as Spark sees it, and what makes its paths."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
     """Write one small document (an index, a manifest) as indented JSON, by way of the file system Spark sees."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,30 +79,74 @@ def write_document(spark: SparkSession, document: dict, path: str) -> None:
         out.close()
 
 
-def ingested(spark: SparkSession, source: str, target: str, folders: DataFrame, files: DataFrame, expected: dict[str, int], force: bool = False) -> dict:
-    """Copy class folders (class_name, folder) into target and write its manifest.json, which is returned.
+def copied(files: DataFrame, target: str) -> DataFrame:
+    """(class_name, path, size, sha256, same) of files (class_name, path, content), copied by tasks to target/class/name.
 
-    Refuses a target that is not empty, unless force is set, and a source without class folders. The source is never
-    changed. files is the listing of the source: the manifest holds images, masks and the expected number of each class.
+    target is a URI that workers reach. A copy is written under a name of its own, read again, and then takes its name, so
+    tasks may run twice; same says whether what was read again is what the source held.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(target)
-    fs = place.getFileSystem(conf)
-    if not force and fs.exists(place) and len(fs.listStatus(place)):
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = pafs.FileSystem.from_uri(target)
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                folder = f"{root}/{r.class_name}"
+                files.create_dir(folder, recursive=True)
+                name = f"{folder}/{r.path.rsplit('/', 1)[-1]}"
+                own = f"{folder}/.{uuid.uuid4().hex}"
+                with files.open_output_stream(own) as out:
+                    out.write(r.content)
+                with files.open_input_stream(own) as back:
+                    read = hashlib.sha256(back.read()).hexdigest()
+                wanted = hashlib.sha256(r.content).hexdigest()
+                files.move(own, name)
+                rows.append((r.class_name, r.path, len(r.content), read, read == wanted))
+            yield pd.DataFrame(rows, columns=["class_name", "path", "size", "sha256", "same"])
+
+    return files.select("class_name", "path", "content").mapInPandas(run, "class_name string, path string, size long, sha256 string, same boolean")
+
+
+def ingested(spark: SparkSession, source: str, target: str, folders: DataFrame, files: DataFrame, expected: dict[str, int], force: bool = False) -> dict:
+    """Copy the images and masks of class folders (class_name, folder) into target and write its manifest.json, which is
+    returned.
+
+    Refuses a target that is not empty, unless force is set, which replaces the classes' folders, and a source without class
+    folders. The source is never changed. files is the listing of the source: the manifest holds images, masks and the
+    expected number of each class; checksums.parquet holds every copy's. Tasks copy the files into a folder that is not yet
+    part of the set; only if every copy is there and is what the source held do the classes' folders take their places, and
+    the manifest comes last. Otherwise it is an OSError, and target stays as it was.
+    """
+    fs, place = file_system(spark, target)
+    if not force and fs.exists(place(target)) and len(fs.listStatus(place(target))):
         raise FileExistsError(f"{target} is not empty")
-    found = {r["class_name"]: r["folder"] for r in folders.collect()}  # a row a class
+    found = [r["class_name"] for r in folders.select("class_name").distinct().orderBy("class_name").collect()]  # a row a class
     if not found:
         raise FileNotFoundError(f"no class folders below {source}")
-    images = files.join(folders.select("class_name").distinct(), "class_name", "left_semi").where(F.col("ext").isin(*IMAGE_EXTENSIONS))
+    of_class = F.broadcast(folders.select(F.col("class_name"), F.regexp_replace("folder", "^file:/+", "/").alias("folder")))  # a row a class
+    inside = lambda rows: rows.where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS)).withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).join(of_class, "folder")
+    images = written(inside(files.select("path", "stem", "length")).select("class_name", "path", "stem", "length"), "listing")
     counts = {r["class_name"]: r for r in images.groupBy("class_name").agg(F.count_if(~is_mask(F.col("stem"))).alias("images"), F.count_if(is_mask(F.col("stem"))).alias("masks")).collect()}
-    for name, folder in sorted(found.items()):
-        own = jvm.org.apache.hadoop.fs.Path(folder)
-        to = jvm.org.apache.hadoop.fs.Path(place, name)
-        fs.mkdirs(to)
-        for status in own.getFileSystem(conf).listStatus(own):
-            if status.isFile() and "." + status.getPath().getName().lower().rpartition(".")[2] in IMAGE_EXTENSIONS:
-                jvm.org.apache.hadoop.fs.FileUtil.copy(own.getFileSystem(conf), status.getPath(), fs, to, False, True, conf)
-    said = {n: {"images": counts[n]["images"] if n in counts else 0, "masks": counts[n]["masks"] if n in counts else 0, "expected": expected.get(n)} for n in sorted(found)}
+    arriving = f"{target.rstrip('/')}/_arriving-{uuid.uuid4().hex}"
+    fs.mkdirs(place(arriving))
+    uri = fs.makeQualified(place(arriving)).toString()
+    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    try:
+        done = written(copied(inside(raw), uri), "copies")
+        short = images.join(done.where("same").select("path", F.col("size").alias("length")), ["path", "length"], "left_anti")
+        if (bad := short.limit(3).collect()) or done.count() != images.count():
+            raise OSError(f"not copied soundly: {', '.join(r['path'] for r in bad) or 'files were listed twice'}")
+    except Exception as fault:
+        fs.delete(place(arriving), True)
+        raise fault if isinstance(fault, OSError) else OSError(f"{target} stays as it was: a copy failed") from fault
+    for name in found:
+        fs.mkdirs(place(f"{arriving}/{name}"))
+        fs.delete(place(f"{target}/{name}"), True)
+        fs.rename(place(f"{arriving}/{name}"), place(f"{target}/{name}"))
+    fs.delete(place(arriving), True)
+    done.select("class_name", F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256").write.mode("overwrite").parquet(f"{target}/checksums.parquet")
+    said = {n: {"images": counts[n]["images"] if n in counts else 0, "masks": counts[n]["masks"] if n in counts else 0, "expected": expected.get(n)} for n in found}
     manifest = {"source": source, "classes": said, "as_expected": all(c["expected"] in (None, c["images"]) for c in said.values())}
     write_document(spark, manifest, f"{target}/manifest.json")
     return manifest

@@ -1,8 +1,10 @@
 """Operators around images, reports, ingest and figures that SQL cannot express or that need files."""
 
+import hashlib
 import json
 import statistics
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -96,11 +98,35 @@ def test_ingest(spark, image_folder, tmp_path):
     assert len(list((tmp_path / "busy" / "benign").glob("*.png"))) == 14 and not list((tmp_path / "busy").glob("*/*.txt"))
     with pytest.raises(FileExistsError):
         artifacts.ingested(spark, image_folder, target, folders, files, {})
+    (tmp_path / "busy" / "benign" / "old.png").write_bytes(b"old")
     assert artifacts.ingested(spark, image_folder, target, folders, files, {}, force=True)["as_expected"]
+    assert not (tmp_path / "busy" / "benign" / "old.png").exists() and not list((tmp_path / "busy").glob("_arriving*"))
+    sums = {(r["class_name"], r["name"]): r["sha256"] for r in spark.read.parquet(f"{target}/checksums.parquet").collect()}
+    sources_of = {(p.parent.name, p.name): hashlib.sha256(p.read_bytes()).hexdigest() for p in Path(image_folder).glob("*/*.png")}
+    assert sums == sources_of and all((Path(target) / c / n).read_bytes() == (Path(image_folder) / c / n).read_bytes() for c, n in sums)
     with pytest.raises(FileNotFoundError):
         artifacts.ingested(spark, image_folder, str(tmp_path / "none"), folders.where("false"), files, {})
 
 
+def test_a_failed_copy_leaves_no_half_set(spark, image_folder, tmp_path, monkeypatch):
+    files, folders = sources.listing(spark, image_folder), sources.class_folders(spark, image_folder, CLASSES)
+    target = tmp_path / "set"
+    sound = artifacts.copied
+
+    def broken(raw, to):  # a task fails, or a copy differs
+        return sound(raw, to).withColumn("same", ~F.col("path").endswith("benign1_0.png"))
+
+    monkeypatch.setattr(artifacts, "copied", broken)
+    with pytest.raises(OSError, match="benign1_0.png"):
+        artifacts.ingested(spark, image_folder, str(target), folders, files, {})
+    monkeypatch.setattr(artifacts, "copied", lambda raw, to: sound(raw, to).withColumn("size", F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(OSError, match="stays as it was"):
+        artifacts.ingested(spark, image_folder, str(target), folders, files, {})
+    assert not list(target.glob("*"))
+    monkeypatch.setattr(artifacts, "copied", sound)
+    assert artifacts.ingested(spark, image_folder, str(target), folders, files, {})["classes"]["benign"]["images"] == 12
+
+
 def test_reports_are_written(spark, tmp_path):
     scored = spark.createDataFrame([("m", i, i % 2, (i * 37 % 100) / 100, float(i)) for i in range(50)], "model_name string, case_id long, y_true int, y_prob double, size double")
     places = artifacts.write_reports(bundles.analyze(scored, properties=["size"]), str(tmp_path))
