@@ -80,6 +80,14 @@ def selected(score: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> li
     return sorted((-int(s), i, r) for s, i, r in zip(score.tolist(), ids.tolist(), rows.tolist()))[:k]
 
 
+def sortable(score: int) -> bytes:
+    """A whole number of any size as bytes in the numbers' order."""
+    size = abs(score).bit_length() // 8 + 1
+    if score >= 0:
+        return b"\x01" + size.to_bytes(4, "big") + score.to_bytes(size, "big")
+    return b"\x00" + (2**32 - 1 - size).to_bytes(4, "big") + ((1 << 8 * size) - 1 + score).to_bytes(size, "big")
+
+
 def search(queries, k: int):
     """From (row, id, vec): each query's k best among one task's vectors."""
 
@@ -110,9 +118,10 @@ def search(queries, k: int):
                 held = []
         if held:
             block()
-        out = [(row, name, max(-(2**63), min(2**63 - 1, -s)), i, r) for (row, name, _), own in zip(asked, best) for s, i, r in own]
+        out = [(row, name, max(-(2**63), min(2**63 - 1, -s)), i, r, sortable(-s)) for (row, name, _), own in zip(asked, best) for s, i, r in own]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_row", "query_id", "score", "vec_id", "vec_row"])
+            *numbers, order = zip(*out)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(order, pa.binary())], names=["query_row", "query_id", "score", "vec_id", "vec_row", "exact"])
 
     return run
 
@@ -123,7 +132,8 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     Components x become floor(scale * x). Rows whose vector is null or holds a null or non-finite component take no part,
     nor do rows without a key; an empty vector scores 0 with everything. Vectors of different lengths are compared as if
     the shorter ended in zeros. Repeated rows are rows of their own: each is a query and a candidate, only never its own.
-    Ties go to the smaller id. With fewer than k other rows all are given. Scores beyond 64 bits are cut to its ends.
+    Ties go to the smaller id. With fewer than k other rows all are given. Scores are exact at any size; those beyond 64 bits
+    rank by their whole value and are shown cut to its ends.
     Other columns are ignored. Queries go to the tasks in blocks of about QUERIES rows or QUERY_BYTES: the vectors
     are read once a block and never shuffled, but for a small table, which is first dealt to all cores.
     """
@@ -131,7 +141,10 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     spark = vectors.sparkSession
     x = F.col(vector).cast("array<double>")
     sound = F.col(vector).isNotNull() & F.col(key).isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
-    scaled = F.transform(x, lambda v: F.floor(v * F.lit(float(scale)).cast("double")).cast("double"))
+    most = 2.0**1023
+    times = lambda v: F.greatest(F.least(v * F.lit(float(scale)), F.lit(most)), F.lit(-most))
+    # from 2**52 on doubles are whole numbers, which a long would not hold
+    scaled = F.transform(x, lambda v: F.when(F.abs(times(v)) < 2.0**52, F.floor(times(v)).cast("double")).otherwise(times(v)))
     rows = written(vectors.where(sound).select(F.col(key).cast("long").alias("id"), scaled.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     size = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
     most = max(1, min(QUERIES, QUERY_BYTES // (8 * max(1, size["d"]))))
@@ -140,12 +153,15 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
     tasks = min(2 * spark.sparkContext.defaultParallelism, -(-size["n"] // LEAST_VECTORS))
     if size["n"] < tasks * VECTORS:
         offered = offered.repartition(max(1, tasks), "row")
-    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("exact"), "vec_id", "vec_row"))
     done = None
     for i in range(blocks):
         own = rows.where(F.col("asks") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == i)).select("row", "id", "vec").toArrow()  # one block of queries
-        found = offered.mapInArrow(search(spark.sparkContext.broadcast(Queries(own)), k), "query_row long, query_id long, score long, vec_id long, vec_row long")
+        shared = spark.sparkContext.broadcast(Queries(own))
+        found = offered.mapInArrow(search(shared, k), "query_row long, query_id long, score long, vec_id long, vec_row long, exact binary")
         found = found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-        found = written(found, "found") if blocks > 1 else found
+        if blocks > 1:
+            found = written(found, "found")
+            shared.unpersist()
         done = found if done is None else done.unionByName(found)
     return done

@@ -204,3 +204,18 @@ def test_grams_against_plain_counting():
         words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
         want = sum(len(w) for w in words) + sum(len(w) + 1 for w in words) + sum(len(w) for w in words)
         assert len(langid.grams(t)) == want
+
+
+def test_scores_beyond_64_bits_rank_by_their_whole_value(spark):
+    rows = [(0, [3e37, 0.0]), (1, [1.0, 5.0]), (2, [1e17, 5.0]), (3, [2e37, 1.0]), (4, [-1e30, 0.0]), (5, [-2e37, 0.0]), (6, [2e37, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.col("vec_id") == 0, k=6).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 6, 2, 1, 4, 5]  # 3 and 6 tie, the smaller id first
+    assert [r["score"] for r in got[:3]] == [2**63 - 1] * 3 and [r["score"] for r in got[-2:]] == [-(2**63)] * 2
+    wide = spark.createDataFrame([(0, [1e308]), (1, [1e308]), (2, [1.0]), (3, [-1e308])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(wide, F.col("vec_id") == 0, k=6).orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_sortable_bytes_follow_the_numbers():
+    numbers = sorted({0, 1, -1, 127, 128, 255, 256, -127, -128, -255, -256, -257, 2**63, -(2**63), 2**300, -(2**300), 2**300 - 1, 10**40, -(10**40)})
+    assert sorted(numbers, key=topk.sortable) == numbers
