@@ -26,6 +26,8 @@ from plumbline.llm.words import mix, shingle_sets, stream
 ROWS, BANDS = 4, 24
 #: Shingles whose minhashes are worked out at once.
 SHINGLES = 1 << 18
+#: One of so many hashes of either collection makes up the tables that are looked at first.
+FEW_TABLES = 3
 #: Links that a task holds at once.
 LINKS = 1 << 20
 #: Sets of a large cluster that all its others are compared with first, for each of its bands of size.
@@ -150,9 +152,9 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head[some], nodes[some]
 
 
-def posted_keys(ranges: int):
+def posted_keys(ranges: int, some: int):
     """From (sk, small): links (u, v) of sets that share a table's key within the task, and postings (range, blob) of keys
-    with the smallest set of theirs."""
+    with the smallest set of theirs. Of every some hashes of either collection one is taken, by its value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, n = [], [], 0
@@ -170,6 +172,7 @@ def posted_keys(ranges: int):
         for b in batches:
             for name, small in zip(b.column("sk").to_pylist(), b.column("small").to_pylist()):
                 own = np.array(small, np.uint64)
+                own = own[(own >> np.uint64(1)) % np.uint64(some) == 0]
                 odd = (own & np.uint64(1)).astype(bool)
                 keys = jaccard.tokens_of(mix(own[~odd][:, None] * np.uint64(3) + mix(own[odd])[None, :]).ravel()) | np.uint64(1)
                 v.append(keys.view(np.int64))
@@ -203,10 +206,17 @@ def candidate_clusters(rows: DataFrame, ranges: int) -> DataFrame:
     posted = written(rows.where("small is not null").select("sk", "small").mapInArrow(posted_hashes(ranges), "range int, blob binary, sk long, hash long"), "hashes")
     told = posted.where("blob is not null").groupBy("range").applyInArrow(met_hashes, "sk long, hash long")
     shared = posted.where("blob is null").select("sk", "hash").unionByName(told)
-    left = shared.groupBy("sk").agg(F.collect_set("hash").alias("small"))  # at most 2 * BANDS a set
-    keys = written(left.mapInArrow(posted_keys(ranges), "range int, blob binary, u long, v long"), "keys")
-    met = keys.where("blob is not null").groupBy("range").applyInArrow(met_keys, "u long, v long")
-    found = connected(keys.where("blob is null").select("u", "v").unionByName(met))
+    left = written(shared.groupBy("sk").agg(F.collect_set("hash").alias("small")), "shared")  # at most 2 * BANDS a set
+
+    def links(of: DataFrame, some: int) -> DataFrame:
+        keys = written(of.mapInArrow(posted_keys(ranges, some), "range int, blob binary, u long, v long"), "keys")
+        met = keys.where("blob is not null").groupBy("range").applyInArrow(met_keys, "u long, v long")
+        return keys.where("blob is null").select("u", "v").unionByName(met)
+
+    # a few tables join most of a large group; its sets then post their keys under one name
+    first = connected(links(left, FEW_TABLES))
+    named = left.join(first.hint("merge"), F.col("sk") == F.col("node"), "left").select(F.coalesce("root", "sk").alias("sk"), "small")
+    found = connected(links(named, 1).unionByName(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     return found.select(F.col("node").alias("sk"), F.col("root").alias("cluster"))
 
 
@@ -241,7 +251,7 @@ def verified(base: DataFrame, rows: DataFrame, clusters: DataFrame, k: int, perc
     large = dealt(members.where("large"), ["cluster", "band"])
     placed = members.where("not large").select("sk", "cluster", "n", none.alias("band"), none.alias("chunk")).unionByName(large.select("sk", "cluster", "n", "band", "chunk"))
     wanted = spark.sparkContext.broadcast(jaccard.filter_of(members, members.count()))  # at most 16 MB
-    sets = written(jaccard.full_sets(base, "text", k, wanted).drop("n").join(placed, "sk"), "sets")
+    sets = written(jaccard.full_sets(base, "text", k, wanted).drop("n").join(placed.hint("merge"), "sk"), "sets")
 
     # large clusters: every chunk of a band and of those beside it meets the band's pivots
     pick = large.groupBy("cluster", F.col("band").alias("near"), F.pmod(F.hash("sk"), F.lit(PIVOTS)).alias("nth")).agg(F.min_by("sk", F.xxhash64("sk")).alias("sk"))
