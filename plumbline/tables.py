@@ -30,9 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Places of the tables that this process has begun, in order.
+_begun: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Where a new table in the shared folder may lie."""
-    return f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    _begun.append(f"{shared_folder(spark)}/plumbline/{name}-{uuid.uuid4().hex}")
+    return _begun[-1]
+
+
+def begun() -> int:
+    """How many tables this process has begun, to be told to removed_since()."""
+    return len(_begun)
+
+
+def removed_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the tables begun since then but for one, once nothing lazy reads them any more."""
+    for path in _begun[mark:]:
+        if path != keep:
+            removed(spark, path)
+    _begun[mark:] = [keep]
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
