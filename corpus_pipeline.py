@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard, langid, mixing, quality, tokens
 from plumbline.llm.queries import BPE_RANKS
-from plumbline.tables import new_path, removed, written
+from plumbline.tables import begun, new_path, removed, removed_since, written
 
 #: A text is in no known language if it is und or its profile is this far from all.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -106,12 +106,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again by the next.
 
-    A stage's table is deleted once the next one is written, so that one copy of the texts is left at the end.
+    A stage's table is deleted once the next one is written, and the tables within a stage once it is, so that one copy of
+    the texts is left at the end.
     """
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = new_path(spark, name)
+        mark, path = begun(), new_path(spark, name)
         docs = written(stage(spark, docs, sf_dir), name, path)
+        removed_since(spark, mark, path)
         if last is not None:
             removed(spark, last)
         last = path
