@@ -165,5 +165,7 @@ def test_stage_tables_are_deleted_once_read(spark, tmp_path):
     folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     count = lambda n: len(glob.glob(f"{folder}/plumbline/{n}-*"))
     before = {n: count(n) for n, _ in cp.STAGES}
+    whole = count("*")
     assert cp.run(spark, str(tmp_path)).count() > 0
     assert {n: count(n) - before[n] for n in before} == {"language_id": 0, "quality_classifier": 0, "ngram_jaccard_join": 0, "mix_sources": 1, "byte_bpe": 0}
+    assert count("*") == whole + 1  # the tables within the stages are gone too
