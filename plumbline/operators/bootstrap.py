@@ -14,14 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluation import RATES, rates, score_steps
 from plumbline.tables import written
 
-#: Replicates that one task works on; cases of one score and label that are drawn at once; weights held at once.
-BLOCK, SLICE, DRAWN = 250, 4096, 1 << 18
+#: Replicates that one task works on; scores of ranges that are worked on together; cases of one score and label that are
+#: drawn at once; weights held at once.
+BLOCK, SCORES, SLICE, DRAWN = 250, 8192, 4096, 1 << 18
 #: Multipliers of the 32-bit mixing function, and of the replicate's number.
 MIX, STEP = (0x7FEB352D, 0x846CA68B), 0x9E3779B1
 #: The weight is the number of these that the hash's upper 16 bits reach: Poisson(1) to within 2**-16.
@@ -122,7 +123,12 @@ def replicates(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000
     # a null model is told by its name's absence and kept under one that groups match on
     steps = score_steps(scored.withColumn("model_name", F.coalesce(F.concat(F.lit("="), "model_name"), F.lit(""))))
     cells = written(steps.select("model_name", "part", F.col("y_prob").cast("double").alias("y_prob"), "pos", "neg", before.alias("before")), "cells")
-    each = cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # neighbouring ranges of few scores are worked on together; that changes no result
+    ranges = cells.groupBy("model_name", "part").agg(F.count("*").alias("scores"))
+    above_them = F.sum("scores").over(Window.partitionBy("model_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    units = ranges.select("model_name", F.col("part").alias("range"), F.floor(F.coalesce(above_them, F.lit(0)) / SCORES).alias("part"))
+    united = cells.withColumnRenamed("part", "range").join(units, ["model_name", "range"]).drop("range")
+    each = united.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     ready = written(large_cells(cells, iterations, seed), "drawn")
     rows = written(each.join(ready, ["model_name", "y_prob", "block"], "left").select("model_name", "part", "block", "y_prob", "pos", "neg", "before", "pos_drawn", "neg_drawn"), "cells")
     key = "model_name string, part long, block int"

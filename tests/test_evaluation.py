@@ -105,6 +105,7 @@ def test_replicates_equal_expanded_cases_at_any_partitioning(spark, monkeypatch)
     assert {r["model_name"] for r in got} == {"m", "few", None}
     # labels with many cases of one score are drawn in runs
     monkeypatch.setattr(bootstrap, "SLICE", 3)
+    monkeypatch.setattr(bootstrap, "SCORES", 5)
     again = bootstrap.replicates(df.repartition(7), 0.45, 300, 7).orderBy("model_name", "replicate").collect()
     assert [r[:6] for r in again] == [r[:6] for r in got]
     assert [r["pr_auc"] for r in again] == pytest.approx([r["pr_auc"] for r in got])
