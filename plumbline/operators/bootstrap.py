@@ -55,8 +55,10 @@ def drawn(seed: int, replicates: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     some = np.flatnonzero(sizes)
     rows = max(1, DRAWN // max(1, len(cases)))
     if len(some):
+        single = len(some) == len(cases)  # no score of these stands twice
         for i in range(0, len(replicates), rows):
-            out[i : i + rows, some] = np.add.reduceat(weights(seed, replicates[i : i + rows], cases), (ends - sizes)[some], axis=1, dtype=np.int64)
+            w = weights(seed, replicates[i : i + rows], cases)
+            out[i : i + rows, some] = w if single else np.add.reduceat(w, (ends - sizes)[some], axis=1, dtype=np.int64)
     return out
 
 
