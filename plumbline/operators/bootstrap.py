@@ -4,6 +4,8 @@ Every case has a weight in every replicate, drawn from Poisson(1) by a counter:
 case's number. Nothing else enters, so neither partitions nor the order of rows change a result. Cases are numbered by
 falling score, positives first among equal scores. Weights are added up by score and label, then over ranges of the log
 odds for a block of replicates at a time: first the ranges' totals, then, knowing what stands above each range, the areas.
+
+Tables of cells are small beside the draws they stand for, so tasks are dealt out by the number of draws, not by bytes.
 """
 
 from __future__ import annotations
@@ -14,20 +16,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluation import RATES, rates, score_steps
 from plumbline.tables import written
 
-#: Replicates that one task works on; scores of ranges that are worked on together; cases of one score and label that are
-#: drawn at once; weights held at once.
-BLOCK, SCORES, SLICE, DRAWN = 250, 8192, 4096, 1 << 18
+#: Replicates that one task works on; scores of ranges that are worked on together, and cases that count as much as a score;
+#: cases of one score and label that are drawn at once, and as many of these as a row of a task stands for.
+BLOCK, SCORES, SHARE, SLICE, SLICES = 250, 8192, 64, 4096, 16
+#: Hashes worked on at once, which a core's cache holds, and weights held at once.
+HASHES, HELD = 1 << 16, 1 << 23
+#: Draws of a task: no fewer, so that it is worth starting; more only if every core has TASKS of them; never many more.
+LEAST, MOST, TASKS = 1 << 24, 1 << 29, 8
 #: Multipliers of the 32-bit mixing function, and of the replicate's number.
 MIX, STEP = (0x7FEB352D, 0x846CA68B), 0x9E3779B1
 #: The weight is the number of these that the hash's upper 16 bits reach: Poisson(1) to within 2**-16.
 LEVELS = tuple(x for k in range(12) if (x := round(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))) < 65536)
-_weight = np.searchsorted(np.array(LEVELS), np.arange(65536), side="right").astype(np.uint8)
+_levels = [np.array(x << 16, np.uint32) for x in LEVELS]
+_steps = [(np.array(shift, np.uint32), np.array(factor, np.uint32)) for shift, factor in zip((16, 15), MIX)]
 AREAS = ("roc_auc", "pr_auc")
 
 
@@ -38,13 +45,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
+def nearly_mixed(x: np.ndarray, spare: np.ndarray) -> None:
+    """mixed() in place but for its last step, which leaves the upper 16 bits as they are."""
+    for shift, factor in _steps:
+        np.right_shift(x, shift, out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, factor, out=x)
+
+
 def weights(seed: int, replicates: np.ndarray, cases: np.ndarray) -> np.ndarray:
     """[replicates, cases]: how often each replicate draws each numbered case."""
-    first = mixed(replicates.astype(np.uint32) * np.uint32(STEP) + np.uint32(seed % 2**32))
+    n, first = len(cases), mixed(replicates.astype(np.uint32) * np.uint32(STEP) + np.uint32(seed % 2**32))
     again = mixed(first + np.uint32(1))
     low, high = (cases & 0xFFFFFFFF).astype(np.uint32), (cases >> 32).astype(np.uint32) * np.uint32(MIX[1])
-    u = mixed(mixed(first[:, None] + low) + (again[:, None] + high))
-    return _weight[u >> np.uint32(16)]
+    far = high.any()
+    out = np.empty((len(replicates), n), np.uint8)
+    rows = max(1, min(len(replicates), HASHES // max(1, n)))
+    hashes, spares, reached = (np.empty((rows, n), t) for t in (np.uint32, np.uint32, bool))
+    for i in range(0, len(replicates), rows):
+        w = out[i : i + rows].reshape(-1)
+        wide, spare, over = hashes[: len(first[i : i + rows])], spares.reshape(-1)[: len(w)], reached.reshape(-1)[: len(w)]
+        x = wide.reshape(-1)
+        np.add(first[i : i + rows, None], low, out=wide)
+        nearly_mixed(x, spare)
+        np.right_shift(x, _steps[0][0], out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.add(wide, again[i : i + rows, None], out=wide)
+        if far:
+            np.add(wide, high, out=wide)
+        nearly_mixed(x, spare)
+        np.greater_equal(x, _levels[0], out=w.view(bool))
+        for level in _levels[1:]:
+            np.greater_equal(x, level, out=over)
+            np.add(w, over.view(np.uint8), out=w)
+    return out
 
 
 def drawn(seed: int, replicates: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -53,51 +87,61 @@ def drawn(seed: int, replicates: np.ndarray, starts: np.ndarray, sizes: np.ndarr
     cases = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
     out = np.zeros((len(replicates), len(sizes)), np.int64)
     some = np.flatnonzero(sizes)
-    rows = max(1, DRAWN // max(1, len(cases)))
+    rows = max(1, HELD // max(1, len(cases)))
     if len(some):
         single = len(some) == len(cases)  # no score of these stands twice
+        kind = np.uint16 if len(LEVELS) * int(sizes.max()) < 2**16 else np.int64
         for i in range(0, len(replicates), rows):
             w = weights(seed, replicates[i : i + rows], cases)
-            out[i : i + rows, some] = w if single else np.add.reduceat(w, (ends - sizes)[some], axis=1, dtype=np.int64)
+            out[i : i + rows, some] = w if single else np.add.reduceat(w, (ends - sizes)[some], axis=1, dtype=kind)
     return out
 
 
-def chunks(cells: pd.DataFrame, seed: int, replicates: np.ndarray) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+def chunks(cells: pd.DataFrame, seed: int, replicates: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A range's scores, highest first, some at a time, with the weights of their positives and negatives."""
     cells = cells.sort_values("y_prob", ascending=False, kind="stable")
-    size = np.where(cells["pos_drawn"].isna(), cells["pos"], 0) + np.where(cells["neg_drawn"].isna(), cells["neg"], 0)
-    for _, some in cells.groupby(np.cumsum(size) // SLICE, sort=False):
-        for at in range(0, len(some), SLICE):
-            part = some.iloc[at : at + SLICE]
-            sides = []
-            for side, before in (("pos", part["before"]), ("neg", part["before"] + part["pos"])):
-                ready = part[f"{side}_drawn"].to_numpy()
-                own = np.array([x is None for x in ready], bool)
-                w = drawn(seed, replicates, before.to_numpy(np.int64), np.where(own, part[side].to_numpy(np.int64), 0))
-                for i in np.flatnonzero(~own).tolist():
-                    w[:, i] = np.frombuffer(ready[i], "<i8")
-                sides.append(w)
-            yield part, *sides
+    score, before, pos = cells["y_prob"].to_numpy(), cells["before"].to_numpy(np.int64), cells["pos"].to_numpy(np.int64)
+    sides = []
+    for side, start in (("pos", before), ("neg", before + pos)):
+        ready = cells[f"{side}_drawn"].to_numpy()
+        own = np.array([x is None for x in ready], bool)
+        sides.append((start, np.where(own, cells[side].to_numpy(np.int64), 0), ready, own))
+    part = np.cumsum(sides[0][1] + sides[1][1]) // (4 * SLICE) + np.arange(len(cells)) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(cells)]
+    for a, b in zip(edges, edges[1:]):
+        found = []
+        for start, size, ready, own in sides:
+            w = drawn(seed, replicates, start[a:b], size[a:b])
+            for i in np.flatnonzero(~own[a:b]).tolist():
+                w[:, i] = np.frombuffer(ready[a + i], "<i8")
+            found.append(w)
+        yield score[a:b], *found
+
+
+def tasks(spark: SparkSession, draws: int) -> int:
+    """How many tasks are to share so many draws. Partitions of a given number are not put together for being small."""
+    return max(1, min(TASKS * spark.sparkContext.defaultParallelism, draws // LEAST), draws // MOST)
 
 
 def block_of(block: int, iterations: int) -> np.ndarray:
     return np.arange(block * BLOCK, min(iterations, (block + 1) * BLOCK))
 
 
-def large_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+def large_cells(cells: DataFrame, iterations: int, seed: int, n_tasks: int) -> DataFrame:
     """(model_name, y_prob, block, pos_drawn, neg_drawn): weights of labels with over SLICE cases of one score, which are
-    dealt out in runs of SLICE cases, so that no task draws all of them."""
+    dealt out in runs of SLICES times SLICE cases, so that no task draws all of them."""
     side = lambda name, before: F.struct(F.lit(name).alias("side"), before.alias("start"), F.col(name).alias("n"))
     large = cells.select("model_name", "y_prob", F.explode(F.array(side("pos", F.col("before")), side("neg", F.col("before") + F.col("pos")))).alias("c")).select("model_name", "y_prob", "c.*").where(F.col("n") > SLICE)
-    runs = large.select("model_name", "y_prob", "side", "start", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICE).cast("long"))).alias("at"))
-    runs = runs.repartition("model_name", "y_prob", "side", "at")
+    runs = large.select("model_name", "y_prob", "side", "start", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLICES * SLICE).cast("long"))).alias("at"))
+    runs = runs.repartition(n_tasks, "model_name", "y_prob", "side", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for b in batches:
             for model, p, side, start, n, at in zip(*(c.to_pylist() for c in b.columns)):
-                own = drawn(seed, np.arange(iterations), np.array([start + at]), np.array([min(SLICE, n - at)]))[:, 0]
-                total[model, p, side] = total[model, p, side] + own if (model, p, side) in total else own
+                own = total.setdefault((model, p, side), np.zeros(iterations, np.int64))
+                for i in range(at, min(n, at + SLICES * SLICE), SLICE):
+                    own += drawn(seed, np.arange(iterations), np.array([start + i]), np.array([min(SLICE, n - i)]))[:, 0]
         for (model, p, side), own in total.items():
             parts = [own[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, iterations, BLOCK)]
             n = len(parts)
@@ -125,13 +169,17 @@ def replicates(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000
     # a null model is told by its name's absence and kept under one that groups match on
     steps = score_steps(scored.withColumn("model_name", F.coalesce(F.concat(F.lit("="), "model_name"), F.lit(""))))
     cells = written(steps.select("model_name", "part", F.col("y_prob").cast("double").alias("y_prob"), "pos", "neg", before.alias("before")), "cells")
-    # neighbouring ranges of few scores are worked on together; that changes no result
-    ranges = cells.groupBy("model_name", "part").agg(F.count("*").alias("scores"))
-    above_them = F.sum("scores").over(Window.partitionBy("model_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    few = lambda c: F.when(F.col(c) <= SLICE, F.col(c)).otherwise(0)
+    small = few("pos") + few("neg")
+    draws = cells.agg(F.sum(small), F.sum(F.col("pos") + F.col("neg") - small)).first()
+    few_tasks, large_tasks = (tasks(cells.sparkSession, (n or 0) * iterations) for n in draws)
+    # neighbouring ranges of few scores and cases are worked on together; that changes no result
+    ranges = cells.groupBy("model_name", "part").agg((F.count("*") + F.sum(small) / SHARE).alias("load"))
+    above_them = F.sum("load").over(Window.partitionBy("model_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     units = ranges.select("model_name", F.col("part").alias("range"), F.floor(F.coalesce(above_them, F.lit(0)) / SCORES).alias("part"))
     united = cells.withColumnRenamed("part", "range").join(units, ["model_name", "range"]).drop("range")
     each = united.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ready = written(large_cells(cells, iterations, seed), "drawn")
+    ready = written(large_cells(cells, iterations, seed, large_tasks), "drawn")
     rows = written(each.join(ready, ["model_name", "y_prob", "block"], "left").select("model_name", "part", "block", "y_prob", "pos", "neg", "before", "pos_drawn", "neg_drawn"), "cells")
     key = "model_name string, part long, block int"
     total = ("hit_pos", "hit_neg", "pos", "neg")
@@ -139,8 +187,8 @@ def replicates(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
         reps = block_of(int(pdf["block"].iloc[0]), iterations)
         sums = np.zeros((4, len(reps)), np.int64)
-        for part, pos, neg in chunks(pdf, seed, reps):
-            hit = part["y_prob"].to_numpy() >= threshold
+        for score, pos, neg in chunks(pdf, seed, reps):
+            hit = score >= threshold
             sums += np.stack((pos[:, hit].sum(axis=1), neg[:, hit].sum(axis=1), pos.sum(axis=1), neg.sum(axis=1)))
         return pd.DataFrame({c: pdf[c].iloc[:1] for c in ("model_name", "part", "block")} | {c: [x.astype("<i8").tobytes()] for c, x in zip(total, sums)})
 
@@ -176,10 +224,11 @@ def replicates(scored: DataFrame, threshold: float = 0.5, iterations: int = 2000
         return out[(pos > 0) & (neg > 0)]
 
     blobs = lambda *names: "".join(f", {n} binary" for n in names)
-    dealt = rows.groupBy("model_name", "part", "block").applyInPandas(totals, key + blobs(*total))
-    known = dealt.groupBy("model_name", "block").applyInPandas(above, key + blobs(*total, "above_pos", "above_neg"))
     by = ("model_name", "part", "block")
-    done = rows.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(within, "model_name string, block int" + blobs(*total, "lost", "step"))
+    spread = lambda df: df.repartition(few_tasks, *by).groupBy(*by)
+    dealt = spread(rows).applyInPandas(totals, key + blobs(*total))
+    known = dealt.groupBy("model_name", "block").applyInPandas(above, key + blobs(*total, "above_pos", "above_neg"))
+    done = spread(rows).cogroup(spread(known)).applyInPandas(within, "model_name string, block int" + blobs(*total, "lost", "step"))
     counts = done.groupBy("model_name", "block").applyInPandas(together, "model_name string, replicate int, tn long, fp long, fn long, tp long, roc_auc double, pr_auc double")
     name = F.when(F.col("model_name") != "", F.substr("model_name", F.lit(2)))
     return rates(counts.withColumn("model_name", name))

@@ -1,6 +1,7 @@
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 
 from plumbline.functions.scalar import folds_for, format_metric
 from plumbline.operators import bootstrap, errors, evaluation
@@ -111,6 +112,27 @@ def test_replicates_equal_expanded_cases_at_any_partitioning(spark, monkeypatch)
     assert [r["pr_auc"] for r in again] == pytest.approx([r["pr_auc"] for r in got])
 
 
+def test_draws_are_shared_by_tasks_however_few_rows_stand_for_them(spark, monkeypatch, tmp_path):
+    plain = bootstrap.drawn
+
+    def told(seed, replicates, starts, sizes):
+        (tmp_path / f"{TaskContext.get().stageId()}-{TaskContext.get().partitionId()}").write_text(f"{sizes.max()}")
+        return plain(seed, replicates, starts, sizes)
+
+    monkeypatch.setattr(bootstrap, "drawn", told)
+    df = spark.range(600_000).selectExpr("'m' AS model_name", "id AS case_id", "cast(id % 3 = 0 AS int) AS y_true", "0.5D AS y_prob")
+    bootstrap.replicates(df, iterations=250).count()
+    stages = [f.name.split("-")[0] for f in tmp_path.iterdir()]  # the runs of one score, told by the task that draws them
+    assert len(stages) >= 3 and len(set(stages)) == 1
+    # ranges close up, but not so far that a task has all cases
+    monkeypatch.undo()
+    many = spark.range(30_000).selectExpr("'m' AS model_name", "id AS case_id", "cast(id % 3 = 0 AS int) AS y_true", "(id % 100 + 1) / 200D AS y_prob")
+    monkeypatch.setattr(bootstrap, "SCORES", 50)
+    want = plain_replicates(*(np.array([r[i] for r in many.collect()]) for i in (2, 3)), 3, 42, 0.5)
+    for r in bootstrap.replicates(many, iterations=3).collect():
+        assert [r["tp"], r["fp"], r["roc_auc"], r["pr_auc"]] == pytest.approx(want[r["replicate"]], abs=1e-12)
+
+
 def test_intervals(spark):
     df = tabled(spark, tp=40, tn=35, fp=10, fn=15)
     found = {r["metric"]: r for r in bootstrap.intervals(df).collect()}
