@@ -100,6 +100,32 @@ def test_masks_of_one_image_are_united_and_compared(spark):
     assert np.frombuffer(united["two"]["mask"], np.uint8).reshape(4, 6).astype(bool).tolist() == (np.kron(half[:2, :3], np.ones((2, 2))).astype(bool) | (np.arange(24) < 2).reshape(4, 6)).tolist()
 
 
+def test_images_are_united_and_compared_by_the_batch(spark):
+    draw = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(600):
+        own = [draw.random((4, 3)) > 0.8 for _ in range(1 + i % 3)] + [draw.random((2, 3)) > 0.8] * (i % 2) + [draw.random((3, 4)) > 0.8] * (i == 7)
+        own += [draw.random((4, 3)) > 0.9995 for _ in range(3000 * (i == 5))]
+        rows += [(i, *m.shape, (m * 255).astype(np.uint8).tobytes()) for m in own]
+        h, w = (4, 3)
+        want[i] = np.logical_or.reduce([m[np.arange(h)[:, None] * m.shape[0] // h, np.arange(w) * m.shape[1] // w] for m in own])
+    draw.shuffle(rows)
+    masks = spark.createDataFrame([(int(p), int(h), int(w), d) for p, h, w, d in rows], "path long, height int, width int, data binary").repartition(5)
+    done = explain.united(masks)
+    assert {r["path"]: r["mask"] for r in done.collect()} == {i: (m * 255).astype(np.uint8).tobytes() for i, m in want.items()}
+    assert "FlatMapGroupsInPandas" not in done._jdf.queryExecution().toString()  # which calls Python once an image
+    heat = draw.random((600, 4, 3)) * (np.arange(600) % 9 > 0)[:, None, None]
+    maps = spark.createDataFrame([(i, i % 2, 4, 3, x.ravel().tolist()) for i, x in enumerate(heat)], "path long, class_index int, height int, width int, heatmap array<double>")
+    got = {r["path"]: r for r in explain.agreement(maps, masks).collect()}
+    assert len(got) == 600
+    for i, x in enumerate(heat):
+        m, hot = want[i], (x >= np.percentile(x, 80)) & (x > 0)
+        assert [got[i][c] for c in ("class_index", "pointing_hit", "mask_coverage", "degenerate")] == [i % 2, m.flat[x.argmax()], m.mean(), not hot.any()]
+        assert got[i]["iou"] == ((hot & m).sum() / (hot | m).sum() if hot.any() else 0)
+    several = kernels.mask_agreements(heat[:4, :3], np.stack([want[i] for i in range(4)]) * np.uint8(255))
+    assert [{k: v[i].item() for k, v in several.items()} for i in range(4)] == [kernels.mask_agreement(heat[i, :3], want[i] * np.uint8(255)) for i in range(4)]
+
+
 def test_overlays_and_bundles(spark):
     draw = np.random.default_rng(4)
     rgb = draw.integers(0, 256, (6, 5, 3), dtype=np.uint8)
